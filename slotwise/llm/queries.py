@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, toxicity
 from .common import table
 
 #: The rank file of the encoder, read on the driver and broadcast.
@@ -21,7 +21,13 @@ def op9_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None) -> D
     return bpe.round_trip(spark, table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
