@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, toxicity
+from . import bpe, fingerprints, pii, toxicity
 from .common import table
 
 #: The rank file of the encoder, read on the driver and broadcast.
@@ -26,7 +26,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MinHash fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pii": op4_pii,
+    "op7_fingerprints": op7_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
