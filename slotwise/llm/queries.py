@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, pii, toxicity
+from . import bpe, fingerprints, pii, substrings, toxicity
 from .common import table
 
 #: The rank file of the encoder, read on the driver and broadcast.
@@ -31,12 +31,18 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that smaller ids have."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substrings": op2_substrings,
     "op4_pii": op4_pii,
     "op7_fingerprints": op7_fingerprints,
     "op9_bpe": op9_bpe,
