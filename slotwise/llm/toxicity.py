@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, slices, words_of
+from .common import arrow_schema, batch_of, slices
 
 ORDER = 6
 DISCOUNT = 0.75
 WINDOW = 8
-PER_CLASS = 4000
+PER_CLASS = 3000
 THRESHOLD = 0.3
 FOLDS = 4
 HELD_OUT = 2
@@ -44,79 +44,94 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-class Counts:
-    """A sorted table from 64-bit keys to numbers; absent keys give zero."""
+_MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray | None = None):
-        if values is None:
-            self.keys, self.values = np.unique(keys, return_counts=True)
-            self.values = self.values.astype(float)
-        else:
-            self.keys, at = np.unique(keys, return_inverse=True)
-            self.values = np.bincount(at, values, len(self.keys)).astype(float)
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not self.keys.size:
-            return np.zeros(keys.shape)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], 0.0)
+def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words' characters with marks before and after, the positions that are to be predicted, and each one's word."""
+    joined = "".join([f"{_BEFORE}{w}\x03" for w in words])
+    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), np.array([len(w) + 1 for w in words], int))
+    return chars, np.flatnonzero(chars != 2), owner
 
 
-def grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Keys of the n-grams of orders 1..ORDER that end at each character, keys of their histories, and each one's word."""
-    pad = "\x02" * (ORDER - 1)
-    joined = "".join(f"{pad}{w}\x03" for w in words)
-    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), np.array([len(w) + ORDER for w in words], int))
-    at = np.flatnonzero(chars != 2)
-    base, keys, histories = np.uint64(0x9E3779B97F4A7C15), [], []
-    with np.errstate(over="ignore"):
-        for k in range(1, ORDER + 1):
-            history = np.full(at.size, k, np.uint64)
-            for j in range(k - 1, 0, -1):
-                history = (history ^ (history >> np.uint64(29))) * base + chars[at - j]
-            keys.append((history ^ (history >> np.uint64(29))) * base + chars[at])
-            histories.append(history)
-    return keys, histories, owner[at]
+_BEFORE = "\x02" * (ORDER - 1)
+
+
+def keys_of(chars: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the n-grams of this order that end at each position, and of their histories."""
+    history = np.full(at.size, order, np.uint64)
+    for j in range(order - 1, 0, -1):
+        history = (history ^ (history >> _TURN)) * _MIX + chars[at - j]
+    return (history ^ (history >> _TURN)) * _MIX + chars[at], history
+
+
+def counted(keys: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each stands or its values' sum."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, values, len(found)).astype(float)
+
+
+def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The table's value of each key; 0 where it is absent."""
+    if not table[0].size:
+        return np.zeros(keys.shape)
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    return np.where(table[0][at] == keys, table[1][at], 0.0)
 
 
 class Model:
-    """Two Kneser-Ney models over one shared backoff, from counts of words by class."""
+    """Two Kneser-Ney models over one shared backoff, from counts of words by class.
 
-    def __init__(self, words: list[str], counts: np.ndarray):
+    The shared backoff cancels out of the log ratio of a character that neither class has after its history, so
+    the ratio is known for each n-gram seen and, for all others, for each history seen: two tables say everything.
+    """
+
+    def __init__(self, words: list[str], counts: np.ndarray, step: int = 50_000):
         """counts: a row for each word, columns ordinary and toxic."""
-        keys, histories, owner = grams(words)
-        self.top, self.seen, self.kinds = [], [], []
+        tops, longer = [], [[] for _ in range(ORDER - 1)]
+        for k in range(0, len(words), step):
+            chars, at, owner = spelled(words[k : k + step])
+            keys = [keys_of(chars, at, j) for j in range(1, ORDER + 1)]
+            gram, first, inverse = np.unique(keys[-1][0], return_index=True, return_inverse=True)
+            weight = counts[k : k + step][owner]
+            tops.append((gram, np.stack([np.bincount(inverse, weight[:, c], len(gram)) for c in (0, 1)]), *(np.stack([keys[j][i][first] for j in range(ORDER)]) for i in (0, 1))))
+            for j in range(ORDER - 1):
+                gram, first = np.unique(keys[j + 1][0], return_index=True)
+                longer[j].append(np.stack([gram, keys[j][0][first], keys[j][1][first]]))
+        shared = []
+        for parts in longer:  # continuation counts: how many different longer n-grams end in this one
+            rows = np.concatenate(parts, 1)
+            rows = rows[:, np.unique(rows[0], return_index=True)[1]]
+            kinds = rows[:, np.unique(rows[1], return_index=True)[1]]
+            shared.append((counted(rows[1]), counted(rows[2]), counted(kinds[2])))
+        gram, first, inverse = np.unique(np.concatenate([t[0] for t in tops]), return_index=True, return_inverse=True)
+        seen = [np.bincount(inverse, np.concatenate([t[1][c] for t in tops]), len(gram)) for c in (0, 1)]
+        keys, histories = (np.concatenate([t[i] for t in tops], 1)[:, first] for i in (2, 3))
+        p = np.full(gram.size, 1.0 / max(2, len(shared[0][0][0]) + 1))
+        for j, (of_gram, of_history, kinds) in enumerate(shared):
+            n = np.maximum(look(of_history, histories[j]), 1.0)
+            p = np.maximum(look(of_gram, keys[j]) - DISCOUNT, 0) / n + DISCOUNT * look(kinds, histories[j]) / n * p
+        self.histories, back = np.unique(histories[-1], return_inverse=True)
+        logs, left = [], []
         for c in (0, 1):
-            weight = counts[owner, c].astype(float)
-            on = weight > 0
-            self.top.append(Counts(keys[-1][on], weight[on]))
-            self.seen.append(Counts(histories[-1][on], weight[on]))
-            _, first = np.unique(keys[-1][on], return_index=True)
-            self.kinds.append(Counts(histories[-1][on][first]))
-        self.shared = []
-        for k in range(ORDER - 1):  # continuation counts: how many different longer n-grams end in this one
-            _, first = np.unique(keys[k + 1], return_index=True)
-            gram = Counts(keys[k][first])
-            total = Counts(histories[k][first])
-            _, one = np.unique(keys[k], return_index=True)
-            self.shared.append((gram, total, Counts(histories[k][one])))
-        self.alphabet = max(2, len(np.unique(keys[0])) + 1)
+            total = np.bincount(back, seen[c], len(self.histories))
+            kinds = np.bincount(back, (seen[c] > 0).astype(float), len(self.histories))
+            rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1.0), 1.0)
+            logs.append(np.log(np.maximum(seen[c] - DISCOUNT, 0) / np.maximum(total, 1.0)[back] + rest[back] * p))
+            left.append(np.log(rest))
+        self.grams, self.ratio, self.rest = gram, logs[1] - logs[0], left[1] - left[0]
 
     def evidence(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) of each word."""
-        keys, histories, owner = grams(words)
-        p = np.full(owner.size, 1.0 / self.alphabet)
-        for k, (gram, total, kinds) in enumerate(self.shared):
-            n = total(histories[k])
-            some = np.maximum(n, 1.0)
-            p = np.where(n > 0, np.maximum(gram(keys[k]) - DISCOUNT, 0) / some + DISCOUNT * kinds(histories[k]) / some * p, p)
-        logs = []
-        for c in (1, 0):
-            n = self.seen[c](histories[-1])
-            some = np.maximum(n, 1.0)
-            logs.append(np.log(np.where(n > 0, np.maximum(self.top[c](keys[-1]) - DISCOUNT, 0) / some + DISCOUNT * self.kinds[c](histories[-1]) / some * p, p)))
-        return np.bincount(owner, logs[0] - logs[1], len(words))
+        chars, at, owner = spelled(words)
+        gram, history = keys_of(chars, at, ORDER)
+        place = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        hit = self.grams[place] == gram
+        got = np.where(hit, self.ratio[place], 0.0)
+        miss = np.flatnonzero(~hit)
+        got[miss] = look((self.histories, self.rest), history[miss])
+        return np.bincount(owner, got, len(words))
 
 
 class Scorer:
@@ -137,9 +152,10 @@ class Scorer:
             owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
             flat = [x for p in parts for x in p]
             got = self.model.evidence(flat) if flat else np.zeros(0)
-            each = got / np.array([len(x) + 1 for x in flat]) if flat else got
             best = np.zeros(len(new))
-            np.maximum.at(best, owner, each)
+            if flat:
+                starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                best[owner[starts]] = np.maximum.reduceat(got / np.array([len(x) + 1 for x in flat]), starts)
             self.cache.update(zip(new, zip(np.bincount(owner, got, len(new)).tolist(), best.tolist(), strict=True), strict=True))
         out = np.zeros((len(texts), 3))
         get = self.cache.__getitem__
@@ -201,22 +217,19 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = spark.createDataFrame([tuple(r) for r in chosen.select("doc_id", "cls", "fold").collect()], "doc_id bigint, cls int, fold int")  # 2 * per_class rows at most
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    counted = (
-        sample.select((F.col("fold") == CALIBRATION).cast("int").alias("later"), "cls", F.explode(words_of(F.lower("text"))).alias("raw"))
-        .groupBy("raw")
-        .agg(*(F.sum(((F.col("later") == k) & (F.col("cls") == c)).cast("bigint")).alias(f"n{k}{c}") for k in (0, 1) for c in (0, 1)))
+    later, toxic = F.col("fold") == CALIBRATION, F.col("cls") == 1
+    table = (
+        sample.select(later.alias("later"), toxic.alias("toxic"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))).alias("word"))
+        .groupBy("word")
+        .agg(*(F.count_if((F.col("later") == a) & (F.col("toxic") == b)).alias(f"n{a}{b}") for a in (False, True) for b in (False, True)))
         .toArrow()
     )
-    totals: dict[str, list[int]] = {}
-    for raw, *n in zip(*(counted.column(i).to_pylist() for i in range(5)), strict=True):
-        for w in _INNER.findall(raw.lower()):
-            old = totals.setdefault(w, [0, 0, 0, 0])
-            for k in range(4):
-                old[k] += n[k]
-    if not totals:
+    if not table.num_rows:
         return None
-    words, counts = list(totals), np.array(list(totals.values()))
+    words, counts = table.column(0).to_pylist(), np.column_stack([table.column(i).to_numpy() for i in range(1, 5)])
     early = counts[:, :2].any(1)
+    if not early.any():
+        return None
     model = Model([w for w, e in zip(words, early, strict=True) if e], counts[early, :2])
     shared = spark.sparkContext.broadcast(model)
     rows = _features(sample.where(F.col("fold") == CALIBRATION), shared).join(chosen.select("doc_id", "cls"), "doc_id").collect()
