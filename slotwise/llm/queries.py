@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, pii, substrings, toxicity
+from . import bpe, fingerprints, jaccard, pii, substrings, toxicity
 from .common import table
 
 #: The rank file of the encoder, read on the driver and broadcast.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingles are alike by 0.85 or more."""
+    return jaccard.group_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, rank_path: str | None = None) -> DataFrame:
     """Byte-level BPE round trip of every document."""
     import public_tokenizers
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substrings": op2_substrings,
     "op4_pii": op4_pii,
     "op7_fingerprints": op7_fingerprints,
+    "op8_jaccard": op8_jaccard,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
