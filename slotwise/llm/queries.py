@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, pii, substrings, topk, toxicity
-from .common import table
+from . import bpe, fingerprints, jaccard, mixing, pii, sharding, substrings, topk, toxicity, warc
+from .common import scratch, table
 
 #: The rank file of the encoder, read on the driver and broadcast.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -38,31 +38,65 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a temperature mixture of the sources has every document."""
+    return mixing.plan(table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinHash fingerprints of every document and of its edited text."""
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+#: Shards of the placement query.
+SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document by its id."""
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS)
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the passages that smaller ids have."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a content-addressed archive and read back."""
+    path = scratch(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return pii.find(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_substrings": op2_substrings,
+    "op3_warc": op3_warc,
     "op4_pii": op4_pii,
     "op5_topk": op5_topk,
+    "op6_mixing": op6_mixing,
     "op7_fingerprints": op7_fingerprints,
     "op8_jaccard": op8_jaccard,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+with p as (
+  select page_id, url, coalesce(html, '') as h, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes,
+    max(page_id) over (partition by coalesce(html, '')) as top from pages
+)
+select page_id, payload_bytes, sha1(h) as payload_digest,
+  case when payload_bytes >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id < top then top end as refers_to, url
+from p
+""",
     "op5_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
