@@ -186,8 +186,8 @@ def _worker(ranks, pattern: str) -> ByteBPE:
     key = (id(ranks), pattern)
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = ByteBPE(ranks.value, pattern)
-    return _WORKER[key]
+        _WORKER[key] = (ranks, ByteBPE(ranks.value, pattern))  # the broadcast is kept so that its id stays its own
+    return _WORKER[key][1]
 
 
 _WORKER: dict = {}
@@ -218,18 +218,18 @@ def decode_documents(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes,
     return encoded.select(id_col, "ids").mapInArrow(decode, schema)
 
 
-def round_trip(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Encode each whole text, decode its ids, and return ROUND_TRIP: counts and digests only, so no ids cross to the JVM."""
-    shared = spark.sparkContext.broadcast(ranks)
+def round_trip(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
+    """Encode each whole text, decode its ids, and return ROUND_TRIP: counts and digests, and the ids only if asked for."""
+    shared, schema = spark.sparkContext.broadcast(ranks), ROUND_TRIP + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, arrow = _worker(shared, pattern), arrow_schema(ROUND_TRIP)
+        codec, arrow = _worker(shared, pattern), arrow_schema(schema)
         for part in slices(batches, 1):
-            counts, coded, decoded = [], [], []
-            for ids in codec.encode(part.column(1).to_pylist()):
+            counts, coded, decoded, every = [], [], [], codec.encode(part.column(1).to_pylist())
+            for ids in every:
                 counts.append(len(ids))
                 coded.append(hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield batch_of(arrow, [part.column(0), counts, coded, decoded])
+            yield batch_of(arrow, [part.column(0), counts, coded, decoded, *[every] * with_ids])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROUND_TRIP)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)

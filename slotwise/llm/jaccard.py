@@ -211,3 +211,21 @@ def group_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     known = lambda c: F.when(F.col(c) < LAST_ID, F.col(c))
     joined = sets.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     return joined.select(known("id").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
+    """docs, all columns, with the smallest doc_id of each component only; rows of a null doc_id are all kept.
+
+    Of rows that repeat a kept doc_id one stays. The ids to drop are broadcast if they are few, so texts stay where
+    they are; otherwise they are joined by shuffling.
+    """
+    known = docs.where("doc_id is not null")
+    _, groups = link_sets(known, rule)
+    out = stored(groups.where("node <> component").select(F.col("node").alias("doc_id")).distinct(), "jaccard-out")
+    kept = known.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "doc_id", "left_anti")
+    again = stored(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "jaccard-again")
+    n = again.count()
+    if n:
+        again = F.broadcast(again) if n <= BROADCAST_IDS else again
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -171,12 +171,17 @@ class Scorer:
 _WORKER: dict = {}
 
 
+def _scorer(model) -> Scorer:
+    """One scorer a worker process and broadcast model."""
+    if id(model) not in _WORKER:
+        _WORKER.clear()
+        _WORKER[id(model)] = (model, Scorer(model.value))
+    return _WORKER[id(model)][1]
+
+
 def _features(docs: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(model) not in _WORKER:
-            _WORKER.clear()
-            _WORKER[id(model)] = Scorer(model.value)
-        scorer, arrow = _WORKER[id(model)], arrow_schema(FEATURES)
+        scorer, arrow = _scorer(model), arrow_schema(FEATURES)
         for part in slices(batches, 1):
             yield batch_of(arrow, [part.column(0), *scorer.features(part.column(1).to_pylist()).T])
 
@@ -242,6 +247,23 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
     return model, logistic(x / scale, y, weight).tolist(), scale.tolist()
 
 
+def keep_ordinary(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold; without a model all of them."""
+    fitted = fit(spark, docs, labels, per_class)
+    if fitted is None:
+        return docs
+    model, beta, scale = fitted
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
+    slope, limit = np.array(beta[:3]) / np.array(scale), np.log(threshold / (1 - threshold)) - beta[3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared)
+        for part in slices(batches, at):
+            yield part.filter(pa.array(scorer.features(part.column(at).to_pylist()) @ slope < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of each row of docs."""
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out")
