@@ -10,7 +10,12 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver was started from."""
+    """Let Python workers import this package wherever the driver was started from, and keep unions from claiming a partitioning.
+
+    With adaptive execution a union's inputs can be coalesced differently after it has been taken for partitioned by
+    their common key; windows and aggregates above it then see a key's rows in several tasks (seen in Spark 4.1.2).
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, known]))
