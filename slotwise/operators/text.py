@@ -36,17 +36,20 @@ def token_rows(texts: DataFrame, keys: list[str], text_col: str = "text") -> Dat
 
 def encode(texts: DataFrame, vocab: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys and ids (array<int>) of each text; unknown tokens have the unknown id. Keys must tell rows apart."""
-    rows = token_rows(texts, keys, text_col).join(vocab, "token", "left").select(*keys, "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
-    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("p"))
+    known = vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id"))
+    words = texts.select(*keys, F.posexplode(tokens(F.col(text_col))).alias("__pos", "__token"))
+    rows = words.join(known, "__token", "left").withColumn("__id", F.coalesce("__id", F.lit(UNK)))
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pos", "__id"))).alias("__p"))
     found = texts.select(*keys).join(lists, keys, "left")
-    return found.select(*keys, F.coalesce(F.transform("p", lambda x: x["id"]), F.array().cast("array<int>")).alias("ids"))
+    return found.select(*keys, F.coalesce(F.transform("__p", lambda x: x["__id"]), F.array().cast("array<int>")).alias("ids"))
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
     """keys and the tokens of each row's ids, without padding, begin and end marks."""
-    words = encoded.select(*keys, F.posexplode("ids").alias("pos", "id")).join(vocab, "id").where(~F.col("token").isin(*SPECIALS[:3]))
-    lists = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("p"))
-    return encoded.select(*keys).join(lists, keys, "left").select(*keys, F.array_join(F.transform("p", lambda x: x["token"]), " ").alias("text"))
+    known = vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id")).where(~F.col("token").isin(*SPECIALS[:3]))
+    words = encoded.select(*keys, F.posexplode("ids").alias("__pos", "__id")).join(known, "__id")
+    lists = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pos", "__token"))).alias("__p"))
+    return encoded.select(*keys).join(lists, keys, "left").select(*keys, F.array_join(F.transform("__p", lambda x: x["__token"]), " ").alias("text"))
 
 
 def _ints(*values: int) -> Column:
