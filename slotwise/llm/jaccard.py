@@ -3,14 +3,17 @@
 Sets of at most `small` shingles enumerate fixed-size subsets: a document of t shingles lists, for each smaller or
 equal size s that could still link with it, all its subsets of the overlap that such a pair must have; linked sets
 list a subset in common. Larger sets are looked up in inverted lists: of each, only the prefix of t - ceil(f t) + 1
-shingles in one global order, which linked sets cannot miss both. The order puts frequent shingles last: all shingles
+shingles in one global order, which linked sets cannot miss both. The order puts frequent shingles last, the most frequent at the end: all shingles
 of `HEAVY` documents and more in the extended prefixes count as frequent (the `HEAVY_KEPT` most frequent of them are
 broadcast; any order gives the same links, so that bound costs time and not links). The boundary is chosen by cost:
 the largest size at which enumerating lists no more keys than the expected entries read from inverted lists.
 
 Lists of thousands of near copies are never paired with themselves. First each list's members are compared with two
-leaders, its smallest and its largest set; components of these links are taken; then only pairs of different
-components in the same list remain, enumerated by component and filtered by size. Every remaining pair is verified
+leaders, its smallest and its largest set; components of these links are taken. While lists are crowded with
+different components, members outside a list's largest component are compared with some of its members, in turns.
+Then only pairs of different components in the same list remain, enumerated by component and filtered by size and place: what stands at and after the first shingle in common must
+hold the overlap. A parity sketch of each
+set bounds from below in how many shingles a pair differs and drops pairs that cannot link; every remaining pair is verified
 on whole shingle sets, so no link between different components is lost.
 
 Documents of equal sets are taken together first. Null and empty texts have no shingles and link with nothing. Rows
@@ -25,21 +28,29 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ready
 from .common import arrow_schema, batch_of, slices, stored
 from .components import components
 from .substrings import LAST_ID, hashed, windows
 
-HEAVY = 200
+HEAVY = 12
 HEAVY_KEPT = 1_000_000
 #: Documents up to which ids are broadcast to choose texts; beyond, the ids are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-SETS = "id bigint, digest string, n bigint, keys array<bigint>"
+#: A list is crowded if it holds over CROWDED pairs of different components a member; turns of comparing with leaders, and leaders a turn.
+CROWDED, TURNS, LEADERS = 10, 6, 8
+#: Bits of the parity sketch that bounds how far two sets differ.
+PARITY_BITS = 2048
+SETS = "id bigint, digest string, n bigint, some array<bigint>, parity array<bigint>"
+#: keys: the set's lists; reach: how many of its shingles stand at or after the list's own in the global order.
+KEYED = "id bigint, digest string, n bigint, keys array<bigint>, reach array<bigint>, whole boolean"
 PAIRS = "a bigint, b bigint, linked boolean"
 
 
@@ -58,6 +69,14 @@ class Rule:
     def overlap(self, s: int, t: int) -> int:
         return -(-self.num * (s + t) // (self.num + self.den))
 
+    def reaches(self, reach: str, n1: str, n2: str) -> Column:
+        """Whether so many shingles can hold the overlap of sets of n1 and n2."""
+        return F.col(reach) * (self.num + self.den) >= (F.col(n1) + F.col(n2)) * self.num
+
+    def fits(self, n1: str, r1: str, n2: str, r2: str) -> Column:
+        """Whether sets can link whose first shingle in common leaves r1 and r2; a list that isn't their first only drops a repetition."""
+        return self.reaches(r1, n1, n2) & self.reaches(r2, n1, n2)
+
     def sizes(self, t: int) -> list[int]:
         """Sizes up to t that can link with a set of t."""
         return [s for s in range(1, t + 1) if self.overlap(s, t) <= s]
@@ -83,25 +102,31 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(windows(h, words))
 
 
-def _extended(rule: Rule):
+def _reach(n: int, rule: Rule, most_small: int = 16) -> int:
+    """How many shingles of a set's first are kept at hand: half as many again as its prefix, and all of a set that may be small."""
+    return max((n - rule.least(n) + 1) * 3 // 2 + 8, min(n, most_small))
+
+
+def _sets(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("keys array<bigint>, n bigint")
+        schema = arrow_schema(SETS)
         for part in slices(batches, 1):
-            found, sizes = [], []
+            digests, sizes, some, parities = [], [], [], []
             for text in part.column(1).to_pylist():
                 h = shingles(text, rule.words)
-                reach = len(h) - rule.least(len(h)) + 1
-                found.append(h[: reach * 3 // 2 + 8].view(np.int64))
+                digests.append(xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None)
                 sizes.append(len(h))
-            yield batch_of(schema, [found, sizes])
+                some.append(h[: _reach(len(h), rule)].view(np.int64))
+                odd = np.bincount((h >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS).astype(np.uint8) & 1
+                parities.append(np.packbits(odd).view(np.int64))
+            yield batch_of(schema, [part.column(0), digests, sizes, some, parities])
 
     return run
 
 
-def _keys(h: np.ndarray, rule: Rule, small: int, heavy: np.ndarray) -> np.ndarray:
-    """The lists that a set of shingles stands in."""
-    out = []
-    n = len(h)
+def _keys(h: np.ndarray, n: int, rule: Rule, small: int, heavy: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+    """The lists that a set of n shingles stands in and its reach in each, from its first shingles h; None if h is too short."""
+    out, reach = [], []
     if n and rule.least(n) <= small:  # it is small, or can link with a small set
         for size in sorted(rule.subsets(n)):
             if size <= n:
@@ -109,24 +134,43 @@ def _keys(h: np.ndarray, rule: Rule, small: int, heavy: np.ndarray) -> np.ndarra
                 mixed = np.full(len(picked), size, np.uint64)
                 for j in range(size):
                     mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + picked[:, j]
-                out.append(mixed)
+                out.append(np.unique(mixed))
+                reach.append(np.full(len(out[-1]), n))
     if n > small:
-        common = np.isin(h, heavy, assume_unique=True)
-        out.append(np.concatenate([h[~common], h[common]])[: n - rule.least(n) + 1])
-    return np.unique(np.concatenate(out)) if out else h[:0]
+        often, place = heavy
+        at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+        common = often[at] == h if len(often) else np.zeros(len(h), bool)
+        rare, prefix = h[~common], n - rule.least(n) + 1
+        if len(rare) < prefix and len(h) < n:
+            return None
+        reach.append(n - np.arange(prefix))
+        out.append(np.concatenate([rare, h[common][np.argsort(place[at[common]])]])[:prefix])
+    return (np.concatenate(out), np.concatenate(reach)) if out else (h[:0], np.zeros(0, np.int64))
+
+
+def _all(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema("keys array<bigint>")
+        for part in slices(batches, 1):
+            yield batch_of(schema, [[shingles(t, rule.words).view(np.int64) for t in part.column(1).to_pylist()]])
+
+    return run
+
 
+def _listed(rule: Rule, small: int, heavy, from_text: bool):
+    """Each set's lists, from its first shingles or, where these do not reach, from its text."""
 
-def _sets(rule: Rule, small: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, common = arrow_schema(SETS), heavy.value
-        for part in slices(batches, 1):
-            digests, sizes, keys = [], [], []
-            for text in part.column(1).to_pylist():
-                h = shingles(text, rule.words)
-                digests.append(xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None)
-                sizes.append(len(h))
-                keys.append(_keys(h, rule, small, common).view(np.int64))
-            yield batch_of(schema, [part.column(0), digests, sizes, keys])
+        schema, common, none = arrow_schema(KEYED), heavy.value, np.zeros(0, np.int64)
+        for part in slices(batches, 3) if from_text else batches:
+            keys, reaches, whole = [], [], []
+            for n, x in zip(part.column(2).to_pylist(), part.column(3).to_pylist() if from_text else part.column(3), strict=True):
+                h = shingles(x, rule.words) if from_text else x.values.to_numpy().view(np.uint64)
+                found = _keys(h, n, rule, small, common)
+                whole.append(found is not None)
+                keys.append(none if found is None else found[0].view(np.int64))
+                reaches.append(none if found is None else found[1])
+            yield batch_of(schema, [*(part.column(i) for i in range(3)), keys, reaches, whole])
 
     return run
 
@@ -161,40 +205,107 @@ def boundary(rule: Rule, per_key: float, most: int = 12) -> int:
 
 def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """(id, digest, n) of each row, and (node, component) of the documents that have links; ids: LAST_ID stands for null."""
-    spark = docs.sparkSession
+    spark = ready(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    listed = base.mapInArrow(_extended(rule), "keys array<bigint>, n bigint")
-    often = listed.select(F.explode("keys").alias("k")).groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= heavy).orderBy(F.desc("c"), "k").limit(HEAVY_KEPT).toArrow()
-    common = np.sort(often.column(0).to_numpy().view(np.uint64)) if often.num_rows else np.zeros(0, np.uint64)
-    per_key = float(np.mean(often.column(1).to_numpy())) if often.num_rows else 1.0
-    small = boundary(rule, per_key)
-    sets = stored(base.mapInArrow(_sets(rule, small, spark.sparkContext.broadcast(common)), SETS), "jaccard-sets")
+    sets = stored(base.mapInArrow(_sets(rule), SETS), "jaccard-sets")
+    parity = sets.where("n > 0").select("id", "n", "parity")
     owners = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("owner"))
-    keys = sets.where("n > 0").join(owners, "digest").where("id = owner").select("id", "n", F.explode("keys").alias("k"))
-    shared = keys.groupBy("k").agg(F.min(F.struct("n", "id")).alias("low"), F.max(F.struct("n", "id")).alias("high")).where("low.id <> high.id")
-    members = stored(keys.join(shared, "k"), "jaccard-members")
-    fits = lambda a, b: (F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num)
+    owned = sets.where("n > 0").select("id", "digest", "n", "some").join(owners, "digest").where("id = owner").select("id", "digest", "n", "some")
+    often = _frequent(owned.select(F.explode("some").alias("k")), heavy)
+    first = owned.mapInArrow(_listed(rule, 0, spark.sparkContext.broadcast(_order(often)), False), KEYED)
+    short = stored(first.where("not whole").select("id", "digest", "n").distinct(), "jaccard-short")
+    # sets whose first shingles are mostly frequent need shingles that no extended prefix has shown: count those of them too
+    shown = _texts(base, short).select("id", "text").mapInArrow(_all(rule), "keys array<bigint>")
+    often = pd.concat([often, _frequent(shown.select(F.explode("keys").alias("k")), heavy)]).groupby("k", as_index=False).max()
+    small, common = boundary(rule, float(often.c.mean()) if len(often) else 1.0), spark.sparkContext.broadcast(_order(often))
+    listed = stored(owned.mapInArrow(_listed(rule, small, common, False), KEYED), "jaccard-lists")
+    short = stored(listed.where("not whole").select("id", "digest", "n").distinct(), "jaccard-short")
+    again = _texts(base, short).mapInArrow(_listed(rule, small, common, True), KEYED)
+    keys = listed.where("whole").unionByName(again.where("whole")).select("id", "n", F.explode(F.arrays_zip("keys", "reach")).alias("e")).select("id", "n", F.col("e.keys").alias("k"), F.col("e.reach").alias("r"))
+    shared = keys.groupBy("k").agg(F.min(F.struct("n", "r", "id")).alias("low"), F.max(F.struct("n", "r", "id")).alias("high")).where("low.id <> high.id")
+    members = stored(keys.join(shared, "k").where(rule.reaches("r", "n", "low.n")), "jaccard-members")
     leaders = F.explode(F.array("low", "high")).alias("lead")
-    tried = members.select("id", "n", leaders).where(fits(F.col("n"), F.col("lead.n")) & (F.col("id") != F.col("lead.id"))).select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
-    found = stored(verify(base, stored(tried, "jaccard-tried"), rule), "jaccard-led")
+    tried = members.select("id", "n", "r", leaders).where(rule.fits("n", "r", "lead.n", "lead.r") & (F.col("id") != F.col("lead.id"))).select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
+    found = stored(verify(base, stored(near(tried, parity, rule), "jaccard-tried"), rule), "jaccard-led")
     copies = sets.where("n > 0").join(owners, "digest").where("id <> owner").select(F.col("id").alias("a"), F.col("owner").alias("b"))
     links = found.where("linked").select("a", "b")
     led = components(links)
-    placed = members.select("id", "n", "k").join(led, F.col("id") == F.col("node"), "left").select("id", "n", "k", F.coalesce("component", "id").alias("c"))
-    open_keys = placed.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("k")
-    placed = stored(placed.join(open_keys, "k"), "jaccard-open")
-    groups = placed.groupBy("k", "c").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    one, two = groups.select("k", F.col("c").alias("c1"), F.col("low").alias("l1"), F.col("high").alias("h1")), groups.select("k", F.col("c").alias("c2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    apart = one.join(two, "k").where((F.col("c1") < F.col("c2")) & (F.col("l1") * rule.num <= F.col("h2") * rule.den) & (F.col("l2") * rule.num <= F.col("h1") * rule.den)).select("k", "c1", "c2")
-    left = placed.select("k", F.col("c").alias("c1"), F.col("id").alias("a"), F.col("n").alias("n1"))
-    right = placed.select("k", F.col("c").alias("c2"), F.col("id").alias("b"), F.col("n").alias("n2"))
-    rest = apart.join(left, ["k", "c1"]).join(right, ["k", "c2"]).where(fits(F.col("n1"), F.col("n2"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    seen = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = stored(rest.join(seen, ["a", "b"], "left_anti"), "jaccard-rest")
+    placed, crowded = _open(members, led)
+    for turn in range(TURNS):
+        if not crowded.count():
+            break
+        tried = _by_leaders(placed.join(crowded, "k"), turn, rule).join(_once(found), ["a", "b"], "left_anti")
+        more = stored(verify(base, stored(near(tried, parity, rule), "jaccard-tried"), rule), "jaccard-led")
+        found = found.unionByName(more)
+        links = more.where("linked").select("a", "b")
+        if links.isEmpty():
+            break
+        led = components(led.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        placed, crowded = _open(placed.drop("c"), led)
+    groups = placed.groupBy("k", "c").agg(F.min("n").alias("low"), F.max("r").alias("far"))
+    one, two = (groups.select("k", *(F.col(x).alias(f"{x}{i}") for x in ("c", "low", "far"))) for i in (1, 2))
+    apart = one.join(two, "k").where((F.col("c1") < F.col("c2")) & rule.reaches("far1", "low1", "low2") & rule.reaches("far2", "low1", "low2")).select("k", "c1", "c2")
+    left, right = (placed.select("k", F.col("c").alias(f"c{i}"), F.col("id").alias(name), F.col("n").alias(f"n{i}"), F.col("r").alias(f"r{i}")) for i, name in ((1, "a"), (2, "b")))
+    rest = apart.join(left, ["k", "c1"]).join(right, ["k", "c2"]).where(rule.fits("n1", "r1", "n2", "r2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = stored(near(rest.join(_once(found), ["a", "b"], "left_anti"), parity, rule), "jaccard-rest")
     more = verify(base, rest, rule).where("linked").select("a", "b")
     return sets.select("id", "digest", "n"), components(led.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies))
 
 
+def _frequent(shingled: DataFrame, least: int) -> pd.DataFrame:
+    """k and its count of the most frequent shingles, HEAVY_KEPT at most."""
+    found = shingled.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "k").limit(HEAVY_KEPT).toArrow()
+    return pd.DataFrame({"k": found.column(0).to_numpy(), "c": found.column(1).to_numpy()})
+
+
+def _order(often: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles by hash, and the place of each in the order from less to more frequent."""
+    k, place = often.k.to_numpy(np.int64).view(np.uint64), np.empty(len(often), np.int64)
+    place[np.lexsort((k, often.c.to_numpy()))] = np.arange(len(often))
+    by_hash = np.argsort(k)
+    return k[by_hash], place[by_hash]
+
+
+def _texts(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, digest, n, text) of the listed sets; few ids are broadcast, more are joined by shuffling."""
+    few = ids.count() <= BROADCAST_IDS
+    return base.join(F.broadcast(ids) if few else ids, "id").select("id", "digest", "n", "text")
+
+
+def _once(found: DataFrame) -> DataFrame:
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _open(members: DataFrame, led: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (k, id, n, r, c) of lists with more than one component, and the lists that hold too many pairs of different components."""
+    placed = members.select("id", "n", "r", "k").join(led, F.col("id") == F.col("node"), "left").select("id", "n", "r", "k", F.coalesce("component", "id").alias("c"))
+    open_keys = placed.groupBy("k").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("k")
+    placed = stored(placed.join(open_keys, "k"), "jaccard-open")
+    sizes = placed.groupBy("k", "c").agg(F.count("*").cast("double").alias("s")).groupBy("k").agg(F.sum("s").alias("t"), F.sum(F.col("s") * F.col("s")).alias("q"))
+    return placed, stored(sizes.where((F.col("t") * F.col("t") - F.col("q")) / 2 > CROWDED * F.col("t")).select("k"), "jaccard-crowded")
+
+
+def _by_leaders(placed: DataFrame, turn: int, rule: Rule) -> DataFrame:
+    """Pairs of each list's members outside its largest component with `LEADERS` members of that component, picked by hash."""
+    main = placed.groupBy("k", "c").agg(F.count("*").alias("s")).groupBy("k").agg(F.max(F.struct("s", "c")).alias("m")).select("k", F.col("m.c").alias("mc"))
+    inside = placed.join(main, "k").where("c = mc")
+    picks = [F.min(F.struct(F.xxhash64("id", F.lit(turn * LEADERS + i)).alias("h"), "id", "n", "r")).alias(f"p{i}") for i in range(LEADERS)]
+    leaders = inside.groupBy("k", "mc").agg(*picks).select("k", "mc", F.array_distinct(F.array(*(F.struct(*(F.col(f"p{i}.{x}").alias(x) for x in ("id", "n", "r"))) for i in range(LEADERS)))).alias("leaders"))
+    outside = placed.join(leaders, "k").where("c <> mc").select("id", "n", "r", F.explode("leaders").alias("lead"))
+    pairs = outside.where(rule.fits("n", "r", "lead.n", "lead.r")).select(F.col("id").alias("a"), F.col("lead.id").alias("b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def near(pairs: DataFrame, parity: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs(a, b) whose sets can link: parities that differ in d bits come from sets that differ in d shingles at least."""
+    side = lambda name, k: parity.select(F.col("id").alias(name), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+    both = pairs.select("a", "b").join(side("a", 1), "a").join(side("b", 2), "b")
+    apart = F.aggregate(F.zip_with("p1", "p2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("n1") + F.col("n2")
+    shared = F.ceil(F.lit(rule.num) * total / F.lit(rule.num + rule.den) - F.lit(1e-9))
+    return both.where(apart <= total - 2 * shared).select("a", "b").distinct()
+
+
 def verify(base: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """pairs(a, b) with whether their whole sets link."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
