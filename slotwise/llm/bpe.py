@@ -21,12 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_schema, batch_of, slices
+from ..session import ready
+from .common import arrow_schema, batch_of, kept, slices
 
 NO_RANK = np.iinfo(np.int64).max
 LONGEST_ROW = 256
 CELLS = 1 << 20
-CACHED_PIECES = 300_000
+CACHED_PIECES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -182,21 +183,16 @@ class ByteBPE:
 
 
 def _worker(ranks, pattern: str) -> ByteBPE:
-    """One codec a worker process and rank table."""
-    key = (id(ranks), pattern)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = (ranks, ByteBPE(ranks.value, pattern))  # the broadcast is kept so that its id stays its own
-    return _WORKER[key][1]
+    """One codec a worker process and rank table; the broadcast is kept with it so that its id stays its own."""
+    return kept(("bpe", id(ranks), pattern), lambda: (ranks, ByteBPE(ranks.value, pattern)))[1]
 
 
-_WORKER: dict = {}
 ROUND_TRIP = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col bigint, ids array<int>) of each row; the rank table (some 50,000 entries) is broadcast."""
-    shared, schema = spark.sparkContext.broadcast(ranks), f"`{id_col}` bigint, ids array<int>"
+    shared, schema = ready(spark).sparkContext.broadcast(ranks), f"`{id_col}` bigint, ids array<int>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, arrow = _worker(shared, pattern), arrow_schema(schema)
@@ -208,7 +204,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, in
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col bigint, text string) of each row of ids; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
-    shared, schema = spark.sparkContext.broadcast(ranks), f"`{id_col}` bigint, text string"
+    shared, schema = ready(spark).sparkContext.broadcast(ranks), f"`{id_col}` bigint, text string"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, arrow = _worker(shared, pattern), arrow_schema(schema)
@@ -220,7 +216,7 @@ def decode_documents(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes,
 
 def round_trip(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
     """Encode each whole text, decode its ids, and return ROUND_TRIP: counts and digests, and the ids only if asked for."""
-    shared, schema = spark.sparkContext.broadcast(ranks), ROUND_TRIP + ", ids array<int>" * with_ids
+    shared, schema = ready(spark).sparkContext.broadcast(ranks), ROUND_TRIP + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, arrow = _worker(shared, pattern), arrow_schema(schema)

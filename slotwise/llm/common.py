@@ -51,7 +51,7 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each part has about `chars` bytes of text at most (or one row), to bound a worker's memory."""
     for batch in batches:
         if not batch.num_rows:
@@ -66,6 +66,17 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 2_000_0
         yield batch.slice(start)
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What make() gives, kept in a worker process until another key is asked for: one operator's cache at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def batch_of(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

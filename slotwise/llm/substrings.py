@@ -27,10 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, slices, stored
+from ..session import ready
+from .common import arrow_schema, batch_of, kept, slices, stored
 
 LENGTH = 50
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 #: Candidate documents up to which their ids (8 bytes each) are broadcast; beyond, texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 LAST_ID = 2**63 - 1
@@ -45,13 +46,11 @@ class WordHashes(dict):
         return found
 
 
-_WORDS = WordHashes()
-
-
 def hashed(words: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > CACHED_WORDS:
-        _WORDS.clear()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    known = kept("words", WordHashes)
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,6 +154,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, levels: tuple[int, ...
     levels = levels or ((length + 1) // 2, length)
     if levels[-1] != length or len(levels) < 2 or list(levels) != sorted(set(levels)):
         raise ValueError("levels must rise to the window length, in two steps at least")
+    ready(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     first = stored(base.mapInArrow(_first_level(length, levels[0]), FIRST), "repeats-first")
     owners = first.groupBy("digest").agg(F.min("id").alias("owner"))

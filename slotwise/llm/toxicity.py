@@ -24,17 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, slices
+from ..session import ready
+from .common import arrow_schema, batch_of, kept, slices
 
 ORDER = 6
 DISCOUNT = 0.75
 WINDOW = 8
-PER_CLASS = 3000
+PER_CLASS = 2000
 THRESHOLD = 0.3
 FOLDS = 4
 HELD_OUT = 2
 CALIBRATION = 3
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
+STEP = 20_000
 FEATURES = "doc_id bigint, mean_llr double, window_llr double, word_llr double"
 _INNER = re.compile(r"\w+")
 
@@ -87,7 +89,7 @@ class Model:
     the ratio is known for each n-gram seen and, for all others, for each history seen: two tables say everything.
     """
 
-    def __init__(self, words: list[str], counts: np.ndarray, step: int = 50_000):
+    def __init__(self, words: list[str], counts: np.ndarray, step: int = 20_000):
         """counts: a row for each word, columns ordinary and toxic."""
         tops, longer = [], [[] for _ in range(ORDER - 1)]
         for k in range(0, len(words), step):
@@ -151,7 +153,7 @@ class Scorer:
             parts = [_INNER.findall(w) for w in new]
             owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
             flat = [x for p in parts for x in p]
-            got = self.model.evidence(flat) if flat else np.zeros(0)
+            got = np.concatenate([self.model.evidence(flat[k : k + STEP]) for k in range(0, len(flat), STEP)] or [np.zeros(0)])
             best = np.zeros(len(new))
             if flat:
                 starts = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -168,15 +170,9 @@ class Scorer:
         return out
 
 
-_WORKER: dict = {}
-
-
 def _scorer(model) -> Scorer:
     """One scorer a worker process and broadcast model."""
-    if id(model) not in _WORKER:
-        _WORKER.clear()
-        _WORKER[id(model)] = (model, Scorer(model.value))
-    return _WORKER[id(model)][1]
+    return kept(("toxicity", id(model)), lambda: (model, Scorer(model.value)))[1]
 
 
 def _features(docs: DataFrame, model) -> DataFrame:
@@ -212,6 +208,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, list[float], list[float]] | None:
     """The model, its logistic coefficients and the features' scales; None without training rows of both classes."""
+    ready(spark)
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("cls")).withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
     size = {r.cls: r.n for r in marked.groupBy("cls").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
