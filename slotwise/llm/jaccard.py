@@ -3,18 +3,18 @@
 Sets of at most `small` shingles enumerate fixed-size subsets: a document of t shingles lists, for each smaller or
 equal size s that could still link with it, all its subsets of the overlap that such a pair must have; linked sets
 list a subset in common. Larger sets are looked up in inverted lists: of each, only the prefix of t - ceil(f t) + 1
-shingles in one global order, which linked sets cannot miss both. The order puts frequent shingles last, the most frequent at the end: all shingles
-of `HEAVY` documents and more in the extended prefixes count as frequent (the `HEAVY_KEPT` most frequent of them are
+shingles in one global order, which linked sets cannot miss both. The order puts frequent shingles last, the most
+frequent at the end: all shingles of `HEAVY` documents and more in the extended prefixes count as frequent (the `HEAVY_KEPT` most frequent of them are
 broadcast; any order gives the same links, so that bound costs time and not links). The boundary is chosen by cost:
 the largest size at which enumerating lists no more keys than the expected entries read from inverted lists.
 
 Lists of thousands of near copies are never paired with themselves. First each list's members are compared with two
 leaders, its smallest and its largest set; components of these links are taken. While lists are crowded with
 different components, members outside a list's largest component are compared with some of its members, in turns.
-Then only pairs of different components in the same list remain, enumerated by component and filtered by size and place: what stands at and after the first shingle in common must
-hold the overlap. A parity sketch of each
-set bounds from below in how many shingles a pair differs and drops pairs that cannot link; every remaining pair is verified
-on whole shingle sets, so no link between different components is lost.
+Then only pairs of different components in the same list remain, enumerated by component and filtered by size and
+place: what stands at and after the first shingle in common must hold the overlap. A parity sketch of each set bounds
+from below in how many shingles a pair differs and drops pairs that cannot link; every remaining pair is verified on
+whole shingle sets, so no link between different components is lost.
 
 Documents of equal sets are taken together first. Null and empty texts have no shingles and link with nothing. Rows
 that share a doc_id (null included) are one document. Only doc_id and text are read.
@@ -242,11 +242,13 @@ def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple
             break
         led = components(led.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
         placed, crowded = _open(placed.drop("c"), led)
-    groups = placed.groupBy("k", "c").agg(F.min("n").alias("low"), F.max("r").alias("far"))
-    one, two = (groups.select("k", *(F.col(x).alias(f"{x}{i}") for x in ("c", "low", "far"))) for i in (1, 2))
-    apart = one.join(two, "k").where((F.col("c1") < F.col("c2")) & rule.reaches("far1", "low1", "low2") & rule.reaches("far2", "low1", "low2")).select("k", "c1", "c2")
+    groups = placed.groupBy("k", "c").agg(F.min("n").alias("low"), F.max("r").alias("far"), F.count("*").alias("s"))
+    one, two = (groups.select("k", *(F.col(x).alias(f"{x}{i}") for x in ("c", "low", "far", "s"))) for i in (1, 2))
+    smaller = (F.col("s1") < F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("c1") < F.col("c2")))  # its members are listed first
+    apart = one.join(two, "k").where(smaller & rule.reaches("far1", "low1", "low2") & rule.reaches("far2", "low1", "low2")).select("k", "c1", "c2", "low2", "far2")
     left, right = (placed.select("k", F.col("c").alias(f"c{i}"), F.col("id").alias(name), F.col("n").alias(f"n{i}"), F.col("r").alias(f"r{i}")) for i, name in ((1, "a"), (2, "b")))
-    rest = apart.join(left, ["k", "c1"]).join(right, ["k", "c2"]).where(rule.fits("n1", "r1", "n2", "r2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    one = apart.join(left, ["k", "c1"]).where(rule.reaches("r1", "n1", "low2") & rule.reaches("far2", "n1", "low2"))
+    rest = one.join(right, ["k", "c2"]).where(rule.fits("n1", "r1", "n2", "r2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rest = stored(near(rest.join(_once(found), ["a", "b"], "left_anti"), parity, rule), "jaccard-rest")
     more = verify(base, rest, rule).where("linked").select("a", "b")
     return sets.select("id", "digest", "n"), components(led.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies))
