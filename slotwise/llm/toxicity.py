@@ -8,8 +8,10 @@ highest mean over `WINDOW` consecutive words, and the highest word divided by it
 fitted on training rows that the counts have not seen and weighted back to the labels' own prevalence, turns them
 into a score from 0 to 1.
 
-The models are fitted on a bounded sample (`per_class` labelled training rows of each class, by hash order); every
-document is scored over its whole text. Null and empty texts have features of zero. Null doc_ids are not held out
+The n-grams of all labelled training rows are counted, by distributed aggregates; the driver gets a row for each
+different n-gram of the highest order, from which all lower orders follow. Only the logistic curve is fitted on a
+bounded sample (`per_class` rows of each class of the calibration fold, by hash order). Every document is scored over
+its whole text. Null and empty texts have features of zero. Null doc_ids are not held out
 and never labelled. Repeated label rows count once, toxic if any says so. Without training rows of both classes
 every score is 0. Only doc_id and text are read from documents, so further columns cannot clash.
 """
@@ -37,6 +39,8 @@ HELD_OUT = 2
 CALIBRATION = 3
 CACHED_WORDS = 200_000
 STEP = 20_000
+BROADCAST_LABELS = 1_000_000
+COUNTS = "gram string, n00 bigint, n01 bigint, n10 bigint, n11 bigint"
 FEATURES = "doc_id bigint, mean_llr double, window_llr double, word_llr double"
 _INNER = re.compile(r"\w+")
 
@@ -68,6 +72,14 @@ def keys_of(chars: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray,
     return (history ^ (history >> _TURN)) * _MIX + chars[at], history
 
 
+def grams_of(words: list[str], counts: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The words' different n-grams of the highest order, and the sums of their words' counts by column."""
+    chars, at, owner = spelled(words)
+    _, first, inverse = np.unique(keys_of(chars, at, ORDER)[0], return_index=True, return_inverse=True)
+    windows = chars[at[first][:, None] + np.arange(1 - ORDER, 1)].astype(np.uint32)
+    return windows.view(f"U{ORDER}").ravel().tolist(), np.stack([np.bincount(inverse, c[owner], len(first)) for c in counts.T], 1)
+
+
 def counted(keys: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and how often each stands or its values' sum."""
     found, at = np.unique(keys, return_inverse=True)
@@ -83,33 +95,24 @@ def look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Two Kneser-Ney models over one shared backoff, from counts of words by class.
+    """Two Kneser-Ney models over one shared backoff, from counts of n-grams by class.
 
     The shared backoff cancels out of the log ratio of a character that neither class has after its history, so
     the ratio is known for each n-gram seen and, for all others, for each history seen: two tables say everything.
     """
 
-    def __init__(self, words: list[str], counts: np.ndarray, step: int = 20_000):
-        """counts: a row for each word, columns ordinary and toxic."""
-        tops, longer = [], [[] for _ in range(ORDER - 1)]
-        for k in range(0, len(words), step):
-            chars, at, owner = spelled(words[k : k + step])
-            keys = [keys_of(chars, at, j) for j in range(1, ORDER + 1)]
-            gram, first, inverse = np.unique(keys[-1][0], return_index=True, return_inverse=True)
-            weight = counts[k : k + step][owner]
-            tops.append((gram, np.stack([np.bincount(inverse, weight[:, c], len(gram)) for c in (0, 1)]), *(np.stack([keys[j][i][first] for j in range(ORDER)]) for i in (0, 1))))
-            for j in range(ORDER - 1):
-                gram, first = np.unique(keys[j + 1][0], return_index=True)
-                longer[j].append(np.stack([gram, keys[j][0][first], keys[j][1][first]]))
+    def __init__(self, grams: list[str], counts: np.ndarray):
+        """grams: n-grams of the highest order, all lower orders are their ends; counts: a row for each, columns ordinary and toxic."""
+        chars = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        keys, histories = zip(*(keys_of(chars, np.arange(ORDER - 1, chars.size, ORDER), j) for j in range(1, ORDER + 1)), strict=True)
         shared = []
-        for parts in longer:  # continuation counts: how many different longer n-grams end in this one
-            rows = np.concatenate(parts, 1)
-            rows = rows[:, np.unique(rows[0], return_index=True)[1]]
-            kinds = rows[:, np.unique(rows[1], return_index=True)[1]]
-            shared.append((counted(rows[1]), counted(rows[2]), counted(kinds[2])))
-        gram, first, inverse = np.unique(np.concatenate([t[0] for t in tops]), return_index=True, return_inverse=True)
-        seen = [np.bincount(inverse, np.concatenate([t[1][c] for t in tops]), len(gram)) for c in (0, 1)]
-        keys, histories = (np.concatenate([t[i] for t in tops], 1)[:, first] for i in (2, 3))
+        for j in range(ORDER - 1):  # continuation counts: how many different longer n-grams end in this one
+            first = np.unique(keys[j + 1], return_index=True)[1]
+            ends, before = keys[j][first], histories[j][first]
+            shared.append((counted(ends), counted(before), counted(before[np.unique(ends, return_index=True)[1]])))
+        gram, first, inverse = np.unique(keys[-1], return_index=True, return_inverse=True)
+        seen = [np.bincount(inverse, counts[:, c], len(gram)) for c in (0, 1)]
+        keys, histories = (np.stack([k[first] for k in of]) for of in (keys, histories))
         p = np.full(gram.size, 1.0 / max(2, len(shared[0][0][0]) + 1))
         for j, (of_gram, of_history, kinds) in enumerate(shared):
             n = np.maximum(look(of_history, histories[j]), 1.0)
@@ -206,6 +209,26 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return beta
 
 
+def gram_counts(docs: DataFrame, marked: DataFrame, n: int) -> DataFrame:
+    """How often all n marked rows' texts have each n-gram of the highest order: ordinary and toxic, without and in the calibration fold."""
+    marks = marked.select("doc_id", (F.col("fold") == CALIBRATION).alias("later"), (F.col("cls") == 1).alias("toxic"))
+    words = (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(marks) if n <= BROADCAST_LABELS else marks, "doc_id")
+        .select("later", "toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))).alias("word"))
+        .groupBy("word")
+        .agg(*(F.count_if((F.col("later") == a) & (F.col("toxic") == b)).alias(f"n{int(a)}{int(b)}") for a in (False, True) for b in (False, True)))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = arrow_schema(COUNTS)
+        for part in slices(batches, 0):
+            grams, sums = grams_of(part.column(0).to_pylist(), np.column_stack([part.column(i).to_numpy() for i in range(1, 5)]))
+            yield batch_of(arrow, [grams, *sums.astype(np.int64).T])
+
+    return words.mapInArrow(run, COUNTS).groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")))
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, list[float], list[float]] | None:
     """The model, its logistic coefficients and the features' scales; None without training rows of both classes."""
     ready(spark)
@@ -213,30 +236,24 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
     size = {r.cls: r.n for r in marked.groupBy("cls").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return None
-    chosen = None
-    for c in (0, 1):
-        part = marked.where(F.col("cls") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = spark.createDataFrame([tuple(r) for r in chosen.select("doc_id", "cls", "fold").collect()], "doc_id bigint, cls int, fold int")  # 2 * per_class rows at most
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    later, toxic = F.col("fold") == CALIBRATION, F.col("cls") == 1
-    table = (
-        sample.select(later.alias("later"), toxic.alias("toxic"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))).alias("word"))
-        .groupBy("word")
-        .agg(*(F.count_if((F.col("later") == a) & (F.col("toxic") == b)).alias(f"n{a}{b}") for a in (False, True) for b in (False, True)))
-        .toArrow()
-    )
+    table = gram_counts(docs, marked, sum(size.values())).toArrow()  # a row for each different n-gram
     if not table.num_rows:
         return None
-    words, counts = table.column(0).to_pylist(), np.column_stack([table.column(i).to_numpy() for i in range(1, 5)])
+    grams, counts = table.column(0).to_pylist(), np.column_stack([table.column(i).to_numpy() for i in range(1, 5)])
     early = counts[:, :2].any(1)
     if not early.any():
         return None
-    model = Model([w for w, e in zip(words, early, strict=True) if e], counts[early, :2])
+    model = Model([g for g, e in zip(grams, early, strict=True) if e], counts[early, :2])
+    chosen = None
+    for c in (0, 1):
+        part = marked.where((F.col("fold") == CALIBRATION) & (F.col("cls") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = spark.createDataFrame([tuple(r) for r in chosen.select("doc_id", "cls").collect()], "doc_id bigint, cls int")  # 2 * per_class rows at most
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
     shared = spark.sparkContext.broadcast(model)
-    rows = _features(sample.where(F.col("fold") == CALIBRATION), shared).join(chosen.select("doc_id", "cls"), "doc_id").collect()
+    rows = _features(sample, shared).join(F.broadcast(chosen), "doc_id").collect()
     x, y = np.array([[r.mean_llr, r.window_llr, r.word_llr] for r in rows]), np.array([r.cls for r in rows])
-    model = Model(words, counts[:, :2] + counts[:, 2:])  # the curve is known; now all folds count
+    model = Model(grams, counts[:, :2] + counts[:, 2:])  # the curve is known; now all folds count
     if len(set(y.tolist())) < 2:
         return model, [1.0, 0.0, 0.0, 0.0], [1.0, 1.0, 1.0]
     scale = np.maximum(x.std(0), 1e-9)
