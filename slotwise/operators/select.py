@@ -7,6 +7,9 @@ mass is not given to others and an empty selection has the zero vector.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -111,3 +114,28 @@ def noisy(required: DataFrame, slots: DataFrame, n: int, score: float, seed: int
     own = required.select("query_id", F.lit(0).alias("part"), F.col("pos").alias("at"), "slot_id", F.lit(1.0).alias("score"), F.lit(True).alias("is_required"))
     rows = own.unionByName(drawn.select("query_id", F.lit(1).alias("part"), F.col("d").alias("at"), "slot_id", F.lit(score).alias("score"), F.lit(False).alias("is_required")))
     return rows.withColumn("pos", F.row_number().over(_q().orderBy("part", "at"))).where(F.col("pos") <= k).select("query_id", "pos", "slot_id", "score", "is_required")
+
+
+def sharing_negatives(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """Of each row of a unique key as positive: count, least key and key sum of the other rows that share a value of names.
+
+    Rows are counted by each combination of values, and combinations of an even number are taken off again, so the
+    work is linear in the rows however many share a value. Null values are not shared; without negatives no row.
+    """
+    found, k = rows.select(key, *names), F.col(key)
+    counts, sums, firsts = [], [], []
+    for size in range(1, len(names) + 1):
+        for by in map(list, combinations(names, size)):
+            n, total, first, second = (f"__{x}_{'_'.join(by)}" for x in ("n", "sum", "first", "second"))
+            some = rows.select(key, *by).dropna(subset=by)
+            groups = some.groupBy(*by).agg(F.count("*").alias(n), F.sum(key).alias(total), F.min(key).alias(first))
+            if size == 1:  # a union's least is the least of its parts; where that is the row itself, the next
+                groups = groups.join(some.join(groups, by).where(k != F.col(first)).groupBy(*by).agg(F.min(key).alias(second)), by, "left")
+                firsts.append(F.when(k == F.col(first), F.col(second)).otherwise(F.col(first)))
+            found, sign = found.join(groups, by, "left"), 1 if size % 2 else -1
+            counts.append(sign * F.coalesce(F.col(n), F.lit(0)))
+            sums.append(sign * F.coalesce(F.col(total), F.lit(0)))
+    plus = lambda columns: reduce(lambda a, b: a + b, columns)
+    shares = reduce(lambda a, b: a | b, (F.col(x).isNotNull() for x in names))
+    least = F.least(*firsts) if len(firsts) > 1 else firsts[0]
+    return found.where(shares).select(k.alias("positive"), (plus(counts) - 1).alias("negatives"), least.alias("first_negative"), (plus(sums) - k).alias("sum_negative")).where("negatives > 0")

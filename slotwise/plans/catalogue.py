@@ -539,6 +539,12 @@ def hard_negatives(spark, d):
     return out.distinct().groupBy("positive").agg(F.count("*").alias("negatives"), F.min("negative").alias("first_negative"), F.sum("negative").alias("sum_negative"))
 
 
+@query
+def hard_negatives_all(spark, d):
+    """Every part as positive, against all other parts that share a brand, type or size with it."""
+    return select.sharing_negatives(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type", "p_size"])
+
+
 def _scores(spark, d):
     """Cosines of each query's first 64 slots with whether each is required."""
     wanted = _required(spark, d).select("query_id", "slot_id", F.lit(True).alias("r"))

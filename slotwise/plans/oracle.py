@@ -328,6 +328,8 @@ ORACLE_SQL: dict[str, str] = {
     "pos_pairs": sql("select a.query_id, a.slot_id as src, b.slot_id as dst from required a join required b on a.query_id = b.query_id where a.pos <> b.pos"),
     "hard_negatives": """select a.p_partkey as positive, count(*) as negatives, min(b.p_partkey) as first_negative, cast(sum(b.p_partkey) as bigint) as sum_negative
       from part a join part b on b.p_partkey % 50 <> 0 and (a.p_brand = b.p_brand or a.p_type = b.p_type or a.p_size = b.p_size) where a.p_partkey % 50 = 0 group by 1""",
+    "hard_negatives_all": """select a.p_partkey as positive, count(*) as negatives, min(b.p_partkey) as first_negative, cast(sum(b.p_partkey) as bigint) as sum_negative
+      from part a join part b on b.p_partkey <> a.p_partkey and (a.p_brand = b.p_brand or a.p_type = b.p_type or a.p_size = b.p_size) group by 1""",
     "loss_contrastive": sql("""select count(*) as rows, round(avg(-ln(pos / total + 1e-10)), 6) as loss from (
         select a.vec_id, sum(case when a.label = b.label then e else 0.0 end) as pos, sum(e) as total from (
           select a, b, exp(round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 9) / 0.07) as e
