@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {}
 KS = (1, 3, 8, 16, 32, 64)
 DIM, SUBKEYS, TOP = 32, 32, 8
 LONGEST, BATCH = 64, 8
+UNCUT = 2**31 - 1
 
 
 def query(f: Query) -> Query:
@@ -63,35 +64,37 @@ def unk_rate(spark, d):
     return rows.groupBy("lang").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("known").isNull()).alias("n_unk"), F.round(F.avg(F.col("known").isNull().cast("int")), 6).alias("unk_rate"))
 
 
-def _prompts(spark, d):
-    """Question and answer sequences of each user turn that an assistant turn follows."""
+def _prompts(spark, d, longest: int = LONGEST):
+    """Question and answer sequences of each user turn that an assistant turn follows, cut to `longest` ids."""
     turns = table(spark, d, "conversations")
     vocab = texts.build_vocab(turns)
     order = Window.partitionBy("conv_id").orderBy("turn")
     asked = turns.withColumn("next_role", F.lead("role").over(order)).withColumn("next_text", F.lead("text").over(order)).where("role = 'user' and next_role = 'assistant'")
     question = texts.encode(asked.select("conv_id", "turn", "text"), vocab, ["conv_id", "turn"]).withColumnRenamed("ids", "question")
     answer = texts.encode(asked.select("conv_id", "turn", F.col("next_text").alias("text")), vocab, ["conv_id", "turn"]).withColumnRenamed("ids", "answer")
-    seq = texts.qa_sequence(F.col("question"), F.col("answer"), LONGEST)
+    seq = texts.qa_sequence(F.col("question"), F.col("answer"), longest)
     return question.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", seq.alias("s")).select("conv_id", "turn", "s.*")
 
 
-@query
-def prompt_assembly(spark, d):
-    return _prompts(spark, d).select("conv_id", "turn", F.size("ids").alias("seq_len"), "prompt_len", F.array_join("ids", ",").alias("ids"))
+def _assembled(prompts: DataFrame) -> DataFrame:
+    return prompts.select("conv_id", "turn", F.size("ids").alias("seq_len"), "prompt_len", F.array_join("ids", ",").alias("ids"))
 
 
-@query
-def label_mask(spark, d):
+def _masked(prompts: DataFrame) -> DataFrame:
     marked = labels(F.col("ids"), F.col("prompt_len"))
-    return _prompts(spark, d).select("conv_id", "turn", F.array_join(marked, ",").alias("labels"), F.size(F.filter(marked, lambda x: x == -100)).alias("n_masked"))
+    return prompts.select("conv_id", "turn", F.array_join(marked, ",").alias("labels"), F.size(F.filter(marked, lambda x: x == -100)).alias("n_masked"))
 
 
-@query
-def batch_pad(spark, d):
-    batches = texts.pad_batches(_prompts(spark, d), F.struct("conv_id", "turn"), F.floor(F.col("conv_id") / 1024), BATCH)
+def _batched(prompts: DataFrame) -> DataFrame:
+    batches = texts.pad_batches(prompts, F.struct("conv_id", "turn"), F.floor(F.col("conv_id") / 1024), BATCH)
     return batches.select("conv_id", "turn", "example_id", "batch_id", "width", F.array_join("padded", ",").alias("padded"), (F.col("width") - F.size("ids")).alias("n_pad"))
 
 
+for _name, _shape in (("prompt_assembly", _assembled), ("label_mask", _masked), ("batch_pad", _batched)):
+    QUERIES[_name] = lambda spark, d, shape=_shape: shape(_prompts(spark, d))
+    QUERIES[f"{_name}_whole"] = lambda spark, d, shape=_shape: shape(_prompts(spark, d, UNCUT))
+
+
 # --- facts and chains -----------------------------------------------------------------------------------------------
 def _kb(spark, d):
     return kb.slot_table(kb.triples(spark, d))

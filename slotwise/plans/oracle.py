@@ -102,6 +102,8 @@ FRAGMENTS = {
           union all select conv_id, turn, 2, generate_subscripts({_tokens('next_text')}, 1), unnest({_tokens('next_text')}) from turns) t join conv_vocab v using (token)) group by all""",
     "prompts": """select t.conv_id, t.turn, list_concat([1], coalesce(q.ids, []), [3], coalesce(a.ids, []), [2])[1:64] as ids, least(2 + coalesce(len(q.ids), 0), 64) as prompt_len
       from turns t left join turn_ids q on q.conv_id = t.conv_id and q.turn = t.turn and q.part = 1 left join turn_ids a on a.conv_id = t.conv_id and a.turn = t.turn and a.part = 2""",
+    "prompts_whole": """select t.conv_id, t.turn, list_concat([1], coalesce(q.ids, []), [3], coalesce(a.ids, []), [2]) as ids, 2 + coalesce(len(q.ids), 0) as prompt_len
+      from turns t left join turn_ids q on q.conv_id = t.conv_id and q.turn = t.turn and q.part = 1 left join turn_ids a on a.conv_id = t.conv_id and a.turn = t.turn and a.part = 2""",
     # metrics
     "counts": f"""select q.query_id, q.hops, k, count(n.slot_id) as n_required, count(n.slot_id) filter (r.rank <= k) as n_found
       from qv q cross join {_KS} left join required n on n.query_id = q.query_id left join ranked r on r.query_id = n.query_id and r.slot_id = n.slot_id group by all""",
@@ -219,6 +221,11 @@ ORACLE_SQL: dict[str, str] = {
     "batch_pad": sql("""select conv_id, turn, cast(example_id as integer) as example_id, cast(batch_id as integer) as batch_id, cast(width as integer) as width,
         array_to_string(list_concat(ids, list_transform(range(0, width - len(ids)), lambda x: 0)), ',') as padded, cast(width - len(ids) as integer) as n_pad
       from (select *, max(len(ids)) over (partition by batch_id) as width from (select *, example_id // 8 as batch_id from (select *, row_number() over (order by conv_id, turn) - 1 as example_id from prompts)))"""),
+    "prompt_assembly_whole": sql("select conv_id, turn, cast(len(ids) as integer) as seq_len, cast(prompt_len as integer) as prompt_len, array_to_string(ids, ',') as ids from prompts_whole"),
+    "label_mask_whole": sql("select conv_id, turn, array_to_string(list_concat(list_transform(range(0, prompt_len), lambda x: -100), ids[prompt_len + 1:]), ',') as labels, cast(prompt_len as integer) as n_masked from prompts_whole"),
+    "batch_pad_whole": sql("""select conv_id, turn, cast(example_id as integer) as example_id, cast(batch_id as integer) as batch_id, cast(width as integer) as width,
+        array_to_string(list_concat(ids, list_transform(range(0, width - len(ids)), lambda x: 0)), ',') as padded, cast(width - len(ids) as integer) as n_pad
+      from (select *, max(len(ids)) over (partition by batch_id) as width from (select *, example_id // 8 as batch_id from (select *, row_number() over (order by conv_id, turn) - 1 as example_id from prompts_whole)))"""),
     "kb_dedup": sql("select * from kb"),
     "slot_id_codec": sql("select slot_id, 'slot_' || lpad(cast(slot_id as varchar), cast(greatest(6, length(cast(slot_id as varchar))) as integer), '0') as slot_name, slot_id as back from kb"),
     "kb_value_tokens": sql(f"select slot_id, token, coalesce(id, 6) as value_token from (select slot_id, coalesce({_tokens('embedding_target')}[1], '<unk>') as token from kb) left join kb_vocab using (token)"),
