@@ -222,7 +222,8 @@ def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple
     short = stored(listed.where("not whole").select("id", "digest", "n").distinct(), "jaccard-short")
     again = _texts(base, short).mapInArrow(_listed(rule, small, common, True), KEYED)
     keys = listed.where("whole").unionByName(again.where("whole")).select("id", "n", F.explode(F.arrays_zip("keys", "reach")).alias("e")).select("id", "n", F.col("e.keys").alias("k"), F.col("e.reach").alias("r"))
-    shared = keys.groupBy("k").agg(F.min(F.struct("n", "r", "id")).alias("low"), F.max(F.struct("n", "r", "id")).alias("high")).where("low.id <> high.id")
+    ends = [F.min(F.struct("n", "r", "id")).alias("low"), F.max(F.struct("n", "r", "id")).alias("high")]
+    shared = keys.groupBy("k").agg(*ends, F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").drop("x", "y")
     members = stored(keys.join(shared, "k").where(rule.reaches("r", "n", "low.n")), "jaccard-members")
     leaders = F.explode(F.array("low", "high")).alias("lead")
     tried = members.select("id", "n", "r", leaders).where(rule.fits("n", "r", "lead.n", "lead.r") & (F.col("id") != F.col("lead.id"))).select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()

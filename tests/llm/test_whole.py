@@ -5,7 +5,7 @@ import random
 import zlib
 from collections import Counter
 
-from slotwise.llm import toxicity
+from slotwise.llm import jaccard, toxicity
 
 
 def kneser_ney(words):
@@ -53,3 +53,13 @@ def test_language_models_count_all_training_rows(spark):
     assert len(model.grams) == len(grams) and len(beta) == 4
     asked = sorted({w for _, _, ws in rows for w in ws} | {"zzz", "a", "abcabcabcabc"})
     assert max(abs(got - evidence(w)) for w, got in zip(asked, model.evidence(asked), strict=True)) < 1e-9
+
+
+def test_links_between_rows_of_one_id(spark):
+    docs = []
+    for g, end in enumerate([None, *range(600, 611)]):  # the smallest and the largest of four near copies share an id
+        words = [f"g{g}w{j}" for j in range(107)]
+        docs += [(i, " ".join(words[: n + 3])) for i, n in ((end, 100), (100 + g, 101), (200 + g, 102), (end, 104))]
+    found = jaccard.group_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    group = {i: 100 + k // 4 for k, (i, _) in enumerate(docs)}
+    assert len(found) == len(docs) and {r.doc_id: r.component_id for r in found} == group
