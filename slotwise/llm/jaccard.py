@@ -51,6 +51,8 @@ PARITY_BITS = 2048
 SETS = "id bigint, digest string, n bigint, some array<bigint>, parity array<bigint>"
 #: keys: the set's lists; reach: how many of its shingles stand at or after the list's own in the global order.
 KEYED = "id bigint, digest string, n bigint, keys array<bigint>, reach array<bigint>, whole boolean"
+#: The row key of keep_one, beside the documents' own columns.
+KEY = "__slotwise_key"
 PAIRS = "a bigint, b bigint, linked boolean"
 
 
@@ -328,18 +330,22 @@ def group_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
-    """docs, all columns, with the smallest doc_id of each component only; rows of a null doc_id are all kept.
+    """docs, all columns, with the smallest doc_id of each component only.
 
-    Of rows that repeat a kept doc_id one stays. The ids to drop are broadcast if they are few, so texts stay where
-    they are; otherwise they are joined by shuffling.
+    Rows of a null doc_id have a key of their text's hash, after all smaller ids, so of their copies one stays, and
+    none where a row with an id is alike; those without words link with nothing and are all kept. Of rows that repeat
+    a kept doc_id one stays. The ids to drop are broadcast if they are few, so texts stay where they are; otherwise
+    they are joined by shuffling.
     """
-    known = docs.where("doc_id is not null")
-    _, groups = link_sets(known, rule)
-    out = stored(groups.where("node <> component").select(F.col("node").alias("doc_id")).distinct(), "jaccard-out")
-    kept = known.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "doc_id", "left_anti")
-    again = stored(known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "jaccard-again")
+    bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    unnamed = F.lit(LAST_ID - 1) - F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1))
+    known = docs.where(~bare).withColumn(KEY, F.coalesce(F.col("doc_id").cast("bigint"), unnamed))
+    _, groups = link_sets(known.select(F.col(KEY).alias("doc_id"), "text"), rule)
+    out = stored(groups.where("node <> component").select(F.col("node").alias(KEY)).distinct(), "jaccard-out")
+    kept = known.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, KEY, "left_anti")
+    again = stored(known.groupBy(KEY).agg(F.count("*").alias("n")).where("n > 1").select(KEY), "jaccard-again")
     n = again.count()
     if n:
         again = F.broadcast(again) if n <= BROADCAST_IDS else again
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        kept = kept.join(again, KEY, "left_anti").unionByName(kept.join(again, KEY, "left_semi").dropDuplicates([KEY]))
+    return kept.select(*docs.columns).unionByName(docs.where(bare))

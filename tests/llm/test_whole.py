@@ -63,3 +63,16 @@ def test_links_between_rows_of_one_id(spark):
     found = jaccard.group_documents(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     group = {i: 100 + k // 4 for k, (i, _) in enumerate(docs)}
     assert len(found) == len(docs) and {r.doc_id: r.component_id for r in found} == group
+
+
+def test_copies_under_null_ids_go(spark):
+    words = [f"v{j}" for j in range(60)]
+    near, other, mine = " ".join([*words, "end"]), "one two three four five six", "quite another text without any id here"
+    docs = [(1, " ".join(words)), (2, other), (None, near), (None, other), (None, mine), (None, mine), (None, mine.upper()), (None, None), (None, ""), (None, " ")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    kept = jaccard.keep_one(df, jaccard.Rule(5, 80, 100))
+    rows = [tuple(r) for r in kept.collect()]
+    assert kept.columns == df.columns and sorted(i for i, _ in rows if i is not None) == [1, 2]
+    texts = [t for i, t in rows if i is None]
+    assert sum((t or "").lower() == mine for t in texts) == 1 and sorted(map(repr, (t for t in texts if not (t or "").strip()))) == ["' '", "''", "None"]
+    assert len(rows) == 6
