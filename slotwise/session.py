@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +22,17 @@ def ready(spark: SparkSession) -> SparkSession:
     if _ROOT not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [_ROOT, known]))
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only where one process runs everything, a local one if it is unset."""
+    found = ready(spark).conf.get("spark.checkpoint.dir", None)
+    if not found:
+        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = jdir.get() if jdir.isDefined() else None
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="slotwise-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
