@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -11,39 +11,52 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ready
+from ..session import ready, shared_dir
 
 #: The six ASCII white-space bytes that separate words; `bytes.split()` splits at exactly these.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of an Arrow batch: what a Python worker and the buffers that feed it hold at once.
+ARROW_ROWS, ARROW_BYTES = 2_000, 8 << 20
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with this package on the workers' path and Arrow batches bounded in rows and bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return ready(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set, through Spark's own reader so that any store works."""
-    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one set only where it is unset (tests)."""
-    found = ready(spark).conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="slotwise-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(prepared(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again: its lineage is cut and lost executors cost nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[found] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() has written and nothing will read again."""
+    for df in tables:
+        if path := _WRITTEN.pop(df, None):
+            jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def words_of(text: Column) -> Column:

@@ -34,8 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ready
-from .common import arrow_schema, batch_of, slices, stored
+from .common import arrow_schema, batch_of, discard, prepared, slices, stored
 from .components import components
 from .substrings import LAST_ID, hashed, windows
 
@@ -53,7 +52,7 @@ SETS = "id bigint, digest string, n bigint, some array<bigint>, parity array<big
 KEYED = "id bigint, digest string, n bigint, keys array<bigint>, reach array<bigint>, whole boolean"
 #: The row key of keep_one, beside the documents' own columns.
 KEY = "__slotwise_key"
-PAIRS = "a bigint, b bigint, linked boolean"
+WHOLE = "id bigint, keys array<bigint>"
 
 
 @dataclass(frozen=True)
@@ -151,10 +150,12 @@ def _keys(h: np.ndarray, n: int, rule: Rule, small: int, heavy: tuple[np.ndarray
 
 
 def _all(rule: Rule):
+    """(id, text) to (id, keys): all shingles of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema("keys array<bigint>")
+        schema = arrow_schema(WHOLE)
         for part in slices(batches, 1):
-            yield batch_of(schema, [[shingles(t, rule.words).view(np.int64) for t in part.column(1).to_pylist()]])
+            yield batch_of(schema, [part.column(0), [shingles(t, rule.words).view(np.int64) for t in part.column(1).to_pylist()]])
 
     return run
 
@@ -177,23 +178,6 @@ def _listed(rule: Rule, small: int, heavy, from_text: bool):
     return run
 
 
-def _verify(rule: Rule):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(PAIRS)
-        last: tuple = (None, None)
-        for part in slices(batches, 2, 500_000):
-            linked = []
-            for b, one, two in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                if last[0] != (b, two):  # pairs come sorted by b, so a leader's set is made once
-                    last = ((b, two), shingles(two, rule.words))
-                x, y = shingles(one, rule.words), last[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(both > 0 and rule.den * both >= rule.num * (len(x) + len(y) - both))
-            yield batch_of(schema, [part.column(0), part.column(1), linked])
-
-    return run
-
-
 def boundary(rule: Rule, per_key: float, most: int = 12) -> int:
     """The largest small size up to which enumeration lists no more keys than inverted lists of per_key entries have read."""
     small = 0
@@ -207,18 +191,21 @@ def boundary(rule: Rule, per_key: float, most: int = 12) -> int:
 
 def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
     """(id, digest, n) of each row, and (node, component) of the documents that have links; ids: LAST_ID stands for null."""
-    spark = ready(docs.sparkSession)
+    spark = prepared(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(base.mapInArrow(_sets(rule), SETS), "jaccard-sets")
     parity = sets.where("n > 0").select("id", "n", "parity")
-    owners = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("owner"))
+    owners = stored(sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("owner")), "jaccard-owners")
     owned = sets.where("n > 0").select("id", "digest", "n", "some").join(owners, "digest").where("id = owner").select("id", "digest", "n", "some")
     often = _frequent(owned.select(F.explode("some").alias("k")), heavy)
-    first = owned.mapInArrow(_listed(rule, 0, spark.sparkContext.broadcast(_order(often)), False), KEYED)
-    short = stored(first.where("not whole").select("id", "digest", "n").distinct(), "jaccard-short")
+    common = spark.sparkContext.broadcast(_order(often))
+    first = owned.mapInArrow(_listed(rule, 0, common, False), KEYED)
+    early = stored(first.where("not whole").select("id", "digest", "n").distinct(), "jaccard-short")
     # sets whose first shingles are mostly frequent need shingles that no extended prefix has shown: count those of them too
-    shown = _texts(base, short).select("id", "text").mapInArrow(_all(rule), "keys array<bigint>")
+    shown = _texts(base, early).select("id", "text").mapInArrow(_all(rule), WHOLE)
     often = pd.concat([often, _frequent(shown.select(F.explode("keys").alias("k")), heavy)]).groupby("k", as_index=False).max()
+    discard(early)
+    common.destroy()
     small, common = boundary(rule, float(often.c.mean()) if len(often) else 1.0), spark.sparkContext.broadcast(_order(often))
     listed = stored(owned.mapInArrow(_listed(rule, small, common, False), KEYED), "jaccard-lists")
     short = stored(listed.where("not whole").select("id", "digest", "n").distinct(), "jaccard-short")
@@ -227,34 +214,38 @@ def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple
     ends = [F.min(F.struct("n", "r", "id")).alias("low"), F.max(F.struct("n", "r", "id")).alias("high")]
     shared = keys.groupBy("k").agg(*ends, F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").drop("x", "y")
     members = stored(keys.join(shared, "k").where(rule.reaches("r", "n", "low.n")), "jaccard-members")
+    common.destroy()
     leaders = F.explode(F.array("low", "high")).alias("lead")
     tried = members.select("id", "n", "r", leaders).where(rule.fits("n", "r", "lead.n", "lead.r") & (F.col("id") != F.col("lead.id"))).select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
-    found = stored(verify(base, stored(near(tried, parity, rule), "jaccard-tried"), rule), "jaccard-led")
+    found = verify(base, nearest(tried, parity, rule), rule)
     copies = sets.where("n > 0").join(owners, "digest").where("id <> owner").select(F.col("id").alias("a"), F.col("owner").alias("b"))
-    links = found.where("linked").select("a", "b")
-    led = components(links)
+    led = components(found.where("linked").select("a", "b"))
     placed, crowded = _open(members, led)
     for turn in range(TURNS):
         if not crowded.count():
             break
-        tried = _by_leaders(placed.join(crowded, "k"), turn, rule).join(_once(found), ["a", "b"], "left_anti")
-        more = stored(verify(base, stored(near(tried, parity, rule), "jaccard-tried"), rule), "jaccard-led")
+        tried = _by_leaders(placed.join(crowded, "k"), turn, rule).join(_once(found), (F.greatest("a", "b") == F.col("hi")) & (F.least("a", "b") == F.col("lo")), "left_anti")
+        more = verify(base, nearest(tried, parity, rule), rule)
         found = found.unionByName(more)
         links = more.where("linked").select("a", "b")
         if links.isEmpty():
             break
         led = components(led.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+        last = placed, crowded
         placed, crowded = _open(placed.drop("c"), led)
+        discard(*last)
     groups = placed.groupBy("k", "c").agg(F.min("n").alias("low"), F.max("r").alias("far"), F.count("*").alias("s"))
     one, two = (groups.select("k", *(F.col(x).alias(f"{x}{i}") for x in ("c", "low", "far", "s"))) for i in (1, 2))
     smaller = (F.col("s1") < F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("c1") < F.col("c2")))  # its members are listed first
     apart = one.join(two, "k").where(smaller & rule.reaches("far1", "low1", "low2") & rule.reaches("far2", "low1", "low2")).select("k", "c1", "c2", "low2", "far2")
     left, right = (placed.select("k", F.col("c").alias(f"c{i}"), F.col("id").alias(name), F.col("n").alias(f"n{i}"), F.col("r").alias(f"r{i}")) for i, name in ((1, "a"), (2, "b")))
     one = apart.join(left, ["k", "c1"]).where(rule.reaches("r1", "n1", "low2") & rule.reaches("far2", "n1", "low2"))
-    rest = one.join(right, ["k", "c2"]).where(rule.fits("n1", "r1", "n2", "r2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = stored(near(rest.join(_once(found), ["a", "b"], "left_anti"), parity, rule), "jaccard-rest")
-    more = verify(base, rest, rule).where("linked").select("a", "b")
-    return sets.select("id", "digest", "n"), components(led.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies))
+    rest = one.join(right, ["k", "c2"]).where(rule.fits("n1", "r1", "n2", "r2")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    rest = rest.join(_once(found), ["hi", "lo"], "left_anti").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
+    more = verify(base, near(rest, parity, rule).select("a", "b").distinct(), rule).where("linked").select("a", "b")
+    groups = components(led.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies))
+    discard(listed, members, placed, crowded, short)
+    return sets.select("id", "digest", "n"), groups
 
 
 def _frequent(shingled: DataFrame, least: int) -> pd.DataFrame:
@@ -278,7 +269,7 @@ def _texts(base: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _once(found: DataFrame) -> DataFrame:
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return found.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
 
 
 def _open(members: DataFrame, led: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -298,27 +289,39 @@ def _by_leaders(placed: DataFrame, turn: int, rule: Rule) -> DataFrame:
     leaders = inside.groupBy("k", "mc").agg(*picks).select("k", "mc", F.array_distinct(F.array(*(F.struct(*(F.col(f"p{i}.{x}").alias(x) for x in ("id", "n", "r"))) for i in range(LEADERS)))).alias("leaders"))
     outside = placed.join(leaders, "k").where("c <> mc").select("id", "n", "r", F.explode("leaders").alias("lead"))
     pairs = outside.where(rule.fits("n", "r", "lead.n", "lead.r")).select(F.col("id").alias("a"), F.col("lead.id").alias("b"))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return pairs.distinct()
 
 
 def near(pairs: DataFrame, parity: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs(a, b) whose sets can link: parities that differ in d bits come from sets that differ in d shingles at least."""
+    """(a, b, apart) of the pairs whose sets can link: parities that differ in d bits come from sets that differ in d shingles at least."""
     side = lambda name, k: parity.select(F.col("id").alias(name), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
     both = pairs.select("a", "b").join(side("a", 1), "a").join(side("b", 2), "b")
     apart = F.aggregate(F.zip_with("p1", "p2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col("n1") + F.col("n2")
     shared = F.ceil(F.lit(rule.num) * total / F.lit(rule.num + rule.den) - F.lit(1e-9))
-    return both.where(apart <= total - 2 * shared).select("a", "b").distinct()
+    return both.select("a", "b", apart.alias("apart"), (total - 2 * shared).alias("most")).where("apart <= most").select("a", "b", "apart")
+
+
+def nearest(pairs: DataFrame, parity: DataFrame, rule: Rule) -> DataFrame:
+    """Of each a's pairs that can link the one of closest sketches; the others are compared later, if their ends are still apart then."""
+    return near(pairs, parity, rule).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", "m.b")
 
 
 def verify(base: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """pairs(a, b) with whether their whole sets link."""
+    """(a, b, linked) of pairs(a, b): whether their whole sets link. Each set is hashed from its text once and joined as an array.
+
+    Members are joined before leaders, so what meets at a leader of thousands has a size that adaptive execution sees and splits.
+    """
+    pairs = stored(pairs, "jaccard-pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
     few = ids.count() <= BROADCAST_IDS
-    texts = base.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("one")), texts.select(F.col("id").alias("b"), F.col("text").alias("two"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").sortWithinPartitions("b")
-    return both.mapInArrow(_verify(rule), PAIRS)
+    sets = stored(base.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text").mapInArrow(_all(rule), WHOLE), "jaccard-whole")
+    one, two = sets.select(F.col("id").alias("a"), F.col("keys").alias("x")), sets.select(F.col("id").alias("b"), F.col("keys").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("x").alias("n1"), F.size("y").alias("n2"), F.size(F.array_intersect("x", "y")).alias("both"))
+    linked = (F.col("both") > 0) & (F.col("both") * rule.den >= (F.col("n1") + F.col("n2") - F.col("both")) * rule.num)
+    found = stored(both.select("a", "b", linked.alias("linked")), "jaccard-led")
+    discard(pairs, ids, sets)
+    return found
 
 
 def group_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
