@@ -31,3 +31,26 @@ def sigmoid(x: Column) -> Column:
 def softplus(x: Column) -> Column:
     """log(1 + e^x) without overflow."""
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def layer_norm(v: Column, eps: float = 1e-5) -> Column:
+    """v less its mean, over the root of its variance plus eps."""
+    n = F.size(v).cast("double")
+    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / n
+    spread = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x) / n - mean * mean + eps)
+    return F.transform(v, lambda x: (x - mean) / spread)
+
+
+def times(matrix: Column, v: Column) -> Column:
+    """The products of an array of rows with v."""
+    return F.transform(matrix, lambda row: dot(row, v))
+
+
+def relu(v: Column) -> Column:
+    return F.transform(v, lambda x: F.greatest(x, F.lit(0.0)))
+
+
+def unit(v: Column) -> Column:
+    """v over its length; a zero vector stays."""
+    size = norm(v)
+    return F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v)

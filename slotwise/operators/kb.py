@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,12 @@ def value_tokens(kb: DataFrame, vocab: DataFrame) -> DataFrame:
     return first.join(vocab, "token", "left").select("slot_id", "token", F.coalesce("id", F.lit(UNK)).alias("value_token"))
 
 
+def tensor(tokens_of: DataFrame, addresses: int) -> DataFrame:
+    """slot_id and value_token (null where no slot is) of all addresses, 0 and on; more than asked for, if there are more slots."""
+    most = max(addresses, tokens_of.count())
+    return tokens_of.sparkSession.range(most).select(F.col("id").cast("int").alias("slot_id")).join(tokens_of.select("slot_id", "value_token"), "slot_id", "left")
+
+
 def live_stats(slots: DataFrame) -> DataFrame:
     """total, live and dead slots of slots(value_token), and the live share."""
     live = F.count_if(F.col("value_token").isNotNull())
@@ -69,18 +77,34 @@ def uses_per_slot(required: DataFrame, key: str, example: str) -> DataFrame:
     return each.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.count("*").alias("slots"))
 
 
+def _runs(n: int) -> Column:
+    """The hashes of all runs of n words of array column w."""
+    return F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get("w", i + j) for j in range(n)))))
+
+
+#: Items up to which they are sent to every task (some 200 bytes each); beyond, documents' runs are joined by shuffling.
+BROADCAST_ITEMS = 200_000
+
+
 def leaks(items: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
     """(item_id, doc_id) of the documents that contain an item's whole text, whatever its case.
 
-    A document that contains an item contains the item's inner words in a row; the first `words` of them are looked
-    up among each document's runs of words without shuffling documents, and only hits are compared in full. Items
-    with fewer inner words are compared with every document. Items are a fixed, small benchmark.
+    A document that contains an item contains the item's inner words in a row; the first of them, `words` at most, are
+    looked up among the hashes of each document's runs of as many words, without shuffling documents, and only hits
+    are compared in full. Runs are made for the lengths that items have. Items without an inner word are compared with
+    every document; they are counted first, and there mostly are none. Empty items and null texts take no part.
     """
-    low = items.select("item_id", F.lower("text").alias("item")).withColumn("w", F.split("item", r"\s+"))
-    keyed = F.broadcast(low.where(F.size("w") >= words + 2).select("item_id", "item", F.array_join(F.slice("w", 2, words), " ").alias("run")))
-    short = F.broadcast(low.where(F.size("w") < words + 2).select("item_id", "item"))
+    w = F.split("item", r"\s+")
+    low = items.select("item_id", F.lower("text").alias("item")).where("item <> ''").withColumn("n", F.least(F.lit(words), F.size(w) - 2)).withColumn("run", F.xxhash64(F.array_join(F.slice(w, 2, F.greatest("n", F.lit(0))), " ")))
+    sizes = {r.n: r.c for r in low.groupBy("n").agg(F.count("*").alias("c")).collect()}
     text = docs.select("doc_id", F.lower("text").alias("text")).where("text is not null")
-    w = F.split("text", r"\s+")
-    runs = text.withColumn("w", w).where(F.size("w") >= words).withColumn("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.concat_ws(" ", *(F.get("w", i + j) for j in range(words)))))))
-    found = runs.join(keyed, "run").where(F.contains("text", "item")).select("item_id", "doc_id")
-    return found.unionByName(text.join(short, F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id")).distinct()
+    few = sum(sizes.values()) <= BROADCAST_ITEMS
+    sent = F.broadcast if few else (lambda df: df)
+    parts = []
+    for n in sorted(x for x in sizes if x > 0):
+        v = text.withColumn("w", F.split("text", r"\s+")).where(F.size("w") >= n)
+        hits = v.select("doc_id", "text", F.explode(F.array_distinct(_runs(n))).alias("run"))
+        parts.append(hits.join(sent(low.where(F.col("n") == n).select("item_id", "item", "run")), "run").where(F.contains("text", "item")).select("item_id", "doc_id"))
+    if any(x <= 0 for x in sizes):
+        parts.append(text.join(F.broadcast(low.where("n <= 0").select("item_id", "item")), F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id"))
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else low.join(text, F.lit(False)).select("item_id", "doc_id")

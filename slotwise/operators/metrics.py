@@ -117,14 +117,75 @@ def gates(variants: DataFrame, recall8: Column, least_recall: float = 0.8, most_
     return one.select(F.explode(F.array(*(F.struct(F.lit(i).alias("gate"), F.coalesce(t, F.lit(False)).alias("passed")) for i, t in enumerate(tests, 1)))).alias("g")).select("g.*")
 
 
-def running_best(log: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """The records of each run that beat all before them."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.max(value).over(w)
-    return log.withColumn("__before", before).where(F.col("__before").isNull() | (F.col(value) > F.col("__before"))).drop("__before")
+def running_best(log: DataFrame, key: str, order: list[str], value: str, bucket: Column) -> DataFrame:
+    """The records of each run that beat all before them; bucket must not fall as order rises.
+
+    A run's buckets are few and have their best values compared first; only the rows that beat the best of all buckets
+    before their own are ranked, bucket by bucket, so no task holds a run. Null values are no records and beat nothing.
+    """
+    rows = log.where(F.col(value).isNotNull()).withColumn("__bucket", bucket)
+    best = rows.groupBy(key, "__bucket").agg(F.max(value).alias("__best"))
+    earlier = F.max("__best").over(Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    best = best.select(F.col(key).alias("__key"), F.col("__bucket").alias("__b"), earlier.alias("__floor"))
+    high = rows.join(best, F.col(key).eqNullSafe(F.col("__key")) & F.col("__bucket").eqNullSafe(F.col("__b"))).where(F.col("__floor").isNull() | (F.col(value) > F.col("__floor")))
+    inside = F.max(value).over(Window.partitionBy(key, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return high.withColumn("__before", inside).where(F.col("__before").isNull() | (F.col(value) > F.col("__before"))).select(*log.columns)
 
 
 def learning_rate(step: Column, warmup: int, total: int) -> Column:
     """The factor of a cosine schedule with linear warm-up."""
     along = (step - warmup) / F.lit(float(max(1, total - warmup)))
     return F.when(step < warmup, step / F.lit(float(max(1, warmup)))).otherwise(F.greatest(F.lit(0.0), (F.lit(1.0) + F.cos(F.pi() * along)) * 0.5))
+
+
+def gate_stats(rows: DataFrame) -> DataFrame:
+    """Mean, least and largest gate, mean norms and their mean ratio of rows(gate, memory_norm, residual_norm)."""
+    mean = lambda c: F.round(F.avg(c), 6)
+    ratio = F.col("memory_norm") / F.greatest("residual_norm", F.lit(1e-8))
+    return rows.agg(F.count("*").alias("rows"), mean("gate").alias("gate_mean"), F.round(F.min("gate"), 6).alias("gate_min"), F.round(F.max("gate"), 6).alias("gate_max"), mean("memory_norm").alias("memory_norm"), mean("residual_norm").alias("residual_norm"), mean(ratio).alias("memory_residual_ratio"))
+
+
+def weighted_mean(batches: DataFrame, loss: str, size: str) -> DataFrame:
+    """batches, rows and the mean of the batches' losses weighted by their sizes."""
+    return batches.agg(F.count("*").alias("batches"), F.sum(size).alias("rows"), F.round(F.sum(F.col(loss) * F.col(size)) / F.sum(size), 6).alias("loss"))
+
+
+def mean_of_batch_means(rows: DataFrame, batch: Column, value: str) -> DataFrame:
+    each = rows.groupBy(batch.alias("batch")).agg(F.avg(value).alias("mean"))
+    return each.agg(F.count("*").alias("batches"), F.round(F.avg("mean"), 6).alias("mean"))
+
+
+def parameter_count(parameters: DataFrame) -> DataFrame:
+    """names, tensors and the numbers in them, of parameters(name, tensor, numel): a tensor under several names counts once."""
+    each = parameters.groupBy("tensor").agg(F.max("numel").alias("numel"), F.count("*").alias("names"))
+    return each.agg(F.sum("names").alias("names"), F.count("*").alias("tensors"), F.sum("numel").alias("parameters"))
+
+
+def by_mode(required: DataFrame, ranked: DataFrame, ks: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """Of required(query_id, slot_id) and ranked(mode, query_id, rank, slot_id): the metrics of each mode and k, and why queries of each mode fail."""
+    first = ranked.groupBy("mode", "query_id", "slot_id").agg(F.min("rank").alias("rank"))
+    modes = ranked.select("mode").distinct()
+    wanted = required.select("query_id", "slot_id").distinct().crossJoin(F.broadcast(modes))
+    ranks = F.sort_array(F.collect_list(F.coalesce("rank", F.lit(2**31 - 1))))
+    each = wanted.join(first, ["mode", "query_id", "slot_id"], "left").groupBy("mode", "query_id").agg(ranks.alias("r"))
+    got = lambda k: F.size(F.filter("r", lambda x: x <= k))
+    miss = lambda x: F.when(x <= F.col("k"), x).otherwise(F.col("k") + 1)
+    at = each.select("mode", "query_id", "r", _ks(ks)).withColumn("got", got(F.col("k"))).withColumn("n", F.size("r"))
+    mean = lambda c: F.round(F.avg(c), 6)
+    report = at.groupBy("mode", "k").agg(
+        F.count("*").alias("examples"), mean((F.col("got") > 0).cast("int")).alias("any_required"), mean((F.col("got") == F.col("n")).cast("int")).alias("all_required"), F.round(F.sum("got") / F.sum("n"), 6).alias("coverage"),
+        mean(F.lit(1.0) / miss(F.get("r", F.lit(0)))).alias("mrr"), mean(miss(F.element_at("r", -1))).alias("mean_worst"),
+    )
+    whole = lambda k: got(k) == F.size("r")
+    kind = F.when(whole(8), "none_all_present").when(whole(32), "ranked_too_low").when(whole(64), "ranked_beyond_64").when(got(64) > 0, "missing_required_slot").otherwise("no_required_in_topk")
+    counted = each.groupBy("mode", kind.alias("failure_type")).agg(F.count("*").alias("n"))
+    return report, counted.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("mode")), 6))
+
+
+def staged(rows: DataFrame, epoch: str, lengths: tuple[int, ...]) -> DataFrame:
+    """rows with the curriculum stage of each epoch (from 0): stages last `lengths` epochs, one after the other, the last one for good."""
+    ends = [sum(lengths[: i + 1]) for i in range(len(lengths) - 1)]
+    stage = F.lit(0)
+    for end in ends:
+        stage = stage + F.when(F.col(epoch) >= end, 1).otherwise(0)
+    return rows.withColumn("stage", stage)

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..functions.vectors import cosine, dot
 from .retrieve import RANK_PLACES, ranked_by_score
 
 
-def subscores(queries: DataFrame, codebook: DataFrame, dim: int) -> DataFrame:
-    """query_id, side (1, 2), k and score of each query half against its codebook(side, k, vec); codebooks are small."""
+def clipped(top_k: int, top_a: int, top_b: int, subkeys: int) -> tuple[int, int, int]:
+    """top_k, top_a and top_b, cut to what the address space holds: both sides to the subkeys, top_k to their product."""
+    a, b = min(top_a, subkeys), min(top_b, subkeys)
+    return min(top_k, a * b), a, b
+
+
+def subscores(queries: DataFrame, codebook: DataFrame, dim: int, by_cosine: bool = False) -> DataFrame:
+    """query_id, side (1, 2), k and score (dot product, or cosine) of each query half against its codebook(side, k, vec); codebooks are small."""
     halves = queries.select("query_id", F.explode(F.map_from_arrays(F.array(F.lit(1), F.lit(2)), F.array(F.slice("vec", 1, dim), F.slice("vec", dim + 1, dim)))).alias("side", "half"))
-    return halves.join(F.broadcast(codebook), "side").select("query_id", "side", "k", F.round(dot(F.col("half"), F.col("vec")), RANK_PLACES).alias("score"))
+    return halves.join(F.broadcast(codebook), "side").select("query_id", "side", "k", F.round((cosine if by_cosine else dot)(F.col("half"), F.col("vec")), RANK_PLACES).alias("score"))
 
 
 def best(scores: DataFrame, side: int, n: int) -> DataFrame:
@@ -28,8 +34,8 @@ def candidates(scores: DataFrame, top_a: int, top_b: int, subkeys: int) -> DataF
 
 
 def topk(scores: DataFrame, top_a: int, top_b: int, subkeys: int, k: int) -> DataFrame:
-    if k > top_a * top_b or max(top_a, top_b) > subkeys:
-        raise ValueError("top_k must be at most top_a * top_b, and both at most the number of subkeys")
+    """The k best addresses; parameters beyond the address space are cut to it."""
+    k, top_a, top_b = clipped(k, top_a, top_b, subkeys)
     return ranked_by_score(candidates(scores, top_a, top_b, subkeys), k)
 
 

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, doubles
+from ..functions.text import mix
+from ..functions.vectors import cosine, dot, sigmoid
+from .text import dense_id
 
 BLOCK_SLOTS = 16_384
 BLOCK_QUERIES = 2_048
@@ -16,45 +18,68 @@ RANK_PLACES = 9
 RANKED = "query_id bigint, slot_id bigint, score double"
 
 
-def _block_topk(k: int, metric: str):
+def _products(queries: pd.DataFrame, slots: pd.DataFrame, metric: str) -> np.ndarray:
+    q, s = np.array(queries.vec.tolist(), float), np.array(slots.vec.tolist(), float)
+    score = q @ s.T
+    if metric == "cosine":
+        size = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((s**2).sum(1))[None, :]
+        score = np.divide(score, size, out=np.zeros_like(score), where=size > 0)
+    return np.round(score, RANK_PLACES)
+
+
+def _block_topk(k: int, metric: str, own: bool):
     def run(queries: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or slots.empty:
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "slot_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-        q, s = np.array(queries.vec.tolist(), float), np.array(slots.vec.tolist(), float)
-        score = q @ s.T
-        if metric == "cosine":
-            size = np.sqrt((q**2).sum(1))[:, None] * np.sqrt((s**2).sum(1))[None, :]
-            score = np.divide(score, size, out=np.zeros_like(score), where=size > 0)
-        score, ids = np.round(score, RANK_PLACES), slots.slot_id.to_numpy(np.int64)
-        order = np.argsort(ids, kind="stable")
-        score, ids = score[:, order], ids[order]
+        slots = slots.sort_values("slot_id", kind="stable")
+        score, asked, ids = _products(queries, slots, metric), queries.query_id.to_numpy(np.int64), slots.slot_id.to_numpy(np.int64)
+        if not own:
+            score[asked[:, None] == ids[None, :]] = -np.inf
         pick = np.argsort(-score, 1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(queries.query_id.to_numpy(np.int64), pick.shape[1]), "slot_id": ids[pick].ravel(), "score": np.take_along_axis(score, pick, 1).ravel()})
+        found = pd.DataFrame({"query_id": np.repeat(asked, pick.shape[1]), "slot_id": ids[pick].ravel(), "score": np.take_along_axis(score, pick, 1).ravel()})
+        return found[found.score > -np.inf]
 
     return run
 
 
+def by_blocks(queries: DataFrame, slots: DataFrame, f, schema: str, n_queries: int | None = None) -> DataFrame:
+    """f(queries, slots) of each pair of blocks of bounded size, as pandas frames; every query meets every slot once."""
+    n_slots, n_queries = slots.count(), queries.count() if n_queries is None else n_queries
+    slot_blocks, query_blocks = max(1, -(-n_slots // BLOCK_SLOTS)), max(1, -(-n_queries // BLOCK_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("sb", every(slot_blocks))
+    s = slots.withColumn("sb", F.pmod(F.xxhash64("slot_id"), F.lit(slot_blocks)).cast("int")).withColumn("qb", every(query_blocks))
+    return q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(f, schema)
+
+
 def ranked_by_score(scored: DataFrame, k: int) -> DataFrame:
     """query_id, rank (from 1), slot_id and score of the k best; ties go to the smaller slot."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "slot_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "slot_id", "score")
 
 
-def topk(queries: DataFrame, slots: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """Exact top-k of queries(query_id, vec) among slots(slot_id, vec).
+def topk(queries: DataFrame, slots: DataFrame, k: int, metric: str = "cosine", own: bool = True, n_queries: int | None = None) -> DataFrame:
+    """Exact top-k of queries(query_id, vec) among slots(slot_id, vec); own: whether a query may find its own id; n_queries: their number, where it is known.
 
     Both sides are dealt to blocks of bounded size; each pair of blocks is one task's matrix product and hands on k
     rows a query, so what is shuffled grows with queries x k x blocks and not with queries x slots.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError(f"unknown metric {metric}")
-    n_slots, n_queries = slots.count(), queries.count()
-    slot_blocks, query_blocks = max(1, -(-n_slots // BLOCK_SLOTS)), max(1, -(-n_queries // BLOCK_QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb")).withColumn("sb", every(slot_blocks))
-    s = slots.select("slot_id", "vec", F.pmod(F.xxhash64("slot_id"), F.lit(slot_blocks)).cast("int").alias("sb")).withColumn("qb", every(query_blocks))
-    found = q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(_block_topk(k, metric), RANKED)
-    return ranked_by_score(found, k)
+    return ranked_by_score(by_blocks(queries.select("query_id", "vec"), slots.select("slot_id", "vec"), _block_topk(k, metric, own), RANKED, n_queries), k)
+
+
+def mass(queries: DataFrame, slots: DataFrame, temperature: float, of: str, own: bool = True) -> DataFrame:
+    """Of each query(query_id, vec): how many slots it meets, and the sum of softplus or exp of cosine / temperature over them, without writing pairs."""
+
+    def run(asked: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        z = _products(asked, kept, "cosine") / temperature if len(asked) and len(kept) else np.zeros((len(asked), len(kept)))
+        on = np.ones(z.shape, bool) if own else asked.query_id.to_numpy()[:, None] != kept.slot_id.to_numpy()[None, :]
+        each = np.exp(z) if of == "exp" else np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z)))
+        return pd.DataFrame({"query_id": asked.query_id, "n": on.sum(1), "mass": np.where(on, each, 0.0).sum(1)})
+
+    each = by_blocks(queries.select("query_id", "vec"), slots.select("slot_id", "vec"), run, "query_id bigint, n bigint, mass double")
+    return each.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
 
 
 def topk_sql(queries: DataFrame, slots: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
@@ -101,5 +126,40 @@ def compare(one: DataFrame, two: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     return same.join(at.groupBy("k").agg(F.round(F.corr("x", "y"), 6).alias("correlation")), "k")
 
 
-def dense(vectors: DataFrame, id_col: str, name: str) -> DataFrame:
-    return vectors.select(F.col(id_col).alias(name), doubles(F.col("embedding")).alias("vec"))
+def iterate(queries: DataFrame, slots: DataFrame, k: int, hops: int, forced: DataFrame | None = None, own: bool = True) -> DataFrame:
+    """query_id, rank and slot_id of the lists of several hops, one after the other, each slot at its first place.
+
+    The first hop asks with the query itself, each later one with the sum of the query and the slot that the hop before
+    found first, or, with forced(query_id, pos, slot_id), the required slot of that place; queries without one ask
+    with themselves again.
+    """
+    n, asked, found = queries.count(), queries, None
+    for hop in range(1, hops + 1):
+        ranked = topk(asked, slots, k, own=own, n_queries=n)
+        step = ranked.select("query_id", "slot_id", F.struct(F.lit(hop).alias("hop"), "rank").alias("at"))
+        found = step if found is None else found.unionByName(step)
+        lead = ranked.where("rank = 1").select("query_id", "slot_id") if forced is None else forced.where(F.col("pos") == hop).select("query_id", "slot_id")
+        lead = lead.join(slots.select("slot_id", F.col("vec").alias("more")), "slot_id").select("query_id", "more")
+        asked = queries.join(lead, "query_id", "left").select("query_id", F.coalesce(F.zip_with("vec", "more", lambda x, y: x + y), "vec").alias("vec"))
+    first = found.groupBy("query_id", "slot_id").agg(F.min("at").alias("at"))
+    return first.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "slot_id")).alias("rank"), "slot_id")
+
+
+def random_slots(queries: DataFrame, slots: DataFrame, m: int, seed: int) -> DataFrame:
+    """query_id, pos and slot_id: m live slots for each query, drawn with replacement by a fixed mix; a placebo for retrieval."""
+    live = slots.where("live and slot_id is not null").select("slot_id").distinct()
+    placed = dense_id(live, F.col("slot_id"), F.floor(F.col("slot_id") / 4096), "nth")
+    drawn = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(m))).alias("pos"))
+    drawn = drawn.withColumn("nth", F.pmod(mix(F.col("query_id"), F.col("pos"), seed), F.lit(max(live.count(), 1))).cast("int"))
+    return drawn.join(placed, "nth").select("query_id", "pos", "slot_id")
+
+
+def pair_scores(anchors: DataFrame, slots: DataFrame, edges: DataFrame, weights: list[float], bias: float) -> DataFrame:
+    """src, dst and weight of edges(src, dst): a pair scorer of one hidden layer over the two vectors' product, difference and sum."""
+    one, two = anchors.select(F.col("slot_id").alias("src"), F.col("vec").alias("a")), slots.select(F.col("slot_id").alias("dst"), F.col("vec").alias("b"))
+    total = lambda f: F.aggregate(F.zip_with("a", "b", f), F.lit(0.0), lambda s, x: s + x)
+    parts = (total(lambda x, y: x * y), total(lambda x, y: F.abs(x - y)), total(lambda x, y: x + y))
+    z = F.lit(bias)
+    for w, part in zip(weights, parts, strict=True):
+        z = z + F.greatest(part, F.lit(0.0)) * w
+    return edges.select("src", "dst").distinct().join(one, "src").join(two, "dst").select("src", "dst", F.round(sigmoid(z), RANK_PLACES).alias("weight"))

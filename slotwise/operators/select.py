@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mix
 from ..functions.vectors import sigmoid
+from .text import dense_id
 
 MODES = ("uniform_mean", "top1", "top3", "fixed_top_n", "fixed_top_by_hop", "score_threshold_absolute", "score_threshold_relative", "softmax_mass", "score_gap", "score_weighted_softmax", "score_weighted_top3", "oracle_filter")
 DEFAULTS = {"n": 5, "threshold": 0.3, "delta": 0.05, "mass": 0.9, "temperature": 0.1, "gap": 0.02}
@@ -100,15 +101,17 @@ def learned(found: DataFrame, weights: dict[str, float], top_n: int | None = Non
 def noisy(required: DataFrame, slots: DataFrame, n: int, score: float, seed: int, k: int) -> DataFrame:
     """query_id, pos, slot_id, score and is_required: the required slots (score 1), then n different live others in a fixed mixed order, cut to k.
 
-    Each query draws from a window of the slots' own mixed order, so queries are not paired with all slots.
+    Each query draws from a window of the slots' own mixed order, as long as n and its required slots together, so no
+    query is paired with all slots and none is left short while there are others. Places in the order are dense ids,
+    numbered in buckets of the mixed key. Null query or slot ids take no part.
     """
-    live = slots.where("live").select("slot_id")
-    order = Window.partitionBy("part").orderBy(mix(F.col("slot_id"), seed), "slot_id")
-    placed = live.withColumn("part", F.lit(0)).withColumn("nth", F.row_number().over(order) - 1).drop("part")
-    total = placed.count()
-    most = n + 8
-    asked = required.select("query_id").distinct().withColumn("start", F.pmod(mix(F.col("query_id"), seed + 1), F.lit(max(total, 1))))
-    tries = asked.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(min(most, max(total, 1)) - 1)))).withColumn("nth", F.pmod(F.col("start") + F.col("try"), F.lit(max(total, 1))).cast("int"))
+    mixed = mix(F.col("slot_id"), seed)
+    live = slots.where("live and slot_id is not null").select("slot_id").distinct()
+    placed = dense_id(live, F.struct(mixed, "slot_id"), F.floor(mixed / 2**17), "nth")
+    total = max(live.count(), 1)
+    asked = required.groupBy("query_id").agg(F.count_distinct("slot_id").alias("own")).withColumn("start", F.pmod(mix(F.col("query_id"), seed + 1), F.lit(total)))
+    tries = asked.withColumn("try", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(total), F.col("own") + n) - 1)))
+    tries = tries.withColumn("nth", F.pmod(F.col("start") + F.col("try"), F.lit(total)).cast("int"))
     drawn = tries.join(placed, "nth").join(required.select("query_id", "slot_id"), ["query_id", "slot_id"], "left_anti")
     drawn = drawn.withColumn("d", F.row_number().over(_q().orderBy("try"))).where(F.col("d") <= n)
     own = required.select("query_id", F.lit(0).alias("part"), F.col("pos").alias("at"), "slot_id", F.lit(1.0).alias("score"), F.lit(True).alias("is_required"))
@@ -116,6 +119,13 @@ def noisy(required: DataFrame, slots: DataFrame, n: int, score: float, seed: int
     return rows.withColumn("pos", F.row_number().over(_q().orderBy("part", "at"))).where(F.col("pos") <= k).select("query_id", "pos", "slot_id", "score", "is_required")
 
 
+def padded(rows: DataFrame, k: int) -> DataFrame:
+    """rows(query_id, pos, slot_id, score, is_required) with positions up to k for every query; those without a slot have -1 and minus infinity."""
+    every = rows.select("query_id").distinct().withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    whole = every.join(rows.where(F.col("pos") <= k), ["query_id", "pos"], "left")
+    return whole.select("query_id", "pos", F.coalesce("slot_id", F.lit(-1)).alias("slot_id"), F.coalesce("score", F.lit(float("-inf"))).alias("score"), F.coalesce("is_required", F.lit(False)).alias("is_required"))
+
+
 def sharing_negatives(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
     """Of each row of a unique key as positive: count, least key and key sum of the other rows that share a value of names.
 
@@ -139,3 +149,40 @@ def sharing_negatives(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
     shares = reduce(lambda a, b: a | b, (F.col(x).isNotNull() for x in names))
     least = F.least(*firsts) if len(firsts) > 1 else firsts[0]
     return found.where(shares).select(k.alias("positive"), (plus(counts) - 1).alias("negatives"), least.alias("first_negative"), (plus(sums) - k).alias("sum_negative")).where("negatives > 0")
+
+
+def structured_negatives(required: DataFrame, slots: DataFrame, key: str, attributes: list[str], per_positive: int, hard_share: float, seed: int) -> DataFrame:
+    """query_id, slot_id, positive and hard: each query's required slots and `per_positive` negatives for each of them.
+
+    A slot that shares an attribute with a required one is a hard candidate, whichever attribute matches first;
+    `hard_share` of the negatives are such, or as many as there are, and the rest are any other slots. Candidates are
+    drawn from windows of each attribute value's mixed order, as long as what is wanted and the required slots
+    together: a value that many slots share costs no more, and a query gets all it can. slots(key, attributes) are live.
+    """
+    req = required.select("query_id", "slot_id").distinct()
+    sizes = req.groupBy("query_id").agg(F.count("*").alias("own")).withColumn("total", F.col("own") * per_positive).withColumn("want", F.floor(F.col("total") * hard_share))
+
+    def window(asked: DataFrame, placed: DataFrame, most: Column, turn: int) -> DataFrame:
+        """(query_id, try, slot_id) of asked(query_id, first, size, own, ...) from the dense ids first..first+size-1 of placed."""
+        start = mix(F.col("query_id"), seed + turn)
+        tries = asked.withColumn("try", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("size"), most) - 1)))
+        return tries.withColumn("nth", (F.col("first") + F.pmod(start + F.col("try"), F.col("size"))).cast("int")).join(placed, "nth").select("query_id", "try", "slot_id")
+
+    mixed, found = mix(F.col("slot_id"), seed), None
+    for name in attributes:
+        some = slots.select(F.col(key).alias("slot_id"), F.col(name).alias("v")).where("v is not null")
+        placed = dense_id(some, F.struct("v", mixed, "slot_id"), F.struct("v", F.floor(mixed / 2**24)), "nth")
+        groups = placed.groupBy("v").agg(F.min("nth").cast("bigint").alias("first"), F.count("*").alias("size"))
+        asked = req.join(some, "slot_id").select("query_id", "v").distinct().join(groups, "v").join(sizes, "query_id")
+        rows = window(asked, placed.select("nth", "slot_id"), F.col("want") + F.col("own"), 1).select("query_id", "slot_id")
+        found = rows if found is None else found.unionByName(rows)
+    order = F.row_number().over(_q().orderBy(mix(F.col("query_id"), F.col("slot_id"), seed + 2), "slot_id"))
+    hard = found.distinct().join(req, ["query_id", "slot_id"], "left_anti").withColumn("nth", order).join(sizes, "query_id").where("nth <= want").select("query_id", "slot_id")
+    counts = sizes.join(hard.groupBy("query_id").agg(F.count("*").alias("n_hard")), "query_id", "left").withColumn("n_hard", F.coalesce("n_hard", F.lit(0)))
+    every = mix(F.col("slot_id"), seed + 3)
+    placed = dense_id(slots.select(F.col(key).alias("slot_id")), F.struct(every, "slot_id"), F.floor(every / 2**17), "nth")
+    asked = counts.withColumn("first", F.lit(0).cast("bigint")).withColumn("size", F.lit(max(slots.count(), 1)))
+    rest = window(asked, placed, F.col("total") + F.col("own"), 4).join(req, ["query_id", "slot_id"], "left_anti").join(hard, ["query_id", "slot_id"], "left_anti")
+    rest = rest.withColumn("nth", F.row_number().over(_q().orderBy("try"))).join(counts, "query_id").where(F.col("nth") <= F.col("total") - F.col("n_hard"))
+    mark = lambda df, positive, is_hard: df.select("query_id", "slot_id", F.lit(positive).alias("positive"), F.lit(is_hard).alias("hard"))
+    return mark(req, True, False).unionByName(mark(hard, False, True)).unionByName(mark(rest, False, False))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.text import ANS, BOS, EOS, FACT, SPECIALS, UNK, padded, tokens
+from ..functions.text import ANS, BOS, EOS, FACT, SPECIALS, TOKEN_PATTERN, UNK, padded, tokens
 from ..functions.text import Q as QUESTION
 
 
@@ -34,20 +39,63 @@ def token_rows(texts: DataFrame, keys: list[str], text_col: str = "text") -> Dat
     return texts.select(*keys, F.posexplode(tokens(F.col(text_col))).alias("pos", "token"))
 
 
-def encode(texts: DataFrame, vocab: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """keys and ids (array<int>) of each text; unknown tokens have the unknown id. Keys must tell rows apart."""
-    known = vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id"))
-    words = texts.select(*keys, F.posexplode(tokens(F.col(text_col))).alias("__pos", "__token"))
-    rows = words.join(known, "__token", "left").withColumn("__id", F.coalesce("__id", F.lit(UNK)))
+#: Vocabulary rows up to which every worker holds them (some 100 bytes each); beyond, tokens are joined by shuffling.
+BROADCAST_TOKENS = 500_000
+_ASCII = re.compile(TOKEN_PATTERN)
+
+
+def _coded(batches: Iterator[pa.RecordBatch], at: int, one, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """The batches, in parts of bounded text, with column `at` replaced by one() of each value."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            yield pa.RecordBatch.from_arrays([pa.array(map(one, c.to_pylist()), kind) if i == at else c for i, c in enumerate(part.columns)], names=part.schema.names)
+
+
+def _small(vocab: DataFrame, most: int) -> list | None:
+    """The vocabulary's rows, if they are no more than most."""
+    rows = vocab.select("token", "id").limit(most + 1).toArrow()
+    return None if rows.num_rows > most else list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
+
+
+def encode(texts: DataFrame, vocab: DataFrame, keys: list[str], text_col: str = "text", most: int = BROADCAST_TOKENS) -> DataFrame:
+    """keys and ids (array<int>) of each text; unknown tokens have the unknown id.
+
+    Up to `most` vocabulary rows are broadcast and each text is looked up where it stands; a larger vocabulary is
+    joined with one row for each different token of a text, and then keys must tell rows apart.
+    """
+    known = _small(vocab, most)
+    if known is not None:
+        shared = texts.sparkSession.sparkContext.broadcast(dict(known))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            get = shared.value.get
+            yield from _coded(batches, len(keys), lambda t: [get(x, UNK) for x in _ASCII.findall(t)] if t else [], pa.list_(pa.int32()))
+
+        rows = texts.select(*keys, F.col(text_col).alias("ids"))
+        return rows.mapInArrow(run, StructType([*(rows.schema[k] for k in keys), StructField("ids", ArrayType(IntegerType()))]))
+    listed = vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id"))
+    words = texts.select(*keys, F.posexplode(tokens(F.col(text_col))).alias("__pos", "__token")).groupBy(*keys, "__token").agg(F.collect_list("__pos").alias("__at"))
+    rows = words.join(listed, "__token", "left").select(*keys, F.coalesce("__id", F.lit(UNK)).alias("__id"), F.explode("__at").alias("__pos"))
     lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pos", "__id"))).alias("__p"))
     found = texts.select(*keys).join(lists, keys, "left")
     return found.select(*keys, F.coalesce(F.transform("__p", lambda x: x["__id"]), F.array().cast("array<int>")).alias("ids"))
 
 
-def decode(encoded: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and the tokens of each row's ids, without padding, begin and end marks."""
-    known = vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id")).where(~F.col("token").isin(*SPECIALS[:3]))
-    words = encoded.select(*keys, F.posexplode("ids").alias("__pos", "__id")).join(known, "__id")
+def decode(encoded: DataFrame, vocab: DataFrame, keys: list[str], most: int = BROADCAST_TOKENS) -> DataFrame:
+    """keys and the tokens of each row's ids, without padding, begin and end marks; ids that the vocabulary lacks are left out."""
+    known = _small(vocab, most)
+    if known is not None:
+        shared = encoded.sparkSession.sparkContext.broadcast({i: t for t, i in known if t not in SPECIALS[:3]})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            spelled = shared.value
+            yield from _coded(batches, len(keys), lambda ids: " ".join([spelled[i] for i in ids if i in spelled]) if ids else None, pa.string())
+
+        rows = encoded.select(*keys, F.col("ids").alias("text"))
+        return rows.mapInArrow(run, StructType([*(rows.schema[k] for k in keys), StructField("text", StringType())]))
+    listed = vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id")).where(~F.col("token").isin(*SPECIALS[:3]))
+    words = encoded.select(*keys, F.posexplode("ids").alias("__pos", "__id")).join(listed, "__id")
     lists = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pos", "__token"))).alias("__p"))
     return encoded.select(*keys).join(lists, keys, "left").select(*keys, F.array_join(F.transform("__p", lambda x: x["__token"]), " ").alias("text"))
 
@@ -56,19 +104,23 @@ def _ints(*values: int) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
-def qa_sequence(question: Column, answer: Column, longest: int, facts: Column | None = None) -> Column:
-    """struct(ids, prompt_len): the prompt, its answer and the end mark, cut to `longest`; facts: array of id arrays for an open book."""
+def _cut(ids: Column, longest: int | None) -> Column:
+    return ids if longest is None else F.slice(ids, 1, longest)
+
+
+def qa_sequence(question: Column, answer: Column, longest: int | None = None, facts: Column | None = None) -> Column:
+    """struct(ids, prompt_len): the prompt, its answer and the end mark, cut to `longest` if given; facts: array of id arrays for an open book."""
     if facts is None:
         prompt = F.concat(_ints(BOS), question, _ints(ANS))
     else:
         prompt = F.concat(_ints(BOS), F.flatten(F.transform(facts, lambda f: F.concat(_ints(FACT), f))), _ints(QUESTION), question, _ints(ANS))
-    full = F.slice(F.concat(prompt, answer, _ints(EOS)), 1, longest)
+    full = _cut(F.concat(prompt, answer, _ints(EOS)), longest)
     return F.struct(full.alias("ids"), F.least(F.size(prompt), F.size(full)).alias("prompt_len"))
 
 
-def fact_sequence(fact: Column, longest: int) -> Column:
+def fact_sequence(fact: Column, longest: int | None = None) -> Column:
     """struct(ids, prompt_len) of one fact; only the begin mark is prompt."""
-    return F.struct(F.slice(F.concat(_ints(BOS, FACT), fact, _ints(EOS)), 1, longest).alias("ids"), F.lit(1).alias("prompt_len"))
+    return F.struct(_cut(F.concat(_ints(BOS, FACT), fact, _ints(EOS)), longest).alias("ids"), F.lit(1).alias("prompt_len"))
 
 
 def pad_batches(examples: DataFrame, order: Column, bucket: Column, size: int) -> DataFrame:
@@ -78,7 +130,14 @@ def pad_batches(examples: DataFrame, order: Column, bucket: Column, size: int) -
     return numbered.withColumn("width", width).withColumn("padded", padded(F.col("ids"), F.col("width")))
 
 
-def mix_in_facts(questions: DataFrame, facts: DataFrame, rate: float, order: str) -> DataFrame:
-    """questions, then so many facts in order that they are `rate` of all rows, or as many as there are."""
+def collate(batches: DataFrame) -> DataFrame:
+    """pad_batches() rows with the mask that marks what is no padding, and required slot ids padded with -1 to the batch's most."""
+    most = F.max(F.size("required")).over(Window.partitionBy("batch_id"))
+    mask = F.concat(F.array_repeat(F.lit(1), F.size("ids")), F.array_repeat(F.lit(0), F.col("width") - F.size("ids")))
+    return batches.withColumn("__most", most).select(*batches.columns, mask.alias("mask"), F.concat("required", F.array_repeat(F.lit(-1), F.col("__most") - F.size("required"))).alias("required_padded"))
+
+
+def mix_in_facts(questions: DataFrame, facts: DataFrame, rate: float, dense: str) -> DataFrame:
+    """questions, then so many facts that they are `rate` of all rows, or as many as there are; `dense`: the facts' ids, 0 and on."""
     wanted = int(questions.count() * rate / (1 - rate))
-    return questions.unionByName(facts.orderBy(order).limit(wanted))
+    return questions.unionByName(facts.where(F.col(dense) < wanted))

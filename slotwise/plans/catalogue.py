@@ -18,8 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 KS = (1, 3, 8, 16, 32, 64)
 DIM, SUBKEYS, TOP = 32, 32, 8
-LONGEST, BATCH = 64, 8
-UNCUT = 2**31 - 1
+BATCH = 8
 
 
 def query(f: Query) -> Query:
@@ -64,15 +63,15 @@ def unk_rate(spark, d):
     return rows.groupBy("lang").agg(F.count("*").alias("n_tokens"), F.count_if(F.col("known").isNull()).alias("n_unk"), F.round(F.avg(F.col("known").isNull().cast("int")), 6).alias("unk_rate"))
 
 
-def _prompts(spark, d, longest: int = LONGEST):
-    """Question and answer sequences of each user turn that an assistant turn follows, cut to `longest` ids."""
+def _prompts(spark, d):
+    """Question and answer sequences, whole, of each user turn that an assistant turn follows."""
     turns = table(spark, d, "conversations")
     vocab = texts.build_vocab(turns)
     order = Window.partitionBy("conv_id").orderBy("turn")
     asked = turns.withColumn("next_role", F.lead("role").over(order)).withColumn("next_text", F.lead("text").over(order)).where("role = 'user' and next_role = 'assistant'")
     question = texts.encode(asked.select("conv_id", "turn", "text"), vocab, ["conv_id", "turn"]).withColumnRenamed("ids", "question")
     answer = texts.encode(asked.select("conv_id", "turn", F.col("next_text").alias("text")), vocab, ["conv_id", "turn"]).withColumnRenamed("ids", "answer")
-    seq = texts.qa_sequence(F.col("question"), F.col("answer"), longest)
+    seq = texts.qa_sequence(F.col("question"), F.col("answer"))
     return question.join(answer, ["conv_id", "turn"]).select("conv_id", "turn", seq.alias("s")).select("conv_id", "turn", "s.*")
 
 
@@ -92,7 +91,6 @@ def _batched(prompts: DataFrame) -> DataFrame:
 
 for _name, _shape in (("prompt_assembly", _assembled), ("label_mask", _masked), ("batch_pad", _batched)):
     QUERIES[_name] = lambda spark, d, shape=_shape: shape(_prompts(spark, d))
-    QUERIES[f"{_name}_whole"] = lambda spark, d, shape=_shape: shape(_prompts(spark, d, UNCUT))
 
 
 # --- facts and chains -----------------------------------------------------------------------------------------------
@@ -119,7 +117,7 @@ def kb_value_tokens(spark, d):
 
 def _slots(spark, d):
     """Slots of the vector tables: those with an id of 3 modulo 7 are dead."""
-    return table(spark, d, "embeddings").where("vec_id % 10 <> 0").select(F.col("vec_id").alias("slot_id"), F.when(F.col("vec_id") % 7 != 3, F.col("label")).alias("value_token"), "label")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("slot_id"), F.when(F.col("vec_id") % 7 != 3, F.col("label")).alias("value_token"), "label")
 
 
 @query
@@ -134,7 +132,8 @@ def slot_contiguity(spark, d):
 
 @query
 def missing_slots(spark, d):
-    return kb.missing(table(spark, d, "lineitem").select("l_partkey"), table(spark, d, "part").where("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
+    """Customers that the events do not have."""
+    return kb.missing(table(spark, d, "customer").select("c_custkey"), table(spark, d, "events").select(F.col("user_id").alias("c_custkey")), "c_custkey")
 
 
 @query
@@ -220,14 +219,14 @@ def _vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", doubles(F.col("embedding")).alias("vec"), "label")
 
 
-def _query_vecs(spark, d, first: int = 0):
-    vec = F.slice("vec", 1, first) if first else F.col("vec")
+def _query_vecs(spark, d, first: int = 0, start: int = 1):
+    vec = F.slice("vec", start, first) if first else F.col("vec")
     return _vectors(spark, d).where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), vec.alias("vec"))
 
 
-def _slot_vecs(spark, d, first: int = 0):
-    vec = F.slice("vec", 1, first) if first else F.col("vec")
-    return _vectors(spark, d).where("vec_id % 10 <> 0").select(F.col("vec_id").alias("slot_id"), vec.alias("vec"))
+def _slot_vecs(spark, d, first: int = 0, start: int = 1):
+    vec = F.slice("vec", start, first) if first else F.col("vec")
+    return _vectors(spark, d).select(F.col("vec_id").alias("slot_id"), vec.alias("vec"))
 
 
 def _meta(spark, d):
@@ -235,12 +234,13 @@ def _meta(spark, d):
 
 
 def _ranked(spark, d, k=64, metric="cosine"):
-    return retrieve.topk(_query_vecs(spark, d), _slot_vecs(spark, d), k, metric)
+    """The stated queries against all vectors but their own."""
+    return retrieve.topk(_query_vecs(spark, d), _slot_vecs(spark, d), k, metric, own=False)
 
 
 def _required(spark, d):
     """The teacher's best slots over the first half of the dimensions, as many as the query has hops."""
-    best = retrieve.topk(_query_vecs(spark, d, DIM), _slot_vecs(spark, d, DIM), 3)
+    best = retrieve.topk(_query_vecs(spark, d, DIM), _slot_vecs(spark, d, DIM), 3, own=False)
     return best.join(_meta(spark, d), "query_id").where("rank <= hops").select("query_id", F.col("rank").alias("pos"), "slot_id", "hops")
 
 
@@ -250,11 +250,6 @@ def _shown(ranked: DataFrame) -> DataFrame:
 
 @query
 def cosine_topk(spark, d):
-    return _shown(retrieve.topk_sql(_query_vecs(spark, d), _slot_vecs(spark, d), 8))
-
-
-@query
-def cosine_topk_arrow(spark, d):
     return _shown(_ranked(spark, d, 8))
 
 
@@ -341,7 +336,7 @@ def multi_query_union(spark, d):
     found = None
     for f in keep:
         form = _query_vecs(spark, d).withColumn("vec", _masked(f))
-        ranked = retrieve.topk(form, _slot_vecs(spark, d), 8)
+        ranked = retrieve.topk(form, _slot_vecs(spark, d), 8, own=False)
         found = ranked if found is None else found.unionByName(ranked)
     return _shown(retrieve.union_queries(found, 16))
 
@@ -532,18 +527,6 @@ def pos_pairs(spark, d):
 
 @query
 def hard_negatives(spark, d):
-    """Parts that share a brand, type or size with a wanted part (key of 0 modulo 50); one equi-join for each attribute."""
-    part = table(spark, d, "part")
-    out = None
-    for name in ("p_brand", "p_type", "p_size"):
-        want = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("positive"), F.col(name).alias("v"))
-        rows = want.join(part.select(F.col("p_partkey").alias("negative"), F.col(name).alias("v")), "v").where("negative % 50 <> 0").select("positive", "negative")
-        out = rows if out is None else out.unionByName(rows)
-    return out.distinct().groupBy("positive").agg(F.count("*").alias("negatives"), F.min("negative").alias("first_negative"), F.sum("negative").alias("sum_negative"))
-
-
-@query
-def hard_negatives_all(spark, d):
     """Every part as positive, against all other parts that share a brand, type or size with it."""
     return select.sharing_negatives(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type", "p_size"])
 
@@ -556,9 +539,10 @@ def _scores(spark, d):
 
 @query
 def loss_contrastive(spark, d):
-    batch = _vectors(spark, d).where("vec_id % 10 = 0").select(F.col("vec_id").alias("a"), F.col("vec").alias("va"), F.col("label").alias("la"))
-    other = batch.select(F.col("a").alias("b"), F.col("va").alias("vb"), F.col("la").alias("lb"), F.floor(F.col("a") / 320).alias("batch"))
-    pairs = batch.withColumn("batch", F.floor(F.col("a") / 320)).join(other, "batch").where("a <> b")
+    """All vectors, in batches of 32 neighbouring ids."""
+    batch = _vectors(spark, d).select(F.col("vec_id").alias("a"), F.col("vec").alias("va"), F.col("label").alias("la"), F.floor(F.col("vec_id") / 32).alias("batch"))
+    other = batch.select(F.col("a").alias("b"), F.col("va").alias("vb"), F.col("la").alias("lb"), "batch")
+    pairs = batch.join(other, "batch").where("a <> b")
     return losses.contrastive(pairs.select("a", "b", (F.col("la") == F.col("lb")).alias("same"), F.round(cosine(F.col("va"), F.col("vb")), 9).alias("sim")), 0.07)
 
 
@@ -569,7 +553,8 @@ def loss_infonce(spark, d):
 
 @query
 def loss_bce(spark, d):
-    return losses.weighted_bce(_scores(spark, d), 5.0, 0.07)
+    """Over every slot, not only the ranked ones."""
+    return losses.bce_over_all(_query_vecs(spark, d), _slot_vecs(spark, d), _required(spark, d), 5.0, 0.07, own=False)
 
 
 @query
@@ -584,8 +569,8 @@ def loss_subkey(spark, d):
 
 @query
 def metrics_running_best(spark, d):
-    log = table(spark, d, "events").select("event_id", "event_type", "ts", F.round("value", 6).alias("value")).where("value is not null")
-    return metrics.running_best(log, "event_type", ["ts", "event_id"], "value").select("event_type", "event_id", "value")
+    log = table(spark, d, "events").select("event_id", "event_type", "ts", F.round("value", 6).alias("value"))
+    return metrics.running_best(log, "event_type", ["ts", "event_id"], "value", F.date_trunc("hour", "ts")).select("event_type", "event_id", "value")
 
 
 @query

@@ -33,7 +33,7 @@ def _vocab(source: str) -> str:
 
 def _cosines(dims: str) -> str:
     return f"""select query_id, slot_id, hops, round(list_inner_product(q.v{dims}, s.v{dims}) / (sqrt(list_inner_product(q.v{dims}, q.v{dims})) * sqrt(list_inner_product(s.v{dims}, s.v{dims}))), 9) as score
-      from qv q, sv s"""
+      from qv q, sv s where query_id <> slot_id"""
 
 
 def _rank(source: str, by: str = "score") -> str:
@@ -47,10 +47,10 @@ FRAGMENTS = {
     # vectors
     "vec": "select vec_id, cast(embedding as double[]) as v, label from embeddings",
     "qv": "select vec_id as query_id, v, cast((vec_id // 10) % 3 + 1 as integer) as hops from vec where vec_id % 10 = 0",
-    "sv": "select vec_id as slot_id, v, label from vec where vec_id % 10 <> 0",
+    "sv": "select vec_id as slot_id, v, label from vec",
     "cosines": _cosines(""),
     "ranked": _rank("cosines"),
-    "dots": "select query_id, slot_id, round(list_inner_product(q.v, s.v), 9) as score from qv q, sv s",
+    "dots": "select query_id, slot_id, round(list_inner_product(q.v, s.v), 9) as score from qv q, sv s where query_id <> slot_id",
     "ranked_dot": _rank("dots"),
     "halves": _cosines("[1:32]"),
     "teacher": "select query_id, slot_id, hops, score, cast(row_number() over (partition by query_id order by score desc, slot_id) as integer) as pos from halves",
@@ -100,9 +100,7 @@ FRAGMENTS = {
         select t.conv_id, t.turn, t.part, t.pos, v.id from (
           select conv_id, turn, 1 as part, generate_subscripts({_tokens('text')}, 1) as pos, unnest({_tokens('text')}) as token from turns
           union all select conv_id, turn, 2, generate_subscripts({_tokens('next_text')}, 1), unnest({_tokens('next_text')}) from turns) t join conv_vocab v using (token)) group by all""",
-    "prompts": """select t.conv_id, t.turn, list_concat([1], coalesce(q.ids, []), [3], coalesce(a.ids, []), [2])[1:64] as ids, least(2 + coalesce(len(q.ids), 0), 64) as prompt_len
-      from turns t left join turn_ids q on q.conv_id = t.conv_id and q.turn = t.turn and q.part = 1 left join turn_ids a on a.conv_id = t.conv_id and a.turn = t.turn and a.part = 2""",
-    "prompts_whole": """select t.conv_id, t.turn, list_concat([1], coalesce(q.ids, []), [3], coalesce(a.ids, []), [2]) as ids, 2 + coalesce(len(q.ids), 0) as prompt_len
+    "prompts": """select t.conv_id, t.turn, list_concat([1], coalesce(q.ids, []), [3], coalesce(a.ids, []), [2]) as ids, 2 + coalesce(len(q.ids), 0) as prompt_len
       from turns t left join turn_ids q on q.conv_id = t.conv_id and q.turn = t.turn and q.part = 1 left join turn_ids a on a.conv_id = t.conv_id and a.turn = t.turn and a.part = 2""",
     # metrics
     "counts": f"""select q.query_id, q.hops, k, count(n.slot_id) as n_required, count(n.slot_id) filter (r.rank <= k) as n_found
@@ -193,7 +191,7 @@ def _selection(mode: str) -> str:
 
 def _drawn(n: int, seed: int) -> str:
     return f"""select query_id, slot_id, row_number() over (partition by query_id order by try) as nth from (
-        select q.query_id, p.slot_id, t.try from qv q cross join (select unnest(range(0, {n + 8})) as try) t
+        select q.query_id, p.slot_id, t.try from qv q cross join (select unnest(range(0, {n} + (select max(c) from (select count(*) as c from required group by query_id)))) as try) t
         join (select slot_id, row_number() over (order by {_mix('slot_id', seed)}, slot_id) - 1 as place, count(*) over () as total from sv where slot_id % 7 <> 3) p
           on p.place = (({_mix('q.query_id', seed + 1)}) % p.total + t.try) % p.total
         where t.try < p.total and not exists (select 1 from required n where n.query_id = q.query_id and n.slot_id = p.slot_id))"""
@@ -221,17 +219,12 @@ ORACLE_SQL: dict[str, str] = {
     "batch_pad": sql("""select conv_id, turn, cast(example_id as integer) as example_id, cast(batch_id as integer) as batch_id, cast(width as integer) as width,
         array_to_string(list_concat(ids, list_transform(range(0, width - len(ids)), lambda x: 0)), ',') as padded, cast(width - len(ids) as integer) as n_pad
       from (select *, max(len(ids)) over (partition by batch_id) as width from (select *, example_id // 8 as batch_id from (select *, row_number() over (order by conv_id, turn) - 1 as example_id from prompts)))"""),
-    "prompt_assembly_whole": sql("select conv_id, turn, cast(len(ids) as integer) as seq_len, cast(prompt_len as integer) as prompt_len, array_to_string(ids, ',') as ids from prompts_whole"),
-    "label_mask_whole": sql("select conv_id, turn, array_to_string(list_concat(list_transform(range(0, prompt_len), lambda x: -100), ids[prompt_len + 1:]), ',') as labels, cast(prompt_len as integer) as n_masked from prompts_whole"),
-    "batch_pad_whole": sql("""select conv_id, turn, cast(example_id as integer) as example_id, cast(batch_id as integer) as batch_id, cast(width as integer) as width,
-        array_to_string(list_concat(ids, list_transform(range(0, width - len(ids)), lambda x: 0)), ',') as padded, cast(width - len(ids) as integer) as n_pad
-      from (select *, max(len(ids)) over (partition by batch_id) as width from (select *, example_id // 8 as batch_id from (select *, row_number() over (order by conv_id, turn) - 1 as example_id from prompts_whole)))"""),
     "kb_dedup": sql("select * from kb"),
     "slot_id_codec": sql("select slot_id, 'slot_' || lpad(cast(slot_id as varchar), cast(greatest(6, length(cast(slot_id as varchar))) as integer), '0') as slot_name, slot_id as back from kb"),
     "kb_value_tokens": sql(f"select slot_id, token, coalesce(id, 6) as value_token from (select slot_id, coalesce({_tokens('embedding_target')}[1], '<unk>') as token from kb) left join kb_vocab using (token)"),
-    "live_dead_stats": "select count(*) as total, count(*) filter (vec_id % 7 <> 3) as live, count(*) filter (vec_id % 7 = 3) as dead, round(avg(case when vec_id % 7 <> 3 then 1 else 0 end), 6) as live_ratio from embeddings where vec_id % 10 <> 0",
+    "live_dead_stats": "select count(*) as total, count(*) filter (vec_id % 7 <> 3) as live, count(*) filter (vec_id % 7 = 3) as dead, round(avg(case when vec_id % 7 <> 3 then 1 else 0 end), 6) as live_ratio from embeddings",
     "slot_contiguity": sql("select cast(min(slot_id) as bigint) as lowest, cast(max(slot_id) as bigint) as highest, count(distinct slot_id) as slots, min(slot_id) = 0 and max(slot_id) = count(distinct slot_id) - 1 as contiguous from kb"),
-    "missing_slots": "select l_partkey, count(*) as uses from lineitem where l_partkey not in (select p_partkey from part where p_partkey % 10 <> 0) group by l_partkey",
+    "missing_slots": "select c_custkey, count(*) as uses from customer where not exists (select 1 from events where user_id = c_custkey) group by c_custkey",
     "examples_per_slot": "select min(n) as least, max(n) as most, round(avg(n), 6) as mean, count(*) as slots from (select l_partkey, count(distinct l_orderkey) as n from lineitem group by l_partkey)",
     "task_hop_histogram": sql("""select 'code_symbol_reasoning' as task_type, 2 as hops, count(*) as n from part_chain union all """ + " union all ".join(f"select '{t}', {len(PATHS[t]) - 1}, count(*) from c_{t}" for t in PATHS), {f"c_{t}": _chain(t).partition("\nselect")[1].strip() + _chain(t).partition("\nselect")[2] for t in PATHS}),
     "answer_leakage": "select distinct item_id, doc_id from benchmark b join documents d on contains(lower(d.text), lower(b.text))",
@@ -254,7 +247,6 @@ ORACLE_SQL: dict[str, str] = {
         union all select a.subject, b.object, 2 from facts a join facts b on b.subject = a.object where a.subject like 'order%'
         union all select a.subject, c.object, 3 from facts a join facts b on b.subject = a.object join facts c on c.subject = b.object where a.subject like 'order%') group by 1, 2"""),
     "cosine_topk": _shown("ranked", 8),
-    "cosine_topk_arrow": _shown("ranked", 8),
     "dot_topk": _shown("ranked_dot", 8),
     "score_given": sql("select n.query_id, n.slot_id, round(c.score, 6) as score from required n join cosines c on c.query_id = n.query_id and c.slot_id = n.slot_id"),
     "knn_hit_at_8": sql("select count(*) as queries, count(*) filter (hit) as hits, round(avg(case when hit then 1 else 0 end), 6) as hit_rate from (select r.query_id, bool_or(s.label = q.label) as hit from ranked r join sv s using (slot_id) join vec q on q.vec_id = r.query_id where rank <= 8 group by 1)"),
@@ -264,11 +256,11 @@ ORACLE_SQL: dict[str, str] = {
     "pk_score_slots": sql("select query_id, slot_id, round(score, 6) as score from addressed"),
     "pk_softmax_read": sql("""select q.query_id, q.dim, round(coalesce(sum(p.w * x.v[q.dim]), 0.0), 6) + 0.0 as value from (select query_id, dim from qv, dims) q
       left join pw p on p.query_id = q.query_id and p.slot_id % 7 <> 3 left join vec x on x.vec_id = p.slot_id % 10 group by all""", {"pe": "select query_id, slot_id, exp(score - max(score) over (partition by query_id)) as e from pk where rank <= 8", "pw": "select query_id, slot_id, e / sum(e) over (partition by query_id) as w from pe"}),
-    "compact_remap": "select slot_id, case when n < 256 then n end as compact_id from (select vec_id as slot_id, row_number() over (order by vec_id) - 1 as n from embeddings where vec_id % 10 <> 0 and vec_id % 7 <> 3)",
-    "compact_dropped": "select least(count(*), 256) as mapped, greatest(count(*) - 256, 0) as dropped from embeddings where vec_id % 10 <> 0 and vec_id % 7 <> 3",
+    "compact_remap": "select slot_id, case when n < 256 then n end as compact_id from (select vec_id as slot_id, row_number() over (order by vec_id) - 1 as n from embeddings where vec_id % 7 <> 3)",
+    "compact_dropped": "select least(count(*), 256) as mapped, greatest(count(*) - 256, 0) as dropped from embeddings where vec_id % 7 <> 3",
     "multi_query_union": sql("select query_id, rank, slot_id, round(score, 6) as score from best_rank where rank <= 16", {
         "forms": " union all ".join(f"select '{n}' as form, query_id, list_transform(v, lambda x, i: {e}) as v from qv" for n, e in _FORMS.items()),
-        "form_scores": "select form, query_id, slot_id, round(list_inner_product(f.v, s.v) / (sqrt(list_inner_product(f.v, f.v)) * sqrt(list_inner_product(s.v, s.v))), 9) as score from forms f, sv s",
+        "form_scores": "select form, query_id, slot_id, round(list_inner_product(f.v, s.v) / (sqrt(list_inner_product(f.v, f.v)) * sqrt(list_inner_product(s.v, s.v))), 9) as score from forms f, sv s where query_id <> slot_id",
         "form_rank": "select *, row_number() over (partition by form, query_id order by score desc, slot_id) as nth from form_scores",
         "best": "select query_id, slot_id, max(score) as score from form_rank where nth <= 8 group by 1, 2",
         "best_rank": _rank("best"),
@@ -334,16 +326,14 @@ ORACLE_SQL: dict[str, str] = {
     "comparison_table": sql("select variant, " + ", ".join(f"printf('%.3f', max(accuracy) filter (scope = '{s}')) as {s}" for s in ("overall", "single_hop", "two_hop", "three_hop")) + " from accuracies group by variant"),
     "pos_pairs": sql("select a.query_id, a.slot_id as src, b.slot_id as dst from required a join required b on a.query_id = b.query_id where a.pos <> b.pos"),
     "hard_negatives": """select a.p_partkey as positive, count(*) as negatives, min(b.p_partkey) as first_negative, cast(sum(b.p_partkey) as bigint) as sum_negative
-      from part a join part b on b.p_partkey % 50 <> 0 and (a.p_brand = b.p_brand or a.p_type = b.p_type or a.p_size = b.p_size) where a.p_partkey % 50 = 0 group by 1""",
-    "hard_negatives_all": """select a.p_partkey as positive, count(*) as negatives, min(b.p_partkey) as first_negative, cast(sum(b.p_partkey) as bigint) as sum_negative
       from part a join part b on b.p_partkey <> a.p_partkey and (a.p_brand = b.p_brand or a.p_type = b.p_type or a.p_size = b.p_size) group by 1""",
     "loss_contrastive": sql("""select count(*) as rows, round(avg(-ln(pos / total + 1e-10)), 6) as loss from (
         select a.vec_id, sum(case when a.label = b.label then e else 0.0 end) as pos, sum(e) as total from (
           select a, b, exp(round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 9) / 0.07) as e
-          from vec a join vec b on a.vec_id // 320 = b.vec_id // 320 and a.vec_id <> b.vec_id where a.vec_id % 10 = 0 and b.vec_id % 10 = 0) group by 1) where pos > 0"""),
+          from vec a join vec b on a.vec_id // 32 = b.vec_id // 32 and a.vec_id <> b.vec_id) group by 1) where pos > 0"""),
     "loss_infonce": sql("""select count(*) as rows, round(avg(ln(total) - ln(pos)), 6) as loss from (
         select query_id, sum(e) as total, sum(case when positive then e else 0.0 end) as pos from (select *, exp((score - max(score) over (partition by query_id)) / 0.07) as e from scored) group by 1) where pos > 0"""),
-    "loss_bce": sql(f"select count(*) as rows, round(avg(case when positive then 5.0 * ({_SOFTPLUS.format('(-z)')}) else {_SOFTPLUS.format('z')} end), 6) as loss from (select positive, score / 0.07 as z from scored)"),
+    "loss_bce": sql(f"select count(*) as rows, round(avg(case when positive then 5.0 * ({_SOFTPLUS.format('(-z)')}) else {_SOFTPLUS.format('z')} end), 6) as loss from (select n.slot_id is not null as positive, score / 0.07 as z from cosines c left join required n on n.query_id = c.query_id and n.slot_id = c.slot_id)"),
     "loss_margin": sql("""select count(*) as rows, round(avg(greatest(0.0, 0.5 - p.score + h.score)), 6) as loss from (select query_id, max(score) as score from scored where positive group by 1) p
       join (select query_id, score, row_number() over (partition by query_id order by score desc, slot_id) as nth from scored where not positive) h on h.query_id = p.query_id and h.nth <= 16"""),
     "loss_subkey": sql("""select max(rows) as rows, round(sum(ce), 6) as loss from (select side, count(*) as rows, avg(lse - score) as ce from (

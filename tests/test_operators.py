@@ -1,13 +1,18 @@
 """Operators on small relations whose results are known."""
 
+import json
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from slotwise.functions.text import tokens
-from slotwise.operators import metrics, product_key, retrieve, select
+from slotwise.operators import generate, kb, losses, metrics, product_key, retrieve, select
 from slotwise.operators import text as texts
-from slotwise.sources.config import Config, load_config, merged, parse_overrides
+from slotwise.sources import config, tables
 from slotwise.sources.tables import EXAMPLE_SCHEMA, log_metrics, read_jsonl, read_metrics, read_vocab, write_jsonl, write_vocab
+from slotwise.streaming import tail
 
 
 def lists(spark, required, retrieved, hops):
@@ -21,13 +26,13 @@ def lists(spark, required, retrieved, hops):
 
 
 CASES = [
-    ([[5]], [[5, 10, 20, 30]], [1], 1, (1.0, 1.0, 1.0)),
-    ([[99]], [[5, 10, 20, 30]], [1], 4, (0.0, 0.0, 0.0)),
-    ([[5, 10, 15]], [[5, 10, 20, 30]], [2], 1, (1.0, 0.0, 0.333333)),
-    ([[5, 10, 15]], [[5, 10, 20, 30]], [2], 2, (1.0, 0.0, 0.666667)),
-    ([[5, 10, 15]], [[5, 15, 10, 20]], [3], 3, (1.0, 1.0, 1.0)),
-    ([[5]], [[5, 5, 10, 5]], [1], 3, (1.0, 1.0, 1.0)),
-    ([[]], [[5, 10, 20, 30]], [0], 4, (0.0, 0.0, 0.0)),
+    ([[4]], [[4, 9, 31, 2]], [1], 1, (1.0, 1.0, 1.0)),
+    ([[77]], [[4, 9, 31, 2]], [1], 4, (0.0, 0.0, 0.0)),
+    ([[4, 9, 61]], [[4, 9, 31, 2]], [2], 1, (1.0, 0.0, 0.333333)),
+    ([[4, 9, 61]], [[4, 9, 31, 2]], [2], 2, (1.0, 0.0, 0.666667)),
+    ([[4, 9, 61]], [[4, 61, 9, 2]], [3], 3, (1.0, 1.0, 1.0)),
+    ([[4]], [[4, 4, 9, 4]], [1], 3, (1.0, 1.0, 1.0)),
+    ([[]], [[4, 9, 31, 2]], [0], 4, (0.0, 0.0, 0.0)),
 ]
 
 
@@ -39,10 +44,10 @@ def test_required_set_cases(spark, required, retrieved, hops, k, want):
 
 
 def test_aggregate_and_ranks(spark):
-    need, got, meta = lists(spark, [[1], [2, 3], [99]], [[1, 10], [2, 3], [4]], [1, 2, 1])
+    need, got, meta = lists(spark, [[8], [6, 12], [50]], [[8, 40], [6, 12], [9]], [1, 2, 1])
     row = metrics.required_set(metrics.required_counts(need, got, meta, (8,))).where("hops = -1").first()
     assert (row.any_required, row.all_required, row.coverage) == (0.666667, 0.666667, 0.75)
-    need, got, _ = lists(spark, [[5], [10, 15], [20, 25, 30]], [[5, 2, 10, 3], [15, 10, 1, 2], [20, 25, 30, 1]], [1, 2, 3])
+    need, got, _ = lists(spark, [[7], [11, 13], [17, 19, 23]], [[7, 3, 11, 5], [13, 11, 2, 3], [17, 19, 23, 2]], [1, 2, 3])
     assert metrics.rank_metrics(need, got, (4,)).first().mrr == 1.0
 
 
@@ -103,8 +108,8 @@ def test_product_keys_equal_all_pairs(spark):
     book = spark.createDataFrame([(side, k, vec(2)) for side in (1, 2) for k in range(6)], "side int, k bigint, vec array<double>")
     scores = product_key.subscores(q, book, 2)
     assert sorted(map(tuple, product_key.topk(scores, 4, 4, 6, 4).collect())) == sorted(map(tuple, product_key.topk(scores, 6, 6, 6, 4).collect()))
-    with pytest.raises(ValueError):
-        product_key.topk(scores, 2, 2, 6, 5)
+    assert product_key.clipped(50, 9, 2, 6) == (12, 6, 2)
+    assert product_key.topk(scores, 9, 2, 6, 50).groupBy("query_id").count().where("count <> 12").count() == 0
 
 
 def test_noise_never_draws_required_slots(spark):
@@ -137,9 +142,129 @@ def test_sources_round_trip(spark, tmp_path):
     assert {(r.step, r.metrics["loss"]) for r in read_metrics(spark, f"{tmp_path}/log").collect()} == {(1, 0.5), (2, 1.0)}
 
 
-def test_config(tmp_path):
-    (tmp_path / "c.json").write_text('{"model": {"d_model": 64}, "train": {"epochs": 1}}')
-    config = load_config(str(tmp_path / "c.json"), parse_overrides(["train.epochs=5", "run.name=x"]))
-    assert (config.model.d_model, config.train.epochs, config.lookup("run.name"), config.lookup("no.such", 3)) == (64, 5, "x", 3)
-    assert merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
-    assert Config({"a": 1}).with_value("b.c", 2) == {"a": 1, "b": {"c": 2}}
+def test_settings(tmp_path):
+    (tmp_path / "c.json").write_text('{"net": {"width": 64, "deep": {}}, "run": {"rounds": 1}}')
+    got = config.read_settings(str(tmp_path / "c.json"), "run.rounds=5", "run.name=x", "net.deep.layers=[1, 2]")
+    assert got == {"net.width": 64, "net.deep.layers": [1, 2], "run.rounds": 5, "run.name": "x"}
+    assert config.section(got, "run") == {"rounds": 5, "name": "x"}
+    assert config.overlaid(got, {"run": None}) == {"net.width": 64, "net.deep.layers": [1, 2], "run": None}
+    with pytest.raises(ValueError):
+        config.assignments(["no sign"])
+
+
+def test_coding_by_broadcast_and_by_join_agree(spark):
+    df = spark.createDataFrame([(i, f"a b{i} (c) a, zz {'a ' * i}") for i in range(30)] + [(90, ""), (91, None)], "id int, text string")
+    vocab = texts.build_vocab(df.where("id < 20"))
+    one, two = (texts.encode(df, vocab, ["id"], most=most) for most in (1000, 0))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    assert one.where(f"array_contains(ids, {6})").count() == 10
+    back = [texts.decode(one, vocab, ["id"], most=most) for most in (1000, 0)]
+    assert sorted((r.id, r.text or "") for r in back[0].collect()) == sorted((r.id, r.text or "") for r in back[1].collect())
+
+
+def test_vocab_is_one_object_in_order(spark, tmp_path):
+    vocab = spark.createDataFrame([('a"b', 9), ("<pad>", 0), ("}", 8)], "token string, id int").repartition(3)
+    write_vocab(vocab, f"{tmp_path}/v")
+    text = "".join(p.read_text() for p in (tmp_path / "v").glob("part-*"))
+    assert json.loads(text) == {"<pad>": 0, "}": 8, 'a"b': 9} and list(json.loads(text).values()) == [0, 8, 9]
+
+
+def test_noise_is_never_short(spark):
+    need = spark.createDataFrame([(1, p, p) for p in range(1, 13)], "query_id bigint, pos int, slot_id bigint")
+    slots = spark.createDataFrame([(i, True) for i in range(20)], "slot_id bigint, live boolean")
+    rows = select.noisy(need, slots, 7, 0.5, 42, 100)
+    assert rows.where("not is_required").count() == 7 and select.noisy(need, slots, 50, 0.5, 42, 100).where("not is_required").count() == 8
+    assert "SinglePartition" not in select.noisy(need, slots, 7, 0.5, 42, 100)._jdf.queryExecution().executedPlan().toString().split("Window")[0]
+    filled = select.padded(rows.where("pos <= 2"), 4).orderBy("pos").collect()
+    assert [(r.slot_id, r.score) for r in filled[2:]] == [(-1, float("-inf"))] * 2
+
+
+def test_structured_negatives_prefer_shared_attributes(spark):
+    need = spark.createDataFrame([(1, 0), (1, 50), (2, 7), (3, 900)], "query_id bigint, slot_id bigint")
+    slots = spark.range(100).selectExpr("id as slot_id", "case when id < 90 then id % 30 end as kind", "id div 50 as half")
+    rows = select.structured_negatives(need, slots, "slot_id", ["kind"], 4, 0.5, 3).collect()
+    of = lambda q, hard: {r.slot_id for r in rows if r.query_id == q and not r.positive and r.hard == hard}
+    assert of(1, True) == {30, 60, 20, 80} and len(of(1, False)) == 4 and not of(1, False) & {0, 50, 30, 60, 20, 80}
+    assert of(2, True) == {37, 67} and len(of(2, False)) == 2 and len(of(3, False)) == 4 and not of(3, True)
+    wide = select.structured_negatives(need, slots, "slot_id", ["kind", "half"], 4, 0.5, 3).where("hard")
+    assert {r["count"] for r in wide.groupBy("query_id").count().collect()} == {4, 2}
+
+
+def test_running_best_follows_the_order(spark):
+    r = random.Random(5)
+    rows = [(i, r.choice("ab"), float(r.randrange(1000)) if r.random() < 0.9 else None) for i in range(400)]
+    got = metrics.running_best(spark.createDataFrame(rows, "step int, run string, value double"), "run", ["step"], "value", F.floor(F.col("step") / 16)).collect()
+    want, best = [], {}
+    for step, run, value in rows:
+        if value is not None and value > best.get(run, -1.0):
+            best[run] = value
+            want.append((step, run, value))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_short_items_leak_too(spark):
+    items = spark.createDataFrame([(1, "one TWO three four five six seven"), (2, "three four"), (3, "x"), (4, "a b c"), (5, ""), (6, None), (7, "two three four five")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four five six sevens"), (2, "aa b cc"), (3, "three  four"), (4, None), (5, "six"), (6, "q a b c")], "doc_id int, text string")
+    want = {(i.item_id, d.doc_id) for i in items.collect() for d in docs.collect() if i.text and d.text and i.text.lower() in d.text.lower()}
+    for most in (10, 0):
+        kb.BROADCAST_ITEMS, before = most, kb.BROADCAST_ITEMS
+        try:
+            assert {tuple(r) for r in kb.leaks(items, docs).collect()} == want
+        finally:
+            kb.BROADCAST_ITEMS = before
+    assert kb.leaks(items.limit(0), docs).count() == 0
+
+
+def test_sums_over_all_slots(spark, monkeypatch):
+    r = random.Random(3)
+    vec = lambda: [r.uniform(-1, 1) for _ in range(4)]
+    q, s = [(i, vec()) for i in range(5)], [(i, vec()) for i in range(9)]
+    q_df, s_df = spark.createDataFrame(q, "query_id bigint, vec array<double>"), spark.createDataFrame(s, "slot_id bigint, vec array<double>")
+    need = spark.createDataFrame([(0, 1), (3, 2), (3, 4)], "query_id bigint, slot_id bigint")
+    monkeypatch.setattr(retrieve, "BLOCK_SLOTS", 4)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    z = {(i, j): cos(a, b) / 0.5 for i, a in q for j, b in s if i != j}
+    soft = lambda x: math.log1p(math.exp(x))
+    want = sum(5 * soft(-x) if k in {(0, 1), (3, 2), (3, 4)} else soft(x) for k, x in z.items()) / len(z)
+    got = losses.bce_over_all(q_df, s_df, need, 5.0, 0.5, own=False).first()
+    assert got.rows == 40 and abs(got.loss - want) < 1e-5
+    ce = sum(math.log(sum(math.exp(z[i, k]) for k in range(9) if k != i)) - z[i, j] for i, j in ((0, 1), (3, 2))) / 2
+    assert abs(losses.retrieval_ce(q_df, s_df, need.where("slot_id < 3"), 0.5, own=False).first().ce - ce) < 1e-5
+
+
+def test_runs_and_sinks(spark, tmp_path):
+    for name in ("a/b/best_model.pt", "a/b/last.pt", "a/step_2.pt", "debug/x/last.pt", "c/note.txt"):
+        (tmp_path / "runs" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "runs" / name).write_text("x")
+    found = tables.preferred_runs(tables.checkpoints(spark, f"{tmp_path}/runs", ("debug",))).collect()
+    assert {(r.folder.rsplit("/runs/", 1)[1], r.name) for r in found} == {("a/b", "best_model.pt"), ("a", "step_2.pt")}
+    tables.write_summary(spark, f"{tmp_path}/s", {"b": 1, "a": "x"})
+    tables.write_summary(spark, f"{tmp_path}/s", {"b": 2})
+    assert [r.value for r in spark.read.text(f"{tmp_path}/s").collect()] == ['{"b": 2}']
+    rows = spark.createDataFrame([(1, "y")], "query_id int, prediction string")
+    tables.write_predictions(rows, rows.groupBy().count(), f"{tmp_path}/one", f"{tmp_path}/two")
+    assert spark.read.json(f"{tmp_path}/two/predictions").count() == 1 == spark.read.json(f"{tmp_path}/one/metrics").first()["count"]
+    tables.write_misses(rows, rows, f"{tmp_path}/m")
+    assert spark.read.json(f"{tmp_path}/m/misses").collect() == spark.read.json(f"{tmp_path}/m/summary").collect()
+    tables.write_meta(spark, f"{tmp_path}/meta", {"splits": {"train": 1}})
+    assert json.loads(spark.read.text(f"{tmp_path}/meta").first().value) == {"splits": {"train": 1}}
+
+
+def test_generated_pools_are_apart(spark):
+    pool = generate.chains(spark, 500, 3)
+    rows = pool.collect()
+    nouns = lambda keep: {r.noun for r in generate.names(spark).collect() if (r.pool == "test") == keep}
+    test = " ".join(f for r in rows if r.split == "test" for f in r.facts)
+    rest = " ".join(f for r in rows if r.split != "test" for f in r.facts)
+    assert not any(n in test for n in nouns(False)) and not any(n in rest for n in nouns(True))
+    assert len({tuple(r.facts) for r in rows}) == len(rows) < 500 and {len(r.facts) for r in rows} == {1, 2, 3}
+    drawn = generate.examples(pool, 3000, 3)
+    assert drawn.groupBy("split", "question", "answer", "facts").count().where("count > if(split = 'train', 5, 1)").count() == 0
+    assert all(r.subject in r.question for r in drawn.limit(50).collect())
+
+
+def test_the_last_state_of_a_window_counts(spark, tmp_path):
+    rows = spark.createDataFrame([("w", "a", 1, 1.0), ("w", "b", 5, 2.0)], "w string, event_type string, n int, total double")
+    rows.write.parquet(f"{tmp_path}/batch=0")
+    rows.where("event_type = 'a'").selectExpr("w", "event_type", "n + 1 as n", "total").write.parquet(f"{tmp_path}/batch=1")
+    assert sorted(map(tuple, tail.latest(spark, str(tmp_path)).collect())) == [("w", "a", 2, 1.0), ("w", "b", 5, 2.0)]

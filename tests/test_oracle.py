@@ -5,8 +5,7 @@ import os
 
 import pytest
 
-from slotwise.plans.catalogue import QUERIES
-from slotwise.plans.oracle import ORACLE_SQL
+from slotwise.plans.registry import ORACLE_SQL, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from slotwise.operators.text import qa_sequence
-from slotwise.plans.catalogue import QUERIES
+from slotwise.plans.registry import QUERIES
 
 
 def test_every_part_is_a_positive(spark, tmp_path):
@@ -18,7 +18,7 @@ def test_every_part_is_a_positive(spark, tmp_path):
     for k, *mine in parts:
         others = [j for j, *its in parts if j != k and any(a is not None and a == b for a, b in zip(mine, its, strict=True))]
         want += [(k, len(others), min(others), sum(others))] if others else []
-    assert sorted(map(tuple, QUERIES["hard_negatives_all"](spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, QUERIES["hard_negatives"](spark, str(tmp_path)).collect())) == want
     assert {k for k, *_ in want} > {50, 100}
 
 
@@ -28,10 +28,10 @@ def test_long_turns_stay_whole(spark, tmp_path):
     a, b, c = 7, 8, 9  # the first ids after the special ones
     ids = {1: [1, *[a] * 70, 3, *[b] * 90, 2], 2: [1, a, 3, b, c, 2]}
     text = lambda x: ",".join(map(str, x))
-    rows = {name: {r.conv_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("prompt_assembly_whole", "label_mask_whole", "batch_pad_whole")}
-    assert {k: (r.ids, r.seq_len, r.prompt_len) for k, r in rows["prompt_assembly_whole"].items()} == {1: (text(ids[1]), 163, 72), 2: (text(ids[2]), 6, 3)}
-    assert {k: (r.labels, r.n_masked) for k, r in rows["label_mask_whole"].items()} == {1: (text([-100] * 72 + ids[1][72:]), 72), 2: (text([-100] * 3 + ids[2][3:]), 3)}
-    assert {k: (r.padded, r.width, r.n_pad) for k, r in rows["batch_pad_whole"].items()} == {1: (text(ids[1]), 163, 0), 2: (text(ids[2] + [0] * 157), 163, 157)}
+    rows = {name: {r.conv_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()} for name in ("prompt_assembly", "label_mask", "batch_pad")}
+    assert {k: (r.ids, r.seq_len, r.prompt_len) for k, r in rows["prompt_assembly"].items()} == {1: (text(ids[1]), 163, 72), 2: (text(ids[2]), 6, 3)}
+    assert {k: (r.labels, r.n_masked) for k, r in rows["label_mask"].items()} == {1: (text([-100] * 72 + ids[1][72:]), 72), 2: (text([-100] * 3 + ids[2][3:]), 3)}
+    assert {k: (r.padded, r.width, r.n_pad) for k, r in rows["batch_pad"].items()} == {1: (text(ids[1]), 163, 0), 2: (text(ids[2] + [0] * 157), 163, 157)}
 
 
 def test_sequences_are_cut_to_a_given_length(spark):
