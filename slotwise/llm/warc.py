@@ -1,22 +1,25 @@
 """A content-addressed web archive.
 
 Two tables make an archive: `payloads` holds every distinct payload once, under its SHA-256, written after the digest
-has been taken from the very bytes; `records` holds each record's exact header block and the digests of its payload.
-Records with equal payloads of `LEAST_BYTES` bytes or more become one response (the largest page_id) and revisits
-that refer to it; smaller ones are all responses. Reading joins the two tables again: digests and lengths of stored
-payloads are taken anew and compared, headers are parsed, and original records (header block, payload) are rebuilt.
-
-A payload that a third of all pages share is reduced on the map side before any shuffle (max_by is a partial
-aggregate), and joins carry digests, not payloads. Null html is an empty payload; a null url gives an empty
-WARC-Target-URI; rows that repeat a page_id are records of their own (of equal payloads one row of the largest page_id is the response, the rest revisit it);
-a null page_id is written as "null" and counts as smaller than all others. Extra columns are not read.
+has been taken from the very bytes; `records` holds each record's exact header block and the digest that it is found
+under. Records with equal payloads of `LEAST_BYTES` bytes or more become one response (the largest page_id) and
+revisits that refer to it; smaller ones are all responses. Reading joins the two tables again and rebuilds each
+original record (header block, payload) byte by byte: digests and lengths are taken anew from what was rebuilt and
+compared with what the header says.
+
+A payload that a third of all pages share is reduced on the map side before any shuffle (first is a partial
+aggregate); joins are of two plain shuffles, which adaptive execution splits. Null html is an empty payload; a null
+url gives an empty WARC-Target-URI; rows that repeat a page_id are records of their own (of equal payloads one row of
+the largest page_id is the response, the rest revisit it); a null page_id is written as "null" and counts as smaller
+than all others. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import discard, stored
 
 LEAST_BYTES = 1000
 CRLF = "\r\n"
@@ -43,20 +46,18 @@ def _header(kind: Column, page: Column, url: Column, sha1: Column, length: Colum
 def write_archive(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     """pages(page_id, url, html) as an archive below path."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    sha256 = F.unhex(F.sha2(F.col("payload"), 256))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
-    keyed = rows.withColumn("sha256", F.sha2("payload", 256))
-    payloads = keyed.groupBy("sha256").agg(F.first("payload").alias("payload"))
-    payloads.select("sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("bigint").alias("bytes"), "payload").write.parquet(f"{path}/payloads")
-    light = keyed.select("page_id", "url", "sha256", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("bigint").alias("bytes"))
-    firsts = light.groupBy("sha256").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies"))
-    repeats = light.where(F.col("bytes") >= least).groupBy("sha256", "page_id").agg(F.count("*").alias("rows")).where("rows > 1").select("sha256", "page_id", F.lit(True).alias("again"))
-    placed = light.join(firsts, "sha256").join(repeats.withColumnRenamed("page_id", "p").withColumnRenamed("sha256", "s"), (F.col("sha256") == F.col("s")) & F.col("page_id").eqNullSafe(F.col("p")), "left")
-    first = F.col("page_id").eqNullSafe(F.col("first_id"))
-    nth = Window.partitionBy("sha256", "page_id").orderBy("url")
-    once = placed.where("again is null").withColumn("nth", F.lit(1)).unionByName(placed.where("again").withColumn("nth", F.row_number().over(nth)))
-    revisit = (F.col("bytes") >= least) & (F.col("copies") > 1) & ~(first & (F.col("nth") == 1))
-    records = once.select("page_id", "sha256", _header(F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), F.col("page_id"), F.col("url"), F.col("sha1"), F.col("bytes"), F.col("first_id")).cast("binary").alias("header"))
+    once = rows.select(sha256.alias("sha256"), "payload").groupBy("sha256").agg(F.first("payload").alias("payload"))
+    once.write.option("compression", "zstd").parquet(f"{path}/payloads")
+    light = stored(rows.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", sha256.alias("sha256"), F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("bigint").alias("bytes")), "warc-rows")
+    firsts = stored(light.where(F.col("bytes") >= least).groupBy("sha256").agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("sha256", "first"), "warc-firsts")
+    placed = light.join(firsts, "sha256", "left")
+    revisit = F.col("first").isNotNull() & (F.col("row") != F.col("first.row"))
+    kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
+    records = placed.select("sha256", _header(kind, F.col("page_id"), F.col("url"), F.lower(F.hex("sha1")), F.col("bytes"), F.col("first.page_id")).cast("binary").alias("header"))
     records.write.parquet(f"{path}/records")
+    discard(light, firsts)
 
 
 def _field(header: Column, name: str) -> Column:
@@ -64,26 +65,30 @@ def _field(header: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(header, rf"(?m)^{name}: ?([^\r\n]*)", 1), F.lit(""))
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_digest and payload_bytes of each record, from its stored bytes.
+def original_records(spark: SparkSession, path: str) -> DataFrame:
+    """page_id and the record's bytes: its header block, its payload unless it is a revisit, and two line ends; header and full payload beside it.
 
-    Fails if a stored payload's digests or length differ from what its table or its record's header says.
+    Fails if a stored payload is not the one that its digest names.
     """
-    stored = spark.read.parquet(f"{path}/payloads")
-    same = (F.sha2("payload", 256) == F.col("sha256")) & (F.sha1("payload") == F.col("sha1")) & (F.octet_length("payload") == F.col("bytes"))
-    checked = stored.select("sha256", F.when(same, F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "sha256")).cast("string")).alias("sha1"), F.octet_length("payload").cast("bigint").alias("bytes"))
-    text = F.col("header").cast("string")
-    number = lambda name: F.regexp_extract(_field(text, name), r"<urn:page:(-?[0-9]+)>", 1)
-    page, refers = F.nullif(number("WARC-Record-ID"), F.lit("")).cast("bigint"), F.nullif(F.coalesce(number("WARC-Refers-To"), F.lit("")), F.lit("")).cast("bigint")
-    parsed = spark.read.parquet(f"{path}/records").select(page.alias("page_id"), _field(text, "WARC-Target-URI").alias("url"), _field(text, "WARC-Type").alias("record_type"), refers.alias("refers_to"), F.regexp_extract(text, r"(?m)^WARC-Payload-Digest: sha1:([0-9a-f]{40})", 1).alias("said"), _field(text, "WARC-Payload-Length").cast("bigint").alias("length"), "sha256")
-    right = (F.col("said") == F.col("sha1")) & (F.col("length") == F.col("bytes"))
-    digest = F.when(right, F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("record does not fit its payload "), "sha256")).cast("string"))
-    return parsed.join(checked, "sha256").select("page_id", F.col("bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", "url")
+    payloads = spark.read.parquet(f"{path}/payloads")
+    same = F.unhex(F.sha2("payload", 256)) == F.col("sha256")
+    whole = payloads.select("sha256", F.when(same, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.hex("sha256"))).cast("binary")).alias("payload"))
+    records = spark.read.parquet(f"{path}/records").select("sha256", F.col("header").cast("string").alias("header"))
+    body = F.when(_field(F.col("header"), "WARC-Type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
+    page = F.nullif(F.regexp_extract(_field(F.col("header"), "WARC-Record-ID"), r"<urn:page:(-?[0-9]+)>", 1), F.lit("")).cast("bigint")
+    return records.join(whole, "sha256").select(page.alias("page_id"), F.concat(F.col("header").cast("binary"), body, F.lit(CRLF * 2).cast("binary")).alias("record"), "header", "payload")
 
 
-def original_records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and the record's bytes: its header block, its payload unless it is a revisit, and two line ends; and the full payload."""
-    records, payloads = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads").select("sha256", "payload")
-    kind = _field(F.col("header").cast("string"), "WARC-Type")
-    body = F.when(kind == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
-    return records.join(payloads, "sha256").select("page_id", F.concat(F.col("header"), body, F.lit(CRLF * 2).cast("binary")).alias("record"), "payload")
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, url, record_type, refers_to, payload_digest and payload_bytes of each rebuilt record.
+
+    Fails if a rebuilt record's lengths or digest differ from what its header says.
+    """
+    header, bytes_of, digest = F.col("header"), F.octet_length("payload").cast("bigint"), F.sha1("payload")
+    said = F.regexp_extract(header, r"(?m)^WARC-Payload-Digest: sha1:([0-9a-f]{40})", 1)
+    body = F.octet_length("record") - F.octet_length(header) - len(CRLF * 2)
+    right = (said == F.col("digest")) & (_field(header, "WARC-Payload-Length").cast("bigint") == F.col("bytes")) & (_field(header, "Content-Length").cast("bigint") == F.col("body"))
+    refers = F.nullif(F.regexp_extract(F.coalesce(_field(header, "WARC-Refers-To"), F.lit("")), r"<urn:page:(-?[0-9]+)>", 1), F.lit("")).cast("bigint")
+    taken = original_records(spark, path).select("page_id", "header", bytes_of.alias("bytes"), digest.alias("digest"), body.alias("body"))
+    checked = F.when(right, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("record does not fit its payload "), F.col("digest"))).cast("string"))
+    return taken.select("page_id", F.col("bytes").alias("payload_bytes"), checked.alias("payload_digest"), _field(header, "WARC-Type").alias("record_type"), refers.alias("refers_to"), _field(header, "WARC-Target-URI").alias("url"))
