@@ -1,15 +1,16 @@
 """Substring deduplication by level-wise doubling.
 
 A window of `length` words is removed where its word sequence also starts in a document with a smaller id. Levels
-double in length up to `length` (25, 50). A level below the last looks only at anchors: of all its windows inside a
+double in length up to `length` (13, 25, 50). A level below the last looks only at anchors: of all its windows inside a
 window of full length, the one of smallest hash. Equal full windows have equal anchors, so only full windows whose
-anchor stands in two documents are candidates of the next level; anchors are some 2 / 27 of all positions. The last
-level compares the candidates themselves. Levels go on until no candidates survive or the full length is reached.
+anchor stands in two documents are candidates of the next level, and only documents with candidates are read for it;
+anchors of the first level are some 2 / 39 of all positions. The last level compares the candidates themselves. Levels
+go on until no candidates survive or the full length is reached.
 
 Documents with the same word sequence are taken together first: all but those of the smallest id lose every word, and
-only one of them supplies windows. Hashes go out and come back by groupBy with partial aggregation and a join that
-adaptive execution can split, so a passage that a third of all documents share is no group in any task. Window
-hashes have 64 bits.
+only one of them supplies windows. Hashes go out and come back by groupBy with partial aggregation, whose result is
+written before it is joined: that leaves a join of two plain shuffles, which adaptive execution splits, so a passage
+or a text that a third of all documents share is no group in any task. Window hashes have 64 bits.
 
 Null and empty texts have no words; documents shorter than a window lose nothing. Rows that repeat a doc_id are
 judged each by its own text, and none of them is "smaller" than the other; a null doc_id counts as larger than all
@@ -27,11 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ready
-from .common import arrow_schema, batch_of, kept, slices, stored
+from .common import arrow_schema, batch_of, discard, kept, prepared, slices, stored
 
 LENGTH = 50
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 #: Candidate documents up to which their ids (8 bytes each) are broadcast; beyond, texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 LAST_ID = 2**63 - 1
@@ -111,6 +111,8 @@ def _first_level(length: int, level: int):
 
 
 def _next_level(length: int, level: int, before: int):
+    """The level's candidates; the last level keeps the texts, to cut them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(NEXT)
         for part in slices(batches, 1, 1_000_000):
@@ -120,7 +122,7 @@ def _next_level(length: int, level: int, before: int):
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 listed = listed.values.to_numpy().view(np.uint64)
                 hashes.append(anchors(hashed(words), length, level, (before, listed)).view(np.int64))
-            yield batch_of(schema, [part.column(0), digests, texts, hashes])
+            yield batch_of(schema, [part.column(0), digests, texts if level == length else [""] * len(texts), hashes])
 
     return run
 
@@ -143,34 +145,52 @@ def _remove(length: int):
 def _repeated(rows: DataFrame, earlier: bool) -> DataFrame:
     """(id, hashes) of the hashes that stand under two ids; earlier: only where one of them is smaller than the row's own."""
     spread = rows.select("id", F.explode("hashes").alias("h"))
-    groups = spread.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least")
+    groups = stored(spread.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least"), "repeats-groups")
     found = spread.join(groups, "h")
     found = found.where("id > least") if earlier else found
     return found.groupBy("id").agg(F.collect_set("h").alias("hashes"))
 
 
+def doubled(length: int, least: int = 12) -> tuple[int, ...]:
+    """Levels that double up to length, from `least` words on, and two levels at least."""
+    levels = [length]
+    while len(levels) < 2 or (levels[0] + 1) // 2 >= least:
+        levels.insert(0, (levels[0] + 1) // 2)
+    return tuple(levels)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, levels: tuple[int, ...] | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each document."""
-    levels = levels or ((length + 1) // 2, length)
+    levels = levels or doubled(length)
     if levels[-1] != length or len(levels) < 2 or list(levels) != sorted(set(levels)):
         raise ValueError("levels must rise to the window length, in two steps at least")
-    ready(docs.sparkSession)
+    prepared(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     first = stored(base.mapInArrow(_first_level(length, levels[0]), FIRST), "repeats-first")
-    owners = first.groupBy("digest").agg(F.min("id").alias("owner"))
+    owners = stored(first.groupBy("digest").agg(F.min("id").alias("owner")), "repeats-owners")
     rows = first.where(F.size("hashes") > 0).join(owners, "digest").where("id = owner").select("id", "digest", "hashes")
-    before = levels[0]
+    before, last = levels[0], None
     for level in levels[1:]:
         lists = stored(_repeated(rows, earlier=False), "repeats-lists")
-        few = lists.count() <= BROADCAST_IDS  # ids only; their lists are joined after the texts have been chosen
+        count = lists.count()
+        if not count:
+            rows = None
+            break
+        few = count <= BROADCAST_IDS  # ids only; their lists are joined after the texts have been chosen
         texts = base.join(F.broadcast(lists.select("id")), "id", "left_semi") if few else base
         texts = texts.join(lists, "id").select("id", "text", "hashes")
-        found = texts.mapInArrow(_next_level(length, level, before), NEXT)
+        found = texts.mapInArrow(_next_level(length, level, before), NEXT).where(F.size("hashes") > 0)
         rows = stored(found.join(owners.select(F.col("digest").alias("d"), "owner"), (F.col("digest") == F.col("d")) & (F.col("id") == F.col("owner"))).select("id", "digest", "text", "hashes"), "repeats-next")
-        before = level
-    listed = _repeated(rows, earlier=True)
-    kept = rows.select("id", "text", "digest").join(listed, "id").select("id", "text", "hashes", "digest").mapInArrow(_remove(length), KEPT).dropDuplicates(["id", "digest"])
-    result = first.select("id", "digest", "n_words").join(owners, "digest").join(kept, ["id", "digest"], "left")
+        discard(lists, *([last] if last else []))
+        before, last = level, rows
+    result = first.select("id", "digest", "n_words")
+    if rows is None:
+        result = result.select("*", F.lit(None).cast("bigint").alias("n_removed"), F.lit(None).cast("string").alias("kept_sha256"))
+    else:
+        listed = _repeated(rows, earlier=True)
+        kept = rows.select("id", "text", "digest").join(listed, "id").select("id", "text", "hashes", "digest").mapInArrow(_remove(length), KEPT).dropDuplicates(["id", "digest"])
+        result = result.join(kept, ["id", "digest"], "left")
+    result = result.join(owners, "digest")  # last, so that nothing above needs its rows by digest and a hot one can be split
     copy = (F.col("id") > F.col("owner")) & (F.col("n_words") >= length)
     return result.select(
         F.when(F.col("id") < LAST_ID, F.col("id")).alias("doc_id"),
