@@ -87,6 +87,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_substrings": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as h from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 48, 1))) as i from w)),
+gone as (select doc_id, i from win join (select h, min(doc_id) as least from win group by h) using (h) where least < doc_id),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+marked as (select s.doc_id, s.pos, s.word, max(case when g.i is null then 0 else 1 end) over (partition by s.doc_id order by s.pos rows between 49 preceding and current row) as cut
+  from words s left join gone g on g.doc_id = s.doc_id and g.i = s.pos)
+select w.doc_id, cast(len(w.ws) as bigint) as n_words, cast(coalesce(m.n, 0) as bigint) as n_removed, sha256(coalesce(m.kept, '')) as kept_sha256
+from w left join (select doc_id, sum(cut) as n, string_agg(word, ' ' order by pos) filter (cut = 0) as kept from marked group by doc_id) m using (doc_id)
+""",
+    "op8_jaccard": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, md5(array_to_string(ws[i:i + 3], ' ')) as h from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.h = b.h and a.doc_id > b.doc_id group by 1, 2),
+links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from n union select r.a, l.b from reach r join both_ways l on l.a = r.b)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(r.component_id, w.doc_id) as component_id
+from w left join n using (doc_id) left join (select a as doc_id, min(b) as component_id from reach group by 1) r using (doc_id)
+""",
     "op3_warc": """
 with p as (
   select page_id, url, coalesce(html, '') as h, cast(octet_length(encode(coalesce(html, ''))) as bigint) as payload_bytes,
