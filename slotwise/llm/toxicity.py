@@ -4,9 +4,9 @@ Words are lower-cased and read as character sequences between word marks. For ea
 highest order holds that class's counts; everything below it is one shared backoff of continuation counts over both
 classes, so an expression that neither class has often gets nearly the same likelihood from both. A word's evidence
 is the difference of its log-likelihoods; a document's features are length-normalised: the mean over its words, the
-highest mean over `WINDOW` consecutive words, and the highest word divided by its characters. A logistic curve,
-fitted on training rows that the counts have not seen and weighted back to the labels' own prevalence, turns them
-into a score from 0 to 1.
+highest mean over `WINDOW` consecutive words, and the highest word divided by its characters; besides, on a log scale,
+how many different words have more evidence than each of `STRONG`. A logistic curve, fitted on training rows that the
+counts have not seen and weighted back to the labels' own prevalence, turns them into a score from 0 to 1.
 
 The n-grams of all labelled training rows are counted, by distributed aggregates; the driver gets a row for each
 different n-gram of the highest order, from which all lower orders follow. Only the logistic curve is fitted on a
@@ -26,22 +26,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ready
-from .common import arrow_schema, batch_of, kept, slices
+from .common import arrow_schema, batch_of, kept, prepared, slices
 
 ORDER = 6
 DISCOUNT = 0.75
 WINDOW = 8
+STRONG = (2.0, 4.0)
 PER_CLASS = 2000
 THRESHOLD = 0.3
 FOLDS = 4
 HELD_OUT = 2
 CALIBRATION = 3
-CACHED_WORDS = 200_000
-STEP = 20_000
+CACHED_WORDS = 100_000
+STEP = 10_000
 BROADCAST_LABELS = 1_000_000
 COUNTS = "gram string, n00 bigint, n01 bigint, n10 bigint, n11 bigint"
-FEATURES = "doc_id bigint, mean_llr double, window_llr double, word_llr double"
+NAMES = ("mean_llr", "window_llr", "word_llr", "some_words", "sure_words")
+FEATURES = "doc_id bigint, " + ", ".join(f"{n} double" for n in NAMES)
 _INNER = re.compile(r"\w+")
 
 
@@ -68,8 +69,8 @@ def keys_of(chars: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray,
     """64-bit keys of the n-grams of this order that end at each position, and of their histories."""
     history = np.full(at.size, order, np.uint64)
     for j in range(order - 1, 0, -1):
-        history = (history ^ (history >> _TURN)) * _MIX + chars[at - j]
-    return (history ^ (history >> _TURN)) * _MIX + chars[at], history
+        history = (history ^ (history >> _TURN)) * _MIX + chars[at - j].astype(np.uint64, copy=False)
+    return (history ^ (history >> _TURN)) * _MIX + chars[at].astype(np.uint64, copy=False), history
 
 
 def grams_of(words: list[str], counts: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -101,23 +102,26 @@ class Model:
     the ratio is known for each n-gram seen and, for all others, for each history seen: two tables say everything.
     """
 
-    def __init__(self, grams: list[str], counts: np.ndarray):
-        """grams: n-grams of the highest order, all lower orders are their ends; counts: a row for each, columns ordinary and toxic."""
-        chars = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        keys, histories = zip(*(keys_of(chars, np.arange(ORDER - 1, chars.size, ORDER), j) for j in range(1, ORDER + 1)), strict=True)
-        shared = []
-        for j in range(ORDER - 1):  # continuation counts: how many different longer n-grams end in this one
-            first = np.unique(keys[j + 1], return_index=True)[1]
-            ends, before = keys[j][first], histories[j][first]
-            shared.append((counted(ends), counted(before), counted(before[np.unique(ends, return_index=True)[1]])))
-        gram, first, inverse = np.unique(keys[-1], return_index=True, return_inverse=True)
+    def __init__(self, chars: np.ndarray, counts: np.ndarray):
+        """chars: code points of n-grams of the highest order, one after the other; all lower orders are their ends, taken
+        one order at a time. counts: a row for each n-gram, columns ordinary and toxic."""
+        at = np.arange(ORDER - 1, chars.size, ORDER)
+        keys, histories = keys_of(chars, at, 1)
+        p = None
+        for j in range(1, ORDER):  # continuation counts: how many different longer n-grams end in this one
+            longer, older = keys_of(chars, at, j + 1)
+            first = np.unique(longer, return_index=True)[1]
+            ends, before = keys[first], histories[first]
+            of_gram, of_history, kinds = counted(ends), counted(before), counted(before[np.unique(ends, return_index=True)[1]])
+            if p is None:
+                p = np.full(at.size, 1.0 / max(2, len(of_gram[0]) + 1))
+            n = np.maximum(look(of_history, histories), 1.0)
+            p = np.maximum(look(of_gram, keys) - DISCOUNT, 0) / n + DISCOUNT * look(kinds, histories) / n * p
+            keys, histories = longer, older
+        gram, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         seen = [np.bincount(inverse, counts[:, c], len(gram)) for c in (0, 1)]
-        keys, histories = (np.stack([k[first] for k in of]) for of in (keys, histories))
-        p = np.full(gram.size, 1.0 / max(2, len(shared[0][0][0]) + 1))
-        for j, (of_gram, of_history, kinds) in enumerate(shared):
-            n = np.maximum(look(of_history, histories[j]), 1.0)
-            p = np.maximum(look(of_gram, keys[j]) - DISCOUNT, 0) / n + DISCOUNT * look(kinds, histories[j]) / n * p
-        self.histories, back = np.unique(histories[-1], return_inverse=True)
+        p = p[first]
+        self.histories, back = np.unique(histories[first], return_inverse=True)
         logs, left = [], []
         for c in (0, 1):
             total = np.bincount(back, seen[c], len(self.histories))
@@ -143,33 +147,40 @@ class Scorer:
     """Features of texts; words' evidence is kept in a bounded cache."""
 
     def __init__(self, model: Model):
-        self.model, self.cache = model, {}
+        self.model, self.index = model, {}
+        self.evidence = self.best = np.zeros(0)
+
+    def _learn(self, new: list[str]) -> None:
+        parts = [_INNER.findall(w) for w in new]
+        owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
+        flat = [x for p in parts for x in p]
+        got = np.concatenate([self.model.evidence(flat[k : k + STEP]) for k in range(0, len(flat), STEP)] or [np.zeros(0)])
+        best = np.zeros(len(new))
+        if flat:
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            best[owner[starts]] = np.maximum.reduceat(got / np.array([len(x) + 1 for x in flat]), starts)
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+        self.evidence = np.concatenate([self.evidence, np.bincount(owner, got, len(new))])
+        self.best = np.concatenate([self.best, best])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         words = [t.lower().split() if t else [] for t in texts]
-        new = set().union(*words).difference(self.cache)
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache.clear()
+        new = set().union(*words).difference(self.index)
+        if len(self.index) + len(new) > CACHED_WORDS:
+            self.__init__(self.model)
             new = set().union(*words)
         if new:
-            new = list(new)
-            parts = [_INNER.findall(w) for w in new]
-            owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
-            flat = [x for p in parts for x in p]
-            got = np.concatenate([self.model.evidence(flat[k : k + STEP]) for k in range(0, len(flat), STEP)] or [np.zeros(0)])
-            best = np.zeros(len(new))
-            if flat:
-                starts = np.flatnonzero(np.diff(owner, prepend=-1))
-                best[owner[starts]] = np.maximum.reduceat(got / np.array([len(x) + 1 for x in flat]), starts)
-            self.cache.update(zip(new, zip(np.bincount(owner, got, len(new)).tolist(), best.tolist(), strict=True), strict=True))
-        out = np.zeros((len(texts), 3))
-        get = self.cache.__getitem__
+            self._learn(list(new))
+        out = np.zeros((len(texts), len(NAMES)))
+        place = self.index.__getitem__
         for i, ws in enumerate(words):
             if ws:
-                pair = np.array(list(map(get, ws)))
-                sums = np.concatenate([[0.0], np.cumsum(pair[:, 0])])
+                at = np.fromiter(map(place, ws), np.int64, len(ws))
+                found = self.evidence[at]
+                sums = np.concatenate([[0.0], np.cumsum(found)])
                 w = min(WINDOW, len(ws))
-                out[i] = sums[-1] / len(ws), (sums[w:] - sums[:-w]).max() / WINDOW, pair[:, 1].max()
+                some = self.evidence[np.unique(at[found > STRONG[0]])]
+                out[i] = sums[-1] / len(ws), (sums[w:] - sums[:-w]).max() / WINDOW, self.best[at].max(), np.log1p(some.size), np.log1p((some > STRONG[1]).sum())
         return out
 
 
@@ -210,7 +221,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def gram_counts(docs: DataFrame, marked: DataFrame, n: int) -> DataFrame:
-    """How often all n marked rows' texts have each n-gram of the highest order: ordinary and toxic, without and in the calibration fold."""
+    """How often all n marked rows' texts have each n-gram of the highest order: ordinary and toxic, without and in the calibration fold; ints, as they all go to the driver."""
     marks = marked.select("doc_id", (F.col("fold") == CALIBRATION).alias("later"), (F.col("cls") == 1).alias("toxic"))
     words = (
         docs.select("doc_id", "text")
@@ -226,12 +237,12 @@ def gram_counts(docs: DataFrame, marked: DataFrame, n: int) -> DataFrame:
             grams, sums = grams_of(part.column(0).to_pylist(), np.column_stack([part.column(i).to_numpy() for i in range(1, 5)]))
             yield batch_of(arrow, [grams, *sums.astype(np.int64).T])
 
-    return words.mapInArrow(run, COUNTS).groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")))
+    return words.mapInArrow(run, COUNTS).groupBy("gram").agg(*(F.least(F.sum(c), F.lit(2**31 - 1)).cast("int").alias(c) for c in ("n00", "n01", "n10", "n11")))
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, list[float], list[float]] | None:
     """The model, its logistic coefficients and the features' scales; None without training rows of both classes."""
-    ready(spark)
+    prepared(spark)
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("cls")).withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
     size = {r.cls: r.n for r in marked.groupBy("cls").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
@@ -239,11 +250,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
     table = gram_counts(docs, marked, sum(size.values())).toArrow()  # a row for each different n-gram
     if not table.num_rows:
         return None
-    grams, counts = table.column(0).to_pylist(), np.column_stack([table.column(i).to_numpy() for i in range(1, 5)])
+    chars = np.concatenate([np.frombuffer("".join(c.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32) for c in table.column(0).chunks])
+    counts = np.column_stack([table.column(i).to_numpy() for i in range(1, 5)])
+    del table
     early = counts[:, :2].any(1)
     if not early.any():
         return None
-    model = Model([g for g, e in zip(grams, early, strict=True) if e], counts[early, :2])
+    model = Model(chars.reshape(-1, ORDER)[early].ravel(), counts[early, :2])
     chosen = None
     for c in (0, 1):
         part = marked.where((F.col("fold") == CALIBRATION) & (F.col("cls") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -252,10 +265,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
     shared = spark.sparkContext.broadcast(model)
     rows = _features(sample, shared).join(F.broadcast(chosen), "doc_id").collect()
-    x, y = np.array([[r.mean_llr, r.window_llr, r.word_llr] for r in rows]), np.array([r.cls for r in rows])
-    model = Model(grams, counts[:, :2] + counts[:, 2:])  # the curve is known; now all folds count
+    shared.destroy()
+    x, y = np.array([[r[n] for n in NAMES] for r in rows]), np.array([r.cls for r in rows])
+    model = Model(chars, counts[:, :2] + counts[:, 2:])  # the curve is known; now all folds count
     if len(set(y.tolist())) < 2:
-        return model, [1.0, 0.0, 0.0, 0.0], [1.0, 1.0, 1.0]
+        return model, [1.0] + [0.0] * len(NAMES), [1.0] * len(NAMES)
     scale = np.maximum(x.std(0), 1e-9)
     weight = np.where(y == 1, size[1] / max(1, (y == 1).sum()), size[0] / max(1, (y == 0).sum()))
     return model, logistic(x / scale, y, weight).tolist(), scale.tolist()
@@ -268,7 +282,7 @@ def keep_ordinary(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_c
         return docs
     model, beta, scale = fitted
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
-    slope, limit = np.array(beta[:3]) / np.array(scale), np.log(threshold / (1 - threshold)) - beta[3]
+    slope, limit = np.array(beta[:-1]) / np.array(scale), np.log(threshold / (1 - threshold)) - beta[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
@@ -285,9 +299,9 @@ def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, per
     if fitted is None:
         return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     model, beta, scale = fitted
-    z = F.lit(beta[3])
-    for name, b, s in zip(("mean_llr", "window_llr", "word_llr"), beta, scale, strict=False):
+    z = F.lit(beta[-1])
+    for name, b, s in zip(NAMES, beta, scale, strict=False):
         z = z + F.col(name) * F.lit(b / s)
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), z))))
-    found = _features(docs, spark.sparkContext.broadcast(model)).select("doc_id", held, score.alias("score"), "mean_llr", "window_llr", "word_llr")
-    return found.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "mean_llr", "window_llr", "word_llr")
+    found = _features(docs, spark.sparkContext.broadcast(model)).select("doc_id", held, score.alias("score"), *NAMES)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *NAMES)
