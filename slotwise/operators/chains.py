@@ -70,9 +70,10 @@ def split_overlap(asked: DataFrame) -> DataFrame:
 def walk(facts: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """Iterative retrieval: each hop looks up the facts whose subject is the target found before; keeps a key's first hop."""
     frontier = starts.select(F.col("subject").alias("start"), F.col("subject").alias("at"))
+    steps = facts.select(F.col("subject").alias("at"), "object").distinct()
     found = None
     for hop in range(1, hops + 1):
-        frontier = frontier.join(facts.select(F.col("subject").alias("at"), "object").distinct(), "at").select("start", F.col("object").alias("at")).distinct()
+        frontier = frontier.join(steps, "at").select("start", F.col("object").alias("at")).distinct()
         step = frontier.select("start", F.lit(hop).alias("hop"), F.col("at").alias("reached"))
         found = step if found is None else found.unionByName(step)
     return found.groupBy("start", "reached").agg(F.min("hop").alias("hop"))

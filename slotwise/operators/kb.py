@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Container
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import UNK, tokens
 from ..sources.tables import table
-from .text import dense_id
+from .text import dense_id, in_ranges
 
 
 def _key(kind: str, value: Column | str) -> Column:
@@ -17,30 +18,26 @@ def _key(kind: str, value: Column | str) -> Column:
     return F.concat(F.lit(f"{kind}_"), F.regexp_replace(value.cast("string"), "[^A-Za-z0-9]", "_"))
 
 
-def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subject, relation and object of every fact of the star tables."""
+def triples(spark: SparkSession, sf_dir: str, kinds: Container[str] | None = None) -> DataFrame:
+    """subject, relation and object of every fact of the star tables, or only of those about subjects of some kinds: other tables are not read."""
     t = lambda name: table(spark, sf_dir, name)
-    nation = t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    named = t("nation").select(F.col("n_nationkey").alias("nk"), _key("nation", "n_name").alias("object"))
-    parts = [
-        nation.select(_key("nation", "n_name").alias("subject"), F.lit("in").alias("relation"), _key("region", "r_name").alias("object")),
-        t("customer").join(F.broadcast(named), F.col("c_nationkey") == F.col("nk")).select(_key("customer", "c_custkey").alias("subject"), F.lit("from").alias("relation"), "object"),
-        t("supplier").join(F.broadcast(named), F.col("s_nationkey") == F.col("nk")).select(_key("supplier", "s_suppkey").alias("subject"), F.lit("from").alias("relation"), "object"),
-        t("orders").select(_key("order", "o_orderkey").alias("subject"), F.lit("by").alias("relation"), _key("customer", "o_custkey").alias("object")),
-        t("lineitem").select(_key("line", F.concat_ws("_", "l_orderkey", "l_linenumber")).alias("subject"), F.lit("of").alias("relation"), _key("supplier", "l_suppkey").alias("object")),
-        t("part").select(_key("part", "p_partkey").alias("subject"), F.lit("made_as").alias("relation"), _key("brand", "p_brand").alias("object")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    named = lambda: F.broadcast(t("nation").select(F.col("n_nationkey").alias("nk"), _key("nation", "n_name").alias("object")))
+    parts = {
+        "nation": lambda: t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(_key("nation", "n_name").alias("subject"), F.lit("in").alias("relation"), _key("region", "r_name").alias("object")),
+        "customer": lambda: t("customer").join(named(), F.col("c_nationkey") == F.col("nk")).select(_key("customer", "c_custkey").alias("subject"), F.lit("from").alias("relation"), "object"),
+        "supplier": lambda: t("supplier").join(named(), F.col("s_nationkey") == F.col("nk")).select(_key("supplier", "s_suppkey").alias("subject"), F.lit("from").alias("relation"), "object"),
+        "order": lambda: t("orders").select(_key("order", "o_orderkey").alias("subject"), F.lit("by").alias("relation"), _key("customer", "o_custkey").alias("object")),
+        "line": lambda: t("lineitem").select(_key("line", F.concat_ws("_", "l_orderkey", "l_linenumber")).alias("subject"), F.lit("of").alias("relation"), _key("supplier", "l_suppkey").alias("object")),
+        "part": lambda: t("part").select(_key("part", "p_partkey").alias("subject"), F.lit("made_as").alias("relation"), _key("brand", "p_brand").alias("object")),
+    }
+    return reduce(DataFrame.unionByName, [make() for kind, make in parts.items() if kinds is None or kind in kinds])
 
 
 def slot_table(facts: DataFrame) -> DataFrame:
     """kb(slot_id, text, embedding_target, subject): one slot for each distinct text, ids dense in the order of texts."""
     text = F.concat(F.concat_ws(" ", "subject", "relation", "object"), F.lit(" ."))
     kb = facts.select(text.alias("text"), F.col("object").alias("embedding_target"), "subject").groupBy("text").agg(F.min("embedding_target").alias("embedding_target"), F.min("subject").alias("subject"))
-    return dense_id(kb, F.col("text"), F.substring("text", 1, 9), "slot_id").select("slot_id", "text", "embedding_target", "subject")
+    return dense_id(in_ranges(kb, "text"), F.col("text"), F.col("__range"), "slot_id").select("slot_id", "text", "embedding_target", "subject")
 
 
 def value_tokens(kb: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import ANS, BOS, EOS, FACT, SPECIALS, TOKEN_PATTERN, UNK, padded, tokens
+from ..session import shared_dir
 from ..functions.text import Q as QUESTION
 
 
@@ -27,10 +29,21 @@ def dense_id(df: DataFrame, order: Column, bucket: Column, name: str, start: int
     return found.withColumn(name, (F.col("__before") + F.col("__nth") + F.lit(start - 1)).cast("int")).drop("__bucket", "__b", "__n", "__nth", "__before")
 
 
+def in_ranges(df: DataFrame, order: str) -> DataFrame:
+    """df with `__range`, the number of its range of `order`, as a bucket for dense_id: bounds are sampled, so common prefixes make no large buckets.
+
+    Written below the shared folder, since sampled bounds need not be the same twice.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """vocab(token, id): special tokens first, then all distinct tokens in code-point order."""
     content = texts.select(F.explode(tokens(F.col(text_col))).alias("token")).distinct()
-    content = dense_id(content, F.col("token"), F.substring("token", 1, 3), "id", len(SPECIALS))
+    content = dense_id(in_ranges(content, "token"), F.col("token"), F.col("__range"), "id", len(SPECIALS))
     spark = texts.sparkSession
     return spark.createDataFrame(list(zip(SPECIALS, range(len(SPECIALS)), strict=True)), "token string, id int").unionByName(content.select("token", "id"))
 

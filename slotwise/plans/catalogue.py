@@ -160,7 +160,7 @@ def answer_leakage(spark, d):
 
 def _chain(task: str) -> Query:
     def run(spark, d):
-        found = chains.chain(kb.triples(spark, d), task)
+        found = chains.chain(kb.triples(spark, d, chains.PATHS[task]), task)
         return found.select("hops", "subject", F.array_join("path", ">").alias("path"), "answer")
 
     return run
@@ -177,12 +177,12 @@ def chain_parts(spark, d):
 
 @query
 def chain_examples(spark, d):
-    return chains.examples(chains.chain(kb.triples(spark, d), "two_hop_reasoning"), 5).drop("task_type")
+    return chains.examples(chains.chain(kb.triples(spark, d, chains.PATHS["two_hop_reasoning"]), "two_hop_reasoning"), 5).drop("task_type")
 
 
 @query
 def split_overlap(spark, d):
-    asked = chains.examples(chains.chain(kb.triples(spark, d), "two_hop_reasoning"), 2**31 - 1)
+    asked = chains.examples(chains.chain(kb.triples(spark, d, chains.PATHS["two_hop_reasoning"]), "two_hop_reasoning"), 2**31 - 1)
     return chains.split_overlap(asked.select(chains.split_of(slot_number(F.col("subject"))).alias("split"), "question"))
 
 
@@ -193,7 +193,7 @@ def top_targets(spark, d):
 
 @query
 def addressable_distractors(spark, d):
-    found = chains.chain(kb.triples(spark, d), "three_hop_reasoning")
+    found = chains.chain(kb.triples(spark, d, chains.PATHS["three_hop_reasoning"]), "three_hop_reasoning")
     subjects = F.slice("path", 1, F.size("path") - 1)
     addressable = F.filter(subjects, lambda s: chains.kind(s).isin("customer", "nation"))
     targets = F.slice("path", 2, F.size("path") - 1)
@@ -202,16 +202,15 @@ def addressable_distractors(spark, d):
 
 @query
 def fact_mix(spark, d):
-    asked = chains.examples(chains.chain(kb.triples(spark, d), "single_fact_recall"), 1).select(F.lit("qa").alias("kind"), F.concat_ws(" ", "question", "answer").alias("text"), F.lit(-1).alias("slot_id"))
+    asked = chains.examples(chains.chain(kb.triples(spark, d, chains.PATHS["single_fact_recall"]), "single_fact_recall"), 1).select(F.lit("qa").alias("kind"), F.concat_ws(" ", "question", "answer").alias("text"), F.lit(-1).alias("slot_id"))
     facts = _kb(spark, d).select(F.lit("fact").alias("kind"), "text", "slot_id")
     return texts.mix_in_facts(asked, facts, 0.25, "slot_id")
 
 
 @query
 def iterative_chain(spark, d):
-    facts = kb.triples(spark, d)
-    starts = facts.where(chains.kind(F.col("subject")) == "order").select("subject").distinct()
-    return chains.walk(facts, starts, 3)
+    starts = kb.triples(spark, d, ("order",)).select("subject").distinct()
+    return chains.walk(kb.triples(spark, d, ("order", "customer", "nation")), starts, 3)
 
 
 # --- retrieval ------------------------------------------------------------------------------------------------------

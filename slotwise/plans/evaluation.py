@@ -302,7 +302,7 @@ def collated_batches(spark, d):
 @query
 def open_book_prompts(spark, d):
     """Two-hop questions with the texts of their facts before them, as ids of the vocabulary of facts and questions."""
-    asked = chains.examples(chains.chain(kb.triples(spark, d), "two_hop_reasoning"), 1).where("template = 0")
+    asked = chains.examples(chains.chain(kb.triples(spark, d, chains.PATHS["two_hop_reasoning"]), "two_hop_reasoning"), 1).where("template = 0")
     facts = _kb(spark, d).select("subject", "text")
     asked = asked.select(F.col("subject").alias("asked"), "question", "answer")
     rows = asked.join(facts, F.col("asked") == F.col("subject")).select("asked", "question", "answer", "text")
@@ -323,7 +323,7 @@ def fact_sequences(spark, d):
 @query
 def first_examples(spark, d):
     """The first 100 examples in a fixed order, as a limit of an evaluation asks for."""
-    rows = chains.examples(chains.chain(kb.triples(spark, d), "two_hop_reasoning"), 5)
+    rows = chains.examples(chains.chain(kb.triples(spark, d, chains.PATHS["two_hop_reasoning"]), "two_hop_reasoning"), 5)
     return rows.orderBy("question", "answer", "subject", "template").limit(100).select("subject", "template", "question", "answer")
 
 
