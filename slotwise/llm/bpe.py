@@ -3,8 +3,9 @@
 Pieces (the matches of the pre-tokenising pattern) are encoded once per worker and kept in a bounded cache. New
 pieces are sorted into length buckets; each bucket is a padded matrix of token ids in which every row merges its
 leftmost pair of minimum rank each round. Pair ranks come from an open-addressed hash table; a merge shifts the
-row's rest one place left, and rows that have no pair left leave the matrix (compaction). Pieces of over
-`LONGEST_ROW` bytes take a priority queue with the same merge order, since a matrix round costs its whole width.
+row's rest one place left, and rows that have no pair left leave the matrix (compaction). In buckets of over
+`LONGEST_ROW` bytes, where a round should not cost a row's whole width, rows are matrices of blocks with the least
+rank of each block at hand, merged tokens are linked and compacted when a row is done; the rounds are the same.
 
 Null and empty texts have no tokens; repeated rows give repeated rows; other columns are not read.
 """
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -21,13 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ready
-from .common import arrow_schema, batch_of, kept, slices
+from .common import arrow_schema, batch_of, kept, prepared, slices
 
 NO_RANK = np.iinfo(np.int64).max
 LONGEST_ROW = 256
-CELLS = 1 << 20
-CACHED_PIECES = 200_000
+CELLS = 1 << 18
+CACHED_PIECES = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -116,14 +115,12 @@ class ByteBPE:
         out: list[tuple[int, ...]] = [()] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
-            if len(p) > LONGEST_ROW:
-                out[i] = self._by_queue(p)
-            elif p:
-                buckets.setdefault((len(p) + 3) // 4, []).append(i)
-        for quads, members in buckets.items():
-            rows = max(1, CELLS // (4 * quads))
+            if p:
+                buckets.setdefault((len(p) + 3) // 4 * 4 if len(p) <= LONGEST_ROW else 1 << (len(p) - 1).bit_length(), []).append(i)
+        for width, members in buckets.items():
+            rows = max(1, CELLS // width)
             for k in range(0, len(members), rows):
-                self._by_matrix(pieces, members[k : k + rows], out)
+                (self._by_matrix if width <= LONGEST_ROW else self._by_blocks)(pieces, members[k : k + rows], out)
         return out
 
     def _by_matrix(self, pieces: list[bytes], members: list[int], out: list[tuple[int, ...]]) -> None:
@@ -155,31 +152,39 @@ class ByteBPE:
             right = np.flatnonzero(best < ids.shape[1] - 1)
             rank[right, best[right]] = self.pairs.rank(ids[right, best[right]], ids[right, best[right] + 1])
 
-    def _by_queue(self, piece: bytes) -> tuple[int, ...]:
-        """The same merges for a very long piece, in n log n steps."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        first = self.pairs.rank(ids[:-1], ids[1:])
-        queue = [(int(r), i) for i, r in enumerate(first.tolist()) if r != NO_RANK]
-        heapq.heapify(queue)
-        pair = dict(zip((self.pairs.keys[self.pairs.keys >= 0]).tolist(), self.pairs.values[self.pairs.keys >= 0].tolist(), strict=True))
-        width, n = self.pairs.width, len(ids)
-        ids, after, before = ids.tolist(), [*range(1, n), -1], list(range(-1, n - 1))
-
-        def push(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (r := pair.get(ids[i] * width + ids[after[i]])) is not None:
-                heapq.heappush(queue, (r, i))
-
-        while queue:
-            r, i = heapq.heappop(queue)
-            if ids[i] < 0 or (j := after[i]) < 0 or pair.get(ids[i] * width + ids[j]) != r:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            push(before[i])
-            push(i)
-        return tuple(x for x in ids if x >= 0)
+    def _by_blocks(self, pieces: list[bytes], members: list[int], out: list[tuple[int, ...]]) -> None:
+        """The same rounds for long rows: a round reads a row's block minima and the blocks it changes, not the whole row."""
+        lengths = np.array([len(pieces[i]) for i in members])
+        width = int(lengths.max() ** 0.5) + 1
+        blocks = -(-int(lengths.max()) // width)
+        place = np.arange(blocks * width)
+        ids = np.full((len(members), place.size), -1, np.int64)
+        ids[place < lengths[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces[i] for i in members), np.uint8)]
+        after = np.where(place + 1 < lengths[:, None], place + 1, -1)
+        before = np.broadcast_to(place - 1, ids.shape).copy()
+        rank = np.full(ids.shape, NO_RANK, np.int64)
+        rank[:, :-1] = self.pairs.rank(ids[:, :-1], ids[:, 1:])
+        cells = rank.reshape(len(members), blocks, width)
+        least = cells.min(2)
+        on = np.arange(len(members))
+        while on.size:
+            block = least[on].argmin(1)
+            merged = least[on, block]
+            go = merged != NO_RANK
+            on, block, merged = on[go], block[go], merged[go]
+            here = block * width + cells[on, block].argmin(1)
+            gone, prior = after[on, here], before[on, here]
+            follows = after[on, gone]
+            ids[on, here], ids[on, gone], rank[on, gone] = merged, -1, NO_RANK
+            after[on, here] = follows
+            right, left = np.flatnonzero(follows >= 0), np.flatnonzero(prior >= 0)
+            before[on[right], follows[right]] = here[right]
+            rank[on, here] = self.pairs.rank(merged, np.where(follows >= 0, ids[on, follows], -1))
+            rank[on[left], prior[left]] = self.pairs.rank(ids[on[left], prior[left]], merged[left])
+            for rows, at in ((on, here), (on, gone), (on[left], prior[left])):
+                least[rows, at // width] = cells[rows, at // width].min(1)
+        for i, row in zip(members, ids, strict=True):
+            out[i] = tuple(row[row >= 0].tolist())
 
 
 def _worker(ranks, pattern: str) -> ByteBPE:
@@ -192,7 +197,7 @@ ROUND_TRIP = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256
 
 def encode_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col bigint, ids array<int>) of each row; the rank table (some 50,000 entries) is broadcast."""
-    shared, schema = ready(spark).sparkContext.broadcast(ranks), f"`{id_col}` bigint, ids array<int>"
+    shared, schema = prepared(spark).sparkContext.broadcast(ranks), f"`{id_col}` bigint, ids array<int>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, arrow = _worker(shared, pattern), arrow_schema(schema)
@@ -204,7 +209,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, in
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col bigint, text string) of each row of ids; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
-    shared, schema = ready(spark).sparkContext.broadcast(ranks), f"`{id_col}` bigint, text string"
+    shared, schema = prepared(spark).sparkContext.broadcast(ranks), f"`{id_col}` bigint, text string"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, arrow = _worker(shared, pattern), arrow_schema(schema)
@@ -216,7 +221,7 @@ def decode_documents(spark: SparkSession, encoded: DataFrame, ranks: dict[bytes,
 
 def round_trip(spark: SparkSession, docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
     """Encode each whole text, decode its ids, and return ROUND_TRIP: counts and digests, and the ids only if asked for."""
-    shared, schema = ready(spark).sparkContext.broadcast(ranks), ROUND_TRIP + ", ids array<int>" * with_ids
+    shared, schema = prepared(spark).sparkContext.broadcast(ranks), ROUND_TRIP + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, arrow = _worker(shared, pattern), arrow_schema(schema)
