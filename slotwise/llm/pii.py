@@ -46,7 +46,37 @@ ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|38)"
 RESERVED = r"^0*(?:0|127|22[4-9]|2[3-5][0-9])\."
 AREA = r"^\+?1?[^0-9]*\(?[2-9][0-9]{2}"
 LABELERS = ("shape", "gazetteer", "before", "after")
-HIT = "array<struct<kind:int,start:int,stop:int,strict:boolean,votes:int,form:int>>"
+#: Spans sort by start, then kind, then stop.
+HIT = "array<struct<start:int,kind:int,stop:int,strict:boolean,votes:int,form:int>>"
+#: Code points of the blocks that `redact` cuts a text from: a place in a block is found without reading the text before it.
+BLOCK = 1024
+
+
+def _let(x: Column, f) -> Column:
+    """f(x) with x evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _running(values: Column, op, start: int) -> Column:
+    """op over each prefix of an array of ints, in blocks of about the square root of its size, since appending copies an array."""
+    first = F.lit(start)
+
+    def scan(part: Column, begin: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(F.concat(acc["out"], F.array(op(acc["last"], x))).alias("out"), op(acc["last"], x).alias("last"))
+
+        return F.aggregate(part, F.struct(F.array().cast("array<int>").alias("out"), begin.alias("last")), step, lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int")
+        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / w).cast("int") - 1), lambda b: F.slice(v, b * w + 1, w)))
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, first, op))
+        before = F.slice(F.concat(F.array(first), scan(totals, first)), 1, F.size(blocks))
+        return F.flatten(F.zip_with(blocks, before, scan))
+
+    return F.when(F.size(values) > 0, _let(values, lambda v: _let(whole(v), joined))).otherwise(F.array().cast("array<int>"))
 
 
 def _digits(x: Column) -> Column:
@@ -101,20 +131,15 @@ def _matches(df: DataFrame, name: str, kind: str, pattern: str, guard: Column, s
     df = df.withColumn(found, F.when(guard, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn(pieces, F.when(F.size(found) > 0, F.split("text", pattern, -1)).otherwise(none))
 
-    def step(acc: Column, i: Column) -> Column:
-        at = acc["pos"] + F.length(F.get(pieces, i))
-        return F.struct(F.concat(acc["starts"], F.array(at)).alias("starts"), (at + F.length(F.get(found, i))).alias("pos"))
-
-    begin = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("pos"))
-    every = F.sequence(F.lit(0), F.size(found) - 1)
-    df = df.withColumn(starts, F.when(F.size(found) > 0, F.aggregate(every, begin, step, lambda acc: acc["starts"])).otherwise(F.array().cast("array<int>")))
+    ends = _running(F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, f: F.length(p) + F.length(f)), lambda a, x: a + x, 0)
+    df = df.withColumn(starts, F.zip_with(ends, found, lambda e, f: e - F.length(f)))
 
     def one(start: Column, i: Column) -> Column:
         hit = F.get(found, i)
         before, after = F.right(F.get(pieces, i), F.lit(40)), F.left(F.get(pieces, i + 1), F.lit(16))
         form = F.least(F.lit(3), F.floor(F.length(hit) / 8)).cast("int")
         good = _valid(kind, hit) if strict else F.lit(True)
-        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("stop"), F.lit(strict).alias("strict"), _votes(kind, strict, hit, before, after).alias("votes"), form.alias("form"))
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(hit)).alias("stop"), F.lit(strict).alias("strict"), _votes(kind, strict, hit, before, after).alias("votes"), form.alias("form"))
         return F.when(good, span)
 
     spans = F.filter(F.transform(starts, one), lambda x: x.isNotNull())
@@ -122,7 +147,7 @@ def _matches(df: DataFrame, name: str, kind: str, pattern: str, guard: Column, s
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """docs (null texts empty) with arrays `base` and `loose` of candidate spans."""
+    """docs(row, text) (null texts empty) with arrays `base` and `loose` of candidate spans in order."""
     df = docs.withColumn("text", F.coalesce("text", F.lit("")))
     digit = F.col("text").rlike("[0-9]")
     guards = {"email": F.contains("text", F.lit("@")), "ip": digit & F.contains("text", F.lit(".")), "card": F.col("text").rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": F.contains("text", F.lit("+")) & digit}
@@ -131,12 +156,23 @@ def candidates(docs: DataFrame) -> DataFrame:
     guards |= {"email": F.contains("text", F.lit("dot")), "phone": F.col("text").rlike(r"[0-9]{3}[\x20.-][0-9]{4}")}
     for kind, pattern in LOOSE.items():
         df = _matches(df, f"__loose_{kind}", kind, pattern, guards[kind], False)
-    order = lambda a: F.array_sort(a, lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).when(x["kind"] != y["kind"], x["kind"] - y["kind"]).otherwise(x["stop"] - y["stop"]))
-    join = lambda names: F.concat(*(F.col(n) for n in names))
-    df = df.withColumn("base", order(join(f"__{k}" for k in STRICT))).withColumn("loose", join(f"__loose_{k}" for k in LOOSE))
-    apart = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    df = df.withColumn("loose", F.when(F.size("loose") > 0, apart).otherwise(F.col("loose")))
-    return df.drop(*(f"__{k}" for k in STRICT), *(f"__loose_{k}" for k in LOOSE))
+    join = lambda names: F.sort_array(F.concat(*(F.col(n) for n in names)))
+    df = df.withColumn("base", join(f"__{k}" for k in STRICT)).withColumn("loose", join(f"__loose_{k}" for k in LOOSE))
+    return df.withColumn("loose", F.when(F.size("loose") > 0, _apart(F.sort_array(F.concat("base", "loose")))).otherwise(F.col("loose"))).select(*docs.columns, "base", "loose")
+
+
+def _apart(spans: Column) -> Column:
+    """Of spans in order the loose ones that overlap no strict one: the strict ones before end by their start, the next begins at their stop or later."""
+    last = 2**31 - 1
+
+    def alone(a: Column) -> Column:
+        ended = _running(F.transform(a, lambda s: F.when(s["strict"], s["stop"]).otherwise(0)), lambda a, x: F.greatest(a, x), 0)
+        begun = F.reverse(_running(F.reverse(F.transform(a, lambda s: F.when(s["strict"], s["start"]).otherwise(last))), lambda a, x: F.least(a, x), last))
+        rows = F.arrays_zip(a.alias("s"), ended.alias("e"), begun.alias("b"))
+        good = F.filter(rows, lambda r: ~r["s"]["strict"] & (r["e"] <= r["s"]["start"]) & (r["b"] >= r["s"]["stop"]))
+        return F.transform(good, lambda r: r["s"])
+
+    return _let(spans, alone)
 
 
 def votes_of(code: int) -> tuple[int, ...]:
@@ -219,7 +255,7 @@ def accepted(span: Column, weights: list[float]) -> Column:
 def _all_spans(weights: list[float]) -> Column:
     """Base and accepted loose spans by start, then kind."""
     taken = F.when(F.size("loose") > 0, F.filter("loose", lambda s: accepted(s, weights))).otherwise(F.col("loose"))
-    return F.array_sort(F.concat("base", taken), lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).when(x["kind"] != y["kind"], x["kind"] - y["kind"]).otherwise(x["stop"] - y["stop"]))
+    return F.sort_array(F.concat("base", taken))
 
 
 def _listed(spans: Column) -> Column:
@@ -229,34 +265,41 @@ def _listed(spans: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """Counts, base digest and all spans of each document's whole text."""
-    found = stored(candidates(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).drop("text"), "pii")
+    found = stored(candidates(docs.select(F.col("doc_id").cast("bigint").alias("row"), "text")).drop("text"), "pii")
     weights = fit(found)
     kinds = F.transform("base", lambda s: s["kind"])
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(_all_spans(weights)).alias("spans"))
+    return found.select(F.col("row").alias("doc_id"), *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(_all_spans(weights)).alias("spans"))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """text with each run of overlapping spans replaced by the first one's kind in angle brackets; spans are in order."""
+    names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
+
+    def between(blocks: Column, start: Column, stop: Column) -> Column:
+        a, b = F.floor(start / BLOCK).cast("int"), F.floor(stop / BLOCK).cast("int")
+        inside = F.substring(F.get(blocks, a), start % BLOCK + 1, stop - start)
+        across = F.concat(F.substring(F.get(blocks, a), start % BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, a + 2, b - a - 1), ""), F.coalesce(F.substring(F.get(blocks, b), F.lit(1), stop % BLOCK), F.lit("")))
+        return F.when(stop <= start, "").when(a == b, inside).otherwise(across)
+
+    def cut(blocks: Column, s: Column, ended: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), ended)
+        heads = F.filter(F.zip_with(s, F.slice(before, 1, F.size(s)), lambda x, e: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), e.alias("ended"))), lambda h: h["start"] >= h["ended"])
+        parts = F.transform(heads, lambda h: F.concat(between(blocks, h["ended"], h["start"]), F.get(names, h["kind"])))
+        return F.concat(F.array_join(parts, ""), between(blocks, F.element_at(ended, -1), F.length(text)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    ended = _running(F.transform(spans, lambda s: s["stop"]), lambda a, x: F.greatest(a, x), 0)
+    return F.when(F.size(spans) > 0, _let(pieces, lambda p: _let(ended, lambda e: cut(p, spans, e)))).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span's text replaced by its kind in angle brackets (overlapping spans: the first's kind), n_chars renewed."""
-    columns = docs.columns
-    weights = fit(candidates(docs.select("text")))
-    df = candidates(docs).withColumn("__spans", _all_spans(weights))
-
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
-        fresh = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))
-        return F.when((F.size(acc) > 0) & (s["start"] < last["stop"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
-
-    none = F.array().cast("array<struct<kind:int,start:int,stop:int>>")
-    df = df.withColumn("__cut", F.when(F.size("__spans") > 0, F.aggregate("__spans", none, merge)).otherwise(none))
-    tag = lambda s: F.concat(F.lit("<"), F.element_at(F.array(*(F.lit(k) for k in KINDS)), s["kind"] + 1), F.lit(">"))
-
-    def piece(s: Column, i: Column) -> Column:
-        prior = F.when(i == 0, 0).otherwise(F.get("__cut", i - 1)["stop"])
-        return F.concat(F.substring(F.col("text"), prior + 1, s["start"] - prior), tag(s))
-
-    last = F.element_at("__cut", -1)["stop"]
-    masked = F.concat(F.array_join(F.transform("__cut", piece), ""), F.substring(F.col("text"), last + 1, F.length("text")))
-    df = df.withColumn("text", F.when(F.size("__cut") > 0, masked).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("bigint"))
-    return df.select(*columns)
+    """docs with every span's text replaced by its kind in angle brackets (overlapping spans: the first's kind), n_chars renewed; null texts become empty.
+
+    The other columns are kept as they are, whatever their names.
+    """
+    others = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"))
+    found = stored(candidates(docs.select(others.alias("row"), "text")), "pii-redact")
+    done = found.withColumn("spans", _all_spans(fit(found))).select("row", masked(F.col("text"), F.col("spans")).alias("text"))
+    renewed = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return done.select(*(renewed.get(c, F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)))
