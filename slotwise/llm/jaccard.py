@@ -28,7 +28,6 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -203,10 +202,10 @@ def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple
     early = stored(first.where("not whole").select("id", "digest", "n").distinct(), "jaccard-short")
     # sets whose first shingles are mostly frequent need shingles that no extended prefix has shown: count those of them too
     shown = _texts(base, early).select("id", "text").mapInArrow(_all(rule), WHOLE)
-    often = pd.concat([often, _frequent(shown.select(F.explode("keys").alias("k")), heavy)]).groupby("k", as_index=False).max()
+    often = _most(often, _frequent(shown.select(F.explode("keys").alias("k")), heavy))
     discard(early)
     common.destroy()
-    small, common = boundary(rule, float(often.c.mean()) if len(often) else 1.0), spark.sparkContext.broadcast(_order(often))
+    small, common = boundary(rule, float(often[1].mean()) if often[1].size else 1.0), spark.sparkContext.broadcast(_order(often))
     listed = stored(owned.mapInArrow(_listed(rule, small, common, False), KEYED), "jaccard-lists")
     short = stored(listed.where("not whole").select("id", "digest", "n").distinct(), "jaccard-short")
     again = _texts(base, short).mapInArrow(_listed(rule, small, common, True), KEYED)
@@ -248,16 +247,25 @@ def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple
     return sets.select("id", "digest", "n"), groups
 
 
-def _frequent(shingled: DataFrame, least: int) -> pd.DataFrame:
-    """k and its count of the most frequent shingles, HEAVY_KEPT at most."""
+def _frequent(shingled: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles and their counts, HEAVY_KEPT at most."""
     found = shingled.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "k").limit(HEAVY_KEPT).toArrow()
-    return pd.DataFrame({"k": found.column(0).to_numpy(), "c": found.column(1).to_numpy()})
+    return found.column(0).to_numpy(), found.column(1).to_numpy()
 
 
-def _order(often: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _most(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both lists' shingles, HEAVY_KEPT at most, each with its larger count."""
+    k, at = np.unique(np.concatenate([one[0], two[0]]), return_inverse=True)
+    c = np.zeros(k.size, np.int64)
+    np.maximum.at(c, at, np.concatenate([one[1], two[1]]))
+    kept = np.sort(np.lexsort((k, -c))[:HEAVY_KEPT])
+    return k[kept], c[kept]
+
+
+def _order(often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles by hash, and the place of each in the order from less to more frequent."""
-    k, place = often.k.to_numpy(np.int64).view(np.uint64), np.empty(len(often), np.int64)
-    place[np.lexsort((k, often.c.to_numpy()))] = np.arange(len(often))
+    k, place = often[0].astype(np.int64).view(np.uint64), np.empty(often[0].size, np.int64)
+    place[np.lexsort((k, often[1]))] = np.arange(k.size)
     by_hash = np.argsort(k)
     return k[by_hash], place[by_hash]
 
@@ -351,4 +359,4 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     if n:
         again = F.broadcast(again) if n <= BROADCAST_IDS else again
         kept = kept.join(again, KEY, "left_anti").unionByName(kept.join(again, KEY, "left_semi").dropDuplicates([KEY]))
-    return kept.select(*docs.columns).unionByName(docs.where(bare))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(bare))
