@@ -37,7 +37,12 @@ def slot_table(facts: DataFrame) -> DataFrame:
     """kb(slot_id, text, embedding_target, subject): one slot for each distinct text, ids dense in the order of texts."""
     text = F.concat(F.concat_ws(" ", "subject", "relation", "object"), F.lit(" ."))
     kb = facts.select(text.alias("text"), F.col("object").alias("embedding_target"), "subject").groupBy("text").agg(F.min("embedding_target").alias("embedding_target"), F.min("subject").alias("subject"))
-    return dense_id(in_ranges(kb, "text"), F.col("text"), F.col("__range"), "slot_id").select("slot_id", "text", "embedding_target", "subject")
+    return numbered(kb)
+
+
+def numbered(facts: DataFrame) -> DataFrame:
+    """facts(text, embedding_target, subject) of different texts with dense slot ids in the order of texts."""
+    return dense_id(in_ranges(facts, "text"), F.col("text"), F.col("__range"), "slot_id").select("slot_id", "text", "embedding_target", "subject")
 
 
 def value_tokens(kb: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mix, tokens
@@ -27,11 +30,15 @@ def random_slots(spark, d):
     return retrieve.random_slots(_meta(spark, d), _live(spark, d), 8, 11)
 
 
-def _text_vectors(spark, d):
-    """Each benchmark item as the mean of its tokens' vectors; a token's vector is chosen by the first digits of its MD5."""
+def _items(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _text_vectors(spark, d, texts_of):
+    """Each text(query_id, text) as the mean of its tokens' vectors; a token's vector is chosen by the first digits of its MD5."""
     n = table(spark, d, "embeddings").agg(F.count("*").alias("n"))
     place = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 7), 16, 10).cast("bigint")
-    words = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(tokens(F.col("text"))).alias("token")).join(F.broadcast(n), F.lit(True))
+    words = texts_of.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).join(F.broadcast(n), F.lit(True))
     rows = words.select("query_id", (place % F.col("n")).alias("vec_id")).join(_vectors(spark, d).select("vec_id", F.posexplode("vec").alias("at", "x")), "vec_id")
     sums = rows.groupBy("query_id", "at").agg(F.round(F.avg("x"), 12).alias("x"))
     return sums.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda r: r["x"]).alias("vec"))
@@ -39,7 +46,32 @@ def _text_vectors(spark, d):
 
 @query
 def text_query_topk(spark, d):
-    return _shown(retrieve.topk(_text_vectors(spark, d), _slot_vecs(spark, d), 8))
+    return _shown(retrieve.topk(_text_vectors(spark, d, _items(spark, d)), _slot_vecs(spark, d), 8))
+
+
+@query
+def multi_query_text(spark, d):
+    """Four texts of each question (itself, with its task, with its hops, task and hops alone), the best eight of each, as one list."""
+    hops = F.concat((F.col("query_id") % 3 + 1).cast("string"), F.lit(" hops"))
+    task = F.concat(F.lit("reading task "), (F.col("query_id") % 5).cast("string"))
+    forms = (F.col("text"), F.concat_ws(" ", "text", task), F.concat_ws(" ", "text", hops), F.concat_ws(" ", task, hops))
+    lists = [retrieve.topk(_text_vectors(spark, d, _items(spark, d).select("query_id", f.alias("text"))), _slot_vecs(spark, d), 8) for f in forms]
+    return _shown(retrieve.union_queries(reduce(DataFrame.unionByName, lists), 16))
+
+
+@query
+def legacy_topk(spark, d):
+    """The first dimensions of each state only, four slots each."""
+    return _shown(retrieve.topk(_query_vecs(spark, d, 16), _slot_vecs(spark, d, 16), 4, own=False))
+
+
+@query
+def interface_report(spark, d):
+    """Two retrievers side by side: how often their first k are the same list, and how often each finds a required slot there."""
+    one, two = _ranked(spark, d, 32), retrieve.topk(_query_vecs(spark, d, 48), _slot_vecs(spark, d, 48), 32, own=False)
+    same = retrieve.compare(one, two, (1, 8, 32))
+    recall = lambda ranked, name: metrics.recall_at(metrics.required_counts(_required(spark, d), ranked, _meta(spark, d), (1, 8, 32))).select("k", F.col("recall").alias(name))
+    return same.join(recall(one, "recall_one"), "k").join(recall(two, "recall_two"), "k")
 
 
 def _adapted(spark, d):
@@ -74,26 +106,37 @@ def graph_pairs(spark, d):
     return retrieve.expand_by_graph(_ranked(spark, d, 3), pairs, 4, 10)
 
 
+def _part(spark, d, first, start):
+    return retrieve.topk(_query_vecs(spark, d, first, start), _slot_vecs(spark, d, first, start), 64, own=False)
+
+
+def _grown(spark, d, ranked):
+    found = retrieve.expand_by_graph(ranked.where("rank <= 8"), _edges(spark, d), 8, 64)
+    return found.select("query_id", F.col("place").alias("rank"), "slot_id")
+
+
+#: What each retriever mode does; modes that differ by training are stood in for by different dimensions.
+RETRIEVERS = {
+    "dual_encoder_baseline": _ranked,
+    "chain_set_bce": lambda spark, d: _part(spark, d, 48, 1),
+    "chain_set_infonce": lambda spark, d: _part(spark, d, 48, 17),
+    "chain_set_bce_hardneg": lambda spark, d: _part(spark, d, 40, 1),
+    "slot_graph_expansion": lambda spark, d: _grown(spark, d, _ranked(spark, d)),
+    "chain_set_plus_graph_expansion": lambda spark, d: _grown(spark, d, _part(spark, d, 48, 1)),
+    "iterative_chain": lambda spark, d: retrieve.iterate(_query_vecs(spark, d), _slot_vecs(spark, d), 16, 3, own=False),
+    "iterative_chain_teacher_forced": lambda spark, d: retrieve.iterate(_query_vecs(spark, d), _slot_vecs(spark, d), 16, 3, _required(spark, d), own=False),
+}
+
+
+def retrieved(spark, d, mode):
+    """query_id, rank and slot_id of a mode's first 64."""
+    if mode not in RETRIEVERS:
+        raise ValueError(f"unknown retriever mode {mode}")
+    return RETRIEVERS[mode](spark, d).where("rank <= 64").select("query_id", "rank", "slot_id")
+
+
 def _by_mode(spark, d):
-    """mode, query_id, rank and slot_id of the first 64 of eight retrievers over the same queries."""
-    part = lambda first, start: retrieve.topk(_query_vecs(spark, d, first, start), _slot_vecs(spark, d, first, start), 64, own=False)
-    edges, chain = _edges(spark, d), part(48, 1)
-    graph = lambda ranked: retrieve.expand_by_graph(ranked.where("rank <= 8"), edges, 8, 64).select("query_id", F.col("place").alias("rank"), "slot_id")
-    lists = {
-        "dual_encoder_baseline": _ranked(spark, d),
-        "chain_set_bce": chain,
-        "chain_set_infonce": part(48, 17),
-        "chain_set_bce_hardneg": part(40, 1),
-        "slot_graph_expansion": graph(_ranked(spark, d)),
-        "chain_set_plus_graph_expansion": graph(chain),
-        "iterative_chain": retrieve.iterate(_query_vecs(spark, d), _slot_vecs(spark, d), 16, 3, own=False),
-        "iterative_chain_teacher_forced": retrieve.iterate(_query_vecs(spark, d), _slot_vecs(spark, d), 16, 3, _required(spark, d), own=False),
-    }
-    out = None
-    for mode, ranked in lists.items():
-        rows = ranked.select(F.lit(mode).alias("mode"), "query_id", "rank", "slot_id").where("rank <= 64")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return reduce(DataFrame.unionByName, [retrieved(spark, d, mode).withColumn("mode", F.lit(mode)) for mode in RETRIEVERS])
 
 
 @query
@@ -190,6 +233,30 @@ def gate_stats(spark, d):
     return metrics.gate_stats(best.select(sigmoid(F.col("score") * 4 - 1).alias("gate"), norm(F.col("sv")).alias("memory_norm"), norm(F.col("vec")).alias("residual_norm")))
 
 
+@query
+def detailed_predictions(spark, d):
+    """Each query's prediction beside its gold answer, with the slots that went in and the gate and norms of the first one."""
+    label = _slots(spark, d).select("slot_id", "label")
+    noisy = select.noisy(_required(spark, d), _live(spark, d), 4, 0.5, 42, 8)
+    listed = lambda keep: F.array_join(F.transform(F.filter("rows", keep), lambda r: r["slot_id"].cast("string")), ",")
+    slots = noisy.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "slot_id", "is_required"))).alias("rows"))
+    slots = slots.select("query_id", listed(lambda r: r["is_required"]).alias("required_slots"), listed(lambda r: ~r["is_required"]).alias("distractor_slots"), F.size(F.filter("rows", lambda r: ~r["is_required"])).alias("num_distractors"))
+    gold = _required(spark, d).where("pos = 1").join(label, "slot_id").select("query_id", "hops", F.col("label").alias("gold_answer"))
+    best = _ranked(spark, d, 1).join(label, "slot_id").join(_query_vecs(spark, d), "query_id").join(_slot_vecs(spark, d).select("slot_id", F.col("vec").alias("sv")), "slot_id")
+    best = best.select("query_id", F.col("label").alias("prediction"), F.round(sigmoid(F.col("score") * 4 - 1), 6).alias("gate_mean"), F.round(norm(F.col("sv")), 6).alias("memory_norm"), F.round(norm(F.col("sv")) / F.greatest(norm(F.col("vec")), F.lit(1e-8)), 6).alias("memory_residual_ratio"))
+    return gold.join(best, "query_id").join(slots, "query_id").withColumn("correct", F.col("prediction") == F.col("gold_answer"))
+
+
+@query
+def dataset_alignment(spark, d):
+    """Of each split of the generated examples: how many answers end their facts, stand in no question, and are in train's vocabulary."""
+    rows = generate.examples(generate.chains(spark, 400, 7), 600, 7)
+    known = rows.where("split = 'train'").select(F.col("answer").alias("known")).distinct()
+    rows = rows.join(known, F.col("answer") == F.col("known"), "left")
+    aligned = F.endswith(F.element_at("facts", -1), F.concat(F.lit(" "), F.col("answer"), F.lit(" .")))
+    return rows.groupBy("split").agg(F.count("*").alias("examples"), F.count_if(aligned).alias("aligned"), F.count_if(F.contains("question", "answer")).alias("leaked"), F.count_if(F.col("known").isNotNull()).alias("answers_in_train"), F.count_distinct("answer").alias("distinct_answers"))
+
+
 @query
 def weighted_loss(spark, d):
     """Each day and type of events is a batch; its loss is the mean value."""

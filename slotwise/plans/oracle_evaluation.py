@@ -168,6 +168,30 @@ _FACTS = {
 }
 
 
+def _texts(of: str, source: str) -> dict[str, str]:
+    """Relations that make `of`(query_id, v), the mean vectors of source(query_id, text)."""
+    return {
+        f"{of}_tokens": f"select query_id, unnest({_tokens('text')}) as token from {source}",
+        f"{of}_vecs": f"select t.query_id, v.v from {of}_tokens t join vec v on v.vec_id = cast('0x' || substr(md5(t.token), 1, 7) as bigint) % (select count(*) from embeddings)",
+        f"{of}_dims": f"select query_id, i, round(avg(v[i]), 12) as x from {of}_vecs, (select unnest(range(1, 65)) as i) group by 1, 2",
+        of: f"select query_id, list(x order by i) as v from {of}_dims group by 1",
+        f"{of}_scores": _scores(of, "{}", where=""),
+        f"{of}_rank": _rank(f"{of}_scores"),
+    }
+
+
+_FORM_TEXTS = ("text", "text || ' reading task ' || (item_id % 5)", "text || ' ' || (item_id % 3 + 1) || ' hops'", "'reading task ' || (item_id % 5) || ' ' || (item_id % 3 + 1) || ' hops'")
+_FORMS: dict[str, str] = {}
+for _i, _t in enumerate(_FORM_TEXTS):
+    _FORMS |= {f"asked{_i}": f"select item_id as query_id, {_t} as text from benchmark"} | _texts(f"form{_i}", f"asked{_i}")
+_FORMS["form_best"] = "select query_id, slot_id, max(score) as score from (" + " union all ".join(f"select query_id, slot_id, score from form{i}_rank where rank <= 8" for i in range(4)) + ") group by 1, 2"
+_COMPARED = {"other_scores": _scores("qv", "{}[1:48]"), "other_rank": _rank("other_scores")}
+
+
+def _recall(ranked: str) -> str:
+    return f"select k, round(avg(case when found then 1 else 0 end), 6) as recall from (select n.query_id, k, bool_or(r.rank <= k) as found from required n cross join (values (1), (8), (32)) as ks(k) left join {ranked} r on r.query_id = n.query_id and r.slot_id = n.slot_id group by 1, 2) group by k"
+
+
 def _show(scores: str, k: int, more: dict[str, str]) -> str:
     return sql(f"select query_id, rank, slot_id, round(score, 6) as score from shown_rank where rank <= {k}", more | {"shown_rank": _rank(scores)})
 
@@ -176,12 +200,14 @@ ORACLE_SQL: dict[str, str] = {
     "classifier_topk": _show("logits", 8, {"logits": "select query_id, slot_id, round(list_inner_product(q.v, list_transform(s.v, lambda x: x * (1 + s.slot_id % 3))), 9) as score from qv q, sv s where query_id <> slot_id"}),
     "random_slots": sql(f"""select q.query_id, j.pos, p.slot_id from qv q cross join (select cast(unnest(range(1, 9)) as integer) as pos) j
       join (select slot_id, row_number() over (order by slot_id) - 1 as nth, count(*) over () as total from sv where slot_id % 7 <> 3) p on p.nth = ({_mix('q.query_id', 'j.pos', 11)}) % p.total"""),
-    "text_query_topk": _show("text_scores", 8, {
-        "item_tokens": f"select item_id as query_id, unnest({_tokens('text')}) as token from benchmark",
-        "item_vecs": "select t.query_id, v.v from item_tokens t join vec v on v.vec_id = cast('0x' || substr(md5(t.token), 1, 7) as bigint) % (select count(*) from embeddings)",
-        "item_dims": "select query_id, i, round(avg(v[i]), 12) as x from item_vecs, (select unnest(range(1, 65)) as i) group by 1, 2",
-        "items": "select query_id, list(x order by i) as v from item_dims group by 1",
-        "text_scores": _scores("items", "{}", where=""),
+    "text_query_topk": _show("form0_scores", 8, _FORMS),
+    "multi_query_text": _show("form_best", 16, _FORMS),
+    "legacy_topk": _show("legacy_scores", 4, {"legacy_scores": _scores("qv", "{}[1:16]")}),
+    "interface_report": sql(f"""select c.k, c.queries, c.identical, c.correlation, a.recall as recall_one, b.recall as recall_two from (
+        select k, count(distinct query_id) as queries, round(avg(case when same then 1 else 0 end), 6) as identical, max(c) as correlation from (
+          select k, query_id, bool_and(s1 = s2) as same, max(c) as c from (select *, round(corr(x, y) over (partition by k), 6) as c from both_lists) group by 1, 2) group by k) c
+      join ({_recall('ranked')}) a using (k) join ({_recall('other_rank')}) b using (k)""", _COMPARED | {
+        "both_lists": "select k, a.query_id, a.slot_id as s1, b.slot_id as s2, a.score as x, b.score as y from ranked a join other_rank b on a.query_id = b.query_id and a.rank = b.rank, (values (1), (8), (32)) as ks(k) where a.rank <= k",
     }),
     "adapter_topk": _show("adapted_scores", 8, _LAYERS),
     "pk_subscores_cosine": sql(" union all ".join(f"select query_id, {n} as side, k, round(round(list_inner_product(v[{a}:{b}], k{n}) / ({_norm(f'v[{a}:{b}]')} * {_norm(f'k{n}')}), 9), 6) as score from qv, codes" for n, a, b in ((1, 1, 32), (2, 33, 64)))),
@@ -216,6 +242,13 @@ ORACLE_SQL: dict[str, str] = {
     }),
     "gate_stats": sql(f"""select count(*) as rows, round(avg(gate), 6) as gate_mean, round(min(gate), 6) as gate_min, round(max(gate), 6) as gate_max, round(avg(m), 6) as memory_norm, round(avg(h), 6) as residual_norm, round(avg(m / greatest(h, 1e-8)), 6) as memory_residual_ratio
       from (select 1 / (1 + exp(-(r.score * 4 - 1))) as gate, {_norm('s.v')} as m, {_norm('q.v')} as h from ranked r join qv q using (query_id) join sv s on s.slot_id = r.slot_id where r.rank = 1)"""),
+    "detailed_predictions": sql(f"""select g.query_id, g.hops, g.gold_answer, b.label as prediction, round(1 / (1 + exp(-(b.score * 4 - 1))), 6) as gate_mean, round({_norm('b.sv')}, 6) as memory_norm, round({_norm('b.sv')} / greatest({_norm('b.qv')}, 1e-8), 6) as memory_residual_ratio,
+        n.required_slots, n.distractor_slots, cast(n.num_distractors as integer) as num_distractors, b.label = g.gold_answer as correct
+      from (select r.query_id, r.hops, s.label as gold_answer from required r join sv s using (slot_id) where r.pos = 1) g
+      join (select r.query_id, r.score, s.label, s.v as sv, q.v as qv from ranked r join sv s using (slot_id) join qv q using (query_id) where r.rank = 1) b using (query_id)
+      join (select query_id, string_agg(cast(slot_id as varchar), ',' order by pos) filter (is_required) as required_slots, coalesce(string_agg(cast(slot_id as varchar), ',' order by pos) filter (not is_required), '') as distractor_slots, count(*) filter (not is_required) as num_distractors from noised group by 1) n using (query_id)""", _PADDED),
+    "dataset_alignment": sql("""select split, count(*) as examples, count(*) filter (facts like '% ' || answer || ' .') as aligned, count(*) filter (contains(question, answer)) as leaked, count(*) filter (answer in (select answer from kept_examples where split = 'train')) as answers_in_train, count(distinct answer) as distinct_answers
+      from kept_examples group by split""", _EXAMPLES | {"kept_examples": "select * from questions qualify row_number() over (partition by question, answer, facts order by example_id) <= case when split = 'train' then 5 else 1 end"}),
     "weighted_loss": "select count(*) as batches, cast(sum(size) as bigint) as rows, round(sum(loss * size) / sum(size), 6) as loss from (select event_type, cast(ts as date) as day, avg(value) as loss, count(*) as size from events where value is not null group by 1, 2)",
     "batch_cosine_mean": sql("select count(*) as batches, round(avg(m), 6) as mean from (select query_id // 320 as batch, avg(score) as m from ranked where rank = 1 group by 1)"),
     "parameter_count": "select cast(sum(names) as bigint) as names, count(*) as tensors, cast(sum(numel) as bigint) as parameters from (select label, count(*) as names, max(len(embedding)) as numel from embeddings group by 1)",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from slotwise.functions.text import tokens
 from slotwise.operators import generate, kb, losses, metrics, product_key, retrieve, select
 from slotwise.operators import text as texts
-from slotwise.sources import config, tables
+from slotwise.plans import evaluation
+from slotwise.sources import config, generated, tables
 from slotwise.sources.tables import EXAMPLE_SCHEMA, log_metrics, read_jsonl, read_metrics, read_vocab, write_jsonl, write_vocab
 from slotwise.streaming import tail
 
@@ -268,3 +269,20 @@ def test_the_last_state_of_a_window_counts(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/batch=0")
     rows.where("event_type = 'a'").selectExpr("w", "event_type", "n + 1 as n", "total").write.parquet(f"{tmp_path}/batch=1")
     assert sorted(map(tuple, tail.latest(spark, str(tmp_path)).collect())) == [("w", "a", 2, 1.0), ("w", "b", 5, 2.0)]
+
+
+def test_unknown_retriever_mode():
+    with pytest.raises(ValueError):
+        evaluation.retrieved(None, "", "no such mode")
+
+
+def test_generated_data_set(spark, tmp_path):
+    generated.main([f"{tmp_path}/g", "--train", "60", "--val", "10", "--test", "10", "--chains", "80", "--seed", "3"])
+    slots = spark.read.json(f"{tmp_path}/g/kb")
+    ids = {r.slot_id: r.text for r in slots.collect()}
+    assert sorted(ids) == list(range(len(ids))) and [ids[i] for i in sorted(ids)] == sorted(ids.values())
+    words = {r.token for r in read_vocab(spark, f"{tmp_path}/g/vocab").collect()}
+    for split in ("train", "val", "test"):
+        for r in spark.read.json(f"{tmp_path}/g/{split}").collect():
+            assert r.split == split and r.answer in words and [ids[int(s.removeprefix("slot_"))] for s in r.required_slots] == r.facts
+    assert json.loads(spark.read.text(f"{tmp_path}/g/meta").first().value)["seed"] == 3
