@@ -12,7 +12,9 @@ from ..functions.vectors import cosine, dot, sigmoid
 from .text import dense_id
 
 BLOCK_SLOTS = 16_384
-BLOCK_QUERIES = 2_048
+BLOCK_QUERIES = 65_536
+#: Queries that are multiplied with a block of slots at once; their scores fit in some 32 MB.
+CHUNK = 256
 #: Ranks are by scores rounded to so many places, then by id, so that summation order does not matter.
 RANK_PLACES = 9
 RANKED = "query_id bigint, slot_id bigint, score double"
@@ -29,8 +31,6 @@ def _products(queries: pd.DataFrame, slots: pd.DataFrame, metric: str) -> np.nda
 
 def _block_topk(k: int, metric: str, own: bool):
     def run(queries: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or slots.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "slot_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
         slots = slots.sort_values("slot_id", kind="stable")
         score, asked, ids = _products(queries, slots, metric), queries.query_id.to_numpy(np.int64), slots.slot_id.to_numpy(np.int64)
         if not own:
@@ -43,13 +43,22 @@ def _block_topk(k: int, metric: str, own: bool):
 
 
 def by_blocks(queries: DataFrame, slots: DataFrame, f, schema: str, n_queries: int | None = None) -> DataFrame:
-    """f(queries, slots) of each pair of blocks of bounded size, as pandas frames; every query meets every slot once."""
+    """f(queries, slots) of each pair of blocks of bounded size, as pandas frames; every query meets every slot once.
+
+    A block of queries is large, so slots are copied to few of them, and is worked off in chunks of `CHUNK`.
+    """
     n_slots, n_queries = slots.count(), queries.count() if n_queries is None else n_queries
     slot_blocks, query_blocks = max(1, -(-n_slots // BLOCK_SLOTS)), max(1, -(-n_queries // BLOCK_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    names = [field.split()[0] for field in schema.split(",")]
+
+    def run(asked: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        found = [f(asked.iloc[k : k + CHUNK], kept) for k in range(0, len(asked), CHUNK)] if len(kept) else []
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({n: pd.Series([], dtype="float64") for n in names})
+
     q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("sb", every(slot_blocks))
     s = slots.withColumn("sb", F.pmod(F.xxhash64("slot_id"), F.lit(slot_blocks)).cast("int")).withColumn("qb", every(query_blocks))
-    return q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(f, schema)
+    return q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(run, schema)
 
 
 def ranked_by_score(scored: DataFrame, k: int) -> DataFrame:
@@ -73,7 +82,7 @@ def mass(queries: DataFrame, slots: DataFrame, temperature: float, of: str, own:
     """Of each query(query_id, vec): how many slots it meets, and the sum of softplus or exp of cosine / temperature over them, without writing pairs."""
 
     def run(asked: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        z = _products(asked, kept, "cosine") / temperature if len(asked) and len(kept) else np.zeros((len(asked), len(kept)))
+        z = _products(asked, kept, "cosine") / temperature
         on = np.ones(z.shape, bool) if own else asked.query_id.to_numpy()[:, None] != kept.slot_id.to_numpy()[None, :]
         each = np.exp(z) if of == "exp" else np.maximum(z, 0.0) + np.log1p(np.exp(-np.abs(z)))
         return pd.DataFrame({"query_id": asked.query_id, "n": on.sum(1), "mass": np.where(on, each, 0.0).sum(1)})
