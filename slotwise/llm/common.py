@@ -64,7 +64,7 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, chars: int = 250_000) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each part has about `chars` bytes of text at most (or one row), to bound a worker's memory."""
     for batch in batches:
         if not batch.num_rows:

@@ -210,12 +210,13 @@ def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple
     short = stored(listed.where("not whole").select("id", "digest", "n").distinct(), "jaccard-short")
     again = _texts(base, short).mapInArrow(_listed(rule, small, common, True), KEYED)
     keys = listed.where("whole").unionByName(again.where("whole")).select("id", "n", F.explode(F.arrays_zip("keys", "reach")).alias("e")).select("id", "n", F.col("e.keys").alias("k"), F.col("e.reach").alias("r"))
-    ends = [F.min(F.struct("n", "r", "id")).alias("low"), F.max(F.struct("n", "r", "id")).alias("high")]
-    shared = keys.groupBy("k").agg(*ends, F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").drop("x", "y")
-    members = stored(keys.join(shared, "k").where(rule.reaches("r", "n", "low.n")), "jaccard-members")
+    # what is aggregated by list is written before it is joined, so that a list of very many members can be split
+    shared = stored(keys.groupBy("k").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.min("n").alias("low")).where("x < y").select("k", "low"), "jaccard-shared")
+    members = stored(keys.join(shared, "k").where(rule.reaches("r", "n", "low")).select("id", "n", "k", "r"), "jaccard-members")
+    ends = stored(members.groupBy("k").agg(F.min(F.struct("n", "r", "id")).alias("low"), F.max(F.struct("n", "r", "id")).alias("high")), "jaccard-ends")
     common.destroy()
     leaders = F.explode(F.array("low", "high")).alias("lead")
-    tried = members.select("id", "n", "r", leaders).where(rule.fits("n", "r", "lead.n", "lead.r") & (F.col("id") != F.col("lead.id"))).select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
+    tried = members.join(ends, "k").select("id", "n", "r", leaders).where(rule.fits("n", "r", "lead.n", "lead.r") & (F.col("id") != F.col("lead.id"))).select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
     found = verify(base, nearest(tried, parity, rule), rule)
     copies = sets.where("n > 0").join(owners, "digest").where("id <> owner").select(F.col("id").alias("a"), F.col("owner").alias("b"))
     led = components(found.where("linked").select("a", "b"))
@@ -243,7 +244,7 @@ def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple
     rest = rest.join(_once(found), ["hi", "lo"], "left_anti").select(F.col("hi").alias("a"), F.col("lo").alias("b"))
     more = verify(base, near(rest, parity, rule).select("a", "b").distinct(), rule).where("linked").select("a", "b")
     groups = components(led.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(copies))
-    discard(listed, members, placed, crowded, short)
+    discard(listed, shared, members, ends, placed, crowded, short)
     return sets.select("id", "digest", "n"), groups
 
 
@@ -321,14 +322,14 @@ def verify(base: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     Members are joined before leaders, so what meets at a leader of thousands has a size that adaptive execution sees and splits.
     """
     pairs = stored(pairs, "jaccard-pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-ids")
-    few = ids.count() <= BROADCAST_IDS
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = 2 * pairs.count() <= BROADCAST_IDS
     sets = stored(base.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text").mapInArrow(_all(rule), WHOLE), "jaccard-whole")
     one, two = sets.select(F.col("id").alias("a"), F.col("keys").alias("x")), sets.select(F.col("id").alias("b"), F.col("keys").alias("y"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size("x").alias("n1"), F.size("y").alias("n2"), F.size(F.array_intersect("x", "y")).alias("both"))
     linked = (F.col("both") > 0) & (F.col("both") * rule.den >= (F.col("n1") + F.col("n2") - F.col("both")) * rule.num)
     found = stored(both.select("a", "b", linked.alias("linked")), "jaccard-led")
-    discard(pairs, ids, sets)
+    discard(pairs, sets)
     return found
 
 
