@@ -26,7 +26,7 @@ from .common import arrow_schema, batch_of, kept, prepared, slices
 NO_RANK = np.iinfo(np.int64).max
 LONGEST_ROW = 256
 CELLS = 1 << 18
-CACHED_PIECES = 100_000
+CACHED_PIECES = 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,7 +94,7 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.decimal = [str(i) for i in range(self.pairs.width)]
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit integers
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [self.pieces(t) if t else [] for t in texts]
@@ -106,13 +106,13 @@ class ByteBPE:
             new = list(new)
             self.cache.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
         get = self.cache.__getitem__
-        return [list(chain.from_iterable(map(get, pieces))) for pieces in cut]
+        return [np.frombuffer(b"".join(map(get, pieces)), np.int32).tolist() for pieces in cut]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        out = [b""] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if p:
@@ -123,7 +123,7 @@ class ByteBPE:
                 (self._by_matrix if width <= LONGEST_ROW else self._by_blocks)(pieces, members[k : k + rows], out)
         return out
 
-    def _by_matrix(self, pieces: list[bytes], members: list[int], out: list[tuple[int, ...]]) -> None:
+    def _by_matrix(self, pieces: list[bytes], members: list[int], out: list[bytes]) -> None:
         lengths = np.array([len(pieces[i]) for i in members])
         width = int(lengths.max())
         ids = np.full((len(members), width), -1, np.int64)
@@ -137,8 +137,7 @@ class ByteBPE:
                 merged = rank[np.arange(at.size), best]
                 done = merged == NO_RANK
             if done.any():
-                for i, row in zip(at[done].tolist(), ids[done].tolist(), strict=True):
-                    out[i] = tuple(x for x in row if x >= 0)
+                self._compact(at[done].tolist(), ids[done], out)
                 if done.all():
                     return
                 ids, rank, at, best, merged = (x[~done] for x in (ids, rank, at, best, merged))
@@ -152,7 +151,15 @@ class ByteBPE:
             right = np.flatnonzero(best < ids.shape[1] - 1)
             rank[right, best[right]] = self.pairs.rank(ids[right, best[right]], ids[right, best[right] + 1])
 
-    def _by_blocks(self, pieces: list[bytes], members: list[int], out: list[tuple[int, ...]]) -> None:
+    @staticmethod
+    def _compact(at: list[int], rows: np.ndarray, out: list[bytes]) -> None:
+        """The rows' ids without padding and merged places, as bytes."""
+        kept = rows >= 0
+        data, ends = rows[kept].astype(np.int32).tobytes(), (np.cumsum(kept.sum(1)) * 4).tolist()
+        for i, start, stop in zip(at, [0, *ends], ends, strict=False):
+            out[i] = data[start:stop]
+
+    def _by_blocks(self, pieces: list[bytes], members: list[int], out: list[bytes]) -> None:
         """The same rounds for long rows: a round reads a row's block minima and the blocks it changes, not the whole row."""
         lengths = np.array([len(pieces[i]) for i in members])
         width = int(lengths.max() ** 0.5) + 1
@@ -183,8 +190,7 @@ class ByteBPE:
             rank[on[left], prior[left]] = self.pairs.rank(ids[on[left], prior[left]], merged[left])
             for rows, at in ((on, here), (on, gone), (on[left], prior[left])):
                 least[rows, at // width] = cells[rows, at // width].min(1)
-        for i, row in zip(members, ids, strict=True):
-            out[i] = tuple(row[row >= 0].tolist())
+        self._compact(members, ids, out)
 
 
 def _worker(ranks, pattern: str) -> ByteBPE:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 import weakref
 from collections.abc import Iterator, Sequence
@@ -59,6 +62,14 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words_of(text: Column) -> Column:
     """Words between ASCII white space as an array; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
@@ -85,7 +96,9 @@ _KEPT: dict = {}
 def kept(key, make):
     """What make() gives, kept in a worker process until another key is asked for: one operator's cache at a time."""
     if key not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            release()
         _KEPT[key] = make()
     return _KEPT[key]
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, batch_of, discard, kept, prepared, slices, stored
 
 LENGTH = 50
-CACHED_WORDS = 100_000
+CACHED_WORDS = 50_000
 #: Candidate documents up to which their ids (8 bytes each) are broadcast; beyond, texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 LAST_ID = 2**63 - 1
@@ -115,7 +115,7 @@ def _next_level(length: int, level: int, before: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(NEXT)
-        for part in slices(batches, 1, 1_000_000):
+        for part in slices(batches, 1):
             texts, digests, hashes = part.column(1).to_pylist(), [], []
             for text, listed in zip(texts, part.column(2), strict=True):
                 words = text.encode().split()
@@ -130,7 +130,7 @@ def _next_level(length: int, level: int, before: int):
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(KEPT)
-        for part in slices(batches, 1, 1_000_000):
+        for part in slices(batches, 1):
             counts, kept = [], []
             for text, listed in zip(part.column(1).to_pylist(), part.column(2), strict=True):
                 words = text.encode().split()

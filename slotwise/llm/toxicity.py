@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_of, kept, prepared, slices
+from .common import arrow_schema, batch_of, kept, prepared, release, slices
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -37,7 +37,7 @@ THRESHOLD = 0.3
 FOLDS = 4
 HELD_OUT = 2
 CALIBRATION = 3
-CACHED_WORDS = 100_000
+CACHED_WORDS = 50_000
 STEP = 10_000
 BROADCAST_LABELS = 1_000_000
 COUNTS = "gram string, n00 bigint, n01 bigint, n10 bigint, n11 bigint"
@@ -242,6 +242,12 @@ def gram_counts(docs: DataFrame, marked: DataFrame, n: int) -> DataFrame:
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, list[float], list[float]] | None:
     """The model, its logistic coefficients and the features' scales; None without training rows of both classes."""
+    found = _fit(spark, docs, labels, per_class)
+    release()  # what the counts took on the driver
+    return found
+
+
+def _fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[Model, list[float], list[float]] | None:
     prepared(spark)
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("cls")).withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
     size = {r.cls: r.n for r in marked.groupBy("cls").agg(F.count("*").alias("n")).collect()}
