@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, jaccard, mixing, pii, sharding, substrings, topk, toxicity, warc
-from .common import scratch, table
+from . import bpe, chat, fingerprints, importance, jaccard, lexical, mixing, pii, sharding, substrings, topk, toxicity, warc
+from .common import scratch, stored, table
 
 #: The rank file of the encoder, read on the driver and broadcast.
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -74,6 +74,28 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's n-grams."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: A conversation whose texts are control strings, formatted beside the given ones.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, written, and read back."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(F.lit(-1).cast("bigint"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(CONTROL_TEXT)).toDF(*given.columns)
+    written = stored(chat.format_conversations(given.unionByName(added)), "chat")
+    return chat.digests(chat.read_back(written))
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_substrings": op2_substrings,
@@ -85,8 +107,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_importance": op11_importance,
+    "op12_chat": op12_chat,
+    "op13_lexical": op13_lexical,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op12_chat": r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, i, case i when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) r(i)
+), p as (
+  select *, lag(role) over (partition by conv_id order by turn, text) as prior,
+    length(text) + len(regexp_extract_all(text, '\\|<\|turn\|>|<\|text\|>|<\|next\|>|<\|end\|>|</?s>|\[/?INST\]')) as chars
+  from t
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars + case when prior is null or prior <> role then length(role) + 23 else 8 end) as bigint) as formatted_chars
+from p group by conv_id
+""",
+    "op13_lexical": r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws, row_number() over () as r from documents),
+i as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from benchmark),
+s as (select count(*) as n_docs, cast(sum(len(ws)) as bigint) as n_words from d where len(ws) > 0),
+asked as (select item_id, term, count(*) as times from (select item_id, unnest(ws) as term from i) group by all),
+held as (select r, term, count(*) as tf from (select r, unnest(ws) as term from d) where term in (select term from asked) group by all),
+w as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) as bigint) as w from (select term, count(*) as df from held group by term), s),
+e as (select h.r, h.term, w.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(d.ws) * n_docs) // n_words))) as e from held h join w using (term) join d on d.r = h.r, s),
+x as (select a.item_id, e.r, cast(sum(a.times * e.e) as bigint) as score from asked a join e using (term) group by all),
+o as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from x join d using (r) where score > 0)
+select * from o where rank <= 10
+""",
     "op2_substrings": r"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
 win as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as h from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 48, 1))) as i from w)),
