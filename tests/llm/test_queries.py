@@ -10,10 +10,11 @@ duckdb = pytest.importorskip("duckdb")
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
 TABLE = {"op3_warc": "pages", "op5_topk": "embeddings"}
+TABLES = ("documents", "labels", "pages", "embeddings", "conversations", "benchmark")
 
 
 def test_all_are_registered():
-    assert [sum(name.startswith(f"op{n}_") for name in QUERIES) for n in range(1, 11)] == [1] * 10
+    assert [sum(name.startswith(f"op{n}_") for name in QUERIES) for n in range(1, 14)] == [1] * 13
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
 
 
@@ -22,8 +23,8 @@ def test_query(spark, name):
     rows = QUERIES[name](spark, DIR).collect()
     if name in ORACLE_SQL:
         con = duckdb.connect()
-        table = TABLE.get(name, "documents")
-        con.execute(f"create view {table} as select * from '{DIR}/{table}.parquet'")
+        for table in TABLES:
+            con.execute(f"create view {table} as select * from '{DIR}/{table}.parquet'")
         want = con.sql(ORACLE_SQL[name])
         assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want.select(*rows[0].asDict()).fetchall()))
     else:
@@ -53,6 +54,6 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_of_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "labels", "pages", "embeddings"):
+    for table in TABLES:
         spark.read.parquet(f"{DIR}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
-    assert QUERIES[name](spark, str(tmp_path)).count() == 0
+    assert [r.conv_id for r in QUERIES[name](spark, str(tmp_path)).collect()] == [-1] if name == "op12_chat" else QUERIES[name](spark, str(tmp_path)).count() == 0
