@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import softplus
-from .retrieve import mass, score_given
+from .retrieve import mass, score_given, topk
 
 
 def contrastive(pairs: DataFrame, temperature: float) -> DataFrame:
@@ -16,6 +16,31 @@ def contrastive(pairs: DataFrame, temperature: float) -> DataFrame:
     return each.agg(F.count("*").alias("rows"), F.round(F.avg(-F.log(F.col("pos") / F.col("total") + 1e-10)), 6).alias("loss"))
 
 
+def info_nce_over_all(queries: DataFrame, slots: DataFrame, required: DataFrame, temperature: float, own: bool = True) -> DataFrame:
+    """Queries, their positives, and the mean of logsumexp over all slots less that over a query's required slots.
+
+    Every slot(slot_id, vec) is in the sum over all, taken by blocks without writing pairs; every required(query_id,
+    slot_id) that slots has is a positive, however low it ranks. Queries without one take no part.
+    """
+    every = mass(queries, slots, temperature, "exp", own).select("query_id", "mass")
+    right = score_given(required.select("query_id", "slot_id").distinct(), queries, slots)
+    each = right.groupBy("query_id").agg(F.sum(F.exp(F.col("score") / temperature)).alias("pos"), F.count("*").alias("n")).join(every, "query_id")
+    return each.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("positives"), F.round(F.avg(F.log("mass") - F.log("pos")), 6).alias("loss"))
+
+
+def margin_over_all(queries: DataFrame, slots: DataFrame, required: DataFrame, hardest: int, gap: float, own: bool = True) -> DataFrame:
+    """Pairs, positives and the mean of max(0, gap - positive + negative) over each query's required slots and its `hardest` best other slots.
+
+    A query's negatives are looked for among so many slots more as it has required ones, so none is lost to them.
+    """
+    need = required.select("query_id", "slot_id").distinct()
+    most = need.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    others = topk(queries, slots, hardest + most, own=own).join(need, ["query_id", "slot_id"], "left_anti")
+    hard = others.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("nth") <= hardest).select("query_id", F.col("score").alias("negative"))
+    pairs = score_given(need, queries, slots).join(hard, "query_id")
+    return pairs.agg(F.count("*").alias("rows"), F.count_distinct("query_id", "slot_id").alias("positives"), F.round(F.avg(F.greatest(F.lit(0.0), F.lit(gap) - F.col("score") + F.col("negative"))), 6).alias("loss"))
+
+
 def info_nce(scores: DataFrame, temperature: float) -> DataFrame:
     """scores(query_id, positive, score): mean of logsumexp over a query's candidates less that over its positives."""
     z = F.col("score") / temperature

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mix
 from ..functions.vectors import cosine, dot, sigmoid
+from ..session import written
 from .text import dense_id
 
 BLOCK_SLOTS = 16_384
@@ -56,6 +59,7 @@ def by_blocks(queries: DataFrame, slots: DataFrame, f, schema: str, n_queries: i
         found = [f(asked.iloc[k : k + CHUNK], kept) for k in range(0, len(asked), CHUNK)] if len(kept) else []
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame({n: pd.Series([], dtype="float64") for n in names})
 
+    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # else a column of both sides, as when both come from one frame, is taken from one only
     q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("sb", every(slot_blocks))
     s = slots.withColumn("sb", F.pmod(F.xxhash64("slot_id"), F.lit(slot_blocks)).cast("int")).withColumn("qb", every(query_blocks))
     return q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(run, schema)
@@ -140,11 +144,11 @@ def iterate(queries: DataFrame, slots: DataFrame, k: int, hops: int, forced: Dat
 
     The first hop asks with the query itself, each later one with the sum of the query and the slot that the hop before
     found first, or, with forced(query_id, pos, slot_id), the required slot of that place; queries without one ask
-    with themselves again.
+    with themselves again. Each hop's list is written, so that later hops do not find it again.
     """
     n, asked, found = queries.count(), queries, None
     for hop in range(1, hops + 1):
-        ranked = topk(asked, slots, k, own=own, n_queries=n)
+        ranked = written(topk(asked, slots, k, own=own, n_queries=n), f"hop-{hop}")
         step = ranked.select("query_id", "slot_id", F.struct(F.lit(hop).alias("hop"), "rank").alias("at"))
         found = step if found is None else found.unionByName(step)
         lead = ranked.where("rank = 1").select("query_id", "slot_id") if forced is None else forced.where(F.col("pos") == hop).select("query_id", "slot_id")
@@ -172,3 +176,24 @@ def pair_scores(anchors: DataFrame, slots: DataFrame, edges: DataFrame, weights:
     for w, part in zip(weights, parts, strict=True):
         z = z + F.greatest(part, F.lit(0.0)) * w
     return edges.select("src", "dst").distinct().join(one, "src").join(two, "dst").select("src", "dst", F.round(sigmoid(z), RANK_PLACES).alias("weight"))
+
+
+def iterate_text(asked: DataFrame, facts: DataFrame, slots: DataFrame, encode: Callable[[DataFrame], DataFrame], k: int, hops: int, forced: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What each hop found (hop, query_id, rank, slot_id, score), and the lists as one (query_id, rank, slot_id), each slot at its first place.
+
+    asked(query_id, text), facts(slot_id, text), slots(slot_id, vec); encode makes (query_id, vec) of (query_id, text).
+    The first hop asks with the question, each later one with the question and the text of the fact that the hop
+    before found first, or, with forced(query_id, pos, slot_id), that of the given slot of that place; questions whose
+    fact has no text ask alone again. Slots' vectors and each hop's list are written, so a hop is computed once however
+    often it is read, and a lost executor repeats part of one hop.
+    """
+    n, slots, texts, found = asked.count(), written(slots.select("slot_id", "vec"), "hop-slots"), asked.select("query_id", "text"), None
+    for hop in range(1, hops + 1):
+        ranked = written(topk(encode(texts), slots, k, n_queries=n), f"hop-{hop}")
+        step = ranked.select(F.lit(hop).alias("hop"), "query_id", "rank", "slot_id", "score")
+        found = step if found is None else found.unionByName(step)
+        lead = ranked.where("rank = 1").select("query_id", "slot_id") if forced is None else forced.where(F.col("pos") == hop).select("query_id", "slot_id")
+        more = lead.join(facts.select("slot_id", F.col("text").alias("more")), "slot_id").select("query_id", "more")
+        texts = asked.select("query_id", "text").join(more, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "more").alias("text"))
+    first = found.groupBy("query_id", "slot_id").agg(F.min(F.struct("hop", "rank")).alias("at"))
+    return found, first.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "slot_id")).alias("rank"), "slot_id")

@@ -530,10 +530,8 @@ def hard_negatives(spark, d):
     return select.sharing_negatives(table(spark, d, "part"), "p_partkey", ["p_brand", "p_type", "p_size"])
 
 
-def _scores(spark, d):
-    """Cosines of each query's first 64 slots with whether each is required."""
-    wanted = _required(spark, d).select("query_id", "slot_id", F.lit(True).alias("r"))
-    return _ranked(spark, d).join(wanted, ["query_id", "slot_id"], "left").select("query_id", "slot_id", "score", F.coalesce("r", F.lit(False)).alias("positive"))
+def _live_vecs(spark, d):
+    return _slot_vecs(spark, d).join(_live(spark, d).where("live").select("slot_id"), "slot_id")
 
 
 @query
@@ -547,7 +545,14 @@ def loss_contrastive(spark, d):
 
 @query
 def loss_infonce(spark, d):
-    return losses.info_nce(_scores(spark, d), 0.07)
+    """Over all slots, with every required slot as a positive."""
+    return losses.info_nce_over_all(_query_vecs(spark, d), _slot_vecs(spark, d), _required(spark, d), 0.07, own=False)
+
+
+@query
+def loss_infonce_live(spark, d):
+    """Over the live slots only: dead ones are neither in the sum nor positives."""
+    return losses.info_nce_over_all(_query_vecs(spark, d), _live_vecs(spark, d), _required(spark, d), 0.07, own=False)
 
 
 @query
@@ -558,7 +563,8 @@ def loss_bce(spark, d):
 
 @query
 def loss_margin(spark, d):
-    return losses.margin(_scores(spark, d), 16, 0.5)
+    """Every required slot against the sixteen best others of its query."""
+    return losses.margin_over_all(_query_vecs(spark, d), _slot_vecs(spark, d), _required(spark, d), 16, 0.5, own=False)
 
 
 @query

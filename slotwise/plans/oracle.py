@@ -206,6 +206,12 @@ def _noisy(n: int, seed: int, own: float, other: float, k: int) -> str:
 _FORMS = {"f0": "x", "f1": "case when i <= 32 then x else 0.0 end", "f2": "case when i > 32 then x else 0.0 end", "f3": "case when i % 2 = 1 then x else 0.0 end"}
 _SOFTPLUS = "greatest({0}, 0.0) + ln(1 + exp(-abs({0})))"
 
+def _info_nce(where: str) -> str:
+    return sql(f"""select count(*) as rows, cast(sum(n) as bigint) as positives, round(avg(ln(total) - ln(pos)), 6) as loss from (
+        select c.query_id, sum(exp(c.score / 0.07)) as total, sum(case when n.slot_id is not null then exp(c.score / 0.07) else 0.0 end) as pos, count(n.slot_id) as n
+        from cosines c left join required n on n.query_id = c.query_id and n.slot_id = c.slot_id where {where} group by 1) where n > 0""")
+
+
 ORACLE_SQL: dict[str, str] = {
     "tokenize_counts": f"select doc_id, cast(len({_tokens('text')}) as bigint) as n_tokens from documents",
     "vocab_build": sql("select * from both_vocab", {"both_vocab": _vocab("(select text from documents union all select text from conversations)")}),
@@ -331,11 +337,11 @@ ORACLE_SQL: dict[str, str] = {
         select a.vec_id, sum(case when a.label = b.label then e else 0.0 end) as pos, sum(e) as total from (
           select a, b, exp(round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 9) / 0.07) as e
           from vec a join vec b on a.vec_id // 32 = b.vec_id // 32 and a.vec_id <> b.vec_id) group by 1) where pos > 0"""),
-    "loss_infonce": sql("""select count(*) as rows, round(avg(ln(total) - ln(pos)), 6) as loss from (
-        select query_id, sum(e) as total, sum(case when positive then e else 0.0 end) as pos from (select *, exp((score - max(score) over (partition by query_id)) / 0.07) as e from scored) group by 1) where pos > 0"""),
+    "loss_infonce": _info_nce("true"),
+    "loss_infonce_live": _info_nce("c.slot_id % 7 <> 3"),
     "loss_bce": sql(f"select count(*) as rows, round(avg(case when positive then 5.0 * ({_SOFTPLUS.format('(-z)')}) else {_SOFTPLUS.format('z')} end), 6) as loss from (select n.slot_id is not null as positive, score / 0.07 as z from cosines c left join required n on n.query_id = c.query_id and n.slot_id = c.slot_id)"),
-    "loss_margin": sql("""select count(*) as rows, round(avg(greatest(0.0, 0.5 - p.score + h.score)), 6) as loss from (select query_id, max(score) as score from scored where positive group by 1) p
-      join (select query_id, score, row_number() over (partition by query_id order by score desc, slot_id) as nth from scored where not positive) h on h.query_id = p.query_id and h.nth <= 16"""),
+    "loss_margin": sql("""select count(*) as rows, count(distinct (p.query_id, p.slot_id)) as positives, round(avg(greatest(0.0, 0.5 - p.score + h.score)), 6) as loss from (select * from cosines semi join required using (query_id, slot_id)) p
+      join (select query_id, score, row_number() over (partition by query_id order by score desc, slot_id) as nth from cosines anti join required using (query_id, slot_id)) h on h.query_id = p.query_id and h.nth <= 16"""),
     "loss_subkey": sql("""select max(rows) as rows, round(sum(ce), 6) as loss from (select side, count(*) as rows, avg(lse - score) as ce from (
         select s.*, m + ln(sum(exp(score - m)) over (partition by s.query_id, side)) as lse from (select *, max(score) over (partition by query_id, side) as m from sub) s) z
         join address1 w on w.query_id = z.query_id and z.k = case when side = 1 then w.slot_id // 32 else w.slot_id % 32 end group by side)"""),
