@@ -45,23 +45,28 @@ def _block_topk(k: int, metric: str, own: bool):
     return run
 
 
+def in_blocks(queries: DataFrame, slots: DataFrame, n_queries: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt to blocks of bounded size, (qb, sb), each row copied to all blocks of the other side: every query meets every slot once."""
+    n_slots, n_queries = slots.count(), queries.count() if n_queries is None else n_queries
+    slot_blocks, query_blocks = max(1, -(-n_slots // BLOCK_SLOTS)), max(1, -(-n_queries // BLOCK_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # else a column of both sides, as when both come from one frame, is taken from one only
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("sb", every(slot_blocks))
+    return q, slots.withColumn("sb", F.pmod(F.xxhash64("slot_id"), F.lit(slot_blocks)).cast("int")).withColumn("qb", every(query_blocks))
+
+
 def by_blocks(queries: DataFrame, slots: DataFrame, f, schema: str, n_queries: int | None = None) -> DataFrame:
     """f(queries, slots) of each pair of blocks of bounded size, as pandas frames; every query meets every slot once.
 
     A block of queries is large, so slots are copied to few of them, and is worked off in chunks of `CHUNK`.
     """
-    n_slots, n_queries = slots.count(), queries.count() if n_queries is None else n_queries
-    slot_blocks, query_blocks = max(1, -(-n_slots // BLOCK_SLOTS)), max(1, -(-n_queries // BLOCK_QUERIES))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     names = [field.split()[0] for field in schema.split(",")]
 
     def run(asked: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         found = [f(asked.iloc[k : k + CHUNK], kept) for k in range(0, len(asked), CHUNK)] if len(kept) else []
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame({n: pd.Series([], dtype="float64") for n in names})
 
-    queries = queries.select(*(F.col(c).alias(c) for c in queries.columns))  # else a column of both sides, as when both come from one frame, is taken from one only
-    q = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("sb", every(slot_blocks))
-    s = slots.withColumn("sb", F.pmod(F.xxhash64("slot_id"), F.lit(slot_blocks)).cast("int")).withColumn("qb", every(query_blocks))
+    q, s = in_blocks(queries, slots, n_queries)
     return q.groupBy("qb", "sb").cogroup(s.groupBy("qb", "sb")).applyInPandas(run, schema)
 
 

@@ -13,6 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.registered import vec_wavg
 from ..functions.text import mix
 from ..functions.vectors import sigmoid
 from .text import dense_id
@@ -73,11 +74,13 @@ def weigh(candidates: DataFrame, mode: str, **given: float) -> DataFrame:
 
 
 def read_values(weighed: DataFrame, values: DataFrame, dims: int) -> DataFrame:
-    """query_id, dim (from 1) and value of each query's weighted mean; values(slot_id, value array<double>)."""
-    rows = weighed.where("w > 0").join(values, "slot_id").select("query_id", "w", F.posexplode("value").alias("at", "x"))
-    sums = rows.groupBy("query_id", "at").agg(F.sum(F.col("w") * F.col("x")).alias("value"))
-    every = weighed.select("query_id").distinct().withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(dims - 1))))
-    return every.join(sums, ["query_id", "at"], "left").select("query_id", (F.col("at") + 1).alias("dim"), (F.round(F.coalesce("value", F.lit(0.0)), 6) + 0.0).alias("value"))
+    """query_id, dim (from 1) and value of each query's weighted mean; values(slot_id, value array<double>).
+
+    Vectors of a query's list are summed whole, by one Arrow aggregate; only the result is laid out by dimension.
+    """
+    means = weighed.where("w > 0").join(values, "slot_id").groupBy("query_id").agg(vec_wavg("w", "value").alias("value"))
+    every = weighed.select("query_id").distinct().join(means, "query_id", "left").withColumn("dim", F.explode(F.sequence(F.lit(1), F.lit(dims))))
+    return every.select("query_id", "dim", (F.round(F.coalesce(F.get("value", F.col("dim") - 1), F.lit(0.0)), 6) + 0.0).alias("value"))
 
 
 def features(candidates: DataFrame) -> DataFrame:

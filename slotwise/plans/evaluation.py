@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.registered import vec_wavg
 from ..functions.text import mix, tokens
 from ..functions.vectors import cosine, dot, layer_norm, norm, relu, sigmoid, times, unit
 from ..operators import chains, generate, kb, losses, metrics, product_key, retrieve, select
@@ -39,9 +40,8 @@ def _text_vectors(spark, d, texts_of):
     n = table(spark, d, "embeddings").agg(F.count("*").alias("n"))
     place = F.conv(F.substring(F.md5(F.col("token").cast("binary")), 1, 7), 16, 10).cast("bigint")
     words = texts_of.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).join(F.broadcast(n), F.lit(True))
-    rows = words.select("query_id", (place % F.col("n")).alias("vec_id")).join(_vectors(spark, d).select("vec_id", F.posexplode("vec").alias("at", "x")), "vec_id")
-    sums = rows.groupBy("query_id", "at").agg(F.round(F.avg("x"), 12).alias("x"))
-    return sums.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda r: r["x"]).alias("vec"))
+    rows = words.groupBy("query_id", (place % F.col("n")).alias("vec_id")).agg(F.count("*").alias("w")).join(_vectors(spark, d), "vec_id")
+    return rows.groupBy("query_id").agg(vec_wavg("w", "vec").alias("vec")).select("query_id", F.transform("vec", lambda x: F.round(x, 12)).alias("vec"))
 
 
 @query

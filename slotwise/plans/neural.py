@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.registered import dealt, register
 from ..operators import kb, losses, metrics, neural, retrieve, select
 from .catalogue import DIM, _candidates, _query_vecs, _ranked, _required, _slot_values, _slot_vecs, _vectors, query
 from .evaluation import _items, _text_vectors
@@ -136,3 +139,37 @@ def iterative_text_forced(spark, d):
     """The same, led by two given slots of each question instead of what was found."""
     lead = _items(spark, d).select("query_id", F.posexplode(F.array((F.col("query_id") * 7) % 100, (F.col("query_id") * 11) % 100)).alias("pos", "slot_id")).withColumn("pos", F.col("pos") + 1)
     return _text_hops(spark, d, lead)[1]
+
+
+# --- functions registered for SQL --------------------------------------------------------------------------------------
+def _views(spark, d, **frames):
+    """Temporary views of names of their own, so that queries that run beside each other do not meet; their names by key."""
+    register(spark)
+    names = {key: f"{key}_{uuid.uuid4().hex}" for key in frames}
+    for key, frame in frames.items():
+        frame.createOrReplaceTempView(names[key])
+    return names
+
+
+@query
+def sql_score_given(spark, d):
+    """score_given as SQL text with the registered functions."""
+    v = _views(spark, d, pairs=_required(spark, d), queries=_query_vecs(spark, d), slots=_slot_vecs(spark, d))
+    return spark.sql(f"""select query_id, slot_id, round(cosine(q.vec, s.vec), 6) as cosine, round(dot(q.vec, s.vec), 6) as dot
+        from {v["pairs"]} join {v["queries"]} q using (query_id) join {v["slots"]} s using (slot_id)""")
+
+
+@query
+def sql_vec_wavg(spark, d):
+    """The mean vector of each list of neighbours: the first 16 slots of each query."""
+    v = _views(spark, d, ranked=_ranked(spark, d, 16), slots=_slot_vecs(spark, d))
+    return spark.sql(f"""select query_id, i + 1 as dim, round(m[i], 6) + 0.0 as value from (
+        select query_id, vec_wavg(1, vec) as m from {v["ranked"]} join {v["slots"]} using (slot_id) group by query_id) lateral view explode(sequence(0, {2 * DIM - 1})) t as i""")
+
+
+@query
+def sql_topk_scan(spark, d):
+    """cosine_topk as SQL text: the table function over pairs of blocks, then the best of all blocks."""
+    v = _views(spark, d, dealt=dealt(_query_vecs(spark, d), _slot_vecs(spark, d), 8, own=False))
+    return spark.sql(f"""select query_id, rank, slot_id, round(score, 6) as score from (
+        select *, row_number() over (partition by query_id order by score desc, slot_id) as rank from topk_scan(table({v["dealt"]}) partition by block)) where rank <= 8""")

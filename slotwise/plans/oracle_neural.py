@@ -114,4 +114,7 @@ ORACLE_SQL: dict[str, str] = {
     "iterative_text": sql("select query_id, rank, slot_id from twalked", _hops(False)),
     "iterative_text_hops": sql("select hop, query_id, rank, slot_id, round(score, 6) as score from tfound", _hops(False)),
     "iterative_text_forced": sql("select query_id, rank, slot_id from twalked", _hops(True)),
+    "sql_score_given": sql("select query_id, slot_id, round(list_inner_product(q.v, s.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(s.v, s.v))), 6) as cosine, round(list_inner_product(q.v, s.v), 6) as dot from required join qv q using (query_id) join sv s using (slot_id)"),
+    "sql_vec_wavg": sql("select query_id, dim, round(avg(s.v[dim]), 6) + 0.0 as value from ranked r join sv s on s.slot_id = r.slot_id, dims where r.rank <= 16 group by 1, 2"),
+    "sql_topk_scan": sql("select query_id, rank, slot_id, round(score, 6) as score from ranked where rank <= 8"),
 }
