@@ -1,128 +1,156 @@
-"""Invented facts and questions by rule: names, chains of facts, and examples, all functions of a row number and a seed."""
+"""Invented facts and questions about names of a given relation: pools of names, chains of facts, and examples.
+
+Everything is a function of an id, a seed and a round. What repeats is drawn again in the next round, at most `ROUNDS`
+times, and each round is written before the next one starts, so pools come out full where the names allow it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import mix
-from .text import dense_id
+from ..session import written
+from .text import dense_id, in_ranges
 
-# The task types and their hops, in the order in which they take turns.
+# The task types, in the order in which they take turns.
 TASKS = ("single_fact_recall", "two_hop_reasoning", "three_hop_reasoning", "api_usage_reasoning", "code_symbol_reasoning")
-HOPS = (1, 2, 3, 2, 2)
-FRONT = ("Ba", "Ce", "Di", "Fo", "Gu", "Ka", "Le", "Mi", "No", "Pu")
-BACK = ("rol", "mit", "sen", "dar", "vix", "lum", "tor", "nek", "pas", "gil")
-VERBS = ("fetch", "merge", "split", "trace", "pack", "scan", "bind", "sift")
-SUFFIXES = ("Value", "Record", "Frame", "Digest")
-STATUSES = ("Denied", "Expired", "Missing", "Locked", "Delayed")
-NOUNS = len(FRONT) * len(BACK)
-#: Nouns below this are for train and val, the others for test.
-CUT = round(0.7 * NOUNS)
+#: What a chain of each task goes through, kind by kind, with the relation to the next one.
+PATHS = (
+    ("kit", "holds", "part"),
+    ("kit", "holds", "part", "fits", "frame"),
+    ("depot", "stocks", "kit", "holds", "part", "fits", "frame"),
+    ("counter", "takes", "slip", "bears", "stamp"),
+    ("press", "jams_at", "gear", "lights", "lamp"),
+)
+HOPS = tuple(len(path) // 2 for path in PATHS)
+#: Two ways of asking for the end of each task's chain by its start.
 QUESTIONS = (
-    ("what does {s} return ?", "name the value that {s} returns ."),
-    ("{s} returns a value , what is it wrapped into ?", "what comes of the result of {s} once it is wrapped ?"),
-    ("what does the result of {s} become after mapper and adapter ?", "{s} is mapped and then adapted , what comes out ?"),
-    ("which token opens {s} ?", "what must be sent along to call {s} ?"),
-    ("which status follows when {s} fails ?", "{s} raises an error , what status does it report ?"),
+    ("look into {s} : which part is there ?", "{s} holds something , name it ."),
+    ("open {s} and say which frame its part is for .", "find the frame that suits the contents of {s} ."),
+    ("from {s} go on to kit , part and frame : where do you end ?", "{s} has a kit , and its part fits where ?"),
+    ("a clerk at {s} looks for a stamp : which ?", "hand in a slip at {s} : what is printed on it ?"),
+    ("{s} stands still : which lamp is on ?", "name the lamp that tells of a jam in {s} ."),
 )
-#: How often the same question, answer and facts may stand in train; elsewhere once.
+SEPARATIONS = ("soft", "hard", "none")
+#: The share of a pool that is for train and val where test has names of its own.
+SHARE = 0.7
+#: How often the same question about the same chain may stand in train; elsewhere once.
 TRAIN_REPEATS = 5
+ROUNDS = 20
+WORDS = 4
 
 
-def _pick(words: tuple[str, ...], at: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(w) for w in words)), at.cast("int") + 1)
-
-
-def noun(at: Column) -> Column:
-    return F.concat(_pick(FRONT, F.floor(at / len(BACK))), _pick(BACK, at % len(BACK)))
-
-
-# Builders of the eight kinds of names.
-def function_name(verb: Column, of: Column) -> Column:
-    return F.concat(verb, of)
-
-
-def value_name(of: Column, suffix: Column) -> Column:
-    return F.concat(of, suffix)
-
-
-def api_name(of: Column) -> Column:
-    return F.concat(F.lit("api"), of)
-
+def cut(n: int) -> int:
+    """So many of n names are for train and val; both sides have one at least, where there are two."""
+    return max(1, min(n - 1, int(SHARE * n + 0.5))) if n > 1 else n
 
-def endpoint_name(of: Column) -> Column:
-    return F.concat(F.lower(F.substring(of, 1, 1)), F.substring(of, 2, 100), F.lit("Endpoint"))
 
+def drawn(n: int | Column, *key: Column | int) -> Column:
+    """A place below n by the first digits of a key's MD5: any SQL engine computes it alike, and keys next to each other are not."""
+    digits = F.substring(F.md5(F.concat_ws("-", *((F.lit(k) if isinstance(k, int) else k).cast("string") for k in key)).cast("binary")), 1, 7)
+    return F.shiftright(F.conv(digits, 16, 10).cast("bigint") * n, 28)
 
-def header_name(of: Column) -> Column:
-    return F.concat(of, F.lit("Header"))
 
+def split_of(i: Column) -> Column:
+    return F.when(i % 10 == 8, "val").when(i % 10 == 9, "test").otherwise("train")
 
-def token_name(of: Column) -> Column:
-    return F.concat(of, F.lit("Token"))
 
+def placed(names: DataFrame) -> DataFrame:
+    """place (from 0, in the order of words) and word of the different words of names(word)."""
+    return dense_id(in_ranges(names.where("word is not null").select("word").distinct(), "word"), F.col("word"), F.col("__range"), "place").select("place", "word")
 
-def error_name(of: Column) -> Column:
-    return F.concat(of, F.lit("Error"))
 
+def pools(names: DataFrame, separation: str, kind: str) -> DataFrame:
+    """word and the pool that it is in: `both`, `train` (and val) or `test`. Under `soft` nouns are apart, under `hard` verbs too."""
+    if separation not in SEPARATIONS:
+        raise ValueError(f"unknown separation {separation}")
+    rows = written(placed(names), "names")
+    if not _apart(separation, kind):
+        return rows.select("word", F.lit("both").alias("pool"))
+    return rows.select("word", F.when(F.col("place") < cut(rows.count()), "train").otherwise("test").alias("pool"))
 
-def status_name(word: Column) -> Column:
-    return F.concat(F.lit("Status"), word)
 
+def _apart(separation: str, kind: str) -> bool:
+    return separation == "hard" or (separation == "soft" and kind == "noun")
 
-def names(spark: SparkSession) -> DataFrame:
-    """Every noun with its pool and one name of each kind."""
-    n = F.col("id")
-    of = noun(n)
-    kinds = [function_name(_pick(VERBS, n % len(VERBS)), of), value_name(of, _pick(SUFFIXES, n % len(SUFFIXES))), api_name(of), endpoint_name(of), header_name(of), token_name(of), error_name(of), status_name(_pick(STATUSES, n % len(STATUSES)))]
-    titles = ("function", "value", "api", "endpoint", "header", "token", "error", "status")
-    return spark.range(NOUNS).select(of.alias("noun"), F.when(n < CUT, "train").otherwise("test").alias("pool"), *(k.alias(f"{t}_name") for k, t in zip(kinds, titles, strict=True)))
 
+def _place(n: int, apart: bool, *key: Column | int) -> Column:
+    if not apart or n < 2:
+        return drawn(n, *key)
+    return F.when(F.col("split") == "test", drawn(n - cut(n), *key) + cut(n)).otherwise(drawn(cut(n), *key))
 
-def _fact(subject: Column, relation: str, target: Column) -> Column:
-    return F.concat(subject, F.lit(f" {relation} "), target, F.lit(" ."))
 
+def _of_task(values: list[Column]) -> Column:
+    return F.coalesce(*(F.when(F.col("task") == t, v) for t, v in enumerate(values)))
 
-def chains(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """chain_id, split, task_type, hops, facts, subject and answer of chains 0..n-1; of equal sets of facts only the first."""
-    i = F.col("id")
-    split = F.when(i % 10 == 8, "val").when(i % 10 == 9, "test").otherwise("train")
-    test = split == "test"
 
-    def own(j: int) -> Column:
-        key = mix(i, seed, j)
-        return noun(F.when(test, key % (NOUNS - CUT) + CUT).otherwise(key % CUT))
+def _linked(rows: DataFrame) -> DataFrame:
+    """rows(chain_id, split, task, verb, w0, ...) as chains."""
+    def name(task: int, k: int) -> Column:
+        kind = PATHS[task][2 * k]
+        return F.concat_ws("_", "verb", F.lit(kind), "w0") if k == 0 else F.concat_ws("_", F.lit(kind), f"w{k}")
 
-    verb, suffix, status = (_pick(words, mix(i, seed, 9 + j) % len(words)) for j, words in enumerate((VERBS, SUFFIXES, STATUSES)))
-    rows = spark.range(n).select(i.alias("chain_id"), split.alias("split"), (i % len(TASKS)).cast("int").alias("task"), verb.alias("verb"), suffix.alias("suffix"), status.alias("word"), *(own(j).alias(f"noun{j}") for j in range(1, 5)))
-    c = F.col
-    function, api, endpoint, header = function_name(c("verb"), c("noun1")), api_name(c("noun1")), endpoint_name(c("noun1")), header_name(c("noun2"))
-    one, two, three = (value_name(c(f"noun{j}"), c("suffix")) for j in (2, 3, 4))
-    token, error, state = token_name(c("noun3")), error_name(c("noun2")), status_name(c("word"))
-    first = _fact(function, "returns", one)
-    facts = (
-        F.array(first),
-        F.array(first, _fact(one, "wraps into", two)),
-        F.array(_fact(api, "returns", one), _fact(one, "maps to", two), _fact(two, "adapts to", three)),
-        F.array(_fact(endpoint, "requires", header), _fact(header, "carries", token)),
-        F.array(_fact(function, "raises", error), _fact(error, "reports", state)),
-    )
-    by_task = lambda values: F.coalesce(*(F.when(c("task") == t, v) for t, v in enumerate(values)))
-    rows = rows.select(
-        "chain_id", "split", _pick(TASKS, c("task")).alias("task_type"), by_task([F.lit(h) for h in HOPS]).alias("hops"), by_task(facts).alias("facts"), by_task((function, function, api, endpoint, function)).alias("subject"), by_task((one, two, three, token, state)).alias("answer"), "task",
+    facts = [F.array(*(F.concat_ws(" ", name(t, k), F.lit(path[2 * k + 1]), name(t, k + 1), F.lit(".")) for k in range(HOPS[t]))) for t, path in enumerate(PATHS)]
+    return rows.select(
+        "chain_id", "split", F.element_at(F.array(*map(F.lit, TASKS)), F.col("task") + 1).alias("task_type"), F.element_at(F.array(*map(F.lit, HOPS)), F.col("task") + 1).alias("hops"),
+        _of_task(facts).alias("facts"), _of_task([name(t, 0) for t in range(len(TASKS))]).alias("subject"), _of_task([name(t, HOPS[t]) for t in range(len(TASKS))]).alias("answer"), "task",
     )
-    again = Window.partitionBy("facts").orderBy("chain_id")
-    return rows.withColumn("nth", F.row_number().over(again)).where("nth = 1").drop("nth")
 
 
-def examples(pool: DataFrame, n: int, seed: int) -> DataFrame:
-    """Examples drawn from a pool of chains, with a question from one of its task's templates; repeats beyond the split's cap are left out."""
-    placed = dense_id(pool, F.col("chain_id"), F.floor(F.col("chain_id") / 4096), "place")
-    total = max(pool.count(), 1)
-    drawn = pool.sparkSession.range(n).select(F.col("id").alias("example_id"), (mix(F.col("id"), seed, 1) % total).cast("int").alias("place"), (mix(F.col("id"), seed, 2) % 2).cast("int").alias("template"))
-    rows = drawn.join(placed, "place")
+def chains(ids: DataFrame, nouns: DataFrame, verbs: DataFrame, seed: int, separation: str = "soft") -> DataFrame:
+    """chain_id, split, task_type, hops, facts, subject, answer and task of each of ids(chain_id, split); no two have equal facts.
+
+    nouns(word) and verbs(word) are the names' words. A chain whose facts an accepted one has, or one of a smaller id
+    in the same round, is drawn again.
+    """
+    if separation not in SEPARATIONS:
+        raise ValueError(f"unknown separation {separation}")
+    nouns, verbs = written(placed(nouns), "nouns"), written(placed(verbs), "verbs")
+    n, m = nouns.count(), verbs.count()
+    missing = ids.select("chain_id", "split", (F.floor(F.col("chain_id") / 10) % len(TASKS)).cast("int").alias("task")).where("chain_id is not null")
+    accepted = None
+    for turn in range(ROUNDS if n and m else 1):
+        words = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), _place(n, _apart(separation, "noun"), F.col("chain_id"), seed, j, turn).alias("place")) for j in range(WORDS)))).alias("w")
+        verb = _place(m, _apart(separation, "verb"), F.col("chain_id"), seed, WORDS, turn).cast("int").alias("verb_place")
+        spelled = missing.select("chain_id", "split", "task", verb, words).select("chain_id", "split", "task", "verb_place", "w.j", F.col("w.place").cast("int").alias("place")).join(nouns, "place")
+        spelled = spelled.groupBy("chain_id", "split", "task", "verb_place").agg(*(F.max(F.when(F.col("j") == j, F.col("word"))).alias(f"w{j}") for j in range(WORDS)))
+        found = _linked(spelled.join(verbs.select(F.col("place").alias("verb_place"), F.col("word").alias("verb")), "verb_place"))
+        if accepted is not None:
+            found = found.join(accepted.select("facts"), "facts", "left_anti").select(*accepted.columns)
+        first = F.row_number().over(Window.partitionBy("facts").orderBy("chain_id"))
+        new = written(found.withColumn("nth", first).where("nth = 1").drop("nth"), "chains")
+        accepted = new if accepted is None else accepted.unionByName(new)
+        missing = written(missing.join(new.select("chain_id"), "chain_id", "left_anti"), "chains-left")
+        if missing.isEmpty():
+            break
+    return accepted
+
+
+def examples(pool: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
+    """example_id of each of ids(example_id, split) with a chain of its split from the pool and a question about it.
+
+    A question about a chain stands in train TRAIN_REPEATS times at most, elsewhere once; further draws of it are
+    drawn again. Splits without chains have no examples.
+    """
+    ranged = in_ranges(pool.withColumn("at", F.struct("split", "chain_id")), "at")
+    places = written(dense_id(ranged, F.col("at"), F.col("__range"), "place").select("place", *pool.columns), "chain-places")
+    sizes = places.groupBy("split").agg(F.min("place").cast("bigint").alias("first"), F.count("*").alias("size"))  # a row a split
+    missing, most, taken = ids.select("example_id", "split").where("example_id is not null"), F.when(F.col("split") == "train", TRAIN_REPEATS).otherwise(1), []
+    for turn in range(ROUNDS):
+        place = F.col("first") + drawn(F.col("size"), F.col("example_id"), seed, 1, turn)
+        tried = missing.join(F.broadcast(sizes), "split").select("example_id", "split", place.cast("int").alias("place"), drawn(2, F.col("example_id"), seed, 2, turn).cast("int").alias("template"))
+        nth = F.row_number().over(Window.partitionBy("place", "template").orderBy("example_id"))
+        if taken:
+            held = reduce(DataFrame.unionByName, taken).groupBy("place", "template").agg(F.count("*").alias("held"))
+            tried = tried.join(held, ["place", "template"], "left")
+            nth = nth + F.coalesce("held", F.lit(0))
+        new = written(tried.withColumn("nth", nth).where(F.col("nth") <= most).select("example_id", "place", "template"), "examples")
+        taken.append(new)
+        missing = written(missing.join(new.select("example_id"), "example_id", "left_anti"), "examples-left")
+        if missing.isEmpty() or new.isEmpty():
+            break
+    rows = reduce(DataFrame.unionByName, taken).join(places, "place")
     asked = F.coalesce(*(F.when((F.col("task") == t) & (F.col("template") == j), F.lit(q)) for t, forms in enumerate(QUESTIONS) for j, q in enumerate(forms)))
-    rows = rows.withColumn("question", F.replace(asked, F.lit("{s}"), F.col("subject")))
-    nth = F.row_number().over(Window.partitionBy("question", "answer", "facts").orderBy("example_id"))
-    return rows.withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("split") == "train", TRAIN_REPEATS).otherwise(1)).drop("nth", "place", "task")
+    return rows.withColumn("question", F.replace(asked, F.lit("{s}"), F.col("subject"))).drop("place", "task")

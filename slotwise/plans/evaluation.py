@@ -12,6 +12,7 @@ from ..functions.text import mix, tokens
 from ..functions.vectors import cosine, dot, layer_norm, norm, relu, sigmoid, times, unit
 from ..operators import chains, generate, kb, losses, metrics, product_key, retrieve, select
 from ..operators import text as texts
+from ..sources.generated import star_names
 from ..sources.tables import mode_of_run, model_type_of_run, table
 from .catalogue import (
     DIM, KS, SELECTOR, SUBKEYS, _candidates, _codebook, _encoded, _kb, _live, _meta, _part_chains, _prompts, _query_vecs, _ranked, _required, _selected, _shown, _slot_vecs, _slots, _variants, _vectors, query, recall_at_k,
@@ -250,7 +251,7 @@ def detailed_predictions(spark, d):
 @query
 def dataset_alignment(spark, d):
     """Of each split of the generated examples: how many answers end their facts, stand in no question, and are in train's vocabulary."""
-    rows = generate.examples(generate.chains(spark, 400, 7), 600, 7)
+    rows = _examples(spark, d)
     known = rows.where("split = 'train'").select(F.col("answer").alias("known")).distinct()
     rows = rows.join(known, F.col("answer") == F.col("known"), "left")
     aligned = F.endswith(F.element_at("facts", -1), F.concat(F.lit(" "), F.col("answer"), F.lit(" .")))
@@ -411,17 +412,32 @@ def stage_by_epoch(spark, d):
 
 
 # --- generated data --------------------------------------------------------------------------------------------------
+def _chains(spark, d):
+    """A chain for each part."""
+    ids = table(spark, d, "part").select(F.col("p_partkey").alias("chain_id"), generate.split_of(F.col("p_partkey")).alias("split"))
+    return generate.chains(ids, *star_names(spark, d), 7)
+
+
+def _examples(spark, d):
+    """An example for each customer."""
+    ids = table(spark, d, "customer").select(F.col("c_custkey").alias("example_id"), generate.split_of(F.col("c_custkey")).alias("split"))
+    return generate.examples(_chains(spark, d), ids, 7)
+
+
 @query
 def generated_names(spark, d):
-    return generate.names(spark)
+    """The pool of each word of a name under each separation."""
+    nouns, verbs = star_names(spark, d)
+    rows = [generate.pools(words, s, kind).select(F.lit(s).alias("separation"), F.lit(kind).alias("kind"), "word", "pool") for s in generate.SEPARATIONS for kind, words in (("noun", nouns), ("verb", verbs))]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query
 def generated_facts(spark, d):
-    """Chains of all task types over 400 seeds; equal sets of facts count once."""
-    return generate.chains(spark, 400, 7).select("chain_id", "split", "task_type", "hops", F.array_join("facts", " | ").alias("facts"), "answer")
+    """Chains of all task types; no two have equal facts."""
+    return _chains(spark, d).select("chain_id", "split", "task_type", "hops", F.array_join("facts", " | ").alias("facts"), "subject", "answer")
 
 
 @query
 def generated_examples(spark, d):
-    return generate.examples(generate.chains(spark, 400, 7), 600, 7).select("example_id", "split", "task_type", "question", "answer", "hops")
+    return _examples(spark, d).select("example_id", "chain_id", "split", "task_type", "question", "answer", "hops")

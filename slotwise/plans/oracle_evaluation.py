@@ -125,35 +125,61 @@ def _case(words, low: str, other: str = "") -> str:
     return f"case {hits}{other} end"
 
 
-def _noun(at: str) -> str:
-    return f"{_list(g.FRONT)}[({at}) // 10 + 1] || {_list(g.BACK)}[({at}) % 10 + 1]"
-
-
-def _pool(j: int) -> str:
-    return f"case when chain_id % 10 = 9 then ({_mix('chain_id', 7, j)}) % {g.NOUNS - g.CUT} + {g.CUT} else ({_mix('chain_id', 7, j)}) % {g.CUT} end"
-
-
-_GENERATED = {
-    "seeds": "select unnest(range(0, 400)) as chain_id",
-    "drawn_words": "select chain_id, case chain_id % 10 when 8 then 'val' when 9 then 'test' else 'train' end as split, chain_id % 5 as task, "
-    + ", ".join(f"{w}[({_mix('chain_id', 7, 9 + j)}) % {n} + 1] as {c}" for j, (w, n, c) in enumerate(((_list(g.VERBS), len(g.VERBS), "verb"), (_list(g.SUFFIXES), len(g.SUFFIXES), "suffix"), (_list(g.STATUSES), len(g.STATUSES), "word"))))
-    + ", "
-    + ", ".join(f"{_noun(_pool(j))} as noun{j}" for j in range(1, 5))
-    + " from seeds",
-    "named_words": "select *, verb || noun1 as fn, 'api' || noun1 as api, lower(noun1[1]) || noun1[2:] || 'Endpoint' as endpoint, noun2 || 'Header' as header, noun2 || suffix as one, noun3 || suffix as two, noun4 || suffix as three, noun3 || 'Token' as token, noun2 || 'Error' as error, 'Status' || word as state from drawn_words",
-    "linked": f"""select chain_id, split, {_list(g.TASKS)}[task + 1] as task_type, [1, 2, 3, 2, 2][task + 1] as hops, task,
-        case task when 0 then fn || ' returns ' || one || ' .' when 1 then fn || ' returns ' || one || ' . | ' || one || ' wraps into ' || two || ' .'
-          when 2 then api || ' returns ' || one || ' . | ' || one || ' maps to ' || two || ' . | ' || two || ' adapts to ' || three || ' .'
-          when 3 then endpoint || ' requires ' || header || ' . | ' || header || ' carries ' || token || ' .' else fn || ' raises ' || error || ' . | ' || error || ' reports ' || state || ' .' end as facts,
-        [fn, fn, api, endpoint, fn][task + 1] as subject, [one, two, three, token, state][task + 1] as answer from named_words""",
-    "chain_pool": "select * from linked qualify row_number() over (partition by facts order by chain_id) = 1",
-}
-_EXAMPLES = {
-    **_GENERATED,
-    "placed_chains": "select *, row_number() over (order by chain_id) - 1 as place, count(*) over () as total from chain_pool",
-    "drawn_chains": f"select e.example_id, p.*, ({_mix('e.example_id', 7, 2)}) % 2 as template from (select unnest(range(0, 600)) as example_id) e join placed_chains p on p.place = ({_mix('e.example_id', 7, 1)}) % p.total",
-    "questions": "select *, replace([" + ", ".join(_list(q) for q in g.QUESTIONS) + "][task + 1][template + 1], '{s}', subject) as question from drawn_chains",
-}
+def _draw(n: str, *key) -> str:
+    return f"(cast('0x' || substr(md5(concat_ws('-', {', '.join(map(str, key))})), 1, 7) as bigint) * ({n})) // 268435456"
+
+
+_CUT = "case when n > 1 then greatest(1, least(n - 1, cast(floor(0.7 * n + 0.5) as bigint))) else n end"
+
+
+def _entity(task: int, k: int) -> str:
+    kind = g.PATHS[task][2 * k]
+    return f"verb || '_{kind}_' || w0" if k == 0 else f"'{kind}_' || w{k}"
+
+
+def _by_task(values) -> str:
+    return "case task " + " ".join(f"when {t} then {v}" for t, v in enumerate(values)) + " end"
+
+
+def _chain_rounds() -> dict[str, str]:
+    """`chain_pool`, in rounds that each add what no accepted chain has."""
+    test = lambda j, r: f"case when m.split = 'test' and z.n > 1 then {_draw('z.n - z.c', 'm.chain_id', 7, j, r)} + z.c else {_draw('z.c', 'm.chain_id', 7, j, r)} end"
+    facts = _by_task(" || ' | ' || ".join(f"{_entity(t, k)} || ' {path[2 * k + 1]} ' || {_entity(t, k + 1)} || ' .'" for k in range(g.HOPS[t])) for t, path in enumerate(g.PATHS))
+    subject, answer = (_by_task(_entity(t, k[t]) for t in range(len(g.TASKS))) for k in ([0] * len(g.TASKS), g.HOPS))
+    split = "case {0} % 10 when 8 then 'val' when 9 then 'test' else 'train' end"
+    out = {
+        "nouns": "select row_number() over (order by word) - 1 as place, word from (select distinct regexp_replace(s_name, '[^A-Za-z0-9]+', '_', 'g') as word from supplier where s_name is not null)",
+        "verbs": "select row_number() over (order by word) - 1 as place, word from (select distinct lower(p_type) as word from part where p_type is not null)",
+        "sizes": f"select n, {_CUT} as c, (select count(*) from verbs) as m from (select count(*) as n from nouns)",
+        "left0": f"select p_partkey as chain_id, {split.format('p_partkey')} as split, (p_partkey // 10) % 5 as task from part",
+    }
+    for r in range(g.ROUNDS):
+        words = " ".join(f"join nouns n{j} on n{j}.place = {test(j, r)}" for j in range(g.WORDS))
+        out[f"drawn{r}"] = f"select chain_id, split, task, {facts} as facts, {subject} as subject, {answer} as answer from (select m.*, v.word as verb, " + ", ".join(f"n{j}.word as w{j}" for j in range(g.WORDS)) + f" from left{r} m, sizes z {words} join verbs v on v.place = {_draw('z.m', 'm.chain_id', 7, g.WORDS, r)})"
+        fresh = f"select * from drawn{r}" + (f" where facts not in (select facts from accepted{r - 1})" if r else "")
+        out[f"accepted{r}"] = (f"select * from accepted{r - 1} union all " if r else "") + f"select * from ({fresh} qualify row_number() over (partition by facts order by chain_id) = 1)"
+        out[f"left{r + 1}"] = f"select * from left{r} where chain_id not in (select chain_id from accepted{r})"
+    return out | {"chain_pool": f"select *, {_list(g.TASKS)}[task + 1] as task_type, {list(g.HOPS)}[task + 1] as hops from accepted{g.ROUNDS - 1}"}
+
+
+def _example_rounds() -> dict[str, str]:
+    """`kept_examples`, in rounds that each add questions that are not asked too often."""
+    out = _chain_rounds() | {
+        "chain_places": "select *, row_number() over (partition by split order by chain_id) - 1 as place, count(*) over (partition by split) as size from chain_pool",
+        "asking0": "select c_custkey as example_id, case c_custkey % 10 when 8 then 'val' when 9 then 'test' else 'train' end as split from customer",
+    }
+    for r in range(g.ROUNDS):
+        out[f"tried{r}"] = f"select e.example_id, e.split, p.chain_id, {_draw('2', 'e.example_id', 7, 2, r)} as template from asking{r} e join (select distinct split, size from chain_places) z on z.split = e.split join chain_places p on p.split = e.split and p.place = {_draw('z.size', 'e.example_id', 7, 1, r)}"
+        held = f"left join (select chain_id, template, count(*) as held from asked{r - 1} group by 1, 2) h using (chain_id, template)" if r else ""
+        out[f"asked{r}"] = (f"select * from asked{r - 1} union all " if r else "") + f"select example_id, split, chain_id, template from tried{r} {held} qualify row_number() over (partition by chain_id, template order by example_id) + {'coalesce(held, 0)' if r else '0'} <= case when split = 'train' then {g.TRAIN_REPEATS} else 1 end"
+        out[f"asking{r + 1}"] = f"select * from asking{r} where example_id not in (select example_id from asked{r})"
+    return out | {"kept_examples": f"select a.example_id, p.*, replace([" + ", ".join(_list(q) for q in g.QUESTIONS) + f"][p.task + 1][a.template + 1], '{{s}}', p.subject) as question from asked{g.ROUNDS - 1} a join chain_pool p using (chain_id)"}
+
+
+def _steps_of(relations: dict[str, str], statement: str) -> str:
+    """The statement over relations that are each computed once, in order."""
+    return "with " + ",\n".join(f"{name} as materialized ({text})" for name, text in relations.items()) + "\n" + statement
+
 
 _NAMES = ("oracle_text", "retrieved_oracle", "multi_query", "hidden_adapter", "memory_adapter", "memory_adapter_pretrain", "oracle", "retrieved", "random", "core_only", "dense", "exp_001_retrieval", "plain")
 _PADDED = {"noised": _noisy(4, 42, 1.0, 0.5, 8), "padded_places": "select q.query_id, p.pos, coalesce(n.slot_id, -1) as slot_id, n.slot_id is null as is_pad, coalesce(n.is_required, false) as is_required from (select distinct query_id from noised) q cross join (select unnest(range(1, 9)) as pos) p left join noised n on n.query_id = q.query_id and n.pos = p.pos"}
@@ -247,8 +273,8 @@ ORACLE_SQL: dict[str, str] = {
       from (select r.query_id, r.hops, s.label as gold_answer from required r join sv s using (slot_id) where r.pos = 1) g
       join (select r.query_id, r.score, s.label, s.v as sv, q.v as qv from ranked r join sv s using (slot_id) join qv q using (query_id) where r.rank = 1) b using (query_id)
       join (select query_id, string_agg(cast(slot_id as varchar), ',' order by pos) filter (is_required) as required_slots, coalesce(string_agg(cast(slot_id as varchar), ',' order by pos) filter (not is_required), '') as distractor_slots, count(*) filter (not is_required) as num_distractors from noised group by 1) n using (query_id)""", _PADDED),
-    "dataset_alignment": sql("""select split, count(*) as examples, count(*) filter (facts like '% ' || answer || ' .') as aligned, count(*) filter (contains(question, answer)) as leaked, count(*) filter (answer in (select answer from kept_examples where split = 'train')) as answers_in_train, count(distinct answer) as distinct_answers
-      from kept_examples group by split""", _EXAMPLES | {"kept_examples": "select * from questions qualify row_number() over (partition by question, answer, facts order by example_id) <= case when split = 'train' then 5 else 1 end"}),
+    "dataset_alignment": _steps_of(_example_rounds(), """select split, count(*) as examples, count(*) filter (facts like '% ' || answer || ' .') as aligned, count(*) filter (contains(question, answer)) as leaked,
+      count(*) filter (answer in (select answer from kept_examples where split = 'train')) as answers_in_train, count(distinct answer) as distinct_answers from kept_examples group by split"""),
     "weighted_loss": "select count(*) as batches, cast(sum(size) as bigint) as rows, round(sum(loss * size) / sum(size), 6) as loss from (select event_type, cast(ts as date) as day, avg(value) as loss, count(*) as size from events where value is not null group by 1, 2)",
     "batch_cosine_mean": sql("select count(*) as batches, round(avg(m), 6) as mean from (select query_id // 320 as batch, avg(score) as m from ranked where rank = 1 group by 1)"),
     "parameter_count": "select cast(sum(names) as bigint) as names, count(*) as tensors, cast(sum(numel) as bigint) as parameters from (select label, count(*) as names, max(len(embedding)) as numel from embeddings group by 1)",
@@ -277,9 +303,10 @@ ORACLE_SQL: dict[str, str] = {
     "first_examples": sql("select subject, template, question, answer from (select *, row_number() over (partition by question, answer order by subject) as repeat from asked) where repeat <= 5 order by question, answer, subject, template limit 100"),
     "task_rotation": f"select p_partkey, {_list(g.TASKS)}[(row_number() over (order by p_partkey) - 1) % 5 + 1] as task_type from part",
     "stage_by_epoch": "select epoch, events, cast(case when epoch >= 5 then 2 when epoch >= 2 then 1 else 0 end as integer) as stage from (select cast(date_diff('day', (select min(cast(ts as date)) from events), cast(ts as date)) as integer) as epoch, count(*) as events from events where ts is not null group by 1)",
-    "generated_names": f"""select {_noun('n')} as noun, case when n < {g.CUT} then 'train' else 'test' end as pool, {_list(g.VERBS)}[n % {len(g.VERBS)} + 1] || {_noun('n')} as function_name, ({_noun('n')}) || {_list(g.SUFFIXES)}[n % {len(g.SUFFIXES)} + 1] as value_name,
-      'api' || {_noun('n')} as api_name, lower(({_noun('n')})[1]) || ({_noun('n')})[2:] || 'Endpoint' as endpoint_name, ({_noun('n')}) || 'Header' as header_name, ({_noun('n')}) || 'Token' as token_name, ({_noun('n')}) || 'Error' as error_name, 'Status' || {_list(g.STATUSES)}[n % {len(g.STATUSES)} + 1] as status_name
-      from (select unnest(range(0, {g.NOUNS})) as n)""",
-    "generated_facts": sql("select chain_id, split, task_type, cast(hops as integer) as hops, facts, answer from chain_pool", _GENERATED),
-    "generated_examples": sql("select example_id, split, task_type, question, answer, cast(hops as integer) as hops from questions qualify row_number() over (partition by question, answer, facts order by example_id) <= case when split = 'train' then 5 else 1 end", _EXAMPLES),
+    "generated_names": f"""with nouns as ({_chain_rounds()["nouns"]}), verbs as ({_chain_rounds()["verbs"]}),
+      every as (select 'noun' as kind, place, word, count(*) over () as n from nouns union all select 'verb', place, word, count(*) over () from verbs)
+      select separation, kind, word, case when separation = 'none' or (separation = 'soft' and kind = 'verb') then 'both' when place < {_CUT} then 'train' else 'test' end as pool
+      from every, (values {", ".join(f"('{s}')" for s in g.SEPARATIONS)}) as s(separation)""",
+    "generated_facts": _steps_of(_chain_rounds(), "select chain_id, split, task_type, cast(hops as integer) as hops, facts, subject, answer from chain_pool"),
+    "generated_examples": _steps_of(_example_rounds(), "select example_id, chain_id, split, task_type, question, answer, cast(hops as integer) as hops from kept_examples"),
 }

@@ -251,19 +251,44 @@ def test_runs_and_sinks(spark, tmp_path):
     assert json.loads(spark.read.text(f"{tmp_path}/meta").first().value) == {"splits": {"train": 1}}
 
 
-def test_generated_pools_are_apart(spark):
-    pool = generate.chains(spark, 500, 3)
-    rows = pool.collect()
-    nouns = lambda keep: {r.noun for r in generate.names(spark).collect() if (r.pool == "test") == keep}
-    test = " ".join(f for r in rows if r.split == "test" for f in r.facts)
-    rest = " ".join(f for r in rows if r.split != "test" for f in r.facts)
-    assert not any(n in test for n in nouns(False)) and not any(n in rest for n in nouns(True))
-    assert len({tuple(r.facts) for r in rows}) == len(rows) < 500 and {len(r.facts) for r in rows} == {1, 2, 3}
-    drawn = generate.examples(pool, 3000, 3)
+def _words(spark, prefix, n):
+    return spark.range(n).select(F.concat(F.lit(prefix), F.col("id")).alias("word"))
+
+
+@pytest.mark.parametrize("separation", generate.SEPARATIONS)
+def test_generated_pools_are_full_and_apart(spark, separation):
+    """Chains over so few names that many are drawn again; test has names of its own, as far as the separation says."""
+    nouns, verbs = _words(spark, "n", 8), _words(spark, "v", 4)
+    split = generate.split_of(F.col("id"))
+    ids = spark.range(400).select(F.col("id").alias("chain_id"), split.alias("split"))
+    rows = generate.chains(ids, nouns, verbs, 3, separation).collect()
+    assert len({tuple(r.facts) for r in rows}) == len(rows) == 400 and {len(r.facts) for r in rows} == {1, 2, 3}
+    for kind, names in (("noun", nouns), ("verb", verbs)):
+        pool = {r.word: r.pool for r in generate.pools(names, separation, kind).collect()}
+        apart = separation == "hard" or (separation == "soft" and kind == "noun")
+        assert set(pool.values()) == ({"train", "test"} if apart else {"both"})
+        for r in rows:
+            used = {w for f in r.facts for name in f.split() for w in name.split("_") if w in pool}
+            assert {pool[w] for w in used} <= {"both", "test" if r.split == "test" else "train"}
+    pool = generate.chains(ids, nouns, verbs, 3, separation)
+    drawn = generate.examples(pool, spark.range(900).select(F.col("id").alias("example_id"), F.when(F.col("id") % 15 == 0, "val").when(F.col("id") % 15 == 1, "test").otherwise("train").alias("split")), 3)
+    assert drawn.count() == drawn.select("example_id").distinct().count() == 900
     assert drawn.groupBy("split", "question", "answer", "facts").count().where("count > if(split = 'train', 5, 1)").count() == 0
     assert all(r.subject in r.question for r in drawn.limit(50).collect())
 
 
+def test_generated_pools_end_where_names_do(spark):
+    ids = spark.range(60).select(F.col("id").alias("chain_id"), F.lit("train").alias("split"))
+    rows = generate.chains(ids, _words(spark, "n", 1), _words(spark, "v", 1), 3, "none").collect()
+    assert len(rows) == len(generate.TASKS) and {r.chain_id for r in rows} == {0, 10, 20, 30, 40}
+    assert generate.chains(ids, _words(spark, "n", 0), _words(spark, "v", 2), 3).count() == 0
+    pool = generate.chains(ids, _words(spark, "n", 1), _words(spark, "v", 1), 3, "none")
+    assert generate.examples(pool, spark.range(200).select(F.col("id").alias("example_id"), F.lit("train").alias("split")), 3).count() == 5 * 2 * 5
+    assert generate.examples(pool, spark.range(9).select(F.col("id").alias("example_id"), F.lit("val").alias("split")), 3).count() == 0
+    with pytest.raises(ValueError):
+        generate.chains(ids, _words(spark, "n", 1), _words(spark, "v", 1), 3, "firm")
+
+
 def test_the_last_state_of_a_window_counts(spark, tmp_path):
     rows = spark.createDataFrame([("w", "a", 1, 1.0), ("w", "b", 5, 2.0)], "w string, event_type string, n int, total double")
     rows.write.parquet(f"{tmp_path}/batch=0")
@@ -277,7 +302,9 @@ def test_unknown_retriever_mode():
 
 
 def test_generated_data_set(spark, tmp_path):
-    generated.main([f"{tmp_path}/g", "--train", "60", "--val", "10", "--test", "10", "--chains", "80", "--seed", "3"])
+    spark.range(12).select(F.concat(F.lit("Supplier#00"), F.col("id")).alias("s_name")).write.parquet(f"{tmp_path}/star/supplier.parquet")
+    spark.createDataFrame([("SMALL",), ("LARGE",), (None,)], "p_type string").write.parquet(f"{tmp_path}/star/part.parquet")
+    generated.main([f"{tmp_path}/g", "--train", "60", "--val", "10", "--test", "10", "--chains", "80", "--seed", "3", "--tables", f"{tmp_path}/star", "--separation", "hard"])
     slots = spark.read.json(f"{tmp_path}/g/kb")
     ids = {r.slot_id: r.text for r in slots.collect()}
     assert sorted(ids) == list(range(len(ids))) and [ids[i] for i in sorted(ids)] == sorted(ids.values())
