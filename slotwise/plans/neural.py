@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.registered import dealt, register
-from ..operators import kb, losses, metrics, neural, retrieve, select
-from .catalogue import DIM, _candidates, _query_vecs, _ranked, _required, _slot_values, _slot_vecs, _vectors, query
+from ..operators import encoder, kb, losses, metrics, neural, retrieve, select
+from .catalogue import DIM, _candidates, _query_vecs, _ranked, _prompts, _required, _shown, _slot_values, _slot_vecs, _vectors, query
 from .evaluation import _items, _text_vectors
 
 HEAD_SLOTS = 8
@@ -20,6 +20,13 @@ SELECTOR_MLP = {
     "w_query": (0, 32, 1, 64), "w_slot": (32, 32, 1, 64), "w_value": (64, 32, 1, 64), "w_scalars": (96, 32, 1, 4), "w_hops": (96, 32, 5, 16), "hops": (128, 4, 1, 16),
     "w_second": (132, 32, 1, 32), "w_last": (164, 1, 1, 32), "b_first": (165, 1, 1, 32), "b_second": (166, 1, 1, 32), "b_last": (167, 1, 1, 1),
 }
+ENCODER = {"tokens": (0, 256, 1, 16), "positions": (256, 64, 1, 16), "norm": (466, 1, 1, 16), "out": (467, 32, 1, 16)}
+for _l in (0, 1):
+    ENCODER |= {
+        f"qkv_{_l}": (320, 48, 16 * _l + 1, 16), f"proj_{_l}": (368, 16, 16 * _l + 1, 16), f"gate_{_l}": (384, 32, 16 * _l + 1, 16), f"up_{_l}": (416, 32, 16 * _l + 1, 16), f"down_{_l}": (448, 16, 32 * _l + 1, 32),
+        f"norm1_{_l}": (464, 1, 16 * _l + 1, 16), f"norm2_{_l}": (465, 1, 16 * _l + 1, 16),
+    }
+HEADS = 2
 PAIR = {"w_anchor": (200, 16, 1, 64), "w_slot": (216, 16, 1, 64), "w_second": (232, 16, 1, 16), "w_last": (248, 1, 1, 16), "b_first": (249, 1, 1, 16), "b_second": (250, 1, 1, 16)}
 
 
@@ -111,6 +118,24 @@ def pair_mlp_expand(spark, d):
     return retrieve.expand_by_graph(_ranked(spark, d, 3), _pairs(spark, d).drop("rank"), 4, 10)
 
 
+def _encoded_prompts(spark, d):
+    """The encoder's vector of every prompt of the conversations, whole."""
+    key = F.col("conv_id") * 4096 + F.col("turn")
+    return encoder.encode(_prompts(spark, d).select(key.alias("query_id"), "ids", "prompt_len"), _model(spark, d, ENCODER), HEADS)
+
+
+@query
+def encoded_prompts(spark, d):
+    return _encoded_prompts(spark, d).select("query_id", F.posexplode("vec").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("dim"), (F.round("x", 6) + 0.0).alias("value"))
+
+
+@query
+def encoded_topk(spark, d):
+    """The slots that are nearest to each prompt, over the first half of the dimensions."""
+    asked = _encoded_prompts(spark, d).select("query_id", F.transform("vec", lambda x: F.round(x, 9)).alias("vec"))
+    return _shown(retrieve.topk(asked, _slot_vecs(spark, d, DIM), 8))
+
+
 def _facts(spark, d):
     """Facts of nations, customers, suppliers and parts, as slots with texts."""
     return kb.slot_table(kb.triples(spark, d, ("nation", "customer", "supplier", "part"))).select("slot_id", "text")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators.neural import MODES
-from .neural import HEAD, HEAD_SLOTS, PAIR, SELECTOR_MLP, TAKE
+from .neural import ENCODER, HEAD, HEAD_SLOTS, HEADS, PAIR, SELECTOR_MLP, TAKE
 from .oracle import _SOFTPLUS, _rank, sql
 from .oracle_evaluation import _EDGES, _expanded, _norm, _scores, _texts
 
@@ -98,7 +98,42 @@ def _hops(forced: bool) -> dict[str, str]:
     return out
 
 
+def _matrix(name: str) -> str:
+    return f"(select list(v order by row) as w from {_rows(ENCODER, name)})"
+
+
+def _encoder() -> dict[str, str]:
+    """`encoded`(query_id, v): two layers of causal attention and gated products, read at the last position."""
+    wide = "range(1, 17)"
+    normed = f"list_transform({wide}, lambda i: x[i] / sqrt(list_inner_product(x, x) / 16 + 1e-6) * nw[i])"
+    by = lambda name: f"(select v as nw from {_rows(ENCODER, name)})"
+    out = {
+        "enc_ids": "select conv_id * 4096 + turn as query_id, prompt_len as n, unnest(range(0, prompt_len)) as pos, ids from prompts",
+        "enc_x0": f"select query_id, n, pos, list_transform({wide}, lambda i: t.v[i] + p.v[i]) as x from enc_ids join {_rows(ENCODER, 'tokens')} t on t.row = ids[pos + 1] % 256 join {_rows(ENCODER, 'positions')} p on p.row = pos % 64",
+    }
+    for layer in (0, 1):
+        last = " and a.pos = a.n - 1" if layer else ""
+        size = 16 // HEADS
+        part = lambda side, first: f"{side}.o[{first} + {size} * g + 1:{first} + {size} * g + {size}]"
+        out |= {
+            f"enc_h{layer}": f"select query_id, n, pos, x, {normed} as h from enc_x{layer}, {by(f'norm1_{layer}')}",
+            f"enc_qkv{layer}": f"select query_id, n, pos, x, list_transform(w, lambda r: list_inner_product(r, h)) as o from enc_h{layer}, {_matrix(f'qkv_{layer}')}",
+            f"enc_pair{layer}": f"select a.query_id, a.pos, g, exp(list_inner_product({part('a', 0)}, {part('b', 16)}) / sqrt({size})) as e, {part('b', 32)} as v from enc_qkv{layer} a join enc_qkv{layer} b on a.query_id = b.query_id and b.pos <= a.pos{last}, (select unnest(range(0, {HEADS})) as g)",
+            f"enc_att{layer}": "select query_id, pos, flatten(list(y order by g)) as y from (select query_id, pos, g, [" + ", ".join(f"sum(e * v[{i + 1}]) / sum(e)" for i in range(size)) + f"] as y from enc_pair{layer} group by all) group by 1, 2",
+            f"enc_r{layer}": f"select query_id, n, pos, list_transform({wide}, lambda i: x[i] + list_inner_product(w[i], y)) as x from enc_qkv{layer} join enc_att{layer} using (query_id, pos), {_matrix(f'proj_{layer}')}",
+            f"enc_n{layer}": f"select query_id, n, pos, x, {normed} as h from enc_r{layer}, {by(f'norm2_{layer}')}",
+            f"enc_g{layer}": f"select query_id, n, pos, x, list_transform(range(1, 33), lambda i: list_inner_product(g.w[i], h) / (1 + exp(-list_inner_product(g.w[i], h))) * list_inner_product(u.w[i], h)) as m from enc_n{layer}, {_matrix(f'gate_{layer}')} g, {_matrix(f'up_{layer}')} u",
+            f"enc_x{layer + 1}": f"select query_id, n, pos, list_transform({wide}, lambda i: x[i] + list_inner_product(w[i], m)) as x from enc_g{layer}, {_matrix(f'down_{layer}')}",
+        }
+    out["enc_last"] = f"select query_id, {normed} as h from enc_x2, {by('norm')} where pos = n - 1"
+    return out | {"encoded": f"select query_id, list_transform(w, lambda r: list_inner_product(r, h)) as v from enc_last, {_matrix('out')}"}
+
+
+_ENCODED = _encoder() | {"enc_rounded": "select query_id, list_transform(v, lambda x: round(x, 9)) as v from encoded", "enc_scores": _scores("enc_rounded", "{}", "enc_slots", ""), "enc_slots": "select slot_id, v[1:32] as v from sv", "enc_rank": _rank("enc_scores")}
+
 ORACLE_SQL: dict[str, str] = {
+    "encoded_prompts": sql("select query_id, i as dim, round(v[i], 6) + 0.0 as value from encoded, (select cast(unnest(range(1, 33)) as integer) as i)", _ENCODED),
+    "encoded_topk": sql("select query_id, rank, slot_id, round(score, 6) as score from enc_rank where rank <= 8", _ENCODED),
     **{f"memory_{m}": sql("select query_id, i as dim, round(o[i], 6) + 0.0 as value from head_out, (select cast(unnest(range(1, 33)) as integer) as i)", _head(m)) for m in MODES},
     "memory_diagnostics": " union all ".join(f"select * from ({_stats(m)})" for m in MODES),
     "selector_mlp": sql("select query_id, slot_id, round(logit, 6) as logit, round(prob, 6) as prob, taken from sel_taken", _SELECTOR),

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slotwise.operators import losses, neural, retrieve
+from slotwise.operators import encoder, losses, neural, retrieve
 
 
 def mat(r, n, m):
@@ -166,3 +166,59 @@ def test_text_hops_are_computed_once(spark):
     forced = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (2, 1, 9)], "query_id bigint, pos int, slot_id bigint")
     steps = {(x.hop, x.query_id): x.slot_id for x in retrieve.iterate_text(asked, facts, slots, encode, 1, 3, forced)[0].collect()}
     assert steps[2, 1] != steps[1, 1] and steps[3, 1] == steps[1, 1] and steps[2, 2] == steps[1, 2]
+
+
+def loop_encoder(model, heads, ids):
+    """One sequence, position by position."""
+    d, layers = len(model["tokens"][0]), sum(k.startswith("qkv_") for k in model)
+    norm = lambda x, w: [v / math.sqrt(sum(y * y for y in x) / d + 1e-6) * g for v, g in zip(x, w, strict=True)]
+    xs = [[a + b for a, b in zip(model["tokens"][t % len(model["tokens"])], model["positions"][p % len(model["positions"])], strict=True)] for p, t in enumerate(ids)]
+    size = d // heads
+    for layer in range(layers):
+        rows = [mul(model[f"qkv_{layer}"], norm(x, model[f"norm1_{layer}"][0])) for x in xs]
+        after = []
+        for p, x in enumerate(xs):
+            y = []
+            for h in range(heads):
+                q = rows[p][h * size : (h + 1) * size]
+                e = [math.exp(sum(a * b for a, b in zip(q, rows[j][d + h * size : d + (h + 1) * size], strict=True)) / math.sqrt(size)) for j in range(p + 1)]
+                y += [sum(w * rows[j][2 * d + h * size + i] for j, w in enumerate(e)) / sum(e) for i in range(size)]
+            x = [a + b for a, b in zip(x, mul(model[f"proj_{layer}"], y), strict=True)]
+            n = norm(x, model[f"norm2_{layer}"][0])
+            gated = [g * sig(g) * u for g, u in zip(mul(model[f"gate_{layer}"], n), mul(model[f"up_{layer}"], n), strict=True)]
+            after.append([a + b for a, b in zip(x, mul(model[f"down_{layer}"], gated), strict=True)])
+        xs = after
+    return mul(model["out"], norm(xs[-1], model["norm"][0]))
+
+
+@pytest.mark.parametrize("cells", [1, 200, 1 << 20])
+def test_encoder_equals_loops(spark, monkeypatch, cells):
+    monkeypatch.setattr(encoder, "CELLS", cells)
+    r, d, ff = random.Random(12), 4, 6
+    model = {"tokens": mat(r, 11, d), "positions": mat(r, 5, d), "norm": mat(r, 1, d), "out": mat(r, 3, d)}
+    for layer in (0, 1):
+        model |= {f"qkv_{layer}": mat(r, 3 * d, d), f"proj_{layer}": mat(r, d, d), f"gate_{layer}": mat(r, ff, d), f"up_{layer}": mat(r, ff, d), f"down_{layer}": mat(r, d, ff), f"norm1_{layer}": mat(r, 1, d), f"norm2_{layer}": mat(r, 1, d)}
+    rows = [(i, [r.randrange(40) for _ in range(n)], m) for i, (n, m) in enumerate([(1, 1), (2, 2), (3, 2), (9, 5), (9, 9), (17, 30), (33, 20), (5, None), (0, 0), (4, 0), (4, -1)])] + [(90, None, 3), (3, [1, 2, 3], 3)]
+    df = spark.createDataFrame(rows, "query_id bigint, ids array<int>, prompt_len int").repartition(2)
+    got = sorted(encoder.encode(df, neural.read_model(parameters(spark, model)), 2).collect(), key=lambda x: (x.query_id, x.vec is None, x.vec))
+    want = []
+    for i, ids, m in rows:
+        head = (ids or [])[: len(ids or []) if m is None else max(m, 0)]
+        want.append((i, loop_encoder(model, 2, head) if head else None))
+    assert [x.query_id for x in got] == sorted(i for i, _ in want)
+    for x, (_, vec) in zip(got, sorted(want, key=lambda t: (t[0], t[1] is None, t[1])), strict=True):
+        assert x.vec == (None if vec is None else pytest.approx(vec, abs=1e-9))
+    with pytest.raises(ValueError):
+        encoder.Encoder(neural.read_model(parameters(spark, model)), 3)
+
+
+def test_long_sequences_take_memory_by_length():
+    import tracemalloc
+
+    r = random.Random(1)
+    model = {k: np.array(v) for k, v in {"tokens": mat(r, 7, 4), "positions": mat(r, 3, 4), "norm": mat(r, 1, 4), "out": mat(r, 2, 4), "qkv_0": mat(r, 12, 4), "proj_0": mat(r, 4, 4), "gate_0": mat(r, 6, 4), "up_0": mat(r, 6, 4), "down_0": mat(r, 4, 6), "norm1_0": mat(r, 1, 4), "norm2_0": mat(r, 1, 4)}.items()}
+    tracemalloc.start()
+    assert len(encoder.Encoder(model, 2)([np.arange(12_000)])[0]) == 2
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 120e6  # whole attention would hold 2 x 12,000 x 12,000 doubles: 2.3 GB
