@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import UNK, tokens
 from ..sources.tables import table
-from .text import dense_id, in_ranges
+from .text import dense_id, first_seen, in_ranges
 
 
 def _key(kind: str, value: Column | str) -> Column:
@@ -40,6 +40,15 @@ def slot_table(facts: DataFrame) -> DataFrame:
     return numbered(kb)
 
 
+def first_seen_slots(facts: DataFrame) -> DataFrame:
+    """kb(slot_id, text, embedding_target, subject) of facts(subject, relation, object, seq): slots in the order in which texts are first seen, with the target and subject of that first fact."""
+    text = F.concat(F.concat_ws(" ", "subject", "relation", "object"), F.lit(" ."))
+    rows = facts.select(text.alias("text"), "seq", F.struct("seq", F.col("object").alias("target"), "subject").alias("fact"))
+    first = rows.groupBy("text").agg(F.min("fact").alias("fact")).select("text", F.col("fact.seq").alias("seq"), F.col("fact.target").alias("embedding_target"), F.col("fact.subject").alias("subject"))
+    ids = first_seen(first, ["text", "embedding_target", "subject"], "seq", "slot_id")
+    return ids.select("slot_id", "text", "embedding_target", "subject")
+
+
 def numbered(facts: DataFrame) -> DataFrame:
     """facts(text, embedding_target, subject) of different texts with dense slot ids in the order of texts."""
     return dense_id(in_ranges(facts, "text"), F.col("text"), F.col("__range"), "slot_id").select("slot_id", "text", "embedding_target", "subject")

@@ -16,8 +16,8 @@ from ..session import shared_dir
 from ..functions.text import Q as QUESTION
 
 
-def dense_id(df: DataFrame, order: Column, bucket: Column, name: str, start: int = 0) -> DataFrame:
-    """df with consecutive ids in the order of `order`; bucket must not fall as order rises.
+def dense_id(df: DataFrame, order: Column, bucket: Column, name: str, start: int = 0, kind: str = "int") -> DataFrame:
+    """df with consecutive ids, of type `kind`, in the order of `order`; bucket must not fall as order rises.
 
     Ids are row numbers within a bucket plus the sizes of all buckets before it, so no task sorts the whole relation.
     """
@@ -26,7 +26,7 @@ def dense_id(df: DataFrame, order: Column, bucket: Column, name: str, start: int
     before = sizes.select(F.col("__bucket").alias("__b"), (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__before"))
     numbered = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__bucket").orderBy(order)))
     found = numbered.join(before, F.col("__bucket") == F.col("__b"))
-    return found.withColumn(name, (F.col("__before") + F.col("__nth") + F.lit(start - 1)).cast("int")).drop("__bucket", "__b", "__n", "__nth", "__before")
+    return found.withColumn(name, (F.col("__before") + F.col("__nth") + F.lit(start - 1)).cast(kind)).drop("__bucket", "__b", "__n", "__nth", "__before")
 
 
 def in_ranges(df: DataFrame, order: str) -> DataFrame:
@@ -40,6 +40,26 @@ def in_ranges(df: DataFrame, order: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def sequenced(read: DataFrame, name: str = "seq") -> DataFrame:
+    """A DataFrame as it was read from files, with `name`, which orders its rows as one reader would see them: file by path, then from top to bottom.
+
+    Files are split into blocks and dealt to tasks in any way; a row's file, its block's place in it and its number
+    within the task put it back. Only for a plan that reads files and has not shuffled since.
+    """
+    meta = F.col("_metadata")
+    return read.select("*", F.struct(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row")).alias(name))
+
+
+def first_seen(df: DataFrame, keys: list[str], seq: str, name: str) -> DataFrame:
+    """The different keys of df with dense ids, from 0, in the order in which `seq` first has them.
+
+    A key's first place is a minimum that each task takes of its own rows; places are numbered in sampled ranges, so
+    neither a frequent key nor the order of all is one task's work.
+    """
+    first = in_ranges(df.groupBy(*keys).agg(F.min(seq).alias("__first")), "__first")
+    return dense_id(first, F.col("__first"), F.col("__range"), name, kind="bigint").select(name, *keys)
+
+
 def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """vocab(token, id): special tokens first, then all distinct tokens in code-point order."""
     content = texts.select(F.explode(tokens(F.col(text_col))).alias("token")).distinct()

@@ -13,9 +13,10 @@ from ..functions.vectors import cosine, dot, layer_norm, norm, relu, sigmoid, ti
 from ..operators import chains, generate, kb, losses, metrics, product_key, retrieve, select
 from ..operators import text as texts
 from ..sources.generated import star_names
+from ..sources.measured import measured
 from ..sources.tables import mode_of_run, model_type_of_run, table
 from .catalogue import (
-    DIM, KS, SELECTOR, SUBKEYS, _candidates, _codebook, _encoded, _kb, _live, _meta, _part_chains, _prompts, _query_vecs, _ranked, _required, _selected, _shown, _slot_vecs, _slots, _variants, _vectors, query, recall_at_k,
+    DIM, KS, QUERIES, SELECTOR, SUBKEYS, _candidates, _codebook, _encoded, _kb, _live, _meta, _part_chains, _prompts, _query_vecs, _ranked, _required, _selected, _shown, _slot_vecs, _slots, _variants, _vectors, query, recall_at_k,
 )
 
 
@@ -411,6 +412,22 @@ def stage_by_epoch(spark, d):
     return metrics.staged(epochs, "epoch", (2, 3, 5)).select("epoch", "events", "stage")
 
 
+# --- ingest and cost -------------------------------------------------------------------------------------------------
+@query
+def kb_first_seen(spark, d):
+    """How customers order, as facts with slots in the order in which the orders table first has them."""
+    rows = texts.sequenced(table(spark, d, "orders")).where("o_custkey is not null and o_orderpriority is not null")
+    return kb.first_seen_slots(rows.select(kb._key("customer", "o_custkey").alias("subject"), F.lit("orders_at").alias("relation"), kb._key("priority", "o_orderpriority").alias("object"), "seq"))
+
+
+@query
+def throughput_report(spark, d):
+    """Rows and tokens of two queries, measured while they are written, and whether a rate and a peak of memory came of it."""
+    costs = {"tokenize_counts": measured(QUERIES["tokenize_counts"](spark, d)), "documents": measured(table(spark, d, "documents").orderBy("text"), text_col="text")}
+    rows = [(name, c.rows, c.tokens, c.rows_per_second > 0, c.tokens_per_second > 0, c.peak_task_bytes > 0) for name, c in costs.items()]
+    return spark.createDataFrame(rows, "query string, rows bigint, tokens bigint, has_row_rate boolean, has_token_rate boolean, has_peak boolean")
+
+
 # --- generated data --------------------------------------------------------------------------------------------------
 def _chains(spark, d):
     """A chain for each part."""

@@ -303,6 +303,11 @@ ORACLE_SQL: dict[str, str] = {
     "first_examples": sql("select subject, template, question, answer from (select *, row_number() over (partition by question, answer order by subject) as repeat from asked) where repeat <= 5 order by question, answer, subject, template limit 100"),
     "task_rotation": f"select p_partkey, {_list(g.TASKS)}[(row_number() over (order by p_partkey) - 1) % 5 + 1] as task_type from part",
     "stage_by_epoch": "select epoch, events, cast(case when epoch >= 5 then 2 when epoch >= 2 then 1 else 0 end as integer) as stage from (select cast(date_diff('day', (select min(cast(ts as date)) from events), cast(ts as date)) as integer) as epoch, count(*) as events from events where ts is not null group by 1)",
+    "kb_first_seen": """select cast(row_number() over (order by first) - 1 as bigint) as slot_id, subject || ' orders_at ' || target || ' .' as text, target as embedding_target, subject from (
+        select 'customer_' || o_custkey as subject, 'priority_' || regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '_', 'g') as target, min(place) as first
+        from (select *, row_number() over () as place from orders) where o_custkey is not null and o_orderpriority is not null group by 1, 2)""",
+    "throughput_report": f"""select 'tokenize_counts' as query, (select count(*) from documents) as rows, 0 as tokens, true as has_row_rate, false as has_token_rate, false as has_peak
+      union all select 'documents', count(*), cast(sum(coalesce(len({_tokens('text')}), 0)) as bigint), true, true, true from documents""",
     "generated_names": f"""with nouns as ({_chain_rounds()["nouns"]}), verbs as ({_chain_rounds()["verbs"]}),
       every as (select 'noun' as kind, place, word, count(*) over () as n from nouns union all select 'verb', place, word, count(*) over () from verbs)
       select separation, kind, word, case when separation = 'none' or (separation = 'soft' and kind = 'verb') then 'both' when place < {_CUT} then 'train' else 'test' end as pool
