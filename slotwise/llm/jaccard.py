@@ -6,7 +6,8 @@ list a subset in common. Larger sets are looked up in inverted lists: of each, o
 shingles in one global order, which linked sets cannot miss both. The order puts frequent shingles last, the most
 frequent at the end: all shingles of `HEAVY` documents and more in the extended prefixes count as frequent (the `HEAVY_KEPT` most frequent of them are
 broadcast; any order gives the same links, so that bound costs time and not links). The boundary is chosen by cost:
-the largest size at which enumerating lists no more keys than the expected entries read from inverted lists.
+of all sizes up to MOST_SMALL the one at which keys enumerated and entries read, at the real lengths of the lists that
+small sets stand in, are fewest.
 
 Lists of thousands of near copies are never paired with themselves. First each list's members are compared with two
 leaders, its smallest and its largest set; components of these links are taken. While lists are crowded with
@@ -39,6 +40,8 @@ from .substrings import LAST_ID, hashed, windows
 
 HEAVY = 12
 HEAVY_KEPT = 1_000_000
+#: Steps of the histogram of counts for each doubling.
+GRADES = 64
 #: Documents up to which ids are broadcast to choose texts; beyond, the ids are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -102,6 +105,11 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(windows(h, words))
 
 
+def _linked_most(rule: Rule, n: int) -> int:
+    """The largest size that can link with a set of n."""
+    return rule.den * n // rule.num
+
+
 def _reach(n: int, rule: Rule, most_small: int = 16) -> int:
     """How many shingles of a set's first are kept at hand: half as many again as its prefix, and all of a set that may be small."""
     return max((n - rule.least(n) + 1) * 3 // 2 + 8, min(n, most_small))
@@ -177,15 +185,34 @@ def _listed(rule: Rule, small: int, heavy, from_text: bool):
     return run
 
 
-def boundary(rule: Rule, per_key: float, most: int = 12) -> int:
-    """The largest small size up to which enumeration lists no more keys than inverted lists of per_key entries have read."""
-    small = 0
-    for n in range(1, most + 1):
-        listed = sum(comb(n, k) for k in rule.subsets(n) if k <= n)
-        if listed > (n - rule.least(n) + 1) * (1 + per_key) * 2:
-            break
-        small = n
-    return small
+#: Sizes that the boundary may take; sets up to the largest size that links with them are looked at for it.
+MOST_SMALL = 12
+
+
+def small_costs(listed: DataFrame) -> dict[int, tuple[int, int]]:
+    """Of each size of listed(n, k), the small sets' entries in inverted lists: how many there are, and how many entries of their lists they meet."""
+    by_list = listed.groupBy("k", "n").agg(F.count("*").alias("c")).groupBy("k").agg(F.collect_list(F.struct("n", "c")).alias("sizes"), F.sum("c").alias("all"))  # a list has a row for each of few sizes
+    rows = by_list.select(F.explode("sizes").alias("s"), "all").groupBy("s.n").agg(F.sum("s.c").alias("entries"), F.sum(F.col("s.c") * F.col("all")).alias("met"))
+    return {r.n: (r.entries, r.met) for r in rows.collect()}
+
+
+def boundary(rule: Rule, sizes: dict[int, int], costs: dict[int, tuple[int, int]]) -> int:
+    """The largest size of small sets, from 0 to MOST_SMALL, at which keys that are enumerated and entries that are read come cheapest.
+
+    sizes: how many sets there are of each size; costs: small_costs() of the same sets. A set enumerates its subsets if
+    it is small or can link with one that is; a larger one reads its prefix's lists, at the lists' real lengths.
+    """
+
+    def cost(small: int) -> int:
+        total = 0
+        for n, count in sizes.items():
+            if rule.least(n) <= small:
+                total += count * sum(comb(n, k) for k in rule.subsets(n) if k <= n)
+            if n > small:
+                total += sum(costs.get(n, (0, 0)))
+        return total
+
+    return min(range(MOST_SMALL + 1), key=lambda small: (cost(small), small))
 
 
 def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple[DataFrame, DataFrame]:
@@ -205,7 +232,10 @@ def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple
     often = _most(often, _frequent(shown.select(F.explode("keys").alias("k")), heavy))
     discard(early)
     common.destroy()
-    small, common = boundary(rule, float(often[1].mean()) if often[1].size else 1.0), spark.sparkContext.broadcast(_order(often))
+    common = spark.sparkContext.broadcast(_order(often))
+    few = owned.where(F.col("n") <= _linked_most(rule, MOST_SMALL))  # their first shingles are all they have
+    sizes = {r.n: r.c for r in few.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    small = boundary(rule, sizes, small_costs(few.mapInArrow(_listed(rule, 0, common, False), KEYED).select("n", F.explode("keys").alias("k"))))
     listed = stored(owned.mapInArrow(_listed(rule, small, common, False), KEYED), "jaccard-lists")
     short = stored(listed.where("not whole").select("id", "digest", "n").distinct(), "jaccard-short")
     again = _texts(base, short).mapInArrow(_listed(rule, small, common, True), KEYED)
@@ -249,8 +279,17 @@ def link_sets(docs: DataFrame, rule: Rule = Rule(), heavy: int = HEAVY) -> tuple
 
 
 def _frequent(shingled: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles and their counts, HEAVY_KEPT at most."""
-    found = shingled.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "k").limit(HEAVY_KEPT).toArrow()
+    """The most frequent shingles and their counts, HEAVY_KEPT at most: all of a count that a histogram of the counts leaves room for, so nothing is sorted."""
+    counts = stored(shingled.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") >= least), "jaccard-frequent")
+    grade = F.floor(F.log2("c") * GRADES).cast("int")  # so many steps for each doubling of a count
+    room, lowest = HEAVY_KEPT, None
+    for r in sorted(counts.groupBy(grade.alias("g")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.g):
+        room -= r.n
+        if room < 0:
+            break
+        lowest = r.g
+    found = counts.where(grade >= lowest if lowest is not None else F.lit(False)).toArrow()
+    discard(counts)
     return found.column(0).to_numpy(), found.column(1).to_numpy()
 
 
@@ -342,16 +381,28 @@ def group_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
-    """docs, all columns, with the smallest doc_id of each component only.
+    """docs, all columns, with one document of each component only: the smallest key, which is the doc_id where that is its own.
 
-    Rows of a null doc_id have a key of their text's hash, after all smaller ids, so of their copies one stays, and
-    none where a row with an id is alike; those without words link with nothing and are all kept. Of rows that repeat
-    a kept doc_id one stays. The ids to drop are broadcast if they are few, so texts stay where they are; otherwise
-    they are joined by shuffling.
+    A document is a doc_id and a text. Rows of a null doc_id, and all but one of different texts under one doc_id, have
+    a key of a hash instead, after all ids, so none of them is lost to another text; of their links the smallest key
+    stays like any other. Of rows that repeat both id and text one stays, by a hash of all its columns; rows without
+    words link with nothing and, without an id, are all kept. The keys to drop are broadcast if they are few, so texts
+    stay where they are; otherwise they are joined by shuffling.
     """
-    bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    unnamed = F.lit(LAST_ID - 1) - F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1))
-    known = docs.where(~bare).withColumn(KEY, F.coalesce(F.col("doc_id").cast("bigint"), unnamed))
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    bare = F.col("doc_id").isNull() & wordless
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("__id"), own.alias("__text"))
+    shared = stored(named.groupBy("__id").agg(F.min("__text").alias("__first"), F.max("__text").alias("__last")).where("__first <> __last").select("__id", "__first"), "jaccard-ids")
+    n = shared.count()
+    hashed_key = F.lit(LAST_ID - 1) - F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(2**62 - 1))
+    key = F.when(F.col("doc_id").isNull(), hashed_key)
+    known = docs.where(~bare)
+    if n:
+        known = known.join(F.broadcast(shared) if n <= BROADCAST_IDS else shared, F.col("doc_id").cast("bigint") == F.col("__id"), "left")
+        key = key.when(F.col("__first") != own, hashed_key)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    known = known.select(*columns, key.otherwise(F.col("doc_id").cast("bigint")).alias(KEY))
     _, groups = link_sets(known.select(F.col(KEY).alias("doc_id"), "text"), rule)
     out = stored(groups.where("node <> component").select(F.col("node").alias(KEY)).distinct(), "jaccard-out")
     kept = known.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, KEY, "left_anti")
@@ -359,5 +410,6 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     n = again.count()
     if n:
         again = F.broadcast(again) if n <= BROADCAST_IDS else again
-        kept = kept.join(again, KEY, "left_anti").unionByName(kept.join(again, KEY, "left_semi").dropDuplicates([KEY]))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(bare))
+        one = kept.join(again, KEY, "left_semi").groupBy(KEY).agg(F.min_by(F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns))), F.xxhash64(*columns)).alias("__row"))
+        kept = kept.join(again, KEY, "left_anti").unionByName(one.select(KEY, *(F.col(f"__row.c{i}").alias(c) for i, c in enumerate(docs.columns))))
+    return kept.select(*columns).unionByName(docs.where(bare))

@@ -116,17 +116,70 @@ def test_groups_equal_brute_force(spark, rule, heavy):
 
 
 def test_one_of_each_group_stays(spark):
+    """A document is an id and a text: of different texts under one id none is lost to another."""
     docs = edited_docs(4, 80)
     rule = jaccard.Rule(5, 80, 100)
     kept = jaccard.keep_one(rows_of(spark, docs), rule)
     assert kept.columns == ["doc_id", "text", "digest", "hashes", "keys"]
-    known = [(i, t) for i, t in docs if i is not None]
-    want = {(c if c is not None else i) for i, _, c in brute_groups(known, rule)}
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    known = sorted({(i, t or "") for i, t in docs}, key=repr)
+    groups = {}
+    for k, _, c in brute_groups(list(enumerate(t for _, t in known)), rule):
+        groups.setdefault(k if c is None else c, set()).add(known[k])
+    named = [(i, t or "") for i, t in found]
+    for members in groups.values():
+        wordless = all(not t.split() for _, t in members)
+        here = [x for x in named if x in members]
+        assert len(here) == (sum((i, t or "") in members for i, t in docs) if wordless and all(i is None for i, _ in members) else len(members) if wordless else 1)
+        ids = [i for i, _ in members if i is not None]
+        if len(here) == 1 and len(ids) == len(members) and all(sum(i == j for j, _ in known) == 1 for i in ids):
+            assert here[0][0] == min(ids)
+    assert sorted(map(repr, named)) == sorted(map(repr, (x for x in named if any(x in m for m in groups.values()))))
     assert jaccard.keep_one(rows_of(spark, docs).limit(0), rule).count() == 0
 
 
+def test_texts_of_one_id_all_stay(spark):
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{r.randrange(10_000)}" for _ in range(40))
+    one, two, three = text(), text(), text()
+    rows = [(7, one, "a"), (7, two, "a"), (7, two, "b"), (7, three, "a"), (8, three, "a"), (None, one, "a"), (9, one + " end", "a"), (10, None, "a"), (10, "", "b"), (None, None, "a"), (None, " ", "b")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    kept = [tuple(x) for x in jaccard.keep_one(df, jaccard.Rule(5, 80, 100)).collect()]
+    texts = [t for _, t, _ in kept if t and t.strip()]
+    assert len(texts) == 3 and {t.removesuffix(" end") for t in texts} == {one, two, three}
+    assert sum(i == 10 for i, *_ in kept) == 1 and sum(i is None and not (t or "").strip() for i, t, _ in kept) == 2
+    again = [tuple(x) for x in jaccard.keep_one(df.repartition(5), jaccard.Rule(5, 80, 100)).collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, again))  # which of the rows of one id and text stays is no accident
+
+
+def test_boundary_goes_by_what_lists_cost():
+    rule = jaccard.Rule()
+    rare = {n: (100 * (n - rule.least(n) + 1), 100) for n in range(1, 15)}
+    crowded = {n: (100 * (n - rule.least(n) + 1), 10**9) for n in range(1, 15)}
+    sizes = dict.fromkeys(range(1, 15), 100)
+    low, high = jaccard.boundary(rule, sizes, rare), jaccard.boundary(rule, sizes, crowded)
+    assert low < high == jaccard.MOST_SMALL and jaccard.boundary(rule, {}, {}) == 0
+    some = {n: (100, 10**9 if n <= 4 else 100) for n in range(1, 15)}
+    assert 4 <= jaccard.boundary(rule, sizes, some) < jaccard.MOST_SMALL
+
+
+def test_costs_are_those_of_the_lists(spark):
+    r = random.Random(2)
+    rows = [(r.randrange(1, 5), min(r.randrange(30), r.randrange(30))) for _ in range(400)]
+    found = jaccard.small_costs(spark.createDataFrame(rows, "n bigint, k bigint").repartition(4))
+    length = Counter(k for _, k in rows)
+    assert found == {n: (sum(m == n for m, _ in rows), sum(length[k] for m, k in rows if m == n)) for n in {m for m, _ in rows}}
+
+
+@pytest.mark.parametrize("kept,want", [(1_000_000, 4), (10, 4), (3, 3), (2, 1), (0, 0)])
+def test_frequent_shingles_by_histogram(spark, monkeypatch, kept, want):
+    monkeypatch.setattr(jaccard, "HEAVY_KEPT", kept)
+    rows = [(k,) for k, n in ((1, 100), (2, 40), (3, 40), (4, 12), (5, 11), (6, 1)) for _ in range(n)]
+    k, c = jaccard._frequent(spark.createDataFrame(rows, "k bigint"), 12)
+    found = dict(zip(k.tolist(), c.tolist(), strict=True))
+    assert len(found) == want and all(found[x] == {1: 100, 2: 40, 3: 40, 4: 12}[x] for x in found)
+
+
 def test_subset_bounds_hold():
     rule = jaccard.Rule()
     for t in range(1, 15):
