@@ -1,14 +1,17 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Candidates are the strict matches of four kinds (the base: always kept) and looser shapes that overlap none of them:
-numbers written like telephone numbers, card-like digit runs, and addresses with "at" and "dot" spelled out. Four
+numbers written like telephone numbers, card numbers with other separators or lengths, network addresses with their
+dots in brackets, and mail addresses with "at" and "dot" spelled out; letters or digits next to them rule them out. Four
 labelers vote on each candidate (1 for personal data, 2 against, 0 no opinion): the shape's own checks, a gazetteer
 (top-level domains, card issuers, reserved address blocks, area codes), and cue words before and after it.
 Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is for each kind; its
-posteriors train a logistic span classifier over votes and shape, and loose candidates that it accepts are added.
+posteriors train a logistic span classifier over the votes and over what the labelers do not see, the span's length,
+its separators and its neighbours on both sides. Loose candidates that it accepts are added, but for card numbers whose
+digits fail Luhn: no vote outweighs a checksum.
 
-The vote patterns are at most kinds x 3^4 x shapes (a few hundred rows), whatever the corpus, so only they reach the
-driver. Null and empty texts have no spans; repeated rows give repeated rows. Positions are code points, ends
+The patterns of votes and forms are at most kinds x 3^4 x 4 x 3^3 (35,000; some hundred occur), whatever the corpus, so
+only their counts reach the driver. Null and empty texts have no spans; repeated rows give repeated rows. Positions are code points, ends
 exclusive. Patterns use possessive repeats, so very long texts neither recurse nor backtrack. Only doc_id and text
 are read by `find`; `redact` keeps all columns of documents.
 """
@@ -33,8 +36,9 @@ STRICT = {
 }
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]{1,63}+){1,4}+",
-    "card": r"(?<![0-9.])[0-9](?:[\x20-]?[0-9]){12,18}+(?![0-9])",
-    "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "ip": r"(?<![A-Za-z0-9._-])[0-9]{1,3}+(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\))\x20?[0-9]{1,3}+){3}+(?![A-Za-z0-9])",
+    "card": r"(?<![A-Za-z0-9._/-])(?:[0-9]{4}(?:[\x20._/-]{1,2}+[0-9]{4}){3}|[0-9](?:[\x20-]?[0-9]){12,18}+)(?![A-Za-z0-9]|\.[0-9])",
+    "phone": r"(?<![A-Za-z0-9+().-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![A-Za-z0-9])",
 }
 # Cue words and gazetteers.
 CUES_FOR = r"(?i)\b(?:e-?mail|mail|contact|phone|tel|telephone|call|mobile|fax|cell|card|visa|mastercard|amex|credit|debit|ip|host|server|address|from|write to)\b\W{0,3}(?:\w+\W{1,3}){0,2}$"
@@ -104,6 +108,25 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _possible(kind: str, hit: Column) -> Column:
+    """What a loose match must meet to be a candidate."""
+    return F.forall(F.split(hit, "[^0-9]+"), lambda p: p.cast("int") <= 255) if kind == "ip" else F.lit(True)
+
+
+def _form(hit: Column, before: Column, after: Column) -> Column:
+    """What labelers do not see: the length (0 to 3), separators (none, of one kind, mixed) and the neighbours on the left and right (white space or an end, punctuation, others)."""
+    between = F.regexp_replace(hit, "[A-Za-z0-9]", "")
+    length = F.least(F.lit(3), F.floor(F.length(hit) / 8))
+    kinds = F.when(between == "", 0).when(between.rlike(r"^(?s)(.)\1*$"), 1).otherwise(2)
+    left = F.when(before.rlike(r"^$|[\x20\x09-\x0D]$"), 0).when(before.rlike(r"[:;,=(<\[\"']$"), 1).otherwise(2)
+    right = F.when(after.rlike(r"^$|^[\x20\x09-\x0D]"), 0).when(after.rlike(r"^[.,;:)!?>\]\"']"), 1).otherwise(2)
+    return (((length * 3 + kinds) * 3 + left) * 3 + right).cast("int")
+
+
+def form_of(code: int) -> tuple[int, int, int, int]:
+    return code // 27, code // 9 % 3, code // 3 % 3, code % 3
+
+
 def _votes(kind: str, strict: bool, hit: Column, before: Column, after: Column) -> Column:
     """Four votes of 0..2 as the digits of a number to base 3, in the order of LABELERS."""
     digits = _digits(hit)
@@ -137,8 +160,8 @@ def _matches(df: DataFrame, name: str, kind: str, pattern: str, guard: Column, s
     def one(start: Column, i: Column) -> Column:
         hit = F.get(found, i)
         before, after = F.right(F.get(pieces, i), F.lit(40)), F.left(F.get(pieces, i + 1), F.lit(16))
-        form = F.least(F.lit(3), F.floor(F.length(hit) / 8)).cast("int")
-        good = _valid(kind, hit) if strict else F.lit(True)
+        form = _form(hit, before, after)
+        good = _valid(kind, hit) if strict else _possible(kind, hit)
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(hit)).alias("stop"), F.lit(strict).alias("strict"), _votes(kind, strict, hit, before, after).alias("votes"), form.alias("form"))
         return F.when(good, span)
 
@@ -153,7 +176,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     guards = {"email": F.contains("text", F.lit("@")), "ip": digit & F.contains("text", F.lit(".")), "card": F.col("text").rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "phone": F.contains("text", F.lit("+")) & digit}
     for kind, pattern in STRICT.items():
         df = _matches(df, f"__{kind}", kind, pattern, guards[kind], True)
-    guards |= {"email": F.contains("text", F.lit("dot")), "phone": F.col("text").rlike(r"[0-9]{3}[\x20.-][0-9]{4}")}
+    guards |= {"email": F.contains("text", F.lit("dot")), "ip": digit & F.col("text").rlike(r"[\[(](?:\.|dot)[\])]"), "card": F.col("text").rlike(r"[0-9](?:[\x20-]?[0-9]){12}|[0-9]{4}[\x20._/-]{1,2}[0-9]{4}[\x20._/-]"), "phone": F.col("text").rlike(r"[0-9]{3}[\x20.-][0-9]{4}")}
     for kind, pattern in LOOSE.items():
         df = _matches(df, f"__loose_{kind}", kind, pattern, guards[kind], False)
     join = lambda names: F.sort_array(F.concat(*(F.col(n) for n in names)))
@@ -211,23 +234,60 @@ def expectation_maximisation(counts: dict[tuple[int, tuple[int, ...]], float], r
 
 
 def features(kind: int, votes: tuple[int, ...], form: int) -> list[float]:
-    """The classifier's inputs: the kind, each labeler's votes for and against, and the span's size class."""
-    return [float(kind == k) for k in range(len(KINDS))] + [float(v == x) for v in votes for x in (1, 2)] + [form / 3.0]
+    """The classifier's inputs: the kind, each labeler's votes for and against, the length, and the classes of separators and neighbours."""
+    length, *classes = form_of(form)
+    return [float(kind == k) for k in range(len(KINDS))] + [float(v == x) for v in votes for x in (1, 2)] + [length / 3.0] + [float(c == x) for c in classes for x in (1, 2)]
+
 
+RIDGE = 0.01
 
-def train_classifier(rows: list[tuple[int, tuple[int, ...], int, float]], post: dict, rounds: int = 400) -> list[float]:
-    """Logistic weights fitted to the posteriors; rows: kind, votes, form and how many."""
+
+def _solved(a: list[list[float]], b: list[float]) -> list[float]:
+    """x of a x = b, for a symmetric positive definite matrix."""
+    rows = [[*r, y] for r, y in zip(a, b, strict=True)]
+    n = len(rows)
+    for i in range(n):
+        for j in range(i + 1, n):
+            f = rows[j][i] / rows[i][i]
+            if f:
+                rows[j] = [x - f * y for x, y in zip(rows[j], rows[i], strict=True)]
+    x = [0.0] * n
+    for i in reversed(range(n)):
+        x[i] = (rows[i][n] - sum(rows[i][j] * x[j] for j in range(i + 1, n))) / rows[i][i]
+    return x
+
+
+def train_classifier(rows: list[tuple[int, tuple[int, ...], int, float]], post: dict, rounds: int = 50) -> list[float]:
+    """Logistic weights fitted to the posteriors by Newton's method, until no weight moves by 1e-9; rows: kind, votes, form and how many."""
     data = [(features(k, v, f), post[k, v], n) for k, v, f, n in rows]
-    weights = [0.0] * (len(KINDS) + 2 * len(LABELERS) + 1)
-    total = sum(n for *_, n in data) or 1.0
+    n_features = len(features(0, (0,) * len(LABELERS), 0))
+    weights, total = [0.0] * n_features, sum(n for *_, n in data) or 1.0
+
+    def loss(w: list[float]) -> float:
+        z = [(sum(a * b for a, b in zip(x, w, strict=True)), p, n) for x, p, n in data]
+        return sum((max(s, 0.0) + math.log1p(math.exp(-abs(s))) - p * s) * n for s, p, n in z) / total + RIDGE / 2 * sum(a * a for a in w)
+
+    now = loss(weights)
     for _ in range(rounds):
-        grad = [0.01 * w for w in weights]
+        grad, curve = [RIDGE * w for w in weights], [[RIDGE * float(i == j) for j in range(n_features)] for i in range(n_features)]
         for x, p, n in data:
-            z = max(-30.0, min(30.0, sum(a * b for a, b in zip(weights, x, strict=True))))
-            e = (1 / (1 + math.exp(-z)) - p) * n / total
-            for i, a in enumerate(x):
-                grad[i] += e * a
-        weights = [w - g for w, g in zip(weights, grad, strict=True)]
+            s = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(x, weights, strict=True))))))
+            on = [(i, a) for i, a in enumerate(x) if a]
+            for i, a in on:
+                grad[i] += (s - p) * a * n / total
+                for j, b in on:
+                    curve[i][j] += s * (1 - s) * a * b * n / total
+        step = _solved(curve, grad)
+        for _ in range(30):  # a whole step if it helps, else half of it
+            tried = [w - d for w, d in zip(weights, step, strict=True)]
+            if (after := loss(tried)) <= now:
+                break
+            step = [d / 2 for d in step]
+        else:
+            break
+        weights, now = tried, after
+        if max(map(abs, step)) < 1e-9:
+            break
     return weights
 
 
@@ -242,14 +302,18 @@ def fit(found: DataFrame) -> list[float]:
 
 
 def accepted(span: Column, weights: list[float]) -> Column:
-    """Whether the classifier takes a span for personal data."""
-    z = F.lit(0.0)
+    """Whether the classifier takes a span for personal data; a card number whose digits fail Luhn it cannot take."""
+    z, at = F.lit(0.0), iter(weights)
     for k in range(len(KINDS)):
-        z = z + F.when(span["kind"] == k, weights[k]).otherwise(0.0)
+        z = z + F.when(span["kind"] == k, next(at)).otherwise(0.0)
+    vote = lambda j: F.floor(span["votes"] / 3 ** (len(LABELERS) - 1 - j)) % 3
     for j in range(len(LABELERS)):
-        vote = F.floor(span["votes"] / 3 ** (len(LABELERS) - 1 - j)) % 3
-        z = z + F.when(vote == 1, weights[len(KINDS) + 2 * j]).when(vote == 2, weights[len(KINDS) + 2 * j + 1]).otherwise(0.0)
-    return z + span["form"] / 3.0 * weights[-1] >= 0.0
+        z = z + F.when(vote(j) == 1, next(at)).when(vote(j) == 2, next(at)).otherwise(0.0)
+    z = z + F.floor(span["form"] / 27) / 3.0 * next(at)
+    for unit in (9, 3, 1):
+        of = F.floor(span["form"] / unit) % 3
+        z = z + F.when(of == 1, next(at)).when(of == 2, next(at)).otherwise(0.0)
+    return (z >= 0.0) & ~((span["kind"] == KINDS.index("card")) & (vote(LABELERS.index("shape")) == 2))
 
 
 def _all_spans(weights: list[float]) -> Column:
