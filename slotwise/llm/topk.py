@@ -6,6 +6,7 @@ stand in a heap by their largest upper bound q.c + |q| r, the best node is opene
 with all that is below it, as soon as the node's bound is under the query's kth score so far; a node that no query
 wants is cut. Shards are searched in waves of 1, 8, 64, ... shards a query; the best k scores after a wave are
 gathered and their kth goes along into the next one, so every shard starts from what the shards before it have found.
+A wave shuffles a tree once for each block of queries that it sends there, and no other tree.
 Bounds are widened by a relative rounding margin and ties are never cut, so results are exact.
 
 Components are floor(256 * x) of x as double. Scores are exact integers: sums below 2^53 come from matrix products of
@@ -168,6 +169,13 @@ def _search(k: int):
     return run
 
 
+def asked_trees(trees: DataFrame, shards: int, blocks: int, done: int, last: int) -> DataFrame:
+    """The trees with each block of queries that walks them in the wave of turns done..last-1; a block's turn t is shard (block + t) modulo the shards."""
+    turn = lambda b: F.pmod(F.col("shard") - b, F.lit(shards).cast("bigint"))
+    walkers = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")), lambda b: (turn(b) >= done) & (turn(b) < last))
+    return trees.withColumn("block", F.explode(walkers))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best rows, its own id's left out; ties go to the smaller vec_id."""
     prepared(vectors.sparkSession)
@@ -179,7 +187,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
     discard(rows)
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "v", F.lit(29)), F.lit(blocks)))
-    every = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))) if blocks > 1 else trees.withColumn("block", F.lit(0).cast("bigint"))
     best, done, size = None, 0, 1
     while done < shards:
         known = asked.withColumn("kth", F.lit(None).cast("double"))
@@ -188,7 +195,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         last = min(shards, done + size)
         turns = F.explode(F.sequence(F.lit(done).cast("bigint"), F.lit(last - 1).cast("bigint")))
         sent = known.withColumn("turn", turns).withColumn("shard", F.pmod(F.col("block") + F.col("turn"), F.lit(shards)))
-        found = sent.groupBy("shard", "size", "block").cogroup(every.groupBy("shard", "size", "block")).applyInPandas(_search(k), FOUND)
+        found = sent.groupBy("shard", "size", "block").cogroup(asked_trees(trees, shards, blocks, done, last).groupBy("shard", "size", "block")).applyInPandas(_search(k), FOUND)
         hits = found.select("query_id", F.struct((-F.col("score")).alias("worse"), "vec_id").alias("hit"))
         hits = hits if best is None else hits.unionByName(best.select("query_id", F.explode("best").alias("hit")))
         now = stored(hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("hit")), 1, k).alias("best")), "topk-best")

@@ -128,6 +128,19 @@ def test_topk_equals_brute_force(spark, monkeypatch, shard_rows, block_rows):
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("shards,blocks", [(1, 1), (7, 1), (7, 3), (20, 9), (3, 8)])
+def test_waves_read_only_the_trees_they_ask(spark, shards, blocks):
+    trees = spark.range(shards).select(F.col("id").alias("shard"), F.lit(2).alias("size"))
+    read, done, size = [], 0, 1
+    while done < shards:
+        last = min(shards, done + size)
+        wave = [(r.shard, r.block) for r in topk.asked_trees(trees, shards, blocks, done, last).collect()]
+        assert sorted(wave) == sorted(((b + t) % shards, b) for b in range(blocks) for t in range(done, last))
+        read += wave
+        done, size = last, size * topk.GROWTH
+    assert sorted(read) == [(s, b) for s in range(shards) for b in range(blocks)]  # every pair once in all waves
+
+
 def test_lookup_table_and_placement(spark):
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, size=1009)
