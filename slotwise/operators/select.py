@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.registered import vec_wavg
 from ..functions.text import mix
 from ..functions.vectors import sigmoid
+from ..session import written
 from .text import dense_id
 
 MODES = ("uniform_mean", "top1", "top3", "fixed_top_n", "fixed_top_by_hop", "score_threshold_absolute", "score_threshold_relative", "softmax_mass", "score_gap", "score_weighted_softmax", "score_weighted_top3", "oracle_filter")
@@ -155,14 +156,15 @@ def sharing_negatives(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
 
 
 def structured_negatives(required: DataFrame, slots: DataFrame, key: str, attributes: list[str], per_positive: int, hard_share: float, seed: int) -> DataFrame:
-    """query_id, slot_id, positive and hard: each query's required slots and `per_positive` negatives for each of them.
+    """query_id, slot_id, positive, hard and matched: each query's required slots and `per_positive` negatives for each of them.
 
-    A slot that shares an attribute with a required one is a hard candidate, whichever attribute matches first;
+    A slot that shares an attribute with a required one is a hard candidate; `matched` is the first of the attributes
+    that it shares with any of the query's required slots (null for slots that are not hard).
     `hard_share` of the negatives are such, or as many as there are, and the rest are any other slots. Candidates are
     drawn from windows of each attribute value's mixed order, as long as what is wanted and the required slots
     together: a value that many slots share costs no more, and a query gets all it can. slots(key, attributes) are live.
     """
-    req = required.select("query_id", "slot_id").distinct()
+    req = written(required.select("query_id", "slot_id").distinct(), "negatives-required")
     sizes = req.groupBy("query_id").agg(F.count("*").alias("own")).withColumn("total", F.col("own") * per_positive).withColumn("want", F.floor(F.col("total") * hard_share))
 
     def window(asked: DataFrame, placed: DataFrame, most: Column, turn: int) -> DataFrame:
@@ -181,11 +183,18 @@ def structured_negatives(required: DataFrame, slots: DataFrame, key: str, attrib
         found = rows if found is None else found.unionByName(rows)
     order = F.row_number().over(_q().orderBy(mix(F.col("query_id"), F.col("slot_id"), seed + 2), "slot_id"))
     hard = found.distinct().join(req, ["query_id", "slot_id"], "left_anti").withColumn("nth", order).join(sizes, "query_id").where("nth <= want").select("query_id", "slot_id")
+    hard = written(hard, "negatives-hard")
     counts = sizes.join(hard.groupBy("query_id").agg(F.count("*").alias("n_hard")), "query_id", "left").withColumn("n_hard", F.coalesce("n_hard", F.lit(0)))
     every = mix(F.col("slot_id"), seed + 3)
     placed = dense_id(slots.select(F.col(key).alias("slot_id")), F.struct(every, "slot_id"), F.floor(every / 2**17), "nth")
     asked = counts.withColumn("first", F.lit(0).cast("bigint")).withColumn("size", F.lit(max(slots.count(), 1)))
     rest = window(asked, placed, F.col("total") + F.col("own"), 4).join(req, ["query_id", "slot_id"], "left_anti").join(hard, ["query_id", "slot_id"], "left_anti")
     rest = rest.withColumn("nth", F.row_number().over(_q().orderBy("try"))).join(counts, "query_id").where(F.col("nth") <= F.col("total") - F.col("n_hard"))
-    mark = lambda df, positive, is_hard: df.select("query_id", "slot_id", F.lit(positive).alias("positive"), F.lit(is_hard).alias("hard"))
-    return mark(req, True, False).unionByName(mark(hard, False, True)).unionByName(mark(rest, False, False))
+    values = lambda df: df.select(*df.columns, F.posexplode(F.array(*(F.col(a).cast("string") for a in attributes))).alias("nth_attribute", "v")).where("v is not null")
+    meta = slots.select(F.col(key).alias("slot_id"), *attributes)
+    own = values(req.join(meta, "slot_id")).select("query_id", "nth_attribute", "v").distinct()
+    first = values(hard.join(meta, "slot_id")).join(own, ["query_id", "nth_attribute", "v"]).groupBy("query_id", "slot_id").agg(F.min("nth_attribute").alias("nth_attribute"))
+    named = first.select("query_id", "slot_id", F.element_at(F.array(*(F.lit(a) for a in attributes)), F.col("nth_attribute") + 1).alias("matched"))
+    mark = lambda df, positive, is_hard, matched: df.select("query_id", "slot_id", F.lit(positive).alias("positive"), F.lit(is_hard).alias("hard"), matched)
+    none = F.lit(None).cast("string").alias("matched")
+    return mark(req, True, False, none).unionByName(mark(named, False, True, F.col("matched"))).unionByName(mark(rest, False, False, none))

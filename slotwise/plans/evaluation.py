@@ -12,6 +12,7 @@ from ..functions.text import mix, tokens
 from ..functions.vectors import cosine, dot, layer_norm, norm, relu, sigmoid, times, unit
 from ..operators import chains, generate, kb, losses, metrics, product_key, retrieve, select
 from ..operators import text as texts
+from ..session import written
 from ..sources.generated import star_names
 from ..sources.measured import measured
 from ..sources.tables import mode_of_run, model_type_of_run, table
@@ -117,38 +118,65 @@ def _grown(spark, d, ranked):
     return found.select("query_id", F.col("place").alias("rank"), "slot_id")
 
 
+class Once:
+    """Relations of one run by name, each written the first time that it is asked for, so that no retrieval is done twice."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d, self.found = spark, d, {}
+
+    def __call__(self, name: str, make) -> DataFrame:
+        if name not in self.found:
+            self.found[name] = written(make(self.spark, self.d), name)
+        return self.found[name]
+
+    def ranked(self) -> DataFrame:
+        return self("ranked", _ranked)
+
+    def required(self) -> DataFrame:
+        return self("required", _required)
+
+    def part(self, first: int, start: int) -> DataFrame:
+        return self(f"part-{first}-{start}", lambda spark, d: _part(spark, d, first, start))
+
+
+def _walked(o: Once, forced: DataFrame | None = None) -> DataFrame:
+    return retrieve.iterate(_query_vecs(o.spark, o.d), _slot_vecs(o.spark, o.d), 16, 3, forced, own=False)
+
+
 #: What each retriever mode does; modes that differ by training are stood in for by different dimensions.
 RETRIEVERS = {
-    "dual_encoder_baseline": _ranked,
-    "chain_set_bce": lambda spark, d: _part(spark, d, 48, 1),
-    "chain_set_infonce": lambda spark, d: _part(spark, d, 48, 17),
-    "chain_set_bce_hardneg": lambda spark, d: _part(spark, d, 40, 1),
-    "slot_graph_expansion": lambda spark, d: _grown(spark, d, _ranked(spark, d)),
-    "chain_set_plus_graph_expansion": lambda spark, d: _grown(spark, d, _part(spark, d, 48, 1)),
-    "iterative_chain": lambda spark, d: retrieve.iterate(_query_vecs(spark, d), _slot_vecs(spark, d), 16, 3, own=False),
-    "iterative_chain_teacher_forced": lambda spark, d: retrieve.iterate(_query_vecs(spark, d), _slot_vecs(spark, d), 16, 3, _required(spark, d), own=False),
+    "dual_encoder_baseline": Once.ranked,
+    "chain_set_bce": lambda o: o.part(48, 1),
+    "chain_set_infonce": lambda o: o.part(48, 17),
+    "chain_set_bce_hardneg": lambda o: o.part(40, 1),
+    "slot_graph_expansion": lambda o: _grown(o.spark, o.d, o.ranked()),
+    "chain_set_plus_graph_expansion": lambda o: _grown(o.spark, o.d, o.part(48, 1)),
+    "iterative_chain": _walked,
+    "iterative_chain_teacher_forced": lambda o: _walked(o, o.required()),
 }
 
 
-def retrieved(spark, d, mode):
+def retrieved(spark, d, mode, once: Once | None = None):
     """query_id, rank and slot_id of a mode's first 64."""
     if mode not in RETRIEVERS:
         raise ValueError(f"unknown retriever mode {mode}")
-    return RETRIEVERS[mode](spark, d).where("rank <= 64").select("query_id", "rank", "slot_id")
+    return RETRIEVERS[mode](once or Once(spark, d)).where("rank <= 64").select("query_id", "rank", "slot_id")
 
 
 def _by_mode(spark, d):
-    return reduce(DataFrame.unionByName, [retrieved(spark, d, mode).withColumn("mode", F.lit(mode)) for mode in RETRIEVERS])
+    once = Once(spark, d)
+    every = reduce(DataFrame.unionByName, [retrieved(spark, d, mode, once).withColumn("mode", F.lit(mode)) for mode in RETRIEVERS])
+    return metrics.by_mode(once.required(), written(every, "modes"), KS)
 
 
 @query
 def retriever_modes(spark, d):
-    return metrics.by_mode(_required(spark, d), _by_mode(spark, d), KS)[0]
+    return _by_mode(spark, d)[0]
 
 
 @query
 def retriever_mode_failures(spark, d):
-    return metrics.by_mode(_required(spark, d), _by_mode(spark, d), KS)[1]
+    return _by_mode(spark, d)[1]
 
 
 @query
@@ -157,17 +185,25 @@ def iterative_retrieval(spark, d):
 
 
 # --- losses ----------------------------------------------------------------------------------------------------------
+#: What slots are compared by, the more telling first. A slot's part has all but the type of its answer.
+ATTRIBUTES = ("entity_type", "relation", "api_family", "answer_type", "template", "output_family")
+
+
 def _hard_scores(spark, d):
-    """Required slots, and for each 16 negatives: half of them slots that share an attribute with a required one, where there are so many."""
-    slots = _slots(spark, d).where("value_token is not null").select("slot_id")
-    meta = slots.select("slot_id", (F.col("slot_id") % 11).alias("entity_type"), (F.col("slot_id") % 13).alias("relation"), F.floor(F.col("slot_id") / 16).alias("api_family"))
-    drawn = select.structured_negatives(_required(spark, d).select("query_id", "slot_id"), meta, "slot_id", ["entity_type", "relation", "api_family"], 16, 0.5, 5)
+    """Required slots, and for each 16 negatives: half of them slots that share an attribute with a required one, where there are so many.
+
+    A slot's attributes are those of the part of its id, and its label.
+    """
+    word = lambda n: F.element_at(F.split("p_name", " "), n)
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("slot_id"), F.col("p_type").alias("entity_type"), F.col("p_brand").alias("relation"), F.col("p_size").cast("string").alias("api_family"), word(1).alias("template"), word(-1).alias("output_family"))
+    meta = _slots(spark, d).where("value_token is not null").select("slot_id", F.col("label").cast("string").alias("answer_type")).join(part, "slot_id", "left")
+    drawn = select.structured_negatives(_required(spark, d).select("query_id", "slot_id"), meta, "slot_id", list(ATTRIBUTES), 16, 0.5, 5)
     return retrieve.score_given(drawn, _query_vecs(spark, d), _slot_vecs(spark, d)).join(drawn, ["query_id", "slot_id"])
 
 
 @query
 def structured_negatives(spark, d):
-    return _hard_scores(spark, d).select("query_id", "slot_id", "positive", "hard")
+    return _hard_scores(spark, d).select("query_id", "slot_id", "positive", "hard", "matched")
 
 
 @query
@@ -370,16 +406,15 @@ def collated_batches(spark, d):
 
 @query
 def open_book_prompts(spark, d):
-    """Two-hop questions with the texts of their facts before them, as ids of the vocabulary of facts and questions."""
-    asked = chains.examples(chains.chain(kb.triples(spark, d, chains.PATHS["two_hop_reasoning"]), "two_hop_reasoning"), 1).where("template = 0")
-    facts = _kb(spark, d).select("subject", "text")
-    asked = asked.select(F.col("subject").alias("asked"), "question", "answer")
-    rows = asked.join(facts, F.col("asked") == F.col("subject")).select("asked", "question", "answer", "text")
+    """Every two-hop chain's question, in each form, with the text of its first fact before it, as ids of the vocabulary of facts and questions."""
+    asked = chains.examples(chains.chain(kb.triples(spark, d, chains.PATHS["two_hop_reasoning"]), "two_hop_reasoning"), 2**31 - 1)
+    asked = asked.select(F.col("subject").alias("asked"), "template", "question", "answer")
+    rows = asked.join(_kb(spark, d).select("subject", "text"), F.col("asked") == F.col("subject")).select("asked", "template", "question", "answer", "text")
     vocab = texts.build_vocab(rows.select(F.concat_ws(" ", "text", "question", "answer").alias("text")))
-    coded = lambda c: texts.encode(rows.select("asked", F.col(c).alias("text")), vocab, ["asked"]).withColumnRenamed("ids", c)
-    ids = coded("question").join(coded("answer"), "asked").join(coded("text"), "asked")
+    coded = lambda c: texts.encode(rows.select("asked", "template", F.col(c).alias("text")), vocab, ["asked", "template"]).withColumnRenamed("ids", c)
+    ids = coded("question").join(coded("answer"), ["asked", "template"]).join(coded("text"), ["asked", "template"])
     seq = texts.qa_sequence(F.col("question"), F.col("answer"), None, F.array("text"))
-    return ids.select("asked", seq.alias("s")).select("asked", "s.prompt_len", F.array_join("s.ids", ",").alias("ids"))
+    return ids.select("asked", "template", seq.alias("s")).select("asked", "template", "s.prompt_len", F.array_join("s.ids", ",").alias("ids"))
 
 
 @query

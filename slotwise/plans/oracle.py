@@ -127,8 +127,8 @@ FRAGMENTS = {
 }
 
 
-def sql(statement: str, more: dict[str, str] | None = None) -> str:
-    """The statement with all fragments that it uses, in order of need."""
+def sql(statement: str, more: dict[str, str] | None = None, once: bool = False) -> str:
+    """The statement with all fragments that it uses, in order of need; once: each is computed once, whatever the optimizer would do."""
     known, used = FRAGMENTS | (more or {}), {}
 
     def need(text: str) -> None:
@@ -140,7 +140,7 @@ def sql(statement: str, more: dict[str, str] | None = None) -> str:
                 used[name] = known[name]
 
     need(statement)
-    return ("with " + ",\n".join(f"{n} as ({q})" for n, q in used.items()) + "\n" if used else "") + statement
+    return ("with " + ",\n".join(f"{n} as {'materialized ' * once}({q})" for n, q in used.items()) + "\n" if used else "") + statement
 
 
 def _shown(source: str, k: int) -> str:
@@ -227,7 +227,7 @@ ORACLE_SQL: dict[str, str] = {
       from (select *, max(len(ids)) over (partition by batch_id) as width from (select *, example_id // 8 as batch_id from (select *, row_number() over (order by conv_id, turn) - 1 as example_id from prompts)))"""),
     "kb_dedup": sql("select * from kb"),
     "slot_id_codec": sql("select slot_id, 'slot_' || lpad(cast(slot_id as varchar), cast(greatest(6, length(cast(slot_id as varchar))) as integer), '0') as slot_name, slot_id as back from kb"),
-    "kb_value_tokens": sql(f"select slot_id, token, coalesce(id, 6) as value_token from (select slot_id, coalesce({_tokens('embedding_target')}[1], '<unk>') as token from kb) left join kb_vocab using (token)"),
+    "kb_value_tokens": sql(f"select slot_id, token, coalesce(id, 6) as value_token from (select slot_id, coalesce({_tokens('embedding_target')}[1], '<unk>') as token from kb) left join kb_vocab using (token)", once=True),
     "live_dead_stats": "select count(*) as total, count(*) filter (vec_id % 7 <> 3) as live, count(*) filter (vec_id % 7 = 3) as dead, round(avg(case when vec_id % 7 <> 3 then 1 else 0 end), 6) as live_ratio from embeddings",
     "slot_contiguity": sql("select cast(min(slot_id) as bigint) as lowest, cast(max(slot_id) as bigint) as highest, count(distinct slot_id) as slots, min(slot_id) = 0 and max(slot_id) = count(distinct slot_id) - 1 as contiguous from kb"),
     "missing_slots": "select c_custkey, count(*) as uses from customer where not exists (select 1 from events where user_id = c_custkey) group by c_custkey",
@@ -244,7 +244,7 @@ ORACLE_SQL: dict[str, str] = {
       from parted a, parted b where a.split < b.split group by all"""),
     "top_targets": sql("select embedding_target, count(*) as n from kb group by 1 order by n desc, embedding_target limit 5"),
     "addressable_distractors": sql("""select a.subject, b.subject || ',' || c.subject as addressable, b.subject || ',' || c.subject as distractors
-      from facts a join facts b on b.subject = a.object join facts c on c.subject = b.object where a.subject like 'order%' and c.object like 'region%'"""),
+      from facts a join facts b on b.subject = a.object join facts c on c.subject = b.object where a.subject like 'order%' and c.object like 'region%'""", once=True),
     "fact_mix": sql("""select 'qa' as kind, replace(replace(t.words, '{answer}', 'nation'), '{subject}', subject) || ' ' || object as text, -1 as slot_id
       from facts, (values """ + ", ".join(f"('{w}')" for w in TEMPLATES) + """) as t(words) where subject like 'supplier%'
       union all select 'fact', text, slot_id from kb where slot_id < (select cast(floor(count(*) * 3 * 0.25 / 0.75) as bigint) from facts where subject like 'supplier%')"""),
@@ -259,7 +259,7 @@ ORACLE_SQL: dict[str, str] = {
     "pk_subscores": sql("select query_id, side, k, round(score, 6) as score from sub"),
     "pk_topk": _shown("pk", 8),
     "pk_topk_slotkey": sql("select query_id, rank, slot_id, round(score, 6) as score from keyed_rank where rank <= 8", {"keyed": "select c.query_id, c.slot_id, round(c.score + 0.5 * coalesce(list_inner_product(q.v[1:32], e.v[1:32]), 0.0), 9) as score from pkc c join qv q using (query_id) left join vec e on e.vec_id = c.slot_id", "keyed_rank": _rank("keyed")}),
-    "pk_score_slots": sql("select query_id, slot_id, round(score, 6) as score from addressed"),
+    "pk_score_slots": sql("select query_id, slot_id, round(score, 6) as score from addressed", once=True),
     "pk_softmax_read": sql("""select q.query_id, q.dim, round(coalesce(sum(p.w * x.v[q.dim]), 0.0), 6) + 0.0 as value from (select query_id, dim from qv, dims) q
       left join pw p on p.query_id = q.query_id and p.slot_id % 7 <> 3 left join vec x on x.vec_id = p.slot_id % 10 group by all""", {"pe": "select query_id, slot_id, exp(score - max(score) over (partition by query_id)) as e from pk where rank <= 8", "pw": "select query_id, slot_id, e / sum(e) over (partition by query_id) as w from pe"}),
     "compact_remap": "select slot_id, case when n < 256 then n end as compact_id from (select vec_id as slot_id, row_number() over (order by vec_id) - 1 as n from embeddings where vec_id % 7 <> 3)",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import generate as g
 from ..sources.tables import MODE_WORDS, MODEL_WORDS
+from .evaluation import ATTRIBUTES
 from .oracle import _KS, _SOFTPLUS, FRAGMENTS, ORACLE_SQL as CATALOGUE, TOKEN, _mix, _noisy, _rank, _tokens, _vocab, sql
 
 _TOP = "rank <= {k}"
@@ -101,12 +102,12 @@ def _window(p: str, first: str, size: str, turn: int, seed: int) -> str:
 
 def _structured(seed: int) -> dict[str, str]:
     out = {
-        "slot_meta": "select slot_id, slot_id % 11 as entity_type, slot_id % 13 as relation, slot_id // 16 as api_family from sv where slot_id % 7 <> 3",
+        "slot_meta": "select s.slot_id, p_type as entity_type, p_brand as relation, cast(p_size as varchar) as api_family, cast(s.label as varchar) as answer_type, string_split(p_name, ' ')[1] as template, string_split(p_name, ' ')[-1] as output_family from sv s left join part on p_partkey = s.slot_id where s.slot_id % 7 <> 3",
         "own_req": "select query_id, count(*) as own, count(*) * 16 as total, cast(floor(count(*) * 16 * 0.5) as bigint) as want from required group by 1",
     }
     parts = []
-    for i, a in enumerate(("entity_type", "relation", "api_family")):
-        out[f"placed{i}"] = f"select slot_id, {a} as v, row_number() over (partition by {a} order by {_mix('slot_id', seed)}, slot_id) - 1 as nth, count(*) over (partition by {a}) as size from slot_meta"
+    for i, a in enumerate(ATTRIBUTES):
+        out[f"placed{i}"] = f"select slot_id, {a} as v, row_number() over (partition by {a} order by {_mix('slot_id', seed)}, slot_id) - 1 as nth, count(*) over (partition by {a}) as size from slot_meta where {a} is not null"
         parts.append(f"select q.query_id, p.slot_id from (select distinct r.query_id, m.{a} as v from required r join slot_meta m using (slot_id)) q join own_req o using (query_id) join placed{i} p on p.v = q.v where {_window('p.nth', '0', 'p.size', 1, seed)} < least(p.size, o.want + o.own)")
     out["hard_found"] = " union ".join(parts)
     out["hard_slots"] = f"select query_id, slot_id from (select f.*, row_number() over (partition by query_id order by {_mix('query_id', 'slot_id', seed + 2)}, slot_id) as nth from hard_found f where not exists (select 1 from required n where n.query_id = f.query_id and n.slot_id = f.slot_id)) join own_req using (query_id) where nth <= want"
@@ -114,7 +115,9 @@ def _structured(seed: int) -> dict[str, str]:
     out["any_placed"] = f"select slot_id, row_number() over (order by {_mix('slot_id', seed + 3)}, slot_id) - 1 as nth, count(*) over () as size from slot_meta"
     place = _window("p.nth", "0", "p.size", 4, seed)
     out["any_slots"] = f"select query_id, slot_id from (select q.query_id, p.slot_id, q.total - q.n_hard as wanted, row_number() over (partition by q.query_id order by {place}) as k from hard_counts q, any_placed p where {place} < least(p.size, q.total + q.own) and not exists (select 1 from required n where n.query_id = q.query_id and n.slot_id = p.slot_id) and not exists (select 1 from hard_slots h where h.query_id = q.query_id and h.slot_id = p.slot_id)) where k <= wanted"
-    out["structured"] = "select query_id, slot_id, true as positive, false as hard from required union all select query_id, slot_id, false, true from hard_slots union all select query_id, slot_id, false, false from any_slots"
+    shared = " ".join(f"when bool_or(m.{a} = r.{a}) then '{a}'" for a in ATTRIBUTES)
+    out["matching"] = f"select h.query_id, h.slot_id, case {shared} end as matched from hard_slots h join slot_meta m on m.slot_id = h.slot_id join required n on n.query_id = h.query_id join slot_meta r on r.slot_id = n.slot_id group by 1, 2"
+    out["structured"] = "select query_id, slot_id, true as positive, false as hard, cast(null as varchar) as matched from required union all select query_id, slot_id, false, true, matched from matching union all select query_id, slot_id, false, false, null from any_slots"
     out["structured_scores"] = "select t.*, c.score from structured t join every_score c on c.query_id = t.query_id and c.slot_id = t.slot_id"
     out["every_score"] = _scores("qv", "{}", where="")
     return out
@@ -184,10 +187,10 @@ def _steps_of(relations: dict[str, str], statement: str) -> str:
 _NAMES = ("oracle_text", "retrieved_oracle", "multi_query", "hidden_adapter", "memory_adapter", "memory_adapter_pretrain", "oracle", "retrieved", "random", "core_only", "dense", "exp_001_retrieval", "plain")
 _PADDED = {"noised": _noisy(4, 42, 1.0, 0.5, 8), "padded_places": "select q.query_id, p.pos, coalesce(n.slot_id, -1) as slot_id, n.slot_id is null as is_pad, coalesce(n.is_required, false) as is_required from (select distinct query_id from noised) q cross join (select unnest(range(1, 9)) as pos) p left join noised n on n.query_id = q.query_id and n.pos = p.pos"}
 _BOOK = {
-    "book": "select a.subject as asked, replace(replace('" + "which {answer} belongs to {subject} ?" + "', '{answer}', 'region'), '{subject}', a.object) as question, b.object as answer, k.text from facts a join facts b on b.subject = a.object join kb k on k.subject = a.subject where a.subject like 'customer%' and a.object like 'nation%' and b.object like 'region%' qualify row_number() over (partition by question, answer order by a.subject) = 1",
+    "book": "select a.subject as asked, a.template, a.question, a.answer, k.text from asked a join kb k on k.subject = a.subject",
     "book_vocab": _vocab("(select text || ' ' || question || ' ' || answer as text from book)"),
-    "book_ids": f"""select asked, part, list(id order by pos) as ids from (
-        select t.asked, t.part, t.pos, v.id from (""" + " union all ".join(f"select asked, '{c}' as part, generate_subscripts({_tokens(c)}, 1) as pos, unnest({_tokens(c)}) as token from book" for c in ("text", "question", "answer")) + """) t join book_vocab v using (token)) group by all""",
+    "book_ids": f"""select asked, template, part, list(id order by pos) as ids from (
+        select t.asked, t.template, t.part, t.pos, v.id from (""" + " union all ".join(f"select asked, template, '{c}' as part, generate_subscripts({_tokens(c)}, 1) as pos, unnest({_tokens(c)}) as token from book" for c in ("text", "question", "answer")) + """) t join book_vocab v using (token)) group by all""",
 }
 _FACTS = {
     "fact_ids": f"select slot_id, list(id order by pos) as ids from (select slot_id, generate_subscripts({_tokens('text')}, 1) as pos, unnest({_tokens('text')}) as token from kb) t join kb_vocab using (token) group by 1",
@@ -248,7 +251,7 @@ ORACLE_SQL: dict[str, str] = {
     "retriever_mode_failures": sql(f"""select mode, failure_type, count(*) as n, round(count(*) * 100.0 / sum(count(*)) over (partition by mode), 6) as percent from (select mode,
         case when {_got('8')} = len(r) then 'none_all_present' when {_got('32')} = len(r) then 'ranked_too_low' when {_got('64')} = len(r) then 'ranked_beyond_64' when {_got('64')} > 0 then 'missing_required_slot' else 'no_required_in_topk' end as failure_type from mode_ranks) group by 1, 2""", _MODES),
     "iterative_retrieval": sql("select query_id, cast(rank as integer) as rank, slot_id from iwalked", _steps(8, False)),
-    "structured_negatives": sql("select query_id, slot_id, positive, hard from structured", _structured(5)),
+    "structured_negatives": sql("select query_id, slot_id, positive, hard, matched from structured", _structured(5)),
     "loss_structured_bce": sql(f"select count(*) as queries, cast(sum(n) as bigint) as rows, round(avg(loss), 6) as loss from (select query_id, count(*) as n, avg(case when positive then 5.0 * ({_SOFTPLUS.format('(-z)')}) else {_SOFTPLUS.format('z')} end) as loss from (select *, score / 0.07 as z from structured_scores) group by 1)", _structured(5)),
     "loss_infonce_sampled": sql("""select count(*) as rows, round(avg(ln(total) - ln(pos)), 6) as loss from (
         select query_id, sum(e) as total, sum(case when positive then e else 0.0 end) as pos from (select *, exp((score - max(score) over (partition by query_id)) / 0.07) as e from sampled) group by 1) where pos > 0""", _sampled(48, 23)),
@@ -297,8 +300,8 @@ ORACLE_SQL: dict[str, str] = {
         array_to_string(list_concat(required, list_transform(range(0, most - len(required)), lambda x: -1)), ',') as required
       from (select *, max(len(ids)) over (partition by batch_id) as width, max(len(required)) over (partition by batch_id) as most from (select *, example_id // 8 as batch_id from (
         select p.*, r.required, row_number() over (order by p.conv_id, p.turn) - 1 as example_id from prompts p join (select conv_id, list(turn order by turn) as required from conversations group by 1) r on r.conv_id = p.conv_id)))"""),
-    "open_book_prompts": sql("""select b.asked, cast(4 + len(t.ids) + len(q.ids) as integer) as prompt_len, array_to_string(list_concat([1, 5], t.ids, [4], q.ids, [3], a.ids, [2]), ',') as ids from book b
-      join book_ids t on t.asked = b.asked and t.part = 'text' join book_ids q on q.asked = b.asked and q.part = 'question' join book_ids a on a.asked = b.asked and a.part = 'answer'""", _BOOK),
+    "open_book_prompts": sql("""select b.asked, b.template, cast(4 + len(t.ids) + len(q.ids) as integer) as prompt_len, array_to_string(list_concat([1, 5], t.ids, [4], q.ids, [3], a.ids, [2]), ',') as ids from book b
+      join book_ids t on t.asked = b.asked and t.template = b.template and t.part = 'text' join book_ids q on q.asked = b.asked and q.template = b.template and q.part = 'question' join book_ids a on a.asked = b.asked and a.template = b.template and a.part = 'answer'""", _BOOK),
     "fact_sequences": sql("select slot_id, 1 as prompt_len, array_to_string(list_concat([1, 5], ids, [2]), ',') as ids from fact_ids", _FACTS | {"kb_vocab": _vocab("kb")}),
     "first_examples": sql("select subject, template, question, answer from (select *, row_number() over (partition by question, answer order by subject) as repeat from asked) where repeat <= 5 order by question, answer, subject, template limit 100"),
     "task_rotation": f"select p_partkey, {_list(g.TASKS)}[(row_number() over (order by p_partkey) - 1) % 5 + 1] as task_type from part",

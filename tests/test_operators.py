@@ -189,6 +189,11 @@ def test_structured_negatives_prefer_shared_attributes(spark):
     assert of(2, True) == {37, 67} and len(of(2, False)) == 2 and len(of(3, False)) == 4 and not of(3, True)
     wide = select.structured_negatives(need, slots, "slot_id", ["kind", "half"], 4, 0.5, 3).where("hard")
     assert {r["count"] for r in wide.groupBy("query_id").count().collect()} == {4, 2}
+    for r in wide.collect():
+        own = [(k, k % 30 if k < 90 else None, k // 50) for k in {1: (0, 50), 2: (7,)}[r.query_id]]
+        kind = r.slot_id < 90 and any(r.slot_id % 30 == a for _, a, _ in own)
+        assert r.matched == ("kind" if kind else "half") and (kind or any(r.slot_id // 50 == b for *_, b in own))
+    assert {r.matched for r in rows} == {"kind", None} and all((r.matched is None) != r.hard for r in rows)
 
 
 def test_running_best_follows_the_order(spark):
