@@ -1,11 +1,12 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
-Words are lower-cased and read as character sequences between word marks. For each class (toxic, ordinary) the
+Words are runs of letters, digits and underscores of the lower-cased text, cut by one function for fitting and for
+scoring, and read as character sequences between word marks. For each class (toxic, ordinary) the
 highest order holds that class's counts; everything below it is one shared backoff of continuation counts over both
 classes, so an expression that neither class has often gets nearly the same likelihood from both. A word's evidence
 is the difference of its log-likelihoods; a document's features are length-normalised: the mean over its words, the
 highest mean over `WINDOW` consecutive words, and the highest word divided by its characters; besides, on a log scale,
-how many different words have more evidence than each of `STRONG`. A logistic curve, fitted on training rows that the
+how many different words in a hundred words of text (and `PAD_WORDS` more) have more evidence than each of `STRONG`. A logistic curve, fitted on training rows that the
 counts have not seen and weighted back to the labels' own prevalence, turns them into a score from 0 to 1.
 
 The n-grams of all labelled training rows are counted, by distributed aggregates; the driver gets a row for each
@@ -19,6 +20,7 @@ every score is 0. Only doc_id and text are read from documents, so further colum
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ ORDER = 6
 DISCOUNT = 0.75
 WINDOW = 8
 STRONG = (2.0, 4.0)
+#: Ordinary words by which a text counts as longer, so that one strong word of a very short text is no rate.
+PAD_WORDS = 50
 PER_CLASS = 2000
 THRESHOLD = 0.3
 FOLDS = 4
@@ -43,7 +47,13 @@ BROADCAST_LABELS = 1_000_000
 COUNTS = "gram string, n00 bigint, n01 bigint, n10 bigint, n11 bigint"
 NAMES = ("mean_llr", "window_llr", "word_llr", "some_words", "sure_words")
 FEATURES = "doc_id bigint, " + ", ".join(f"{n} double" for n in NAMES)
-_INNER = re.compile(r"\w+")
+_WORD = re.compile(r"\w+")
+TALLY = "word string, n00 bigint, n01 bigint, n10 bigint, n11 bigint"
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text or of a part between white space; the one tokenizer of fit and score."""
+    return _WORD.findall(text.lower())
 
 
 def fold(doc_id: Column) -> Column:
@@ -151,7 +161,7 @@ class Scorer:
         self.evidence = self.best = np.zeros(0)
 
     def _learn(self, new: list[str]) -> None:
-        parts = [_INNER.findall(w) for w in new]
+        parts = [words_of(w) for w in new]
         owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
         flat = [x for p in parts for x in p]
         got = np.concatenate([self.model.evidence(flat[k : k + STEP]) for k in range(0, len(flat), STEP)] or [np.zeros(0)])
@@ -164,7 +174,7 @@ class Scorer:
         self.best = np.concatenate([self.best, best])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        words = [t.lower().split() if t else [] for t in texts]
+        words = [t.split() if t else [] for t in texts]
         new = set().union(*words).difference(self.index)
         if len(self.index) + len(new) > CACHED_WORDS:
             self.__init__(self.model)
@@ -180,7 +190,8 @@ class Scorer:
                 sums = np.concatenate([[0.0], np.cumsum(found)])
                 w = min(WINDOW, len(ws))
                 some = self.evidence[np.unique(at[found > STRONG[0]])]
-                out[i] = sums[-1] / len(ws), (sums[w:] - sums[:-w]).max() / WINDOW, self.best[at].max(), np.log1p(some.size), np.log1p((some > STRONG[1]).sum())
+                rate = 100.0 / (len(ws) + PAD_WORDS)
+                out[i] = sums[-1] / len(ws), (sums[w:] - sums[:-w]).max() / WINDOW, self.best[at].max(), np.log1p(some.size * rate), np.log1p((some > STRONG[1]).sum() * rate)
         return out
 
 
@@ -222,14 +233,19 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 def gram_counts(docs: DataFrame, marked: DataFrame, n: int) -> DataFrame:
     """How often all n marked rows' texts have each n-gram of the highest order: ordinary and toxic, without and in the calibration fold; ints, as they all go to the driver."""
-    marks = marked.select("doc_id", (F.col("fold") == CALIBRATION).alias("later"), (F.col("cls") == 1).alias("toxic"))
-    words = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(marks) if n <= BROADCAST_LABELS else marks, "doc_id")
-        .select("later", "toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0))).alias("word"))
-        .groupBy("word")
-        .agg(*(F.count_if((F.col("later") == a) & (F.col("toxic") == b)).alias(f"n{int(a)}{int(b)}") for a in (False, True) for b in (False, True)))
-    )
+    marks = marked.select("doc_id", (F.when(F.col("fold") == CALIBRATION, 2).otherwise(0) + F.col("cls")).alias("column"))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = arrow_schema(TALLY)
+        for part in slices(batches, 0):
+            sums: dict[str, list[int]] = {}
+            for text, column in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for word, times in Counter(words_of(text or "")).items():
+                    sums.setdefault(word, [0, 0, 0, 0])[column] += times
+            yield batch_of(arrow, [list(sums), *(zip(*sums.values(), strict=True) if sums else [[]] * 4)])
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(marks) if n <= BROADCAST_LABELS else marks, "doc_id").select("text", "column")
+    words = texts.mapInArrow(tally, TALLY).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = arrow_schema(COUNTS)
