@@ -144,6 +144,21 @@ def compare(one: DataFrame, two: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     return same.join(at.groupBy("k").agg(F.round(F.corr("x", "y"), 6).alias("correlation")), "k")
 
 
+def digest(vectors: DataFrame, key: str, places: int = 6) -> DataFrame:
+    """One row with `n` and `digest` of vectors(key, vec): a sum of row digests, so equal tables have equal ones in whatever order and parts they lie. Components count to so many places."""
+    whole = F.transform("vec", lambda x: F.floor(x * 10**places).cast("string"))
+    row = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.array_join(whole, ",")).cast("binary"))
+    return vectors.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.conv(F.substring(row, 1, 7), 16, 10).cast("bigint")), F.lit(0)).alias("digest"))
+
+
+def side_by_side(one: DataFrame, two: DataFrame, k: int) -> DataFrame:
+    """query_id, first_one, first_two, shared (slots that both first k have) and identical, of two rankings; a query that only one ranks is there too."""
+    ids = lambda df, name: df.where(F.col("rank") <= k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "slot_id"))), lambda r: r["slot_id"]).alias(name))
+    none = F.array().cast("array<bigint>")
+    both = ids(one, "a").join(ids(two, "b"), "query_id", "full").select("query_id", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
+    return both.select("query_id", F.get("a", F.lit(0)).alias("first_one"), F.get("b", F.lit(0)).alias("first_two"), F.size(F.array_intersect("a", "b")).alias("shared"), (F.col("a") == F.col("b")).alias("identical"))
+
+
 def iterate(queries: DataFrame, slots: DataFrame, k: int, hops: int, forced: DataFrame | None = None, own: bool = True) -> DataFrame:
     """query_id, rank and slot_id of the lists of several hops, one after the other, each slot at its first place.
 

@@ -77,6 +77,17 @@ def interface_report(spark, d):
     return same.join(recall(one, "recall_one"), "k").join(recall(two, "recall_two"), "k")
 
 
+@query
+def interface_questions(spark, d):
+    """The benchmark's questions under two interfaces: their texts, what each finds, and whether both search the same slot vectors."""
+    asked = written(_text_vectors(spark, d, _items(spark, d)), "asked")
+    slots = {64: _slot_vecs(spark, d), 48: _slot_vecs(spark, d, 48)}
+    one, two = (retrieve.topk(asked.select("query_id", F.slice("vec", 1, n).alias("vec")), slots[n], 8) for n in slots)
+    hashes = [retrieve.digest(slots[n], "slot_id").select(F.col("digest").alias(name)) for n, name in ((64, "slots_one"), (48, "slots_two"))]
+    rows = _items(spark, d).select("query_id", F.col("text").alias("question")).join(retrieve.side_by_side(one, two, 8), "query_id")
+    return rows.join(F.broadcast(hashes[0]), F.lit(True)).join(F.broadcast(hashes[1]), F.lit(True)).withColumn("same_slots", F.col("slots_one") == F.col("slots_two"))
+
+
 def _adapted(spark, d):
     """Hidden states through layer norm, a layer of 16, a rectifier and a layer back to 64, as unit vectors; both layers are vectors of the table."""
     rows = _vectors(spark, d).where("vec_id < 80")

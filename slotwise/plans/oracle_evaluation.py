@@ -217,6 +217,9 @@ _FORMS["form_best"] = "select query_id, slot_id, max(score) as score from (" + "
 _COMPARED = {"other_scores": _scores("qv", "{}[1:48]"), "other_rank": _rank("other_scores")}
 
 
+_DIGEST = "(select cast(sum(cast('0x' || substr(md5(slot_id || ':' || array_to_string(list_transform({}, lambda x: cast(floor(x * 1000000) as bigint)), ',')), 1, 7) as bigint)) as bigint) from sv)"
+
+
 def _recall(ranked: str) -> str:
     return f"select k, round(avg(case when found then 1 else 0 end), 6) as recall from (select n.query_id, k, bool_or(r.rank <= k) as found from required n cross join (values (1), (8), (32)) as ks(k) left join {ranked} r on r.query_id = n.query_id and r.slot_id = n.slot_id group by 1, 2) group by k"
 
@@ -238,6 +241,10 @@ ORACLE_SQL: dict[str, str] = {
       join ({_recall('ranked')}) a using (k) join ({_recall('other_rank')}) b using (k)""", _COMPARED | {
         "both_lists": "select k, a.query_id, a.slot_id as s1, b.slot_id as s2, a.score as x, b.score as y from ranked a join other_rank b on a.query_id = b.query_id and a.rank = b.rank, (values (1), (8), (32)) as ks(k) where a.rank <= k",
     }),
+    "interface_questions": sql(f"""select b.item_id as query_id, b.text as question, max(case when o.rank = 1 then o.slot_id end) as first_one, max(case when t.rank = 1 then t.slot_id end) as first_two,
+        (select cast(count(*) as integer) from form0_rank x join narrow_rank y on y.query_id = x.query_id and y.slot_id = x.slot_id where x.query_id = b.item_id and x.rank <= 8 and y.rank <= 8) as shared,
+        bool_and(o.slot_id = t.slot_id) as identical, {_DIGEST.format("v")} as slots_one, {_DIGEST.format("v[1:48]")} as slots_two, {_DIGEST.format("v")} = {_DIGEST.format("v[1:48]")} as same_slots
+      from benchmark b join form0_rank o on o.query_id = b.item_id and o.rank <= 8 join narrow_rank t on t.query_id = b.item_id and t.rank = o.rank group by b.item_id, b.text""", _FORMS | {"narrow_scores": _scores("form0", "{}[1:48]", where=""), "narrow_rank": _rank("narrow_scores")}),
     "adapter_topk": _show("adapted_scores", 8, _LAYERS),
     "pk_subscores_cosine": sql(" union all ".join(f"select query_id, {n} as side, k, round(round(list_inner_product(v[{a}:{b}], k{n}) / ({_norm(f'v[{a}:{b}]')} * {_norm(f'k{n}')}), 9), 6) as score from qv, codes" for n, a, b in ((1, 1, 32), (2, 33, 64)))),
     "graph_pairs": sql("select query_id, cast(rank as integer) as place, slot_id from paired", {
