@@ -137,7 +137,7 @@ def examples(pool: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
     ranged = in_ranges(pool.withColumn("at", F.struct("split", "chain_id")), "at")
     places = written(dense_id(ranged, F.col("at"), F.col("__range"), "place").select("place", *pool.columns), "chain-places")
     sizes = places.groupBy("split").agg(F.min("place").cast("bigint").alias("first"), F.count("*").alias("size"))  # a row a split
-    missing, most, taken = ids.select("example_id", "split").where("example_id is not null"), F.when(F.col("split") == "train", TRAIN_REPEATS).otherwise(1), []
+    missing, most, taken = ids.select("example_id", "split").where("example_id is not null").join(F.broadcast(sizes.select("split")), "split", "left_semi"), F.when(F.col("split") == "train", TRAIN_REPEATS).otherwise(1), []
     for turn in range(ROUNDS):
         place = F.col("first") + drawn(F.col("size"), F.col("example_id"), seed, 1, turn)
         tried = missing.join(F.broadcast(sizes), "split").select("example_id", "split", place.cast("int").alias("place"), drawn(2, F.col("example_id"), seed, 2, turn).cast("int").alias("template"))
@@ -149,7 +149,7 @@ def examples(pool: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
         new = written(tried.withColumn("nth", nth).where(F.col("nth") <= most).select("example_id", "place", "template"), "examples")
         taken.append(new)
         missing = written(missing.join(new.select("example_id"), "example_id", "left_anti"), "examples-left")
-        if missing.isEmpty() or new.isEmpty():
+        if missing.isEmpty():
             break
     rows = reduce(DataFrame.unionByName, taken).join(places, "place")
     asked = F.coalesce(*(F.when((F.col("task") == t) & (F.col("template") == j), F.lit(q)) for t, forms in enumerate(QUESTIONS) for j, q in enumerate(forms)))

@@ -102,8 +102,9 @@ def leaks(items: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
 
     A document that contains an item contains the item's inner words in a row; the first of them, `words` at most, are
     looked up among the hashes of each document's runs of as many words, without shuffling documents, and only hits
-    are compared in full. Runs are made for the lengths that items have. Items without an inner word are compared with
-    every document; they are counted first, and there mostly are none. Empty items and null texts take no part.
+    are compared in full. Runs are made for the lengths that items have. Items without an inner word are looked up by
+    their first three characters (or all, if fewer) among each document's different runs of as many. No item meets a
+    document that does not share a key with it. Empty items and null texts take no part.
     """
     w = F.split("item", r"\s+")
     low = items.select("item_id", F.lower("text").alias("item")).where("item <> ''").withColumn("n", F.least(F.lit(words), F.size(w) - 2)).withColumn("run", F.xxhash64(F.array_join(F.slice(w, 2, F.greatest("n", F.lit(0))), " ")))
@@ -117,5 +118,9 @@ def leaks(items: DataFrame, docs: DataFrame, words: int = 4) -> DataFrame:
         hits = v.select("doc_id", "text", F.explode(F.array_distinct(_runs(n))).alias("run"))
         parts.append(hits.join(sent(low.where(F.col("n") == n).select("item_id", "item", "run")), "run").where(F.contains("text", "item")).select("item_id", "doc_id"))
     if any(x <= 0 for x in sizes):
-        parts.append(text.join(F.broadcast(low.where("n <= 0").select("item_id", "item")), F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id"))
+        short = low.where("n <= 0").select("item_id", "item", F.least(F.lit(3), F.length("item")).alias("g"))
+        for g in sorted(r.g for r in short.select("g").distinct().collect()):
+            keyed = short.where(F.col("g") == g).select("item_id", "item", F.substring("item", 1, g).alias("run"))
+            runs = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=({'.' * g}))"), F.lit(1)))
+            parts.append(text.select("doc_id", "text", F.explode(runs).alias("run")).join(sent(keyed), "run").where(F.contains("text", "item")).select("item_id", "doc_id"))
     return reduce(DataFrame.unionByName, parts).distinct() if parts else low.join(text, F.lit(False)).select("item_id", "doc_id")

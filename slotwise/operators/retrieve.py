@@ -1,4 +1,4 @@
-"""Dense retrieval: exact top-k by blocked matrix products, and the same as SQL expressions."""
+"""Dense retrieval: exact top-k by blocked matrix products, and what is built on ranked lists."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import mix
-from ..functions.vectors import cosine, dot, sigmoid
+from ..functions.vectors import cosine, sigmoid
 from ..session import written
 from .text import dense_id
 
@@ -100,13 +100,6 @@ def mass(queries: DataFrame, slots: DataFrame, temperature: float, of: str, own:
     return each.groupBy("query_id").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
 
 
-def topk_sql(queries: DataFrame, slots: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """The same as expressions over all pairs, for small tables and comparison."""
-    f = {"cosine": cosine, "dot": dot}[metric]
-    pairs = queries.select("query_id", F.col("vec").alias("qv")).crossJoin(slots.select("slot_id", F.col("vec").alias("sv")))
-    return ranked_by_score(pairs.select("query_id", "slot_id", F.round(f(F.col("qv"), F.col("sv")), RANK_PLACES).alias("score")), k)
-
-
 def score_given(pairs: DataFrame, queries: DataFrame, slots: DataFrame) -> DataFrame:
     """Cosine of the listed pairs(query_id, slot_id)."""
     joined = pairs.join(queries.select("query_id", F.col("vec").alias("qv")), "query_id").join(slots.select("slot_id", F.col("vec").alias("sv")), "slot_id")

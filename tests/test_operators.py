@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slotwise.functions.text import tokens
+from slotwise.functions.vectors import cosine, dot
 from slotwise.operators import generate, kb, losses, metrics, product_key, retrieve, select
 from slotwise.operators import text as texts
 from slotwise.plans import evaluation
@@ -90,11 +91,18 @@ def test_empty_selection_is_the_zero_vector(spark):
     assert [(r.dim, r.value) for r in select.read_values(df, values, 2).orderBy("dim").collect()] == [(1, 0.0), (2, 0.0)]
 
 
+def all_pairs_topk(queries, slots, k, metric):
+    """The k best of every query among all slots, as expressions over all pairs."""
+    f = {"cosine": cosine, "dot": dot}[metric]
+    pairs = queries.select("query_id", F.col("vec").alias("qv")).crossJoin(slots.select("slot_id", F.col("vec").alias("sv")))
+    return retrieve.ranked_by_score(pairs.select("query_id", "slot_id", F.round(f(F.col("qv"), F.col("sv")), retrieve.RANK_PLACES).alias("score")), k)
+
+
 def test_topk_forms_agree_and_handle_edges(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id bigint, vec array<double>")
     s = spark.createDataFrame([(3, [1.0, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 2.0])], "slot_id bigint, vec array<double>")
     for metric in ("cosine", "dot"):
-        a, b = (sorted(map(tuple, f(q, s, 10, metric).collect())) for f in (retrieve.topk, retrieve.topk_sql))
+        a, b = (sorted(map(tuple, f(q, s, 10, metric).collect())) for f in (retrieve.topk, all_pairs_topk))
         assert a == b and len(a) == 6
     assert [r.slot_id for r in retrieve.topk(q, s, 2).where("query_id = 2").orderBy("rank").collect()] == [3, 4]
     assert retrieve.topk(q, s.limit(0), 2).count() == 0
@@ -221,6 +229,21 @@ def test_short_items_leak_too(spark):
     assert kb.leaks(items.limit(0), docs).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_short_items_are_looked_up_by_their_first_characters(spark, monkeypatch, broadcast):
+    """Items of one and two words meet only documents that share a key with them, and no join is a nested loop."""
+    monkeypatch.setattr(kb, "BROADCAST_ITEMS", broadcast)
+    r = random.Random(3)
+    texts_of = ["".join(r.choice("aB é🎈.") for _ in range(r.randrange(0, 40))) for _ in range(60)] + [None, ""]
+    asked = ["a", "b", "É", "🎈", " a", "ab", "a b", "é🎈a", "b.a", "aaa", "zz", "", None, "ba  a", "🎈🎈"]
+    items = spark.createDataFrame(list(enumerate(asked)), "item_id bigint, text string")
+    docs = spark.createDataFrame(list(enumerate(texts_of)), "doc_id bigint, text string")
+    found = kb.leaks(items, docs)
+    want = {(i, d) for i, a in enumerate(asked) if a for d, t in enumerate(texts_of) if t and a.lower() in t.lower()}
+    assert {tuple(x) for x in found.collect()} == want and len(want) > 50
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sums_over_all_slots(spark, monkeypatch):
     r = random.Random(3)
     vec = lambda: [r.uniform(-1, 1) for _ in range(4)]
@@ -263,7 +286,7 @@ def _words(spark, prefix, n):
 @pytest.mark.parametrize("separation", generate.SEPARATIONS)
 def test_generated_pools_are_full_and_apart(spark, separation):
     """Chains over so few names that many are drawn again; test has names of its own, as far as the separation says."""
-    nouns, verbs = _words(spark, "n", 8), _words(spark, "v", 4)
+    nouns, verbs = _words(spark, "n", 16), _words(spark, "v", 4)
     split = generate.split_of(F.col("id"))
     ids = spark.range(400).select(F.col("id").alias("chain_id"), split.alias("split"))
     rows = generate.chains(ids, nouns, verbs, 3, separation).collect()
