@@ -112,6 +112,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_lexical": op13_lexical,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op11_importance": r"""
+with crc as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+every as (select r, ws from d union all select -1, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+runs as (select r, ws, unnest(range(1, len(ws) + 1)) as i from every),
+grams as (select r, ws[i] as g from runs union all select r, ws[i] || ' ' || ws[i + 1] from runs where i < len(ws) union all select r, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] from runs where i + 1 < len(ws)),
+held as materialized (select r, g, count(*) as n from grams group by all),
+hex as (select g, hex(encode(g)) as h from (select distinct g from held)),
+hashed as materialized (select g, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda j: cast('0x' || h[j:j + 1] as bigint))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket from hex, crc),
+counts as materialized (select bucket, coalesce(sum(n) filter (r >= 0), 0) as s, coalesce(sum(n) filter (r < 0), 0) as t from held join hashed using (g) group by bucket),
+gains as (select bucket, cast(floor(1000 * ln((cast(t + 1 as double) * cast((select sum(s) from counts) + 10000 as double)) / (cast(s + 1 as double) * cast((select sum(t) from counts) + 10000 as double)))) as bigint) as gain from counts),
+w as (select r, cast(sum(n) as bigint) as n_features, cast(sum(n * gain) as bigint) as weight from held join hashed using (g) join gains using (bucket) where r >= 0 group by r),
+scored as (select d.r, d.doc_id, len(ws) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+  coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('42:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) + 0.5::double) / 4294967296::double))) as bigint) as score from d left join w using (r)),
+able as (select r, row_number() over (order by score desc, doc_id nulls last) as k, count(*) over () as total from scored where n_words >= 20)
+select doc_id, n_features, weight, score, case when k <= 5 * total // 100 then k end as rank from scored left join able using (r)
+""",
     "op12_chat": r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
