@@ -138,13 +138,6 @@ def learning_rate(step: Column, warmup: int, total: int) -> Column:
     return F.when(step < warmup, step / F.lit(float(max(1, warmup)))).otherwise(F.greatest(F.lit(0.0), (F.lit(1.0) + F.cos(F.pi() * along)) * 0.5))
 
 
-def gate_stats(rows: DataFrame) -> DataFrame:
-    """Mean, least and largest gate, mean norms and their mean ratio of rows(gate, memory_norm, residual_norm)."""
-    mean = lambda c: F.round(F.avg(c), 6)
-    ratio = F.col("memory_norm") / F.greatest("residual_norm", F.lit(1e-8))
-    return rows.agg(F.count("*").alias("rows"), mean("gate").alias("gate_mean"), F.round(F.min("gate"), 6).alias("gate_min"), F.round(F.max("gate"), 6).alias("gate_max"), mean("memory_norm").alias("memory_norm"), mean("residual_norm").alias("residual_norm"), mean(ratio).alias("memory_residual_ratio"))
-
-
 def weighted_mean(batches: DataFrame, loss: str, size: str) -> DataFrame:
     """batches, rows and the mean of the batches' losses weighted by their sizes."""
     return batches.agg(F.count("*").alias("batches"), F.sum(size).alias("rows"), F.round(F.sum(F.col(loss) * F.col(size)) / F.sum(size), 6).alias("loss"))

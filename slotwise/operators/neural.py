@@ -123,11 +123,11 @@ class MemoryHead:
         return x + gate * m, m, gate
 
 
-INTEGRATED = "query_id bigint, vec array<double>, gate_mean double, memory_norm double, residual_ratio double"
+INTEGRATED = "query_id bigint, vec array<double>, gate_mean double, gate_min double, gate_max double, memory_norm double, state_norm double, residual_ratio double"
 
 
 def integrate(states: DataFrame, memory: DataFrame, model: Model, mode: str, alpha: float = 0.5) -> DataFrame:
-    """INTEGRATED of each state(query_id, vec) with memory(query_id, slots): the new state, its mean gate, the norm of what was read, and that of the change over the state's."""
+    """INTEGRATED of each state(query_id, vec) with memory(query_id, slots): the new state, the mean and bounds of its gate, the norms of what was read and of the state, and that of the change over the state's."""
     head, dims = MemoryHead(model, mode, alpha), model["memory"].shape[1]
     shared = states.sparkSession.sparkContext.broadcast(head)
     none = F.array().cast("array<struct<rank:int,w:double,value:array<double>>>")
@@ -138,8 +138,8 @@ def integrate(states: DataFrame, memory: DataFrame, model: Model, mode: str, alp
         out, m, gate = shared.value(x, *_listed(b.column(2), dims))
         size = lambda a: np.sqrt((a**2).sum(1))
         ratio = np.divide(size(out - x), size(x), out=np.zeros(len(x)), where=size(x) > 0)
-        mean = gate.mean(1)
-        return [b.column(0), out.tolist(), pa.array(mean, mask=np.isnan(mean)), size(m), ratio]
+        gates = [pa.array(g, mask=np.isnan(g)) for g in (gate.mean(1), gate.min(1), gate.max(1))]
+        return [b.column(0), out.tolist(), *gates, size(m), size(x), ratio]
 
     return _passed(rows.select("query_id", "vec", F.coalesce("slots", none).alias("slots")), INTEGRATED, 32 * dims, run)
 

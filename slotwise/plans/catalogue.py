@@ -580,14 +580,17 @@ def metrics_running_best(spark, d):
 
 @query
 def lr_schedule(spark, d):
-    steps = spark.range(0, 1001).select(F.col("id").alias("step"))
-    return steps.withColumn("factor", F.round(metrics.learning_rate(F.col("step"), 100, 1000), 6) + 0.0)
+    """The factor of each event as a training step, with a tenth of all steps as warm-up."""
+    steps = table(spark, d, "events").select(F.col("event_id").alias("step"))
+    total = (steps.agg(F.max("step")).first()[0] or 0) + 1
+    return steps.withColumn("factor", F.round(metrics.learning_rate(F.col("step"), total // 10, total), 6) + 0.0)
 
 
 @query
 def run_priority(spark, d):
-    paths = ["runs/a/last.pt", "runs/a/best.pt", "runs/a/step_10.pt", "runs/b/last.pt", "runs/b/step_3.pt", "runs/c/step_2.pt", "runs/c/step_1.pt"]
-    return preferred_runs(spark.createDataFrame([(p,) for p in paths], "path string"))
+    """Users as runs, whose events leave checkpoints: a purchase the best one, an error the last, others one of their own."""
+    name = F.when(F.col("event_type") == "purchase", "best.pt").when(F.col("event_type") == "error", "last.pt").otherwise(F.concat(F.lit("step_"), "event_id", F.lit(".pt")))
+    return preferred_runs(table(spark, d, "events").select(F.concat(F.lit("runs/"), "user_id", F.lit("/"), name).alias("path")).distinct())
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.registered import vec_wavg
 from ..functions.text import mix, tokens
-from ..functions.vectors import cosine, dot, layer_norm, norm, relu, sigmoid, times, unit
+from ..functions.vectors import cosine, dot, layer_norm, norm, relu, times, unit
 from ..operators import chains, generate, kb, losses, metrics, product_key, retrieve, select
 from ..operators import text as texts
 from ..session import written
@@ -17,7 +17,7 @@ from ..sources.generated import star_names
 from ..sources.measured import measured
 from ..sources.tables import mode_of_run, model_type_of_run, table
 from .catalogue import (
-    DIM, KS, QUERIES, SELECTOR, SUBKEYS, _candidates, _codebook, _encoded, _kb, _live, _meta, _part_chains, _prompts, _query_vecs, _ranked, _required, _selected, _shown, _slot_vecs, _slots, _variants, _vectors, query, recall_at_k,
+    DIM, KS, QUERIES, SELECTOR, _candidates, _codebook, _kb, _live, _meta, _prompts, _query_vecs, _ranked, _required, _shown, _slot_vecs, _slots, _variants, _vectors, query, recall_at_k,
 )
 
 
@@ -275,27 +275,6 @@ def loss_tokens(spark, d):
 
 
 # --- diagnostics -----------------------------------------------------------------------------------------------------
-@query
-def gate_stats(spark, d):
-    """A gate on the best score, and the norms of the first slot's vector and of the query."""
-    best = _ranked(spark, d, 1).join(_query_vecs(spark, d), "query_id").join(_slot_vecs(spark, d).select("slot_id", F.col("vec").alias("sv")), "slot_id")
-    return metrics.gate_stats(best.select(sigmoid(F.col("score") * 4 - 1).alias("gate"), norm(F.col("sv")).alias("memory_norm"), norm(F.col("vec")).alias("residual_norm")))
-
-
-@query
-def detailed_predictions(spark, d):
-    """Each query's prediction beside its gold answer, with the slots that went in and the gate and norms of the first one."""
-    label = _slots(spark, d).select("slot_id", "label")
-    noisy = select.noisy(_required(spark, d), _live(spark, d), 4, 0.5, 42, 8)
-    listed = lambda keep: F.array_join(F.transform(F.filter("rows", keep), lambda r: r["slot_id"].cast("string")), ",")
-    slots = noisy.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "slot_id", "is_required"))).alias("rows"))
-    slots = slots.select("query_id", listed(lambda r: r["is_required"]).alias("required_slots"), listed(lambda r: ~r["is_required"]).alias("distractor_slots"), F.size(F.filter("rows", lambda r: ~r["is_required"])).alias("num_distractors"))
-    gold = _required(spark, d).where("pos = 1").join(label, "slot_id").select("query_id", "hops", F.col("label").alias("gold_answer"))
-    best = _ranked(spark, d, 1).join(label, "slot_id").join(_query_vecs(spark, d), "query_id").join(_slot_vecs(spark, d).select("slot_id", F.col("vec").alias("sv")), "slot_id")
-    best = best.select("query_id", F.col("label").alias("prediction"), F.round(sigmoid(F.col("score") * 4 - 1), 6).alias("gate_mean"), F.round(norm(F.col("sv")), 6).alias("memory_norm"), F.round(norm(F.col("sv")) / F.greatest(norm(F.col("vec")), F.lit(1e-8)), 6).alias("memory_residual_ratio"))
-    return gold.join(best, "query_id").join(slots, "query_id").withColumn("correct", F.col("prediction") == F.col("gold_answer"))
-
-
 @query
 def dataset_alignment(spark, d):
     """Of each split of the generated examples: how many answers end their facts, stand in no question, and are in train's vocabulary."""
@@ -318,12 +297,6 @@ def batch_cosine_mean(spark, d):
     return metrics.mean_of_batch_means(_ranked(spark, d, 1), F.floor(F.col("query_id") / 320), "score")
 
 
-@query
-def parameter_count(spark, d):
-    """Vectors as parameters; those of one label share a tensor of its largest size."""
-    return metrics.parameter_count(table(spark, d, "embeddings").select(F.col("vec_id").alias("name"), F.col("label").alias("tensor"), F.size("embedding").alias("numel")))
-
-
 @query
 def qa_report(spark, d):
     """Accuracy by scope, recall at 8 and required-set metrics at 8 of the retriever, as one row."""

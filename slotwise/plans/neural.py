@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.registered import dealt, register
 from ..operators import encoder, kb, losses, metrics, neural, retrieve, select
-from .catalogue import DIM, _candidates, _query_vecs, _ranked, _prompts, _required, _shown, _slot_values, _slot_vecs, _vectors, query
+from .catalogue import DIM, _candidates, _live, _prompts, _query_vecs, _ranked, _required, _shown, _slot_values, _slot_vecs, _slots, _vectors, query
 from .evaluation import _items, _text_vectors
 
 HEAD_SLOTS = 8
@@ -29,6 +31,8 @@ for _l in (0, 1):
 HEADS = 2
 PAIR = {"w_anchor": (200, 16, 1, 64), "w_slot": (216, 16, 1, 64), "w_second": (232, 16, 1, 16), "w_last": (248, 1, 1, 16), "b_first": (249, 1, 1, 16), "b_second": (250, 1, 1, 16)}
 
+MODELS = {"head": HEAD, "selector": SELECTOR_MLP, "encoder": ENCODER, "pair": PAIR}
+
 
 def _model(spark, d, layout):
     rows = _vectors(spark, d).select("vec_id", "vec")
@@ -68,6 +72,44 @@ def memory_diagnostics(spark, d):
     return out
 
 
+def _ratio():
+    return F.col("memory_norm") / F.greatest("state_norm", F.lit(1e-8))
+
+
+@query
+def gate_stats(spark, d):
+    """The gates of all queries' memory heads, and the norms of what they read and of the states it goes to."""
+    mean = lambda c: F.round(F.avg(c), 6)
+    rows = _integrated(spark, d, "gated_sum")
+    return rows.agg(F.count("*").alias("rows"), mean("gate_mean").alias("gate_mean"), F.round(F.min("gate_min"), 6).alias("gate_min"), F.round(F.max("gate_max"), 6).alias("gate_max"), mean("memory_norm").alias("memory_norm"), mean("state_norm").alias("residual_norm"), mean(_ratio()).alias("memory_residual_ratio"))
+
+
+@query
+def detailed_predictions(spark, d):
+    """Each query's prediction beside its gold answer, with the slots that went in, and the gate and norms of what its memory head read."""
+    label = _slots(spark, d).select("slot_id", "label")
+    noisy = select.noisy(_required(spark, d), _live(spark, d), 4, 0.5, 42, 8)
+    listed = lambda keep: F.array_join(F.transform(F.filter("rows", keep), lambda r: r["slot_id"].cast("string")), ",")
+    slots = noisy.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "slot_id", "is_required"))).alias("rows"))
+    slots = slots.select("query_id", listed(lambda r: r["is_required"]).alias("required_slots"), listed(lambda r: ~r["is_required"]).alias("distractor_slots"), F.size(F.filter("rows", lambda r: ~r["is_required"])).alias("num_distractors"))
+    gold = _required(spark, d).where("pos = 1").join(label, "slot_id").select("query_id", "hops", F.col("label").alias("gold_answer"))
+    best = _ranked(spark, d, 1).join(label, "slot_id").select("query_id", F.col("label").alias("prediction"))
+    read = _integrated(spark, d, "gated_sum").select("query_id", *(F.round(c, 6).alias(name) for c, name in ((F.col("gate_mean"), "gate_mean"), (F.col("memory_norm"), "memory_norm"), (_ratio(), "memory_residual_ratio"))))
+    return gold.join(best, "query_id").join(read, "query_id").join(slots, "query_id").withColumn("correct", F.col("prediction") == F.col("gold_answer"))
+
+
+@query
+def parameter_count(spark, d):
+    """The numbers in all models' matrices; a matrix that several models share counts once."""
+    rows = _vectors(spark, d).select("vec_id", "vec")
+    parts = []
+    for model, layout in MODELS.items():
+        for name, (first, n, start, dims) in layout.items():
+            inside = rows.where((F.col("vec_id") >= first) & (F.col("vec_id") < first + n))
+            parts.append(inside.agg(F.lit(f"{model}.{name}").alias("name"), F.lit(f"{first}-{n}-{start}-{dims}").alias("tensor"), F.coalesce(F.sum(F.size(F.slice("vec", start, dims))), F.lit(0)).alias("numel")))
+    return metrics.parameter_count(reduce(DataFrame.unionByName, parts))
+
+
 def _selector(spark, d):
     return neural.selector_logits(select.features(_candidates(spark, d)), _query_vecs(spark, d), _slot_vecs(spark, d), _slot_values(spark, d), _model(spark, d, SELECTOR_MLP))
 

@@ -347,10 +347,10 @@ ORACLE_SQL: dict[str, str] = {
         join address1 w on w.query_id = z.query_id and z.k = case when side = 1 then w.slot_id // 32 else w.slot_id % 32 end group by side)"""),
     "metrics_running_best": """select event_type, event_id, value from (select event_type, event_id, round(value, 6) as value, max(round(value, 6)) over (partition by event_type order by ts, event_id rows between unbounded preceding and 1 preceding) as before
       from events where value is not null) where before is null or value > before""",
-    "lr_schedule": "select step, round(case when step < 100 then step / 100.0 else greatest(0.0, 0.5 * (1.0 + cos(pi() * (step - 100) / 900.0))) end, 6) + 0.0 as factor from (select unnest(range(0, 1001)) as step)",
-    "run_priority": """select folder, name, cast(case when name like '%best%' then 0 when name like '%last%' then 1 else 2 end as integer) as priority from (
-        select *, row_number() over (partition by folder order by case when name like '%best%' then 0 when name like '%last%' then 1 else 2 end, name) as nth
-        from (values ('runs/a', 'last.pt'), ('runs/a', 'best.pt'), ('runs/a', 'step_10.pt'), ('runs/b', 'last.pt'), ('runs/b', 'step_3.pt'), ('runs/c', 'step_2.pt'), ('runs/c', 'step_1.pt')) as t(folder, name)) where nth = 1""",
+    "lr_schedule": """select step, round(case when step < w then step / cast(greatest(1, w) as double) else greatest(0.0, 0.5 * (1.0 + cos(pi() * (step - w) / greatest(1, n - w)))) end, 6) + 0.0 as factor
+      from (select event_id as step, max(event_id) over () + 1 as n, (max(event_id) over () + 1) // 10 as w from events)""",
+    "run_priority": """select folder, name, cast(p as integer) as priority from (select *, row_number() over (partition by folder order by p, name) as nth from (
+        select distinct 'runs/' || user_id as folder, case event_type when 'purchase' then 'best.pt' when 'error' then 'last.pt' else 'step_' || event_id || '.pt' end as name, case event_type when 'purchase' then 0 when 'error' then 1 else 2 end as p from events)) where nth = 1""",
     "doc_digest": "select doc_id, sha256(text) as sha256 from documents",
     "stream_metrics_tail": "select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(sum(value) / count(*), 6) as mean_value from events group by 1, 2",
 }

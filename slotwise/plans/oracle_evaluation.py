@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import generate as g
 from ..sources.tables import MODE_WORDS, MODEL_WORDS
 from .evaluation import ATTRIBUTES
-from .oracle import _KS, _SOFTPLUS, FRAGMENTS, ORACLE_SQL as CATALOGUE, TOKEN, _mix, _noisy, _rank, _tokens, _vocab, sql
+from .oracle import _KS, _SOFTPLUS, _mix, _noisy, _rank, _tokens, _vocab, sql
 
 _TOP = "rank <= {k}"
 
@@ -276,18 +276,10 @@ ORACLE_SQL: dict[str, str] = {
         "bigram": "select prev, next, count(*) as n from prompt_pairs group by 1, 2",
         "asked_pairs": "select prev, next, count(*) as times from prompt_pairs where counts group by 1, 2",
     }),
-    "gate_stats": sql(f"""select count(*) as rows, round(avg(gate), 6) as gate_mean, round(min(gate), 6) as gate_min, round(max(gate), 6) as gate_max, round(avg(m), 6) as memory_norm, round(avg(h), 6) as residual_norm, round(avg(m / greatest(h, 1e-8)), 6) as memory_residual_ratio
-      from (select 1 / (1 + exp(-(r.score * 4 - 1))) as gate, {_norm('s.v')} as m, {_norm('q.v')} as h from ranked r join qv q using (query_id) join sv s on s.slot_id = r.slot_id where r.rank = 1)"""),
-    "detailed_predictions": sql(f"""select g.query_id, g.hops, g.gold_answer, b.label as prediction, round(1 / (1 + exp(-(b.score * 4 - 1))), 6) as gate_mean, round({_norm('b.sv')}, 6) as memory_norm, round({_norm('b.sv')} / greatest({_norm('b.qv')}, 1e-8), 6) as memory_residual_ratio,
-        n.required_slots, n.distractor_slots, cast(n.num_distractors as integer) as num_distractors, b.label = g.gold_answer as correct
-      from (select r.query_id, r.hops, s.label as gold_answer from required r join sv s using (slot_id) where r.pos = 1) g
-      join (select r.query_id, r.score, s.label, s.v as sv, q.v as qv from ranked r join sv s using (slot_id) join qv q using (query_id) where r.rank = 1) b using (query_id)
-      join (select query_id, string_agg(cast(slot_id as varchar), ',' order by pos) filter (is_required) as required_slots, coalesce(string_agg(cast(slot_id as varchar), ',' order by pos) filter (not is_required), '') as distractor_slots, count(*) filter (not is_required) as num_distractors from noised group by 1) n using (query_id)""", _PADDED),
     "dataset_alignment": _steps_of(_example_rounds(), """select split, count(*) as examples, count(*) filter (facts like '% ' || answer || ' .') as aligned, count(*) filter (contains(question, answer)) as leaked,
       count(*) filter (answer in (select answer from kept_examples where split = 'train')) as answers_in_train, count(distinct answer) as distinct_answers from kept_examples group by split"""),
     "weighted_loss": "select count(*) as batches, cast(sum(size) as bigint) as rows, round(sum(loss * size) / sum(size), 6) as loss from (select event_type, cast(ts as date) as day, avg(value) as loss, count(*) as size from events where value is not null group by 1, 2)",
     "batch_cosine_mean": sql("select count(*) as batches, round(avg(m), 6) as mean from (select query_id // 320 as batch, avg(score) as m from ranked where rank = 1 group by 1)"),
-    "parameter_count": "select cast(sum(names) as bigint) as names, count(*) as tensors, cast(sum(numel) as bigint) as parameters from (select label, count(*) as names, max(len(embedding)) as numel from embeddings group by 1)",
     "qa_report": sql("""select max(accuracy) filter (scope = 'overall') as overall, max(accuracy) filter (scope = 'single_hop') as single_hop, max(accuracy) filter (scope = 'two_hop') as two_hop, max(accuracy) filter (scope = 'three_hop') as three_hop, max(n) filter (scope = 'overall') as examples,
         (select round(avg(case when n_found > 0 then 1 else 0 end), 6) from counts where k = 8) as any_required, (select round(avg(case when n_required > 0 and n_found = n_required then 1 else 0 end), 6) from counts where k = 8) as all_required,
         (select round(sum(n_found) / greatest(sum(n_required), 1), 6) from counts where k = 8) as coverage, (select round(avg(case when n_found > 0 then 1 else 0 end), 6) from counts where k = 8 and n_required > 0) as recall from accuracies where variant = 'retrieved'"""),

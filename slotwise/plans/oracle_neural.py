@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..operators.neural import MODES
-from .neural import ENCODER, HEAD, HEAD_SLOTS, HEADS, PAIR, SELECTOR_MLP, TAKE
+from .neural import ENCODER, HEAD, HEAD_SLOTS, HEADS, MODELS, PAIR, SELECTOR_MLP, TAKE
 from .oracle import _SOFTPLUS, _rank, sql
-from .oracle_evaluation import _EDGES, _expanded, _norm, _scores, _texts
+from .oracle_evaluation import _EDGES, _PADDED, _expanded, _norm, _scores, _texts
 
 
 def _rows(layout: dict, name: str) -> str:
@@ -136,6 +136,16 @@ ORACLE_SQL: dict[str, str] = {
     "encoded_topk": sql("select query_id, rank, slot_id, round(score, 6) as score from enc_rank where rank <= 8", _ENCODED),
     **{f"memory_{m}": sql("select query_id, i as dim, round(o[i], 6) + 0.0 as value from head_out, (select cast(unnest(range(1, 33)) as integer) as i)", _head(m)) for m in MODES},
     "memory_diagnostics": " union all ".join(f"select * from ({_stats(m)})" for m in MODES),
+    "gate_stats": sql(f"""select count(*) as rows, round(avg(list_avg(g)), 6) as gate_mean, round(min(list_min(g)), 6) as gate_min, round(max(list_max(g)), 6) as gate_max, round(avg({_norm('m')}), 6) as memory_norm, round(avg({_norm('x')}), 6) as residual_norm,
+      round(avg({_norm('m')} / greatest({_norm('x')}, 1e-8)), 6) as memory_residual_ratio from head_out""", _head("gated_sum")),
+    "detailed_predictions": sql(f"""select g.query_id, g.hops, g.gold_answer, b.label as prediction, round(list_avg(h.g), 6) as gate_mean, round({_norm('h.m')}, 6) as memory_norm, round({_norm('h.m')} / greatest({_norm('h.x')}, 1e-8), 6) as memory_residual_ratio,
+        n.required_slots, n.distractor_slots, cast(n.num_distractors as integer) as num_distractors, b.label = g.gold_answer as correct
+      from (select r.query_id, r.hops, s.label as gold_answer from required r join sv s using (slot_id) where r.pos = 1) g
+      join (select r.query_id, s.label from ranked r join sv s using (slot_id) where r.rank = 1) b using (query_id) join head_out h using (query_id)
+      join (select query_id, string_agg(cast(slot_id as varchar), ',' order by pos) filter (is_required) as required_slots, coalesce(string_agg(cast(slot_id as varchar), ',' order by pos) filter (not is_required), '') as distractor_slots, count(*) filter (not is_required) as num_distractors from noised group by 1) n using (query_id)""", _PADDED | _head("gated_sum")),
+    "parameter_count": sql("select cast(sum(names) as bigint) as names, count(*) as tensors, cast(sum(numel) as bigint) as parameters from (select tensor, count(*) as names, max(numel) as numel from (select name, tensor, sum(len(v[start:start + dims - 1])) as numel from vec join (values "
+    + ", ".join(f"('{m}.{n}', '{'-'.join(map(str, at))}', {', '.join(map(str, at))})" for m, layout in MODELS.items() for n, at in layout.items())
+    + ") as t(name, tensor, first, n, start, dims) on vec_id >= first and vec_id < first + n group by 1, 2) group by 1)"),
     "selector_mlp": sql("select query_id, slot_id, round(logit, 6) as logit, round(prob, 6) as prob, taken from sel_taken", _SELECTOR),
     "selector_mlp_top3": sql("select query_id, slot_id, place from (select *, row_number() over (partition by query_id order by prob desc, place) as nth from sel_prob) where nth <= 3", _SELECTOR),
     "selector_mlp_read": sql("select query_id, dim, round(sum(case when taken then v[dim] else 0.0 end) / greatest(count(*) filter (taken), 1), 6) + 0.0 as value from sel_taken, dims group by 1, 2", _SELECTOR),
