@@ -310,13 +310,13 @@ def qa_report(spark, d):
 
 @query
 def comparison_report(spark, d):
-    """The comparison of all variants with its nine columns."""
+    """The comparison of all variants with its nine columns; params are the numbers of a classifier's matrix, with one row of the vectors' length for each label."""
     scopes = ("single_hop", "two_hop", "three_hop", "overall")
     variants = _variants(spark, d)
     wide = variants.groupBy(F.col("variant").alias("model")).agg(*(F.max(F.when(F.col("scope") == s, F.col("accuracy"))).alias(s) for s in scopes))
     gaps = metrics.derived(variants).where("scope = 'overall'").select("oracle_gap", "dense_gap")
     recall = recall_at_k(spark, d).where("k = 8").select(F.col("recall").alias("recall_at_8"))
-    size = parameter_count(spark, d).select(F.col("parameters").alias("params"))
+    size = _vectors(spark, d).groupBy("label").agg(F.max(F.size("vec")).alias("n")).agg(F.sum("n").alias("params"))
     rows = wide
     for one in (gaps, recall, size):
         rows = rows.join(F.broadcast(one), F.lit(True))
