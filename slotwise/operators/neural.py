@@ -11,13 +11,12 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ready
-from .retrieve import RANK_PLACES, by_blocks
+from .retrieve import RANK_PLACES, best, by_blocks, highest
 
 #: Numbers of a model at most: some 130 MB.
 MOST_PARAMETERS = 1 << 24
@@ -192,32 +191,60 @@ def read_taken(selected: DataFrame) -> DataFrame:
 
 # --- pair scorer -------------------------------------------------------------------------------------------------------
 PAIRED = "query_id bigint, slot_id bigint, score double"
+#: Slots of a tile: some 130 kB of hidden units.
+TILE = 2048
 
 
 def pair_topk(anchors: DataFrame, slots: DataFrame, model: Model, k: int) -> DataFrame:
     """src, rank, dst and weight: of each anchor(slot_id, vec) the k slots(slot_id, vec) of highest score, itself included, ties to the smaller id.
 
     The score is a network of two hidden layers over the concatenated pair. Its first layer is separable: each anchor
-    and each slot of a block is multiplied with its half of the matrix once, and halves are added pair by pair, in
-    parts of `CELLS` numbers. Blocks hand on k rows an anchor.
+    and each slot of a block is multiplied with its half of the matrix once, and halves are added pair by pair. All
+    pairs are scored in single precision, in tiles of `TILE` slots with a row for each hidden unit, that stay in a
+    core's cache; those that its error could have kept from the k best are scored in double precision, and only these
+    scores count. Blocks hand on k rows an anchor.
     """
     shared = anchors.sparkSession.sparkContext.broadcast(model)
 
-    def run(asked: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
-        p, kept = shared.value, kept.sort_values("slot_id", kind="stable")
-        ids, vec = kept.slot_id.to_numpy(np.int64), lambda df: np.array(df.vec.tolist(), float)
-        a, s = vec(asked) @ p["w_anchor"].T + p["b_first"][0], vec(kept) @ p["w_slot"].T
-        score = np.empty((len(asked), len(kept)))
-        step = max(1, CELLS // a.shape[1])
-        for i in range(len(asked)):
-            for j in range(0, len(kept), step):
-                h = np.maximum(np.maximum(a[i] + s[j : j + step], 0.0) @ p["w_second"].T + p["b_second"][0], 0.0)
-                score[i, j : j + step] = h @ p["w_last"][0]
-        score = np.round(score, RANK_PLACES)
-        pick = np.argsort(-score, 1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(asked.query_id.to_numpy(np.int64), pick.shape[1]), "slot_id": ids[pick].ravel(), "score": np.take_along_axis(score, pick, 1).ravel()})
-
-    found = by_blocks(anchors.select(F.col("slot_id").alias("query_id"), "vec"), slots.select("slot_id", "vec"), run, PAIRED)
+    def block(ids: np.ndarray, slots: np.ndarray):
+        p = shared.value
+        s, last = slots @ p["w_slot"].T, p["w_last"][0]
+        fast = np.ascontiguousarray(s.T, np.float32)
+        second = np.ascontiguousarray(np.concatenate([p["w_second"], p["b_second"].T], 1), np.float32)
+        single, hidden = last.astype(np.float32), s.shape[1]
+        h, g = np.empty((hidden + 1, TILE), np.float32), np.empty((len(last), TILE), np.float32)
+        most = np.abs(s).max(0)
+
+        def exact(a: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+            score, step = np.empty(len(row)), max(1, CELLS // hidden)
+            for j in range(0, len(row), step):
+                x = np.maximum(np.maximum(a[row[j : j + step]] + s[col[j : j + step]], 0.0) @ p["w_second"].T + p["b_second"][0], 0.0)
+                score[j : j + step] = x @ last
+            return np.round(score, RANK_PLACES)
+
+        def run(asked: np.ndarray, queries: np.ndarray) -> list:
+            a = queries @ p["w_anchor"].T + p["b_first"][0]
+            halves, score = a.astype(np.float32)[:, :, None], np.empty((len(a), len(ids)), np.float32)
+            for j in range(0, len(ids), TILE):
+                n = min(TILE, len(ids) - j)
+                x, y = h[:, :n], g[:, :n]
+                x[hidden] = 1.0
+                for i in range(len(a)):
+                    np.add(fast[:, j : j + n], halves[i], out=x[:hidden])
+                    np.maximum(x[:hidden], 0.0, out=x[:hidden])
+                    np.matmul(second, x, out=y)
+                    np.maximum(y, 0.0, out=y)
+                    np.matmul(single, y, out=score[i, j : j + n])
+            size = np.abs(last) @ (np.abs(p["w_second"]) @ (np.abs(a).max(0) + most) + np.abs(p["b_second"][0]))
+            error = (2 * hidden + 2 * len(last) + 16) * 2.0**-23 * float(size) + 10.0**-RANK_PLACES
+            row, col = highest(score, k, 2 * error)
+            found = exact(a, row, col)
+            at = best(row, col, found, k)
+            return [asked[row[at]], ids[col[at]], found[at]]
+
+        return run
+
+    found = by_blocks(anchors.select(F.col("slot_id").alias("query_id"), "vec"), slots.select("slot_id", "vec"), block, PAIRED)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "slot_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query_id").alias("src"), "rank", F.col("slot_id").alias("dst"), F.col("score").alias("weight"))
 

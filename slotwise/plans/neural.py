@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.registered import dealt, register
 from ..operators import encoder, kb, losses, metrics, neural, retrieve, select
+from ..session import written
 from .catalogue import DIM, _candidates, _live, _prompts, _query_vecs, _ranked, _required, _shown, _slot_values, _slot_vecs, _slots, _vectors, query
 from .evaluation import _items, _text_vectors
 
@@ -143,21 +144,23 @@ def loss_selector_mlp(spark, d):
     return losses.weighted_bce(_selector(spark, d).select(F.col("is_required").alias("positive"), F.col("logit").alias("score")), 3.0)
 
 
-def _pairs(spark, d):
-    """The four best partners of every slot that is among the first three of a query."""
-    anchors = _ranked(spark, d, 3).select("slot_id").distinct().join(_slot_vecs(spark, d), "slot_id")
+def _pairs(spark, d, ranked):
+    """The four best partners of every ranked slot; these are written, so that they are not looked for again to be counted."""
+    anchors = written(ranked.select("slot_id").distinct().join(_slot_vecs(spark, d), "slot_id"), "anchors")
     return neural.pair_topk(anchors, _slot_vecs(spark, d), _model(spark, d, PAIR), 4)
 
 
 @query
 def pair_mlp_topk(spark, d):
-    return _pairs(spark, d).withColumn("weight", F.round("weight", 6))
+    """The four best partners of every slot that is among the first three of a query."""
+    return _pairs(spark, d, _ranked(spark, d, 3)).withColumn("weight", F.round("weight", 6))
 
 
 @query
 def pair_mlp_expand(spark, d):
     """The first three slots of each query, then their partners, up to ten."""
-    return retrieve.expand_by_graph(_ranked(spark, d, 3), _pairs(spark, d).drop("rank"), 4, 10)
+    ranked = written(_ranked(spark, d, 3), "ranked")
+    return retrieve.expand_by_graph(ranked, _pairs(spark, d, ranked).drop("rank"), 4, 10)
 
 
 def _encoded_prompts(spark, d):
@@ -174,7 +177,7 @@ def encoded_prompts(spark, d):
 @query
 def encoded_topk(spark, d):
     """The slots that are nearest to each prompt, over the first half of the dimensions."""
-    asked = _encoded_prompts(spark, d).select("query_id", F.transform("vec", lambda x: F.round(x, 9)).alias("vec"))
+    asked = written(_encoded_prompts(spark, d).select("query_id", F.transform("vec", lambda x: F.round(x, 9)).alias("vec")), "asked")
     return _shown(retrieve.topk(asked, _slot_vecs(spark, d, DIM), 8))
 
 
