@@ -17,7 +17,7 @@ from ..sources.generated import star_names
 from ..sources.measured import measured
 from ..sources.tables import mode_of_run, model_type_of_run, table
 from .catalogue import (
-    DIM, KS, QUERIES, SELECTOR, _candidates, _codebook, _kb, _live, _meta, _prompts, _query_vecs, _ranked, _required, _shown, _slot_vecs, _slots, _variants, _vectors, query, recall_at_k,
+    DIM, KS, QUERIES, SELECTOR, _candidates, _codebook, _counts_at_8, _edges, _kb, _live, _meta, _prompts, _query_vecs, _ranked, _required, _searched, _shown, _slot_vecs, _slots, _variants, _vectors, query,
 )
 
 
@@ -108,16 +108,12 @@ def pk_subscores_cosine(spark, d):
     return product_key.subscores(_query_vecs(spark, d), _codebook(spark, d), DIM, by_cosine=True).withColumn("score", F.round("score", 6))
 
 
-def _edges(spark, d):
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    return lines.join(lines.withColumnRenamed("l_partkey", "dst"), "l_orderkey").where("l_partkey <> dst").groupBy(F.col("l_partkey").alias("src"), "dst").agg(F.count("*").alias("weight"))
-
-
 @query
 def graph_pairs(spark, d):
     """Neighbours by a pair scorer over the vectors of parts that share an order."""
-    pairs = retrieve.pair_scores(_slot_vecs(spark, d), _slot_vecs(spark, d), _edges(spark, d), [0.8, -0.05, 0.1], -0.5)
-    return retrieve.expand_by_graph(_ranked(spark, d, 3), pairs, 4, 10)
+    ranked = written(_ranked(spark, d, 3), "ranked")
+    pairs = retrieve.pair_scores(_slot_vecs(spark, d), _slot_vecs(spark, d), _edges(spark, d, ranked), [0.8, -0.05, 0.1], -0.5)
+    return retrieve.expand_by_graph(ranked, pairs, 4, 10)
 
 
 def _part(spark, d, first, start):
@@ -125,7 +121,8 @@ def _part(spark, d, first, start):
 
 
 def _grown(spark, d, ranked):
-    found = retrieve.expand_by_graph(ranked.where("rank <= 8"), _edges(spark, d), 8, 64)
+    anchors = ranked.where("rank <= 8")
+    found = retrieve.expand_by_graph(anchors, _edges(spark, d, anchors), 8, 64)
     return found.select("query_id", F.col("place").alias("rank"), "slot_id")
 
 
@@ -300,9 +297,10 @@ def batch_cosine_mean(spark, d):
 @query
 def qa_report(spark, d):
     """Accuracy by scope, recall at 8 and required-set metrics at 8 of the retriever, as one row."""
-    counts = metrics.required_counts(_required(spark, d), _ranked(spark, d), _meta(spark, d), (8,))
+    need, ranked = _searched(spark, d)
+    counts = _counts_at_8(spark, d, need, ranked)
     sets = metrics.required_set(counts).where("hops = -1").select("any_required", "all_required", "coverage")
-    right = _variants(spark, d).where("variant = 'retrieved'")
+    right = _variants(spark, d, need, ranked).where("variant = 'retrieved'")
     scope = lambda s: F.max(F.when(F.col("scope") == s, F.col("accuracy"))).alias(s)
     wide = right.agg(*(scope(s) for s in ("overall", "single_hop", "two_hop", "three_hop")), F.max(F.when(F.col("scope") == "overall", F.col("n"))).alias("examples"))
     return wide.join(F.broadcast(sets), F.lit(True)).join(F.broadcast(metrics.recall_at(counts).select("recall")), F.lit(True))
@@ -312,10 +310,11 @@ def qa_report(spark, d):
 def comparison_report(spark, d):
     """The comparison of all variants with its nine columns; params are the numbers of a classifier's matrix, with one row of the vectors' length for each label."""
     scopes = ("single_hop", "two_hop", "three_hop", "overall")
-    variants = _variants(spark, d)
+    need, ranked = _searched(spark, d)
+    variants = _variants(spark, d, need, ranked)
     wide = variants.groupBy(F.col("variant").alias("model")).agg(*(F.max(F.when(F.col("scope") == s, F.col("accuracy"))).alias(s) for s in scopes))
     gaps = metrics.derived(variants).where("scope = 'overall'").select("oracle_gap", "dense_gap")
-    recall = recall_at_k(spark, d).where("k = 8").select(F.col("recall").alias("recall_at_8"))
+    recall = metrics.recall_at(_counts_at_8(spark, d, need, ranked)).select(F.col("recall").alias("recall_at_8"))
     size = _vectors(spark, d).groupBy("label").agg(F.max(F.size("vec")).alias("n")).agg(F.sum("n").alias("params"))
     rows = wide
     for one in (gaps, recall, size):
@@ -368,7 +367,8 @@ def slots_in_range(spark, d):
 def kb_tensor(spark, d):
     """Value tokens by slot id of a table of 100,000 addresses, grown where there are more slots; the rows say how much of it is live."""
     slots = _kb(spark, d)
-    return kb.tensor(kb.value_tokens(slots, texts.build_vocab(slots)), 100_000).agg(F.count("*").alias("slots"), F.count("value_token").alias("live"), F.max("slot_id").cast("bigint").alias("last"), F.sum("value_token").alias("token_sum"))
+    found = written(kb.value_tokens(slots, texts.build_vocab(slots)), "value-tokens")
+    return kb.tensor(found, 100_000).agg(F.count("*").alias("slots"), F.count("value_token").alias("live"), F.max("slot_id").cast("bigint").alias("last"), F.sum("value_token").alias("token_sum"))
 
 
 @query
