@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .text import dense_id, in_ranges
+from .text import ranged_id
 
 # The task types, in the order in which they take turns.
 TASKS = ("single_fact_recall", "two_hop_reasoning", "three_hop_reasoning", "api_usage_reasoning", "code_symbol_reasoning")
@@ -59,7 +59,7 @@ def split_of(i: Column) -> Column:
 
 def placed(names: DataFrame) -> DataFrame:
     """place (from 0, in the order of words) and word of the different words of names(word)."""
-    return dense_id(in_ranges(names.where("word is not null").select("word").distinct(), "word"), F.col("word"), F.col("__range"), "place").select("place", "word")
+    return ranged_id(names.where("word is not null").select("word").distinct(), "word", "place").select("place", "word")
 
 
 def pools(names: DataFrame, separation: str, kind: str) -> DataFrame:
@@ -134,8 +134,8 @@ def examples(pool: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
     A question about a chain stands in train TRAIN_REPEATS times at most, elsewhere once; further draws of it are
     drawn again. Splits without chains have no examples.
     """
-    ranged = in_ranges(pool.withColumn("at", F.struct("split", "chain_id")), "at")
-    places = written(dense_id(ranged, F.col("at"), F.col("__range"), "place").select("place", *pool.columns), "chain-places")
+    placed = ranged_id(pool.withColumn("at", F.struct("split", "chain_id")), "at", "place")
+    places = written(placed.select("place", *pool.columns), "chain-places")
     sizes = places.groupBy("split").agg(F.min("place").cast("bigint").alias("first"), F.count("*").alias("size"))  # a row a split
     missing, most, taken = ids.select("example_id", "split").where("example_id is not null").join(F.broadcast(sizes.select("split")), "split", "left_semi"), F.when(F.col("split") == "train", TRAIN_REPEATS).otherwise(1), []
     for turn in range(ROUNDS):
