@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ready
-from .retrieve import RANK_PLACES, best, by_blocks, highest
+from .retrieve import GROUP, RANK_PLACES, best, by_blocks, foremost
 
 #: Numbers of a model at most: some 130 MB.
 MOST_PARAMETERS = 1 << 24
@@ -193,6 +193,10 @@ def read_taken(selected: DataFrame) -> DataFrame:
 PAIRED = "query_id bigint, slot_id bigint, score double"
 #: Slots of a tile: some 130 kB of hidden units.
 TILE = 2048
+#: Slots by which the units of an anchor's second layer are taken for on or off.
+SAMPLE = 32
+#: Rows of a tile that one operation takes as one, so that its loops are long.
+STEP = 8
 
 
 def pair_topk(anchors: DataFrame, slots: DataFrame, model: Model, k: int) -> DataFrame:
@@ -200,20 +204,25 @@ def pair_topk(anchors: DataFrame, slots: DataFrame, model: Model, k: int) -> Dat
 
     The score is a network of two hidden layers over the concatenated pair. Its first layer is separable: each anchor
     and each slot of a block is multiplied with its half of the matrix once, and halves are added pair by pair. All
-    pairs are scored in single precision, in tiles of `TILE` slots with a row for each hidden unit, that stay in a
-    core's cache; those that its error could have kept from the k best are scored in double precision, and only these
-    scores count. Blocks hand on k rows an anchor.
+    pairs get an upper bound of their score in single precision, in tiles of `TILE` slots with a row for each hidden
+    unit, that stay in a core's cache: a unit of the second layer that lowers the score does so at least by its value
+    and at least by nothing, so all these together are one row, a sum of those taken for on. Pairs whose bound reaches
+    the kth of some scores that are known are scored in double precision, and only these scores count. Blocks hand on
+    k rows an anchor.
     """
     shared = anchors.sparkSession.sparkContext.broadcast(model)
 
     def block(ids: np.ndarray, slots: np.ndarray):
         p = shared.value
-        s, last = slots @ p["w_slot"].T, p["w_last"][0]
-        fast = np.ascontiguousarray(s.T, np.float32)
-        second = np.ascontiguousarray(np.concatenate([p["w_second"], p["b_second"].T], 1), np.float32)
-        single, hidden = last.astype(np.float32), s.shape[1]
-        h, g = np.empty((hidden + 1, TILE), np.float32), np.empty((len(last), TILE), np.float32)
-        most = np.abs(s).max(0)
+        s, last, n = slots @ p["w_slot"].T, p["w_last"][0], len(ids)
+        hidden, most = s.shape[1], np.abs(s).max(0)
+        fast, some = np.zeros((-(-n // GROUP) * GROUP, hidden), np.float32), s[:: -(-n // SAMPLE)]
+        fast[:n] = s
+        second, bias = last[:, None] * p["w_second"], last * p["b_second"][0]
+        up, down = last > 0, last <= 0
+        rows = int(up.sum())
+        wide = -(-(rows + 1) // STEP) * STEP
+        h, g, ones = np.empty((TILE, hidden), np.float32), np.empty((TILE, wide), np.float32), np.ones(wide, np.float32)
 
         def exact(a: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
             score, step = np.empty(len(row)), max(1, CELLS // hidden)
@@ -222,22 +231,44 @@ def pair_topk(anchors: DataFrame, slots: DataFrame, model: Model, k: int) -> Dat
                 score[j : j + step] = x @ last
             return np.round(score, RANK_PLACES)
 
-        def run(asked: np.ndarray, queries: np.ndarray) -> list:
-            a = queries @ p["w_anchor"].T + p["b_first"][0]
-            halves, score = a.astype(np.float32)[:, :, None], np.empty((len(a), len(ids)), np.float32)
-            for j in range(0, len(ids), TILE):
-                n = min(TILE, len(ids) - j)
-                x, y = h[:, :n], g[:, :n]
-                x[hidden] = 1.0
+        def bounds(a: np.ndarray) -> np.ndarray:
+            """At least the score of each pair, but for single precision's error. x + b, where it is positive, else 0, is taken as the larger of x and -b, and all b are added at the end."""
+            on = (np.maximum(a[:, None] + some, 0.0) @ p["w_second"].T + p["b_second"][0]).sum(1) > 0
+            each, more = np.zeros((len(a), hidden, wide)), np.zeros((len(a), wide))
+            each[:, :, :rows], each[:, :, rows] = second[up].T, on[:, down] @ second[down]
+            more[:, :rows], more[:, rows] = bias[up], on[:, down] @ bias[down]
+            more += np.einsum("ihr,ih->ir", each, a)
+            low = -more
+            low[:, rows] = -np.inf
+            each, low, least = each.astype(np.float32), np.tile(low.astype(np.float32), STEP), np.tile(-a.astype(np.float32), STEP)
+            score = np.empty((len(a), len(fast)), np.float32)
+            for j in range(0, n, TILE):
+                part = fast[j : j + TILE]
+                x, y = h[: len(part)], g[: len(part)]
+                part, xs, ys = (z.reshape(len(part) // STEP, -1) for z in (part, x, y))
                 for i in range(len(a)):
-                    np.add(fast[:, j : j + n], halves[i], out=x[:hidden])
-                    np.maximum(x[:hidden], 0.0, out=x[:hidden])
-                    np.matmul(second, x, out=y)
-                    np.maximum(y, 0.0, out=y)
-                    np.matmul(single, y, out=score[i, j : j + n])
-            size = np.abs(last) @ (np.abs(p["w_second"]) @ (np.abs(a).max(0) + most) + np.abs(p["b_second"][0]))
+                    np.maximum(part, least[i], out=xs)
+                    np.matmul(x, each[i], out=y)
+                    np.maximum(ys, low[i], out=ys)
+                    np.matmul(y, ones, out=score[i, j : j + len(x)])
+            score += more.sum(1).astype(np.float32)[:, None]
+            score[:, n:] = -np.inf
+            return score
+
+        def near(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows and columns of the pairs that can be among the k best."""
+            if n < 2 * GROUP * k:
+                return np.divmod(np.arange(len(a) * n), n)
+            score = bounds(a)
+            row, col = foremost(score, 2 * k, GROUP)
+            known = np.sort(exact(a, row, col).reshape(len(a), -1), 1)[:, -k]
+            size = np.abs(last) @ (np.abs(p["w_second"]) @ (3 * np.abs(a).max(0) + most) + 3 * np.abs(p["b_second"][0]))
             error = (2 * hidden + 2 * len(last) + 16) * 2.0**-23 * float(size) + 10.0**-RANK_PLACES
-            row, col = highest(score, k, 2 * error)
+            return np.divmod(np.flatnonzero(score >= (known - 2 * error).astype(np.float32)[:, None]), score.shape[1])
+
+        def run(asked: np.ndarray, queries: np.ndarray) -> list:
+            a = queries @ p["w_anchor"].T + p["b_first"][0]
+            row, col = near(a)
             found = exact(a, row, col)
             at = best(row, col, found, k)
             return [asked[row[at]], ids[col[at]], found[at]]
